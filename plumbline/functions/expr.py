@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,24 +80,27 @@ def name_tokens(c: Column | str, min_length: int = 1) -> Column:
     return F.filter(pieces, lambda t: F.length(t) >= min_length)
 
 
-# Date layouts tried in turn, and the shape text must have to be tried at all.
+# Date layouts tried in turn, each with the shape text must have to be tried.
 DATE_LAYOUTS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd-MM-yyyy",
-    "dd MMM yyyy",
-    "MMM dd yyyy",
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
+    ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
+    ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    ("dd-MM-yyyy", r"^\d{2}-\d{2}-\d{4}$"),
+    ("dd MMM yyyy", r"^\d{2} [A-Za-z]{3} \d{4}$"),
+    ("MMM dd yyyy", r"^[A-Za-z]{3} \d{2} \d{4}$"),
 )
 ISO_SHAPE = r"^\d{4}(-\d{1,2}(-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?)?)?$"
 
 
-def lenient_timestamp(c: Column | str, layouts: Iterable[str] = DATE_LAYOUTS) -> Column:
-    """Timestamp by ISO rules, else by the first layout that fits, else null."""
+def lenient_timestamp(c: Column | str) -> Column:
+    """Timestamp by ISO rules, else by the first layout that fits, else null.
+
+    A failed parse is costly, so each layout is tried only on text of its shape.
+    """
     text = F.trim(as_column(c))
-    iso = F.when(text.rlike(ISO_SHAPE), text.try_cast("timestamp"))
-    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(layout)) for layout in layouts])
+    tried = [F.when(text.rlike(ISO_SHAPE), text.try_cast("timestamp"))]
+    tried += [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout))) for layout, shape in DATE_LAYOUTS]
+    return F.coalesce(*tried)
 
 
 def key_hash(key: str | Sequence[str]) -> Column:

@@ -35,6 +35,7 @@ from plumbline.operators.stats import (
 MISSING_LABEL = "<missing>"
 TOP_VALUES = 20
 SAMPLE_VALUES = 5
+LEAD_ROWS = 64
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -77,24 +78,24 @@ def unique_density(df: DataFrame, target: str | None = None, limit: int = 20) ->
 def sample_values(df: DataFrame, key: str | Sequence[str], k: int = SAMPLE_VALUES, columns: Sequence[str] | None = None) -> DataFrame:
     """`(column, samples array<string>)`: first k non-null values in key order.
 
-    One bounded heap per column, each over two or three columns of the scan.
+    The first rows of the table settle every column that is mostly filled, in one scan with
+    a bounded heap; only the sparse columns get a scan of their own.
     """
     df = normalised(df)
     keys = [key] if isinstance(key, str) else list(key)
-    parts = []
-    for c in columns or df.columns:
-        order = [quoted(n).alias(f"__k{i}") for i, n in enumerate(keys)]
-        head = (
-            df.select(quoted(c).cast("string").alias("value"), *order)
-            .filter(F.col("value").isNotNull())
-            .orderBy(*[f"__k{i}" for i in range(len(keys))])
-            .limit(k)
-        )
-        # at most k rows are gathered
-        at = F.struct(*[F.col(f"__k{i}") for i in range(len(keys))], F.col("value"))
-        values = F.transform(F.array_sort(F.collect_list(at)), lambda s: s["value"])
-        parts.append(head.agg(values.alias("samples")).select(F.lit(c).alias("column"), "samples"))
-    return reduce(DataFrame.unionByName, parts)
+    columns = list(columns or df.columns)
+    order = [quoted(n).alias(f"__k{i}") for i, n in enumerate(keys)]
+    sort_keys = [f"__k{i}" for i in range(len(keys))]
+    text = {c: quoted(c).cast("string") for c in columns}
+    lead = df.select(*[t.alias(c) for c, t in text.items()], *order).orderBy(*sort_keys).limit(LEAD_ROWS).collect()
+    found: dict[str, list[str]] = {}
+    for c in columns:
+        values = [r[c] for r in lead if r[c] is not None][:k]
+        if len(values) < k and len(lead) == LEAD_ROWS:
+            sparse = df.select(text[c].alias("value"), *order).filter(F.col("value").isNotNull())
+            values = [r["value"] for r in sparse.orderBy(*sort_keys).limit(k).collect()]
+        found[c] = values
+    return df.sparkSession.createDataFrame(list(found.items()), "column string, samples array<string>")
 
 
 def date_shares(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -1,11 +1,12 @@
 """Exact order statistics at any size.
 
-Small inputs use Spark's `percentile` aggregate.  That aggregate keeps every distinct
-value in one buffer, so large inputs go through `select_ranks`, which narrows an open
-interval around each wanted rank: a mergeable sketch proposes cut points, one counting
-pass says between which two of them the rank lies, and the rows outside drop out.
-Each round divides the candidates by about the grid size; what is left is finished by a
-grouped count.  Only (groups x ranks x grid) numbers ever reach the driver.
+Tiny inputs use Spark's `percentile` aggregate.  That aggregate keeps every distinct value
+in one buffer, so everything else goes through `select_ranks`: a counting pass spreads the
+values over equal-width cells and keeps each cell's count, minimum and maximum; a wanted
+rank lies in one known cell, and only that cell is looked at again.  Each round divides the
+candidates by about the number of cells, and what is left is finished by a grouped count.
+The passes are narrow - partial counts of at most (groups x cells) rows are all that is
+shuffled or reaches the driver.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.expr import quoted
-from plumbline.session import is_small
+from plumbline.session import is_small, several_passes
 
-GRID = 256
+CELLS = 1024
 ACCURACY = 10_000
-FINISH_ROWS = 1_000_000
+FINISH_ROWS = 200_000
+PERCENTILE_BYTES = 4 * 1024 * 1024
 INF = float("inf")
 
 
@@ -42,98 +44,107 @@ def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return cells.filter(F.col("value").isNotNull())
 
 
-def _bracket(spark, rows: list[tuple]) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, "grp string, slot int, lo double, hi double"))
+def column_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
+    """`cell_stats` of whole columns: one aggregate, no stacking."""
+    exprs = []
+    for i, c in enumerate(columns):
+        v = quoted(c).cast("double")
+        finite = F.when(F.abs(v) != INF, v)
+        exprs += [F.count(finite).alias(f"n{i}"), F.min(finite).alias(f"a{i}"), F.max(finite).alias(f"b{i}")]
+        exprs += [F.count_if(v == -INF).alias(f"l{i}"), F.count_if(v == INF).alias(f"h{i}")]
+    row = df.agg(*exprs).first()
+    return {c: tuple(row[f"{k}{i}"] for k in "nablh") for i, c in enumerate(columns)}
+
+
+def cell_stats(cells: DataFrame) -> dict[str, tuple]:
+    """`(finite rows, min, max, rows at -inf, rows at +inf)` of each group of `(grp, value)`."""
+    v = F.col("value")
+    finite = F.when(F.abs(v) != INF, v)
+    rows = cells.groupBy("grp").agg(
+        F.count(finite).alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.count_if(v == -INF).alias("low"), F.count_if(v == INF).alias("high")
+    )
+    return {r["grp"]: (r["n"], r["lo"], r["hi"], r["low"], r["high"]) for r in rows.collect()}
+
+
+class _Spot:
+    """Where a rank is known to lie: closed value interval, rows inside it, rows below it."""
+
+    __slots__ = ("grp", "rank", "lo", "hi", "n", "below")
+
+    def __init__(self, grp, rank, lo, hi, n, below):
+        self.grp, self.rank, self.lo, self.hi, self.n, self.below = grp, rank, lo, hi, n, below
+
+
+def _within(cells: DataFrame, spots: list[_Spot]) -> tuple[DataFrame, dict]:
+    """Rows of the spots' intervals, tagged with an interval number; one broadcast row per interval."""
+    keys = sorted({(s.grp, s.lo, s.hi) for s in spots})
+    slots = {k: i for i, k in enumerate(keys)}
+    # halving keeps the width finite for intervals wider than the double range
+    rows = [(g, i, lo, hi, 0.5 if hi - lo == INF else 1.0) for (g, lo, hi), i in slots.items()]
+    table = F.broadcast(cells.sparkSession.createDataFrame(rows, "grp string, slot int, lo double, hi double, unit double"))
+    v = F.col("value")
+    return cells.join(table, "grp").filter((v >= F.col("lo")) & (v <= F.col("hi"))), slots
 
 
 def select_ranks(
     cells: DataFrame,
     ranks: dict[str, Sequence[int]],
+    stats: dict[str, tuple] | None = None,
     finish_rows: int = FINISH_ROWS,
-    grid: int = GRID,
+    width: int = CELLS,
 ) -> dict[tuple[str, int], float]:
     """Values at the given zero-based ranks of each group of `(grp, value)`; values are non-null.
 
     Groups are feature names or classes.  The result holds one number per asked rank.
     """
-    spark = cells.sparkSession
-    # every target waits in an open interval (lo, hi) together with the count of values <= lo
-    waiting = {(g, r): (-INF, INF, 0) for g, rs in ranks.items() for r in set(rs)}
+    stats = stats or cell_stats(cells)
     found: dict[tuple[str, int], float] = {}
-    steps = [i / grid for i in range(grid + 1)]
-    slots_of = lambda targets: {key: i for i, key in enumerate(sorted({(t[0], lo, hi) for t, (lo, hi, _) in targets.items()}))}
-
-    def inside(slots: dict) -> DataFrame:
-        table = _bracket(spark, [(g, i, lo, hi) for (g, lo, hi), i in slots.items()])
-        strictly = ((F.col("value") > F.col("lo")) | (F.col("lo") == -INF)) & (
-            (F.col("value") < F.col("hi")) | (F.col("hi") == INF)
-        )
-        return cells.join(table, "grp").filter(strictly)
-
+    waiting: list[_Spot] = []
+    for g, rs in ranks.items():
+        n, lo, hi, low, high = stats[g]
+        for r in set(rs):
+            if r < low or r >= low + n:
+                found[(g, r)] = -INF if r < low else INF
+            elif lo == hi:
+                found[(g, r)] = lo
+            else:
+                waiting.append(_Spot(g, r, lo, hi, n, low))
     while waiting:
-        slots = slots_of(waiting)
-        sketch = {
-            row["slot"]: row
-            for row in inside(slots)
-            .groupBy("slot")
-            .agg(
-                F.count("*").alias("n"),
-                F.percentile_approx("value", F.array(*[F.lit(s) for s in steps]), ACCURACY).alias("cuts"),
-            )
-            .collect()
-        }
-        finishing, narrowing = {}, {}
-        for target, (lo, hi, below) in waiting.items():
-            row = sketch[slots[(target[0], lo, hi)]]
-            (finishing if row["n"] <= finish_rows else narrowing)[target] = (lo, hi, below)
-        if finishing:
-            found.update(_finish(inside, slots, finishing))
-        if not narrowing:
+        ready = [s for s in waiting if s.n <= finish_rows]
+        if ready:
+            found.update(_finish(cells, ready))
+        open_spots = [s for s in waiting if s.n > finish_rows]
+        if not open_spots:
             break
-        # count, for each open slot, how many values lie at or below each proposed cut point
-        cut_rows = []
-        for target, (lo, hi, _) in narrowing.items():
-            slot = slots[(target[0], lo, hi)]
-            cut_rows.append((slot, sorted(set(sketch[slot]["cuts"]))))
-        cut_rows = list({slot: (slot, cuts) for slot, cuts in cut_rows}.values())
-        cut_table = F.broadcast(spark.createDataFrame(cut_rows, "slot int, cuts array<double>"))
-        # position = number of cut points below the value; a cut point itself counts as its own cell
-        position = F.size(F.filter("cuts", lambda c: c < F.col("value")))
-        hit = F.array_contains("cuts", F.col("value"))
-        counted: dict[int, dict[tuple[int, bool], int]] = defaultdict(dict)
-        for row in (
-            inside(slots).join(cut_table, "slot").groupBy("slot", position.alias("p"), hit.alias("hit")).count().collect()
-        ):
-            counted[row["slot"]][(row["p"], row["hit"])] = row["count"]
-        cuts_of = dict(cut_rows)
-        waiting = {}
-        for target, (lo, hi, below) in narrowing.items():
-            slot = slots[(target[0], lo, hi)]
-            cuts, cells_of = cuts_of[slot], counted[slot]
-            seen = below
-            for p in range(len(cuts) + 1):
-                between = cells_of.get((p, False), 0)
-                if target[1] < seen + between:
-                    waiting[target] = (cuts[p - 1] if p else lo, cuts[p] if p < len(cuts) else hi, seen)
+        inside, slots = _within(cells, open_spots)
+        unit = F.col("unit")
+        share = (F.col("value") * unit - F.col("lo") * unit) / (F.col("hi") * unit - F.col("lo") * unit)
+        cell = F.least(F.floor(share * width), F.lit(width - 1)).cast("int")
+        counted: dict[int, list] = defaultdict(list)
+        per_cell = inside.groupBy("slot", cell.alias("cell")).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        for row in per_cell.collect():
+            counted[row["slot"]].append((row["cell"], row["n"], row["lo"], row["hi"]))
+        waiting = []
+        for s in open_spots:
+            seen = s.below
+            for _, n, lo, hi in sorted(counted[slots[(s.grp, s.lo, s.hi)]]):
+                if s.rank < seen + n:
+                    if lo == hi:
+                        found[(s.grp, s.rank)] = lo
+                    else:
+                        waiting.append(_Spot(s.grp, s.rank, lo, hi, n, seen))
                     break
-                seen += between
-                on_cut = cells_of.get((p, True), 0)
-                if target[1] < seen + on_cut:
-                    found[target] = cuts[p]
-                    break
-                seen += on_cut
+                seen += n
     return found
 
 
-def _finish(inside, slots: dict, finishing: dict) -> dict:
-    """Read off the targets whose slot holds few rows: grouped count, then a running count."""
-    keep = {key: i for key, i in slots.items() if any((t[0], lo, hi) == key for t, (lo, hi, _) in finishing.items())}
-    counts = inside(keep).groupBy("slot", "value").agg(F.count("*").alias("n"))
+def _finish(cells: DataFrame, spots: list[_Spot]) -> dict:
+    """Read off ranks whose interval holds few rows: grouped count, then a running count."""
+    inside, slots = _within(cells, spots)
+    counts = inside.groupBy("slot", "value").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(W.partitionBy("slot").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    spark = counts.sparkSession
-    wanted = spark.createDataFrame(
-        [(t[0], t[1], keep[(t[0], lo, hi)], t[1] - below) for t, (lo, hi, below) in finishing.items()],
-        "grp string, rank long, slot int, local long",
+    wanted = cells.sparkSession.createDataFrame(
+        [(s.grp, s.rank, slots[(s.grp, s.lo, s.hi)], s.rank - s.below) for s in spots], "grp string, rank long, slot int, local long"
     )
     running = counts.select("slot", "value", "n", upto.alias("upto"))
     picked = running.join(F.broadcast(wanted), "slot").filter(
@@ -149,20 +160,22 @@ def _interpolation(n: int, p: float) -> tuple[int, int, float]:
 
 
 def quantiles_by_selection(
-    cells: DataFrame, probs: Sequence[float], finish_rows: int = FINISH_ROWS, grid: int = GRID
+    cells: DataFrame,
+    probs: Sequence[float],
+    stats: dict[str, tuple] | None = None,
+    finish_rows: int = FINISH_ROWS,
+    width: int = CELLS,
 ) -> dict[str, list[float]]:
     """Linear-interpolation quantiles of each group of `(grp, value)` by rank selection."""
-    sizes = {r["grp"]: r["count"] for r in cells.groupBy("grp").count().collect()}
-    plan = {g: [_interpolation(n, p) for p in probs] for g, n in sizes.items()}
+    stats = stats or cell_stats(cells)
+    plan = {g: [_interpolation(n + low + high, p) for p in probs] for g, (n, _, _, low, high) in stats.items() if n + low + high}
     ranks = {g: sorted({r for low, high, _ in spots for r in (low, high)}) for g, spots in plan.items()}
-    values = select_ranks(cells, ranks, finish_rows, grid)
-    return {
-        g: [
-            values[(g, low)] if low == high else values[(g, low)] * (1 - w) + values[(g, high)] * w
-            for low, high, w in spots
-        ]
-        for g, spots in plan.items()
-    }
+    values = select_ranks(cells, ranks, stats, finish_rows, width)
+
+    def between(a: float, b: float, w: float) -> float:
+        return a if w == 0 or a == b else a * (1 - w) + b * w
+
+    return {g: [between(values[(g, low)], values[(g, high)], w) for low, high, w in spots] for g, spots in plan.items()}
 
 
 def column_quantiles(
@@ -171,9 +184,10 @@ def column_quantiles(
     """Quantiles per column, on the driver (a few numbers per column); None where a column is all null."""
     if not columns:
         return {}
-    small = is_small(df.select(*map(quoted, columns))) if small is None else small
+    small = is_small(df.select(*map(quoted, columns)), PERCENTILE_BYTES) if small is None else small
     if exact and not small:
-        got = quantiles_by_selection(long_values(df, columns), probs)
+        with several_passes(df.select(*[quoted(c).cast("double").alias(c) for c in columns])) as numbers:
+            got = quantiles_by_selection(long_values(numbers, columns), probs, column_stats(numbers, columns))
         return {c: got.get(c) for c in columns}
     row = df.agg(*[percentile_column(c, probs, exact).alias(f"q{i}") for i, c in enumerate(columns)]).first()
     return {c: row[f"q{i}"] for i, c in enumerate(columns)}
@@ -185,7 +199,7 @@ def group_quantiles(
     """`(grp, q array<double>)` of `value` inside each group (a class label), nulls left out."""
     cells = df.select(quoted(group).cast("string").alias("grp"), quoted(value).cast("double").alias("value"))
     cells = cells.filter(F.col("grp").isNotNull() & F.col("value").isNotNull())
-    small = is_small(cells) if small is None else small
+    small = is_small(cells, PERCENTILE_BYTES) if small is None else small
     if exact and not small:
         got = quantiles_by_selection(cells, probs)
         return df.sparkSession.createDataFrame(sorted(got.items()), "grp string, q array<double>")

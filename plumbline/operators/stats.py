@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.expr import quoted, range_label
 from plumbline.functions.typing import normalised, numeric_columns, type_groups
-from plumbline.operators.quantiles import column_quantiles, percentile_column
+from plumbline.operators.quantiles import PERCENTILE_BYTES, column_quantiles, percentile_column
 from plumbline.session import bounded_broadcast, is_small
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -75,7 +75,7 @@ def _summary(df: DataFrame, columns: Sequence[str], exact: bool, probs: Sequence
         fields = ["column string", "count long", "mean double", "std double", "min double"]
         return df.sparkSession.createDataFrame([], ", ".join(fields + [f"{n} double" for n in names] + ["max double"]))
     # one grouping-free aggregate; percentiles ride along when their buffers are small
-    inline_q = not exact or is_small(df.select(*map(quoted, columns)))
+    inline_q = not exact or is_small(df.select(*map(quoted, columns)), PERCENTILE_BYTES)
     exprs: list[Column] = []
     for i, c in enumerate(columns):
         x = quoted(c).cast("double")

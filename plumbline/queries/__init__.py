@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profile",)
+MODULES = ("profile", "quality", "relations")
 
 
 def load_all() -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -60,7 +62,7 @@ def estimated_bytes(df: DataFrame) -> float:
     """Optimizer's size estimate of `df`; no job runs.  Unknown counts as infinite."""
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return float(stats.sizeInBytes().toString())
+        return float(str(stats.sizeInBytes()))
     except Exception:
         return float("inf")
 
@@ -93,3 +95,22 @@ def bounded_broadcast(df: DataFrame, limit: int = 100_000) -> DataFrame:
     if len(rows) > limit:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+@contextmanager
+def several_passes(df: DataFrame) -> Iterator[DataFrame]:
+    """A frame for a few eager passes.
+
+    A small input often sits in one file split, which one core would read again and again:
+    it is spread over the cores and kept in memory until the passes are done.  Larger inputs
+    have splits enough and are scanned as they are.
+    """
+    spark = df.sparkSession
+    if not is_small(df):
+        yield df
+        return
+    spread = df.repartition(spark.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield spread
+    finally:
+        spread.unpersist()
