@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profile", "quality", "relations")
+MODULES = ("profile", "quality", "relations", "evaluation", "catalog", "neighbors")
 
 
 def load_all() -> None:
