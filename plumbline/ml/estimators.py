@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 from math import exp, log
 
 from pyspark import StorageLevel
@@ -45,9 +44,12 @@ class Shape:
     label_std: float = 1.0  # population deviation of a regression label
 
 
-def _calibrated(scorer, raw: str, seed: int) -> Pipeline:
-    """Probabilities for a margin model: a logistic fit on its raw scores."""
-    return Pipeline(stages=[scorer, LogisticRegression(featuresCol=raw, labelCol="label", maxIter=100)])
+CALIBRATION_STEPS = 25
+
+
+def _calibration(raw: str, shape: Shape) -> LogisticRegression:
+    """Probabilities for a margin model: a lightly penalised logistic fit on its raw scores."""
+    return LogisticRegression(featuresCol=raw, labelCol="label", maxIter=CALIBRATION_STEPS, regParam=1.0 / max(shape.rows, 1))
 
 
 def logistic_regression(df: DataFrame, shape: Shape, C: float = 1.0, max_iter: int = 1000) -> PipelineModel:
@@ -56,23 +58,29 @@ def logistic_regression(df: DataFrame, shape: Shape, C: float = 1.0, max_iter: i
 
 
 def _svc(features: str, shape: Shape, C: float, max_iter: int):
-    svc = LinearSVC(featuresCol=features, regParam=1.0 / (C * max(shape.rows, 1)), maxIter=max_iter, standardization=False)
+    svc = LinearSVC(featuresCol=features, regParam=1.0 / (C * max(shape.rows, 1)), maxIter=max_iter, tol=1e-4, standardization=False)
     if shape.classes > 2:
         return OneVsRest(classifier=svc, featuresCol=features, predictionCol="margin_prediction", rawPredictionCol="margin")
     return svc.setPredictionCol("margin_prediction").setRawPredictionCol("margin")
 
 
-def linear_svm(df: DataFrame, shape: Shape, C: float = 1.0, max_iter: int = 100) -> PipelineModel:
-    return _calibrated(_svc("features", shape, C, max_iter), "margin", SEED).fit(df)
+def linear_svm(df: DataFrame, shape: Shape, C: float = 1.0, max_iter: int = 50) -> PipelineModel:
+    return Pipeline(stages=[_svc("features", shape, C, max_iter), _calibration("margin", shape)]).fit(df)
 
 
-def rbf_svm(df: DataFrame, shape: Shape, C: float = 1.0, gamma: float | None = None, size: int = 128, max_iter: int = 100) -> PipelineModel:
+def rbf_svm(df: DataFrame, shape: Shape, C: float = 1.0, gamma: float | None = None, size: int = 128, max_iter: int = 50) -> PipelineModel:
     """Approximate kernel machine: random Fourier features, then a linear margin."""
     kernel = RandomFourierFeatures(
         inputCol="features", outputCol="kernel_features", size=size, gamma=float(gamma or 1.0 / max(shape.width, 1)), width=shape.width, seed=SEED
     )
     margin = _svc("kernel_features", shape, C, max_iter)
-    return Pipeline(stages=[kernel, margin, LogisticRegression(featuresCol="margin", labelCol="label", maxIter=100)]).fit(df)
+    # the projection runs once, not once per optimizer step
+    projected = kernel.transform(df).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = Pipeline(stages=[margin, _calibration("margin", shape)]).fit(projected)
+    finally:
+        projected.unpersist()
+    return PipelineModel([kernel, *fitted.stages])
 
 
 def decision_tree(df: DataFrame, shape: Shape, max_depth: int = 10, min_leaf: int = 1) -> PipelineModel:
@@ -94,7 +102,7 @@ def gradient_boosting(
     if shape.classes == 2:
         return Pipeline(stages=[GBTClassifier(**options)]).fit(df)
     each = OneVsRest(classifier=GBTClassifier(**options), predictionCol="margin_prediction", rawPredictionCol="margin")
-    return _calibrated(each, "margin", SEED).fit(df)
+    return Pipeline(stages=[each, _calibration("margin", shape)]).fit(df)
 
 
 def mlp(df: DataFrame, shape: Shape, hidden: tuple[int, ...] = (64, 32), max_iter: int = 320) -> PipelineModel:
@@ -217,7 +225,3 @@ def fitters(task: str) -> dict[str, Fitter]:
 def shape_of(prepared: DataFrame, width: int, classes: int) -> Shape:
     row = prepared.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("s")).first()
     return Shape(row["n"], width, classes, row["s"] or 1.0)
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -72,6 +72,18 @@ def _apply(prep: PipelineModel, df: DataFrame) -> DataFrame:
     return prep.transform(df).select("row_key", "features", "label")
 
 
+ROWS_PER_TASK = 20_000
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """Keep a prepared frame for the optimizer's many passes.
+
+    Small frames are packed into few partitions, since every step of a fit is a job.
+    """
+    rows = df.count()
+    return df.coalesce(max(1, rows // ROWS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def score_frame(model: Model, prepared: DataFrame, task: str) -> DataFrame:
     """`(row_key, y_true, y_pred[, scores])` with class positions as text."""
     out = model.transform(prepared)
@@ -113,9 +125,9 @@ class Folds:
             train, test = placed.filter(F.col("fold") != f), placed.filter(F.col("fold") == f)
             prep = fit_preparation(train.drop("fold", "row_key", "label"), target, features)
             model = prep.model(train)
-            fitted = _apply(model, train).persist(StorageLevel.MEMORY_AND_DISK)
+            fitted = _held(_apply(model, train))
             shape = shape_of(fitted, len(prep.slots()), len(labels) if labels else 0)
-            parts.append((fitted, _apply(model, test), shape))
+            parts.append((fitted, _held(_apply(model, test)), shape))
         return cls(parts)
 
     def scores(self, fit: Fitter, task: str, params: dict) -> list[float]:
@@ -127,8 +139,9 @@ class Folds:
         return out
 
     def release(self) -> None:
-        for train, _, _ in self.parts:
+        for train, test, _ in self.parts:
             train.unpersist()
+            test.unpersist()
 
 
 def draw(space: dict, rng: np.random.Generator) -> dict:
@@ -198,8 +211,7 @@ def train_models(
     train, test = parts.filter(~F.col("is_test")), parts.filter(F.col("is_test"))
     prep = fit_preparation(train.drop("is_test", "row_key", "label"), target, usable)
     prepare = prep.model(train)
-    fitted = _apply(prepare, train).persist(StorageLevel.MEMORY_AND_DISK)
-    held = _apply(prepare, test).persist(StorageLevel.MEMORY_AND_DISK)
+    fitted, held = _held(_apply(prepare, train)), _held(_apply(prepare, test))
     shape = shape_of(fitted, len(prep.slots()), len(labels) if labels else 0)
     splits = Folds.build(base, key, target, task, labels, folds, usable) if folds else None
     done = []
