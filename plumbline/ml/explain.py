@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.expr import quoted
 from plumbline.functions.typing import normalised, numeric_columns
+from plumbline.operators.registry import align_features
 from plumbline.operators.split import sample_rows
 from plumbline.sources.bundles import ModelBundle
 
@@ -92,6 +93,8 @@ def sampled_shapley(
     names = [f for f, _ in bundle.features]
     d = len(names)
     spark = instances.sparkSession
+    # feature columns a table lacks count as missing
+    instances, background = (align_features(t, [(k, dict(t.dtypes)[k]), *bundle.features]) for t, k in ((instances, key), (background, background_key)))
     chosen = sample_rows(instances, key, max_instances)
     # `permutations` background rows, one per permutation: a small table by construction
     drawn = sample_rows(background, background_key, permutations)
@@ -150,7 +153,8 @@ def local_surrogate(
     """
     names = [f for f, _ in bundle.features]
     types = dict(bundle.features)
-    background = normalised(background)
+    background = normalised(align_features(background, bundle.features))
+    instances = align_features(instances, [(key, dict(instances.dtypes)[key]), *bundle.features])
     numbers = [n for n in numeric_columns(background) if n in types]
     texts = [n for n in names if n not in numbers]
     stats = background.agg(

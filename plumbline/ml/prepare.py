@@ -84,16 +84,15 @@ class Preparation:
         inputs = [c + "_scaled" for c in self.numeric]
         encoded = [c for c, (_, levels) in self.texts.items() if levels]
         if encoded:
-            index = StringIndexerModel.from_arrays_of_labels(
-                [self.texts[c][1] for c in encoded],
-                inputCols=[c + "_text" for c in encoded],
-                outputCols=[c + "_index" for c in encoded],
-                handleInvalid="keep",
-            )
+            # one indexer per column: label lists of different length cannot share one
+            for c in encoded:
+                index = StringIndexerModel.from_labels(
+                    self.texts[c][1], inputCol=c + "_text", outputCol=c + "_index", handleInvalid="keep"
+                )
+                stages.append(index)
             # the dropped last slot is the bucket of unseen levels, which so encode as all zeros
             hot = OneHotEncoder(inputCols=[c + "_index" for c in encoded], outputCols=[c + "_hot" for c in encoded], dropLast=True)
-            sample = index.transform(stages[0].transform(df.limit(0)))
-            stages += [index, hot.fit(sample)]
+            stages.append(hot.fit(PipelineModel(stages).transform(df.limit(0))))
             inputs += [c + "_hot" for c in encoded]
         stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
         return PipelineModel(stages)

@@ -30,6 +30,7 @@ from plumbline.operators.stats import (
     unfold,
     value_frequencies,
 )
+from plumbline.session import several_passes, settled
 
 # Label of a missing category, and list sizes of the reports.
 MISSING_LABEL = "<missing>"
@@ -134,26 +135,28 @@ def semantic_types(df: DataFrame, exact: bool = True, limit: int | None = None)
 
 def column_catalog(df: DataFrame, key: str | Sequence[str], exact: bool = True) -> DataFrame:
     """Stored description of a table: dtype, nulls, distinct values, five samples, five statistics."""
-    stats = numeric_summary(df, exact=exact).select("column", "min", "max", "mean", "std", "median")
-    return (
-        group_of(df).select("column", "position", "dtype")
-        .join(F.broadcast(missing_counts(df).select("column", "missing")), "column")
-        .join(F.broadcast(distinct_counts(df, exact=exact)), "column")
-        .join(F.broadcast(sample_values(df, key)), "column")
-        .join(F.broadcast(stats), "column", "left")
-    )
+    with several_passes(df) as d:
+        stats = numeric_summary(d, exact=exact).select("column", "min", "max", "mean", "std", "median")
+        return settled(
+            group_of(d).select("column", "position", "dtype")
+            .join(F.broadcast(missing_counts(d).select("column", "missing")), "column")
+            .join(F.broadcast(distinct_counts(d, exact=exact)), "column")
+            .join(F.broadcast(sample_values(d, key)), "column")
+            .join(F.broadcast(stats), "column", "left")
+        )
 
 
 def column_profile(df: DataFrame, key: str | Sequence[str], exact: bool = True) -> DataFrame:
     """Everything known about each column, one row per column (all joins are column-sized)."""
-    summary = numeric_summary(df, exact=exact).drop("count")
-    return (
-        group_of(df).select("column", "dtype")
-        .join(F.broadcast(missing_rates(df).select("column", "missing", "missing_rate")), "column")
-        .join(F.broadcast(semantic_types(df, exact)), "column")
-        .join(F.broadcast(sample_values(df, key)), "column")
-        .join(F.broadcast(summary), "column", "left")
-    )
+    with several_passes(df) as d:
+        summary = numeric_summary(d, exact=exact).drop("count")
+        return settled(
+            group_of(d).select("column", "dtype")
+            .join(F.broadcast(missing_rates(d).select("column", "missing", "missing_rate")), "column")
+            .join(F.broadcast(semantic_types(d, exact)), "column")
+            .join(F.broadcast(sample_values(d, key)), "column")
+            .join(F.broadcast(summary), "column", "left")
+        )
 
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP_VALUES) -> DataFrame:

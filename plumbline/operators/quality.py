@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.expr import at_least_one, clamp, quoted
 from plumbline.functions.typing import columns_of, normalised, numeric_columns
-from plumbline.operators.quantiles import column_quantiles
+from plumbline.operators.quantiles import column_quantiles, order_stats
 from plumbline.operators.stats import duplicate_rows, missing_counts, unfold, value_frequencies
-from plumbline.session import stage
+from plumbline.session import settled, several_passes, stage
 
 # Penalties of the quality score, and the fence rule.
 MAX_MISSING_PENALTY = 25.0
@@ -25,16 +25,11 @@ EMPTY_MODE = "unknown"
 
 def iqr_fences(df: DataFrame, columns: Sequence[str], exact: bool = True) -> dict[str, tuple[float, float]]:
     """Fences per column; columns with fewer than five values or no spread have none."""
-    columns = list(columns)
-    if not columns:
-        return {}
-    counts = df.agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    quartiles = column_quantiles(df, columns, (0.25, 0.75), exact)
     fences = {}
-    for i, c in enumerate(columns):
-        if counts[f"n{i}"] < MIN_FENCE_ROWS:
+    for c, (n, quartiles) in order_stats(df, columns, (0.25, 0.75), exact).items():
+        if n < MIN_FENCE_ROWS:
             continue
-        q1, q3 = quartiles[c]
+        q1, q3 = quartiles
         spread = q3 - q1
         if spread != 0:
             fences[c] = (q1 - FENCE_FACTOR * spread, q3 + FENCE_FACTOR * spread)
@@ -66,6 +61,11 @@ def outlier_counts(
 
 def quality_score(df: DataFrame, exact: bool = True) -> DataFrame:
     """One row: size, missing cells, duplicates, outliers, score and advice codes."""
+    with several_passes(df) as d:
+        return settled(_quality_row(d, exact))
+
+
+def _quality_row(df: DataFrame, exact: bool) -> DataFrame:
     one = F.lit(1).alias("one")
     missing = missing_counts(df).agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_cells")).select("*", one)
     outside = outlier_counts(df, keep_zero=False, exact=exact).agg(F.coalesce(F.sum("outliers"), F.lit(0)).alias("outlier_cells"))

@@ -178,19 +178,32 @@ def quantiles_by_selection(
     return {g: [between(values[(g, low)], values[(g, high)], w) for low, high, w in spots] for g, spots in plan.items()}
 
 
-def column_quantiles(
+def order_stats(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], exact: bool = True, small: bool | None = None
-) -> dict[str, list[float] | None]:
-    """Quantiles per column, on the driver (a few numbers per column); None where a column is all null."""
+) -> dict[str, tuple[int, list[float] | None]]:
+    """`(values, quantiles)` per column, on the driver (a few numbers per column); None where a column is all null."""
+    columns = list(columns)
     if not columns:
         return {}
-    small = is_small(df.select(*map(quoted, columns)), PERCENTILE_BYTES) if small is None else small
+    numbers = df.select(*[quoted(c).cast("double").alias(c) for c in columns])
+    small = is_small(numbers, PERCENTILE_BYTES) if small is None else small
     if exact and not small:
-        with several_passes(df.select(*[quoted(c).cast("double").alias(c) for c in columns])) as numbers:
-            got = quantiles_by_selection(long_values(numbers, columns), probs, column_stats(numbers, columns))
-        return {c: got.get(c) for c in columns}
-    row = df.agg(*[percentile_column(c, probs, exact).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[f"q{i}"] for i, c in enumerate(columns)}
+        with several_passes(numbers) as d:
+            stats = column_stats(d, columns)
+            got = quantiles_by_selection(long_values(d, columns), probs, stats)
+        return {c: (stats[c][0] + stats[c][3] + stats[c][4], got.get(c)) for c in columns}
+    exprs = []
+    for i, c in enumerate(columns):
+        exprs += [F.count(quoted(c)).alias(f"n{i}"), percentile_column(c, probs, exact).alias(f"q{i}")]
+    row = numbers.agg(*exprs).first()
+    return {c: (row[f"n{i}"], row[f"q{i}"]) for i, c in enumerate(columns)}
+
+
+def column_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], exact: bool = True, small: bool | None = None
+) -> dict[str, list[float] | None]:
+    """Quantiles per column, on the driver; None where a column is all null."""
+    return {c: q for c, (_, q) in order_stats(df, columns, probs, exact, small).items()}
 
 
 def group_quantiles(

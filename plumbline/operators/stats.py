@@ -16,11 +16,12 @@ from pyspark.sql import types as T
 
 from plumbline.functions.expr import quoted, range_label
 from plumbline.functions.typing import normalised, numeric_columns, type_groups
-from plumbline.operators.quantiles import PERCENTILE_BYTES, column_quantiles, percentile_column
-from plumbline.session import bounded_broadcast, is_small
+from plumbline.operators.quantiles import PERCENTILE_BYTES, column_stats, long_values, percentile_column, quantiles_by_selection
+from plumbline.session import bounded_broadcast, is_small, several_passes
 
 QUARTILES = (0.25, 0.5, 0.75)
-WIDE_PAIRS = 16
+# beyond this many pairs one fused aggregate no longer compiles well, and matrix products win
+FUSED_PAIRS = 15
 
 
 def unfold(row: DataFrame, parts: Sequence[Sequence[Column]]) -> DataFrame:
@@ -28,16 +29,6 @@ def unfold(row: DataFrame, parts: Sequence[Sequence[Column]]) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(*p) for p in parts])))
 
 
-def double_literal(v: float | None) -> Column:
-    return F.lit(v).cast("double")
-
-
-def with_literals(df: DataFrame, table: dict[str, Sequence], schema: str, on: str = "column") -> DataFrame:
-    """Join a per-column table of a few numbers; its size is the number of columns."""
-    extra = df.sparkSession.createDataFrame([(k, *v) for k, v in table.items()], schema)
-    return df.join(F.broadcast(extra), on)
-
-
 def missing_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """`(column, position, missing, rows)` from a single aggregate."""
     df = normalised(df)
@@ -74,29 +65,25 @@ def _summary(df: DataFrame, columns: Sequence[str], exact: bool, probs: Sequence
     if not columns:
         fields = ["column string", "count long", "mean double", "std double", "min double"]
         return df.sparkSession.createDataFrame([], ", ".join(fields + [f"{n} double" for n in names] + ["max double"]))
-    # one grouping-free aggregate; percentiles ride along when their buffers are small
-    inline_q = not exact or is_small(df.select(*map(quoted, columns)), PERCENTILE_BYTES)
-    exprs: list[Column] = []
-    for i, c in enumerate(columns):
-        x = quoted(c).cast("double")
-        exprs += [
-            F.count(x).alias(f"n{i}"),
-            F.avg(x).alias(f"m{i}"),
-            F.stddev_samp(x).alias(f"s{i}"),
-            F.min(x).alias(f"a{i}"),
-            F.max(x).alias(f"b{i}"),
+    x = {c: quoted(c).cast("double") for c in columns}
+    moments = [
+        (F.count(v).alias(f"n{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}"))
+        for i, v in enumerate(x.values())
+    ]
+    order = ("column", "count", "mean", "std", "min", *names, "max")
+    numbers = df.select(*[v.alias(c) for c, v in x.items()])
+    if exact and not is_small(numbers, PERCENTILE_BYTES):
+        with several_passes(numbers) as d:
+            row = d.agg(*[e for group in moments for e in group]).first()
+            got = quantiles_by_selection(long_values(d, columns), probs, column_stats(d, columns))
+        rows = [
+            (c, row[f"n{i}"], row[f"m{i}"], row[f"s{i}"], row[f"a{i}"], *got[c], row[f"b{i}"])
+            for i, c in enumerate(columns)
+            if row[f"n{i}"]
         ]
-        if inline_q:
-            exprs.append(percentile_column(c, probs, exact).alias(f"q{i}"))
-    row = df.agg(*exprs)
-    selected = {} if inline_q else column_quantiles(df, columns, probs, exact, small=False)
-
-    def q(i: int, c: str, j: int) -> Column:
-        if inline_q:
-            return F.col(f"q{i}").getItem(j)
-        values = selected[c]
-        return double_literal(values[j] if values else None)
-
+        return df.sparkSession.createDataFrame(rows, ", ".join(f"{k} {'string' if k == 'column' else 'long' if k == 'count' else 'double'}" for k in order))
+    # tiny inputs and sketches: percentiles ride along in the one aggregate
+    exprs = [e for i, group in enumerate(moments) for e in (*group, percentile_column(columns[i], probs, exact).alias(f"q{i}"))]
     parts = [
         (
             F.lit(c).alias("column"),
@@ -104,12 +91,12 @@ def _summary(df: DataFrame, columns: Sequence[str], exact: bool, probs: Sequence
             F.col(f"m{i}").alias("mean"),
             F.col(f"s{i}").alias("std"),
             F.col(f"a{i}").alias("min"),
-            *[q(i, c, j).alias(name) for j, name in enumerate(names)],
+            *[F.col(f"q{i}").getItem(j).alias(name) for j, name in enumerate(names)],
             F.col(f"b{i}").alias("max"),
         )
         for i, c in enumerate(columns)
     ]
-    return unfold(row, parts).filter(F.col("count") > 0)
+    return unfold(df.agg(*exprs), parts).filter(F.col("count") > 0)
 
 
 def moment_profile(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 15) -> DataFrame:
@@ -305,7 +292,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, again
         pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     if not pairs:
         return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, correlation double")
-    if len(pairs) <= WIDE_PAIRS * (WIDE_PAIRS - 1) // 2:
+    if len(pairs) <= FUSED_PAIRS:
         return _pair_aggregate(df, pairs)
     return _pair_matrix(df, columns if against is None else [*[a for a, _ in pairs], against], pairs)
 

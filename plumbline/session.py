@@ -97,6 +97,14 @@ def bounded_broadcast(df: DataFrame, limit: int = 100_000) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def reads_memory(df: DataFrame) -> bool:
+    """Whether the plan starts from a persisted frame."""
+    try:
+        return "InMemoryRelation" in df._jdf.queryExecution().withCachedData().toString()
+    except Exception:
+        return False
+
+
 @contextmanager
 def several_passes(df: DataFrame) -> Iterator[DataFrame]:
     """A frame for a few eager passes.
@@ -106,7 +114,7 @@ def several_passes(df: DataFrame) -> Iterator[DataFrame]:
     have splits enough and are scanned as they are.
     """
     spark = df.sparkSession
-    if not is_small(df):
+    if not is_small(df) or reads_memory(df):
         yield df
         return
     spread = df.repartition(spark.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
@@ -114,3 +122,8 @@ def several_passes(df: DataFrame) -> Iterator[DataFrame]:
         yield spread
     finally:
         spread.unpersist()
+
+
+def settled(table: DataFrame) -> DataFrame:
+    """A finished copy of a column-sized report table, so that showing it again scans nothing."""
+    return table.sparkSession.createDataFrame(table.collect(), table.schema)
