@@ -114,7 +114,7 @@ def missing_names(wanted: DataFrame, available: DataFrame) -> DataFrame:
 def replace_jobs(stored: DataFrame, synced: DataFrame, key: str = "job_id") -> DataFrame:
     """Stored rows of every job in `synced` give way to the synced rows (safe to repeat)."""
     kept = stored.join(synced.select(key).distinct(), key, "left_anti")
-    return kept.unionByName(synced)
+    return kept.select(*map(quoted, stored.columns)).unionByName(synced)
 
 
 def align_features(df: DataFrame, features: Sequence[tuple[str, str]]) -> DataFrame:
