@@ -20,6 +20,7 @@ from plumbline.ml.importance import feature_importance
 from plumbline.ml.prepare import Preparation, encode_label, fit_preparation, label_levels
 from plumbline.operators import evaluate as V
 from plumbline.operators.split import assign_folds, train_test_split
+from plumbline.session import stage
 
 # Limits of a run, and the search ranges per model family.
 MAX_MODELS = 5
@@ -73,6 +74,7 @@ def _apply(prep: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 ROWS_PER_TASK = 20_000
+KEPT_FOLD_ROWS = 2_000_000
 
 
 def _held(df: DataFrame) -> DataFrame:
@@ -113,9 +115,14 @@ def evaluate_model(scored: DataFrame, task: str, classes: int) -> dict:
 
 @dataclass
 class Folds:
-    """Fold parts prepared once and shared by all models; each is fitted on its own training rows."""
+    """Fold parts with their fitted preparation, shared by all models.
 
-    parts: list[tuple[DataFrame, DataFrame, Shape]]
+    Each fold's preparation is learned on its own training rows.  Prepared frames of small
+    inputs stay in memory for the whole run; a large fold is held only while one model fits,
+    so at most one is kept at a time.
+    """
+
+    parts: list[tuple[DataFrame, DataFrame, Shape, bool]]
 
     @classmethod
     def build(cls, df: DataFrame, key: str, target: str, task: str, labels, folds: int, features) -> Folds:
@@ -125,23 +132,30 @@ class Folds:
             train, test = placed.filter(F.col("fold") != f), placed.filter(F.col("fold") == f)
             prep = fit_preparation(train.drop("fold", "row_key", "label"), target, features)
             model = prep.model(train)
-            fitted = _held(_apply(model, train))
-            shape = shape_of(fitted, len(prep.slots()), len(labels) if labels else 0)
-            parts.append((fitted, _held(_apply(model, test)), shape))
+            ready, held_out = _apply(model, train), _apply(model, test)
+            shape = shape_of(ready, len(prep.slots()), len(labels) if labels else 0)
+            keep = shape.rows <= KEPT_FOLD_ROWS
+            if keep:
+                ready, held_out = _held(ready), _held(held_out)
+            parts.append((ready, held_out, shape, keep))
         return cls(parts)
 
     def scores(self, fit: Fitter, task: str, params: dict) -> list[float]:
         out = []
-        for f, (train, test, shape) in enumerate(self.parts):
-            scored = score_frame(fit(train, shape, **params), test, task).withColumn("fold", F.lit(f))
+        for f, (train, test, shape, kept) in enumerate(self.parts):
+            used = train if kept else train.persist(StorageLevel.MEMORY_AND_DISK)
+            scored = score_frame(fit(used, shape, **params), test, task).withColumn("fold", F.lit(f))
             row = V.fold_scores(scored, task).first()
             out.append(row["score"] if row else None)
+            if not kept:
+                used.unpersist()
         return out
 
     def release(self) -> None:
-        for train, test, _ in self.parts:
-            train.unpersist()
-            test.unpersist()
+        for train, test, _, kept in self.parts:
+            if kept:
+                train.unpersist()
+                test.unpersist()
 
 
 def draw(space: dict, rng: np.random.Generator) -> dict:
@@ -205,7 +219,8 @@ def train_models(
         raise ValueError(f"at most {MAX_MODELS} models per run")
     labels = label_levels(df, target) if task == "classification" else None
     usable = features or [c for c in [*numeric_columns(df), *columns_of(df, "categorical", "boolean")] if c not in (target, key)]
-    base = _ready(df.select(*map(quoted, dict.fromkeys([key, *usable, target]))), key, target, labels)
+    # dozens of passes follow: they read a kept copy, not the query behind `df`
+    base = stage(_ready(df.select(*map(quoted, dict.fromkeys([key, *usable, target]))), key, target, labels), "training")
     stratum = target if labels and len(labels) < 20 else None
     parts = train_test_split(base, key, stratum, test_size)
     train, test = parts.filter(~F.col("is_test")), parts.filter(F.col("is_test"))
@@ -234,6 +249,7 @@ def train_models(
         done.append(result)
     if splits:
         splits.release()
+    base.unpersist()
     return TrainingRun(task, target, labels, prep, prepare, done, held)
 
 

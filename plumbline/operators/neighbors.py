@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.expr import quoted
 from plumbline.operators.split import sample_rows
+from plumbline.session import stage
 
 BLOCK_ROWS = 4096
 SLACK = 1e-9
@@ -59,7 +60,8 @@ def knn_join(
         return s.sparkSession.createDataFrame([], f"query_id {id_type}, rank int, neighbor_id {id_type}, distance double")
     # at most 256 pivots reach the driver
     pivots = np.array([r["v"] for r in sample_rows(s, "id", _pivot_count(rows)).select("v").collect()], dtype=float)
-    sa, qa = _assign(s, pivots), _assign(q, pivots)
+    # read by several passes: kept in memory when small, written to the shared folder when not
+    sa, qa = stage(_assign(s, pivots), "knn-base"), stage(_assign(q, pivots), "knn-queries")
     # per base cell the `need` smallest reaches; per query cell the largest: bounded by pivots x k
     closest = sa.select("cell", "reach").withColumn("r", F.row_number().over(W.partitionBy("cell").orderBy("reach"))).filter(F.col("r") <= need)
     near = closest.groupBy("cell").agg(F.sort_array(F.collect_list("reach")).alias("near")).collect()

@@ -15,6 +15,7 @@ from plumbline.operators.quantiles import select_ranks
 from plumbline.session import bounded_broadcast, estimated_bytes
 
 MAX_BUCKETS = 1024
+LITERAL_STRATA = 64
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -146,9 +147,15 @@ def hash_thresholds(
 
 def attach_thresholds(df: DataFrame, key: str | Sequence[str], strata: str | None, cuts: DataFrame, out: str) -> DataFrame:
     """Adds `out`: how many of the stratum's thresholds lie strictly before the row's hash."""
-    per = bounded_broadcast(cuts.groupBy("stratum").agg(F.array_sort(F.collect_list("threshold")).alias("cuts")))
+    per = cuts.groupBy("stratum").agg(F.array_sort(F.collect_list("threshold")).alias("cuts"))
     stratum = F.lit("") if strata is None else F.coalesce(quoted(strata).cast("string"), F.lit(""))
-    tagged = df.withColumn("stratum", stratum).withColumn("__h", key_hash(key))
-    joined = tagged.join(per, "stratum", "left")
-    cut = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("__h"))), F.lit(0))
-    return joined.withColumn(out, cut).drop("stratum", "cuts", "__h")
+    found = per.limit(LITERAL_STRATA + 1).collect()
+    position = lambda cuts: F.coalesce(F.size(F.filter(cuts, lambda c: c < key_hash(key))), F.lit(0))
+    if len(found) <= LITERAL_STRATA:
+        # a handful of hashes per class: literals in a projection, no join at all
+        at = F.lit(0)
+        for r in found:
+            at = F.when(stratum == r["stratum"], position(F.array(*[F.lit(c) for c in r["cuts"]]))).otherwise(at)
+        return df.withColumn(out, at)
+    joined = df.withColumn("__stratum", stratum).join(bounded_broadcast(per.withColumnRenamed("stratum", "__stratum")), "__stratum", "left")
+    return joined.withColumn(out, position(F.col("cuts"))).drop("__stratum", "cuts")

@@ -24,7 +24,7 @@ JOBS_SQL = (
 )
 _METRIC = "nullif(l_discount, 0)"
 MODELS_SQL = (
-    "numbered AS (SELECT l_orderkey * 1000000 + l_partkey * 100 + l_linenumber AS model_id, l_orderkey AS job_id, "
+    "numbered AS (SELECT ((l_orderkey * 1000000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber AS model_id, l_orderkey AS job_id, "
     "CASE l_returnflag WHEN 'A' THEN 'Forest' WHEN 'N' THEN 'Linear' ELSE 'Boosting' END AS model_name, "
     "CASE WHEN l_linestatus = 'O' THEN 'classification' ELSE 'regression' END AS task_type, l_quantity AS training_time, l_linenumber = 1 AS is_deployed, "
     f"{_METRIC} AS accuracy, CASE WHEN l_tax > 0.04 THEN l_tax END AS r2_score, l_tax + 0 AS map_r2, l_discount + 0 AS map_accuracy, l_suppkey, "
@@ -59,7 +59,7 @@ def jobs(spark, folder):
 def models(spark, folder):
     li = read(spark, folder, "lineitem")
     return li.select(
-        (F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("model_id"),
+        (((F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("model_id"),
         F.col("l_orderkey").alias("job_id"),
         F.when(F.col("l_returnflag") == "A", "Forest").when(F.col("l_returnflag") == "N", "Linear").otherwise("Boosting").alias("model_name"),
         F.lit("tabular").alias("model_type"),
@@ -93,7 +93,7 @@ def metric_catalog(spark, folder):
 @query(
     "metric_comparison",
     f"WITH {MODELS_SQL}, l AS (SELECT model_name, 'accuracy' AS metric, m_accuracy AS v FROM models UNION ALL SELECT model_name, 'r2_score', m_r2 FROM models "
-    "UNION ALL SELECT model_name, 'depth', (model_id % 100)::DOUBLE FROM models) SELECT metric, max(v) FILTER (model_name = 'Forest') AS \"Forest\", "
+    "UNION ALL SELECT model_name, 'depth', (model_id % 10)::DOUBLE FROM models) SELECT metric, max(v) FILTER (model_name = 'Forest') AS \"Forest\", "
     "max(v) FILTER (model_name = 'Linear') AS \"Linear\", coalesce(max(v) FILTER (model_name = 'Absent'), 0.0)::DOUBLE AS \"Absent\" FROM l GROUP BY 1",
 )
 def metric_comparison(spark, folder):
