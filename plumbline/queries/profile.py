@@ -8,11 +8,9 @@ from plumbline.operators import profile as P
 from plumbline.operators import stats as S
 from plumbline.queries.base import (
     GAPPY_SQL,
-    LABELLED_SQL,
     LINE_KEY,
     LINE_NUMERIC,
     LINEITEM,
-    ORDERS,
     gappy_lines,
     labelled_documents,
     per_column,
