@@ -10,8 +10,6 @@ import __spark_entry__ as entry
 FOLDER = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-# the fits and the heaviest reports are covered by their own tests
-CHEAP = [q for q in sorted(entry.oracle_sql()) if q not in {"column_catalog"}]
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +26,7 @@ def _plain(v):
     return float(v) if type(v).__name__ == "Decimal" else v
 
 
-@pytest.mark.parametrize("name", CHEAP)
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, db, name):
     df = entry.queries()[name](spark, FOLDER)
     cursor = db.execute(entry.oracle_sql()[name])
