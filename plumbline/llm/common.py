@@ -64,15 +64,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared checkpoint folder and read again: it cuts the lineage and outlives executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.staged_at = path
+    return kept
 
 
-def forget(spark: SparkSession, frames: Iterable[DataFrame]) -> None:
+def forget(*frames: DataFrame) -> None:
     """Delete the files of staged frames that nothing reads any more."""
     for frame in frames:
-        for file in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame.staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_rows(batches: Iterable, *columns: str):

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import sharding
+from pyspark.sql import functions as F
+
+from plumbline.llm import sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +51,9 @@ SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {sharding.slot_sql("doc
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_table(table(spark, folder, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
+
+
+@query("op4_simhash_multi_index")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
