@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, sharding, simhash
+from plumbline.llm import decontaminate, mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,27 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
+
+
+#: The mix: weights of domains, of languages in a domain, of sources in a language; nodes not named weigh 1.
+MIX = {("web",): 5.0, ("books",): 3.0, ("news",): 2.0, ("web", "en"): 4.0, ("web", "de"): 2.0, ("books", "en"): 2.0, ("news", "fr"): 3.0, ("web", "en", "src0"): 4.0}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.75, 2, "mix-1"
+
+
+def domain_of_source():
+    """The domain of a source, by the number in its name."""
+    number = F.regexp_extract(F.coalesce(F.col("source"), F.lit("")), r"^src([0-9]{1,9})$", 1)
+    return F.when(number == "", F.lit("other")).otherwise(F.element_at(F.array(F.lit("web"), F.lit("books"), F.lit("news")), (number.cast("int") % 3 + 1)))
+
+
+MIX_SQL = f"""WITH rows AS MATERIALIZED (SELECT doc_id, domain, lang, source, n_tokens FROM (SELECT doc_id, coalesce(lang, '~') AS lang, coalesce(source, '~') AS source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens, regexp_extract(coalesce(source, ''), '^src([0-9]{{1,9}})$', 1) AS number,
+    CASE WHEN number = '' THEN 'other' ELSE ['web', 'books', 'news'][number::BIGINT % 3 + 1] END AS domain FROM documents)),
+{mixing.mix_sql("rows", MIX, MIX_SHARE, MIX_EPOCHS, MIX_SEED)}
+SELECT doc_id, domain, lang, source, n_tokens, budget, copies::BIGINT AS copies FROM mixed"""
+
+
+@query("op7_hierarchical_budgets", MIX_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    rows, cut = mixing.mixed(table(spark, folder, "documents"), MIX, MIX_SHARE, MIX_EPOCHS, MIX_SEED, domain=domain_of_source())
+    return mixing.copies(rows, cut, MIX_SEED).select("doc_id", "domain", "lang", "source", "n_tokens", "budget", "copies")
