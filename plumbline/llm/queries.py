@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, mixing, sharding, simhash
+from plumbline.llm import decontaminate, language, mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,8 @@ SELECT doc_id, domain, lang, source, n_tokens, budget, copies::BIGINT AS copies
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     rows, cut = mixing.mixed(table(spark, folder, "documents"), MIX, MIX_SHARE, MIX_EPOCHS, MIX_SEED, domain=domain_of_source())
     return mixing.copies(rows, cut, MIX_SEED).select("doc_id", "domain", "lang", "source", "n_tokens", "budget", "copies")
+
+
+@query("op9_language_families")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identified(table(spark, folder, "documents"))
