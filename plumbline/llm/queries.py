@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language, mixing, sharding, simhash
+from plumbline.llm import decontaminate, language, mixing, secret_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_language_families")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return language.identified(table(spark, folder, "documents"))
+
+
+@query("op5_secret_entropy_scan", secret_scan.secrets_sql("documents"))
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secret_table(table(spark, folder, "documents"))
