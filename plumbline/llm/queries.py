@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language, mixing, secret_scan, sharding, simhash
+from plumbline.llm import decontaminate, language, mixing, quality_rules, secret_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_secret_entropy_scan", secret_scan.secrets_sql("documents"))
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.secret_table(table(spark, folder, "documents"))
+
+
+@query("op6_weak_supervision_rules", quality_rules.rules_sql("documents"))
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality_rules.rated(table(spark, folder, "documents"))
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select(*names, (F.round("posterior", 4) + 0.0).alias("posterior"))
