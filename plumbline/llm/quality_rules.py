@@ -1,16 +1,18 @@
 """Quality rules combined by weak supervision.
 
-Each rule reads a text's counts and votes good (1), bad (-1) or abstains (0).  The rules' accuracies are unknown, and so
-is the share of good texts; expectation-maximisation estimates both from the votes alone: given accuracies, every
-pattern of votes has a posterior probability of being good; given posteriors, a rule's accuracy is how often its votes
-agree with them.  A text is kept if its posterior reaches a threshold, so one doubtful rule no longer decides alone.
+Each rule reads a text's counts and votes good (1), bad (-1) or abstains (0).  The rules' accuracies are unknown, on
+good texts as well as on bad ones, and so is the share of good texts; expectation-maximisation estimates them from the
+votes alone: given accuracies, every pattern of votes has a posterior probability of being good; given posteriors, a
+rule's two accuracies are how often it votes good on good texts and bad on bad ones.  A rule that calls nearly
+everything good thus says little by a good vote and much by a bad one.  A text is kept if its posterior reaches a
+threshold, so one doubtful rule no longer decides alone.
 
 The counts are one projection with built-in functions.  The fit runs over the table of vote patterns, which covers all
 rows and has at most 3 ** rules of them whatever the input; each round is one small aggregate over it, and one row of
 sums comes back.  The rest is a projection again.
 
 Nulls, ties and the like: a null text has no words, fails the base rule and is not kept; a rule that never votes keeps
-its first accuracy; accuracies stay within ACCURACY so that no rule is trusted blindly or turned round; repeated rows
+its first accuracies; accuracies stay within bounds so that no rule is trusted blindly or turned round; repeated rows
 count as often as they occur; an empty table gives an empty result; other columns are left alone.
 """
 
@@ -46,13 +48,16 @@ RULES = (
     Rule("capitals", "10 * n_upper > 3 * word_chars", "10 * n_upper <= word_chars"),
     Rule("shouting", "5 * n_exclaim > n_words", "50 * n_exclaim <= n_words"),
     Rule("digits", "10 * n_digits > 3 * word_chars", "10 * n_digits <= word_chars"),
+    Rule("punctuation", "100 * n_punctuation > 12 * word_chars", "100 * n_punctuation <= 7 * word_chars"),
+    Rule("letters", "100 * (n_punctuation + n_digits) > 18 * word_chars", "100 * (n_punctuation + n_digits) <= 10 * word_chars"),
 )
 BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
 ROUNDS = 25
-#: Where the fit begins, and the bounds that it keeps.
-FIRST_ACCURACY, FIRST_SHARE = 0.8, 0.8
-ACCURACY, SHARE = (0.55, 0.99), (0.05, 0.95)
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclaim", "n_digits")
+#: Where the fit begins: the share of good texts, a rule's accuracy on good texts and on bad ones.
+FIRST = {"share": 0.85, "good": 0.95, "bad": 0.3}
+BOUNDS = {"share": (0.05, 0.99), "good": (0.5, 0.999), "bad": (0.02, 0.98)}
+#: ASCII characters that are neither letters, digits, white space nor control characters.
+PUNCTUATION = r"\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E"
 
 
 def _left(text: Column, other: str) -> Column:
@@ -101,8 +106,9 @@ def counted(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         _left(text, "[^A-Z]+").alias("n_upper"),
         _left(text, "[^!]+").alias("n_exclaim"),
         _left(text, "[^0-9]+").alias("n_digits"),
+        _left(text, f"[^{PUNCTUATION}]+").alias("n_punctuation"),
     )
-    return narrow.select(key, "_w.*", "_l.*", "n_symbols", "n_upper", "n_exclaim", "n_digits")
+    return narrow.select(key, "_w.*", "_l.*", "n_symbols", "n_upper", "n_exclaim", "n_digits", "n_punctuation")
 
 
 def votes(counts: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -110,37 +116,50 @@ def votes(counts: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     return counts.select("*", *[F.when(F.expr(r.bad), -1).when(F.expr(r.good), 1).otherwise(0).alias(f"v_{r.name}") for r in rules])
 
 
-def log_odds(share: float, accuracies: Sequence[float], rules: Sequence[Rule] = RULES) -> Column:
-    """The log odds that a row with these votes is good."""
-    total = F.log(F.lit(share) / F.lit(1.0 - share))
-    for rule, a in zip(rules, accuracies):
-        total = total + F.col(f"v_{rule.name}") * F.log(F.lit(a) / F.lit(1.0 - a))
-    return total
+@dataclass
+class Fit:
+    """The share of good texts, and each rule's accuracy on good and on bad ones."""
 
+    share: float
+    good: list[float]
+    bad: list[float]
 
-def _held(value: float | None, bounds: tuple[float, float], otherwise: float) -> float:
-    return otherwise if value is None else min(max(value, bounds[0]), bounds[1])
+    def log_odds(self, rules: Sequence[Rule] = RULES) -> Column:
+        """The log odds that a row with these votes is good."""
+        total = F.log(F.lit(self.share) / F.lit(1.0 - self.share))
+        for rule, g, b in zip(rules, self.good, self.bad):
+            vote = F.col(f"v_{rule.name}")
+            total = total + F.when(vote == 1, F.log(F.lit(g) / F.lit(1.0 - b))).when(vote == -1, F.log(F.lit(1.0 - g) / F.lit(b))).otherwise(F.lit(0.0))
+        return total
 
 
-def estimated(voted: DataFrame, rounds: int = ROUNDS, rules: Sequence[Rule] = RULES) -> tuple[float, list[float]]:
-    """The share of good rows, and each rule's accuracy, after `rounds` of expectation-maximisation."""
+def _held(value: float | None, kind: str, otherwise: float) -> float:
+    return otherwise if value is None else min(max(value, BOUNDS[kind][0]), BOUNDS[kind][1])
+
+
+def estimated(voted: DataFrame, rounds: int = ROUNDS, rules: Sequence[Rule] = RULES) -> Fit:
+    """The fit after `rounds` of expectation-maximisation."""
     names = [f"v_{r.name}" for r in rules]
     patterns = staged(voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "vote_patterns")
-    share, accuracies = FIRST_SHARE, [FIRST_ACCURACY] * len(rules)
+    fit = Fit(FIRST["share"], [FIRST["good"]] * len(rules), [FIRST["bad"]] * len(rules))
     for _ in range(rounds):
-        good = patterns.withColumn("p", 1.0 / (1.0 + F.exp(-log_odds(share, accuracies, rules))))
-        right = [(F.sum(F.when(F.col(v) == 1, F.col("n") * F.col("p")).when(F.col(v) == -1, F.col("n") * (1.0 - F.col("p")))) / F.sum(F.when(F.col(v) != 0, F.col("n")))).alias(v) for v in names]
-        sums = good.agg((F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("share"), *right).first()
-        share = _held(sums["share"], SHARE, share)
-        accuracies = [_held(sums[v], ACCURACY, a) for v, a in zip(names, accuracies)]
-    return share, accuracies
+        p = 1.0 / (1.0 + F.exp(-fit.log_odds(rules)))
+        weighed = patterns.select("*", (F.col("n") * p).alias("g"), (F.col("n") * (1.0 - p)).alias("b"))
+        sums = [(F.sum(F.when(F.col(v) == vote, F.col(w))) / F.sum(F.when(F.col(v) != 0, F.col(w)))).alias(f"{w}_{v}") for v in names for w, vote in (("g", 1), ("b", -1))]
+        got = weighed.agg((F.sum("g") / F.sum("n")).alias("share"), *sums).first()
+        fit = Fit(
+            _held(got["share"], "share", fit.share),
+            [_held(got[f"g_{v}"], "good", old) for v, old in zip(names, fit.good)],
+            [_held(got[f"b_{v}"], "bad", old) for v, old in zip(names, fit.bad)],
+        )
+    return fit
 
 
 def rated(docs: DataFrame, threshold: float = 0.5, key: str = "doc_id", rules: Sequence[Rule] = RULES) -> DataFrame:
     """(key, counts, votes, base_failed, posterior, kept) for each row.  The counts are staged, being read twice."""
     voted = staged(votes(counted(docs, key), rules), "votes")
-    share, accuracies = estimated(voted, rules=rules)
-    marked = voted.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("posterior", 1.0 / (1.0 + F.exp(-log_odds(share, accuracies, rules))))
+    fit = estimated(voted, rules=rules)
+    marked = voted.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("posterior", 1.0 / (1.0 + F.exp(-fit.log_odds(rules))))
     return marked.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
@@ -148,12 +167,15 @@ def rules_sql(source: str, threshold: float = 0.5, rounds: int = ROUNDS, rules:
     """rated() in DuckDB's SQL, with the rounds of the fit written out."""
     names = [f"v_{r.name}" for r in rules]
     cases = ", ".join(f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END AS v_{r.name}" for r in rules)
-    odds = "ln(share / (1 - share))" + "".join(f" + {v} * ln(a_{v} / (1 - a_{v}))" for v in names)
-    hold = lambda value, bounds, old: f"coalesce(least(greatest({value}, {bounds[0]}), {bounds[1]}), {old})"
-    right = ", ".join(hold(f"sum(CASE {v} WHEN 1 THEN n * p WHEN -1 THEN n * (1 - p) END) / sum(n) FILTER ({v} <> 0)", ACCURACY, f"any_value(a_{v})") + f" AS a_{v}" for v in names)
-    fits = [f"fit0 AS (SELECT {FIRST_SHARE}::DOUBLE AS share, " + ", ".join(f"{FIRST_ACCURACY}::DOUBLE AS a_{v}" for v in names) + ")"]
+    odds = "ln(share / (1 - share))" + "".join(f" + CASE {v} WHEN 1 THEN ln(g_{v} / (1 - b_{v})) WHEN -1 THEN ln((1 - g_{v}) / b_{v}) ELSE 0 END" for v in names)
+    hold = lambda value, kind, old: f"coalesce(least(greatest({value}, {BOUNDS[kind][0]}), {BOUNDS[kind][1]}), any_value({old}))"
+    # a ratio without any vote is null, and least() and greatest() would drop the null
+    ratio = lambda v, vote, w: f"(sum(CASE WHEN {v} = {vote} THEN {w} END) / sum({w}) FILTER ({v} <> 0))"
+    guarded = lambda v, vote, w, kind: f"CASE WHEN {ratio(v, vote, w)} IS NULL THEN any_value({w}_{v}) ELSE {hold(ratio(v, vote, w), kind, f'{w}_{v}')} END AS {w}_{v}"
+    right = ", ".join(guarded(v, vote, w, kind) for v in names for w, vote, kind in (("g", 1, "good"), ("b", -1, "bad")))
+    fits = [f"fit0 AS (SELECT {FIRST['share']}::DOUBLE AS share, " + ", ".join(f"{FIRST['good']}::DOUBLE AS g_{v}, {FIRST['bad']}::DOUBLE AS b_{v}" for v in names) + ")"]
     for i in range(rounds):
-        fits.append(f"fit{i + 1} AS MATERIALIZED (SELECT {hold('sum(n * p) / sum(n)', SHARE, 'any_value(share)')} AS share, {right} FROM (SELECT *, 1 / (1 + exp(-({odds}))) AS p FROM patterns, fit{i}))")
+        fits.append(f"fit{i + 1} AS MATERIALIZED (SELECT {hold('sum(g) / sum(n)', 'share', 'share')} AS share, {right} FROM (SELECT *, n / (1 + exp(-({odds}))) AS g, n - g AS b FROM patterns, fit{i}))")
     white = r"[\x20\x09-\x0D]"
     word = r"[^\x20\x09-\x0D]+"
     left = lambda other: f"length(regexp_replace(x, '{other}', '', 'g'))"
@@ -161,7 +183,7 @@ def rules_sql(source: str, threshold: float = 0.5, rounds: int = ROUNDS, rules:
 windows AS (SELECT doc_id, i, array_to_string(w[i : i + {WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM texts)),
 repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1) GROUP BY doc_id),
 counts AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(x, '{white}', '', 'g')) AS word_chars, {left(f'[^{SYMBOLS}]+')} AS n_symbols, len(ls)::BIGINT AS n_lines,
-    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, {left('[^A-Z]+')} AS n_upper, {left('[^!]+')} AS n_exclaim, {left('[^0-9]+')} AS n_digits
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, {left('[^A-Z]+')} AS n_upper, {left('[^!]+')} AS n_exclaim, {left('[^0-9]+')} AS n_digits, {left(f'[^{PUNCTUATION}]+')} AS n_punctuation
     FROM texts LEFT JOIN repeats USING (doc_id)),
 voted AS MATERIALIZED (SELECT *, {cases} FROM counts),
 patterns AS MATERIALIZED (SELECT {', '.join(names)}, count(*)::DOUBLE AS n FROM voted GROUP BY ALL),
