@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language, mixing, quality_rules, secret_scan, sharding, simhash
+from plumbline.llm import cotraining, decontaminate, language, mixing, quality_rules, secret_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = quality_rules.rated(table(spark, folder, "documents"))
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return found.select(*names, (F.round("posterior", 4) + 0.0).alias("posterior"))
+
+
+@query("op2_cotrained_quality")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return cotraining.scored(docs, cotraining.fit(docs, table(spark, folder, "labels")))
