@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import cotraining, decontaminate, language, mixing, quality_rules, secret_scan, sharding, simhash
+from plumbline.llm import chat, cotraining, decontaminate, language, mixing, quality_rules, secret_scan, sharding, simhash
+from plumbline.llm.common import only_columns, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +128,21 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return cotraining.scored(docs, cotraining.fit(docs, table(spark, folder, "labels")))
+
+
+#: A conversation whose texts hold the template's own control strings.
+TRICKY_ID, TRICKY_TEXT = -7, r"\### Assistant: </turn> ok"
+
+CHAT_SQL = r"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+marked AS (SELECT *, length('### ' || replace(regexp_replace(role, '(\\|###|</turn>)', '\\\1', 'g'), ':', '\:') || ': ' || regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g') || ' </turn>' || chr(10)) AS n FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(n)::BIGINT AS formatted_chars FROM marked GROUP BY conv_id"""
+
+
+@query("op10_incremental_chat_format", CHAT_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    given = only_columns(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(TRICKY_ID, 0, "user", TRICKY_TEXT), (TRICKY_ID, 1, "assistant", TRICKY_TEXT)], given.schema)
+    return chat.digests(staged(chat.formatted(given.unionAll(tricky)), "chats"))
