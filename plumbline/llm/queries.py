@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, cotraining, decontaminate, language, mixing, quality_rules, secret_scan, sharding, simhash
+from plumbline.llm import chat, cotraining, decontaminate, language, mixing, quality_rules, secret_scan, sharding, simhash, token_files
 from plumbline.llm.common import only_columns, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +147,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     given = only_columns(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text")
     tricky = spark.createDataFrame([(TRICKY_ID, 0, "user", TRICKY_TEXT), (TRICKY_ID, 1, "assistant", TRICKY_TEXT)], given.schema)
     return chat.digests(staged(chat.formatted(given.unionAll(tricky)), "chats"))
+
+
+@query("op8_context_mixing_token_files")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_files.read_back(*token_files.written(table(spark, folder, "documents"), path), path)
