@@ -267,16 +267,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool:
 def scored(docs: DataFrame, model: Model, threshold: float = 0.5, page_columns: tuple[str, ...] = PAGE_COLUMNS, key: str = "doc_id") -> DataFrame:
     """(key, text_score, page_score, score, kept) for each row."""
     names = _page_names(docs, page_columns)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, m = Buckets(), shared.value
+        buckets = Buckets()
         for batch in batches:
             if not batch.num_rows:
                 continue
             columns = [batch.column(n).to_pylist() for n in names]
             pages = [page_features(tuple(c[i] for c in columns), names) for i in range(batch.num_rows)]
-            a, b, both = m.scores([text_features(t, buckets) for t in batch.column("text").to_pylist()], pages)
+            a, b, both = model.scores([text_features(t, buckets) for t in batch.column("text").to_pylist()], pages)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(a), pa.array(b), pa.array(both), pa.array(both >= threshold)], [key, "text_score", "page_score", "score", "kept"])
 
     kind = docs.schema[key].dataType.simpleString()
