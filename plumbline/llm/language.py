@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import hash_number, only_columns, staged
+from plumbline.llm.common import HASH_BITS, hash_number, only_columns, staged
 
 UNKNOWN = "und"
 #: Families by ISO 639-1 code.
@@ -171,8 +171,13 @@ def held_out(key: str = "doc_id") -> Column:
 def fit(docs: DataFrame, per_language: int = 500, per_class: int = 600, families: Mapping[str, tuple[str, ...]] = FAMILIES, key: str = "doc_id") -> Model:
     """Learn from the rows of `docs` with a language; see the module's text for the bounds."""
     rows = only_columns(docs, key, "text", "lang").where(F.col(key).isNotNull() & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    turn = F.row_number().over(W.partitionBy("lang").orderBy(hash_number("lang", F.col(key)), key, "text"))
-    sample = rows.withColumn("turn", turn).where(F.col("turn") <= per_language)
+    sizes = {r["lang"]: r["count"] for r in docs.where(F.col(key).isNotNull() & F.col("lang").isNotNull()).groupBy("lang").count().collect()}
+    # about twice the rows wanted pass by their hash, so that few texts are shuffled to be ranked
+    passing = [F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * per_language / n))) for lang, n in sorted(sizes.items()) if n > 2 * per_language]
+    h = hash_number("lang", F.col(key))
+    likely = rows.where(h < F.coalesce(*passing, F.lit(1.0)) * float(1 << HASH_BITS))
+    turn = F.row_number().over(W.partitionBy("lang").orderBy(h, key, "text"))
+    sample = likely.withColumn("turn", turn).where(F.col("turn") <= per_language)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,11 +226,10 @@ def predicted(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     names = [c for c in (keep or docs.columns) if c.lower() not in ("lang_pred", "score")]
     fields = [docs.schema[c] for c in names]
     rows = only_columns(docs, *dict.fromkeys([*names, "text"]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = shared.value.predict(batch.column("text").to_pylist())
+            langs, scores = model.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
     out = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
