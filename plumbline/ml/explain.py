@@ -82,7 +82,7 @@ def sampled_shapley(
     permutations: int = 20,
     positive: int | None = None,
     seed: int = 42,
-    max_instances: int = 100,
+    max_instances: int | None = None,
 ) -> DataFrame:
     """`(key, feature, contribution, base_value)` by permutation sampling.
 
@@ -95,7 +95,7 @@ def sampled_shapley(
     spark = instances.sparkSession
     # feature columns a table lacks count as missing
     instances, background = (align_features(t, [(k, dict(t.dtypes)[k]), *bundle.features]) for t, k in ((instances, key), (background, background_key)))
-    chosen = sample_rows(instances, key, max_instances)
+    chosen = instances if max_instances is None else sample_rows(instances, key, max_instances)
     # `permutations` background rows, one per permutation: a small table by construction
     drawn = sample_rows(background, background_key, permutations)
     ground = drawn.select(
@@ -132,6 +132,35 @@ def sampled_shapley(
     return per.join(base, "__key").select(F.col("__key").alias(key), "feature", "contribution", "base_value")
 
 
+#: Cells of the unit interval by which a draw finds its level.
+CELLS = 1024
+
+
+def _level_bounds(background: DataFrame, column: str) -> DataFrame:
+    """`(level, low, high, cell)`: every level's part of the unit interval, commonest first, cut into cells.
+
+    One row for each level and each cell that it reaches into.
+    """
+    counts = background.filter(quoted(column).isNotNull()).select(quoted(column).cast("string").alias("level")).groupBy("level").count()
+    ahead = W.orderBy(F.col("count").desc(), "level")
+    shares = counts.select(
+        "level",
+        F.coalesce(F.sum("count").over(ahead.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.sum("count").over(ahead.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("upto"),
+        F.sum("count").over(W.partitionBy()).alias("all"),
+    )
+    bounds = shares.select("level", (F.col("before") / F.col("all")).alias("low"), (F.col("upto") / F.col("all")).alias("high"))
+    last = F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1))
+    return bounds.select("*", F.explode(F.sequence(F.floor(F.col("low") * CELLS), last)).alias("cell"))
+
+
+def _drawn_level(rows: DataFrame, bounds: DataFrame, u: Column, name: str) -> DataFrame:
+    """`rows` with the level in whose part of the unit interval `u` falls; null if there is no level."""
+    placed = rows.withColumn("__u", u).withColumn("__cell", F.floor(F.col("__u") * CELLS))
+    inside = (F.col("__cell") == F.col("cell")) & (F.col("__u") >= F.col("low")) & (F.col("__u") < F.col("high"))
+    return placed.join(bounds, inside, "left").withColumn(name, F.col("level")).drop("__u", "__cell", "level", "low", "high", "cell")
+
+
 def local_surrogate(
     instances: DataFrame,
     background: DataFrame,
@@ -142,7 +171,7 @@ def local_surrogate(
     override: dict | None = None,
     positive: int | None = None,
     seed: int = 42,
-    max_instances: int = 100,
+    max_instances: int | None = None,
 ) -> DataFrame:
     """`(key, feature, weight, abs_weight, direction, rank)` of a weighted linear fit around each instance.
 
@@ -163,12 +192,8 @@ def local_surrogate(
     ).first() if numbers else {}
     spread = {n: (stats[f"s{i}"] or 1.0) for i, n in enumerate(numbers)}
     centre = {n: (stats[f"m{i}"] or 0.0) for i, n in enumerate(numbers)}
-    pools = {}
-    for n in texts:
-        # draws follow the frequencies of the commonest levels (a sampling pool, not a result)
-        rows = background.filter(quoted(n).isNotNull()).select(quoted(n).cast("string").alias("v")).groupBy("v").count().orderBy(F.col("count").desc(), "v").limit(200)
-        pools[n] = [(r["v"], r["count"]) for r in rows.collect()]
-    chosen = sample_rows(instances, key, max_instances)
+    pools = {n: _level_bounds(background, n) for n in texts}
+    chosen = instances if max_instances is None else sample_rows(instances, key, max_instances)
     for c, v in (override or {}).items():
         if c in types:
             chosen = chosen.withColumn(c, F.lit(v).cast(types[c]))
@@ -184,28 +209,25 @@ def local_surrogate(
         z = F.when(F.col("__draw") == 0, 0.0).otherwise(normal)
         columns.append((start + z * F.lit(spread[n])).cast(types[n]).alias(n))
         offsets.append(z)
-    for n in texts:
-        pool = pools[n] or [("", 1)]
-        bounds = np.cumsum([c for _, c in pool]) / sum(c for _, c in pool)
-        u, pick = uniform(n + "-t"), F.lit(pool[-1][0])
-        for (v, _), bound in reversed(list(zip(pool[:-1], bounds))):
-            pick = F.when(u < float(bound), F.lit(v)).otherwise(pick)
-        value = F.when(F.col("__draw") == 0, quoted(n).cast("string")).otherwise(pick)
+    drawn = rows
+    for i, n in enumerate(texts):
+        drawn = _drawn_level(drawn, pools[n], uniform(n + "-t"), f"__level{i}")
+        value = F.when(F.col("__draw") == 0, quoted(n).cast("string")).otherwise(F.coalesce(f"__level{i}", F.lit("")))
         columns.append(value.cast(types[n]).alias(n))
         offsets.append((value == quoted(n).cast("string")).cast("double"))
     order = numbers + texts
-    perturbed = rows.select("__key", "__draw", F.array(*[F.coalesce(o, F.lit(0.0)) for o in offsets]).alias("__z"), *columns)
+    perturbed = drawn.select("__key", "__draw", F.array(*[F.coalesce(o, F.lit(0.0)) for o in offsets]).alias("__z"), *columns)
     scored = bundle.pipeline.transform(perturbed)
     flat = np.array([0.0] * len(numbers) + [1.0] * len(texts))
     origin = F.array(*[F.lit(float(v)) for v in flat])
     distance = F.aggregate(F.zip_with("__z", origin, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
     width = 0.75 * float(np.sqrt(len(order)))
     ready = scored.select("__key", "__z", model_output(scored, bundle, positive).alias("__y"), F.exp(-distance / (2 * width * width)).alias("__w"))
-    # normal equations: one row per (instance, i, j), combined per task before the shuffle
+    # normal equations: the upper triangle per instance, combined per task before the shuffle
     padded = ready.select("__key", "__y", "__w", F.concat(F.array(F.lit(1.0)), "__z").alias("x"))
     d = len(order) + 1
     sums = padded.groupBy("__key").agg(
-        F.array(*[F.sum(F.col("__w") * F.col("x")[i] * F.col("x")[j]) for i in range(d) for j in range(d)]).alias("a"),
+        F.array(*[F.sum(F.col("__w") * F.col("x")[i] * F.col("x")[j]) for i in range(d) for j in range(i, d)]).alias("a"),
         F.array(*[F.sum(F.col("__w") * F.col("x")[i] * F.col("__y")) for i in range(d)]).alias("b"),
     )
 
@@ -213,7 +235,9 @@ def local_surrogate(
     def solve(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for left, right in zip(a, b):
-            m = np.array(left, dtype=float).reshape(d, d) + 1e-6 * np.eye(d)
+            m = np.zeros((d, d))
+            m[np.triu_indices(d)] = left
+            m = m + np.triu(m, 1).T + 1e-6 * np.eye(d)
             out.append(np.linalg.solve(m, np.array(right, dtype=float))[1:])
         return pd.Series(out)
 

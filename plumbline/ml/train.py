@@ -23,9 +23,7 @@ from plumbline.operators.split import assign_folds, train_test_split
 from plumbline.session import stage
 
 # Limits of a run, and the search ranges per model family.
-MAX_MODELS = 5
-TRIALS = (3, 12, 200)
-BUDGET_SECONDS = (30, 180, 3600)
+TRIALS = 12
 SEARCH = {
     "Random Forest": {"n_estimators": (80, 300), "max_depth": (3, 18), "min_leaf": (1, 8)},
     "Gradient Boosting": {"n_estimators": (60, 240), "learning_rate": (0.01, 0.3, "log"), "max_depth": (2, 8), "subsample": (0.6, 1.0, "linear")},
@@ -172,15 +170,19 @@ def draw(space: dict, rng: np.random.Generator) -> dict:
     return out
 
 
-def search(folds: Folds, fit: Fitter, task: str, space: dict, trials: int = TRIALS[1], budget: float = BUDGET_SECONDS[1], seed: int = 42) -> dict:
-    """Seeded random search; each trial is one cross-validation.  The clock is read between trials."""
+def search(folds: Folds, fit: Fitter, task: str, space: dict, trials: int = TRIALS, budget: float | None = None, seed: int = 42) -> dict:
+    """Seeded random search; each trial is one cross-validation.
+
+    With a `budget` in seconds the clock is read between trials, and `n_trials` tells how many there were; without one
+    the same seed gives the same search on any machine.
+    """
     rng, begun = np.random.default_rng(seed), time.monotonic()
     history = []
     for _ in range(trials):
         params = draw(space, rng)
         scores = [s for s in folds.scores(fit, task, params) if s is not None]
         history.append((float(np.mean(scores)) if scores else -1e9, params))
-        if time.monotonic() - begun >= budget:
+        if budget is not None and time.monotonic() - begun >= budget:
             break
     value, params = max(history, key=lambda h: h[0])
     return {"best_value": value, "best_params": params, "n_trials": len(history)}
@@ -197,8 +199,8 @@ def train_models(
     folds: int = 5,
     params: dict[str, dict] | None = None,
     tune: bool = False,
-    trials: int = TRIALS[1],
-    budget: float = BUDGET_SECONDS[1],
+    trials: int = TRIALS,
+    budget: float | None = None,
 ) -> TrainingRun:
     """Split, prepare, then fit and measure each model; a failing model is recorded and the run goes on.
 
@@ -215,8 +217,6 @@ def train_models(
     unknown = [m for m in names if m not in catalog]
     if unknown:
         raise ValueError(f"models not available for {task}: {', '.join(unknown)}")
-    if len(names) > MAX_MODELS:
-        raise ValueError(f"at most {MAX_MODELS} models per run")
     labels = label_levels(df, target) if task == "classification" else None
     usable = features or [c for c in [*numeric_columns(df), *columns_of(df, "categorical", "boolean")] if c not in (target, key)]
     # dozens of passes follow: they read a kept copy, not the query behind `df`

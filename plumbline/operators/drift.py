@@ -57,7 +57,7 @@ def _moments(df: DataFrame, columns: list[str], tag: str) -> DataFrame:
     return unfold(df.agg(*exprs), parts)
 
 
-def mean_shift(train: DataFrame, current: DataFrame, target: str | None = None, limit: int = 30) -> DataFrame:
+def mean_shift(train: DataFrame, current: DataFrame, target: str | None = None, limit: int | None = None) -> DataFrame:
     """`(feature, train_mean, current_mean, z_drift)` of the numeric features both tables have.
 
     One aggregate per table; the join has one row per feature.  A feature that is empty on

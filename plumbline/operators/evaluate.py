@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.expr import quoted
+from plumbline.functions.typing import normalised
 from plumbline.operators.quantiles import column_quantiles
 from plumbline.operators.ranks import running_totals
+from plumbline.operators.split import sample_rows
 from plumbline.operators.stats import histogram_table, unfold
 
 
@@ -96,7 +98,7 @@ def classification_metrics(scored: DataFrame, y_true: str = "y_true", y_pred: st
 def score_counts(scored: DataFrame, positive: str, y_true: str = "y_true", score: str = "score") -> DataFrame:
     """`(score, pos, neg)` per distinct score, the only thing ROC and AUC need."""
     hit = (quoted(y_true).cast("string") == F.lit(positive)).cast("long")
-    rows = scored.filter(quoted(score).isNotNull() & quoted(y_true).isNotNull())
+    rows = scored.filter(quoted(score).isNotNull() & ~F.isnan(quoted(score).cast("double")) & quoted(y_true).isNotNull())
     return rows.groupBy((quoted(score).cast("double") + F.lit(0.0)).alias("score")).agg(
         F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg")
     )
@@ -139,7 +141,7 @@ def roc_auc_multiclass(
         )
         for i, c in enumerate(classes)
     ]
-    long = scored.select(F.inline(F.array(*entry)))
+    long = scored.select(F.inline(F.array(*entry))).filter(F.col("score").isNotNull() & ~F.isnan("score"))
     counts = long.groupBy("label", "score").agg(F.sum("hit").alias("pos"), F.sum(1 - F.col("hit")).alias("neg"))
     below = running_totals(counts, "score", ["neg"], group=["label"], buckets=buckets)
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
@@ -156,10 +158,15 @@ def _residual() -> Column:
     return F.col("y_true").cast("double") - F.col("y_pred").cast("double")
 
 
+def complete_pairs(scored: DataFrame) -> DataFrame:
+    """Rows with a true and a predicted number; NaN is missing, as everywhere."""
+    rows = normalised(scored)
+    return rows.filter(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
+
+
 def regression_metrics(scored: DataFrame, exact: bool = True) -> DataFrame:
     """One row: RMSE, MSE, MAE, R2, explained variance, median absolute error, MAPE."""
-    rows = scored.filter(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull())
-    rows = rows.select(F.col("y_true").cast("double").alias("y"), _residual().alias("e"), F.abs(_residual()).alias("a"))
+    rows = complete_pairs(scored).select(F.col("y_true").cast("double").alias("y"), _residual().alias("e"), F.abs(_residual()).alias("a"))
     median = column_quantiles(rows, ["a"], (0.5,), exact)["a"]
     y, e = F.col("y"), F.col("e")
     mse = F.avg(e * e)
@@ -176,7 +183,7 @@ def regression_metrics(scored: DataFrame, exact: bool = True) -> DataFrame:
 
 def residual_summary(scored: DataFrame, exact: bool = True) -> DataFrame:
     """One row: mean residual, 95th percentile of its size, rows at or above it."""
-    rows = scored.select(_residual().alias("e"), F.abs(_residual()).alias("a")).filter(F.col("a").isNotNull())
+    rows = complete_pairs(scored).select(_residual().alias("e"), F.abs(_residual()).alias("a"))
     p95 = column_quantiles(rows, ["a"], (0.95,), exact)["a"]
     limit = F.lit(p95[0] if p95 else 0.0)
     return rows.agg(
@@ -190,8 +197,8 @@ def residual_histogram(scored: DataFrame) -> DataFrame:
 
 
 def residual_sample(scored: DataFrame, key: Sequence[str], n: int = 2000) -> DataFrame:
-    """First n rows in key order: actual, predicted, residual."""
-    head = scored.orderBy(*map(quoted, key)).limit(n)
+    """n rows sampled by their key's hash: actual, predicted, residual."""
+    head = sample_rows(scored, key, n)
     return head.select(F.col("y_true").alias("actual"), F.col("y_pred").alias("predicted"), _residual().alias("residual"))
 
 

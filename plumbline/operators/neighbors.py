@@ -27,7 +27,7 @@ SLACK = 1e-9
 
 
 def _pivot_count(rows: int) -> int:
-    return int(max(1, min(256, round((rows / 64) ** 0.5))))
+    return int(max(1, min(16_384, round((rows / 64) ** 0.5))))
 
 
 def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:

@@ -69,7 +69,7 @@ def unique_rates(df: DataFrame, columns: Sequence[str] | None = None, exact: boo
     )
 
 
-def unique_density(df: DataFrame, target: str | None = None, limit: int = 20) -> DataFrame:
+def unique_density(df: DataFrame, target: str | None = None, limit: int | None = None) -> DataFrame:
     features = [c for c in df.columns if c != target][:limit]
     return unique_rates(df, features).select(
         F.col("column").alias("feature"), F.col("distinct").alias("unique_values"), rounded("unique_rate").alias("unique_ratio")
@@ -175,7 +175,7 @@ def top_value_rates(df: DataFrame, columns: Sequence[str] | None = None, k: int
     )
 
 
-def categorical_concentration(df: DataFrame, target: str | None = None, limit: int = 12) -> DataFrame:
+def categorical_concentration(df: DataFrame, target: str | None = None, limit: int | None = None) -> DataFrame:
     """`(feature, top_category_share, distinct_categories, non_null_rows)`."""
     features = other_columns(df, exclude=[target] if target else [])[:limit]
     freq = value_frequencies(df, features).filter(F.col("value").isNotNull())
@@ -211,7 +211,7 @@ def target_histogram(df: DataFrame, target: str) -> DataFrame:
     return histogram_table(numbers, [target], rows_per_bin=50, bounds=(8, 25))
 
 
-def feature_histograms(df: DataFrame, target: str | None = None, limit: int = 3, bins: int = 15) -> DataFrame:
+def feature_histograms(df: DataFrame, target: str | None = None, limit: int | None = None, bins: int = 15) -> DataFrame:
     features = numeric_columns(df, exclude=[target] if target else [])[:limit]
     return histogram_table(df, features, bins)
 

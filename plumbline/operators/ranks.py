@@ -11,11 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.expr import key_hash, quoted
-from plumbline.operators.quantiles import select_ranks
-from plumbline.session import bounded_broadcast, estimated_bytes
+from plumbline.session import bounded_broadcast, estimated_bytes, stage
 
-MAX_BUCKETS = 1024
+#: Buckets of an input whose size is unknown, and the most that the sketch tells apart.
+UNSIZED_BUCKETS, MOST_BUCKETS = 1024, 16_384
 LITERAL_STRATA = 64
+#: A size estimate beyond this is the optimizer's way of saying that it does not know.
+UNLIKELY_BYTES = 1 << 60
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -34,7 +36,11 @@ def first_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFram
 
 
 def row_at(df: DataFrame, key: str, index: int, heap_rows: int = 10_000) -> DataFrame:
-    """Row number `index` (from 0) in the order of a unique numeric key; out of range raises."""
+    """Row number `index` (from 0) in the order of a unique key of any type, nulls first; out of range raises.
+
+    Near the start a bounded heap finds it.  Further in, the keys are dealt into ordered ranges and written; the counts
+    of the ranges say which one holds the row, and only that one is sorted.
+    """
     if index < 0:
         raise IndexError("row index must not be negative")
     if index < heap_rows:
@@ -45,17 +51,24 @@ def row_at(df: DataFrame, key: str, index: int, heap_rows: int = 10_000) -> Data
     n = df.count()
     if index >= n:
         raise IndexError(f"row index {index} is out of range (rows: {n})")
-    cells = df.select(F.lit("key").alias("grp"), quoted(key).cast("double").alias("value"))
-    value = select_ranks(cells, {"key": [index]})[("key", index)]
-    return df.filter(quoted(key) == F.lit(value))
+    ranges = max(1, -(-n // heap_rows))
+    dealt = df.select(quoted(key).alias("key")).repartitionByRange(ranges, F.col("key").asc_nulls_first())
+    kept = stage(dealt.select("key", F.spark_partition_id().alias("part")), "ranges", small=False)
+    ahead = 0
+    for part, count in sorted(kept.groupBy("part").count().collect()):
+        if index < ahead + count:
+            break
+        ahead += count
+    value = kept.filter(F.col("part") == part).orderBy("key").offset(index - ahead).limit(1)
+    return df.join(F.broadcast(value.select(F.col("key").alias("__at"))), quoted(key).eqNullSafe(F.col("__at"))).drop("__at")
 
 
 def bucket_count(df: DataFrame, target_bytes: int = 64 * 1024 * 1024) -> int:
     """How many ordered buckets a running total needs to keep each one near `target_bytes`."""
     size = estimated_bytes(df)
-    if size == float("inf"):
-        return MAX_BUCKETS
-    return int(max(1, min(MAX_BUCKETS, -(-size // target_bytes))))
+    if size > UNLIKELY_BYTES:
+        return UNSIZED_BUCKETS
+    return int(max(1, min(MOST_BUCKETS, -(-size // target_bytes))))
 
 
 def running_totals(
@@ -79,7 +92,7 @@ def running_totals(
         ahead = W.partitionBy(*group).orderBy(direction).rowsBetween(W.unboundedPreceding, -1)
         return df.select("*", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_before") for c in sums])
     grid = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(quoted(order).cast("double"), grid, 10_000)).first()[0] or []
+    cuts = df.agg(F.percentile_approx(quoted(order).cast("double"), grid, max(10_000, 4 * buckets))).first()[0] or []
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="__order", outputCol="__bucket")
     placed = cut.transform(df.withColumn("__order", quoted(order).cast("double")))
@@ -99,9 +112,9 @@ def running_totals(
 
 def _prefix_digits(df: DataFrame, per_bucket: int = 16 * 1024 * 1024) -> int:
     size = estimated_bytes(df)
-    if size == float("inf"):
+    if size > UNLIKELY_BYTES:
         return 5
-    return int(min(5, max(1, round(log(max(size / per_bucket, 16), 16)))))
+    return int(min(12, max(1, round(log(max(size / per_bucket, 16), 16)))))
 
 
 def hash_thresholds(

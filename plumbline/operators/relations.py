@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from plumbline.functions.expr import is_finite, quoted
 from plumbline.functions.typing import columns_of, normalised, numeric_columns, other_columns, type_groups
 from plumbline.operators.quantiles import column_quantiles, group_quantiles
+from plumbline.operators.split import sample_rows
 from plumbline.operators.stats import QUARTILES, value_frequencies
+from plumbline.session import stage
 
-# Width of the encoded table and length of the ranking.
-MAX_ENCODED = 80
+# Fixed value: length of the ranking.
 RANKING = 15
 MIN_ROWS = 5
 
@@ -81,27 +82,21 @@ def mean_target_by_category(df: DataFrame, target: str, feature: str | None = No
 
 
 def pair_sample(df: DataFrame, target: str, key: Sequence[str], features: Sequence[str] | None = None, n: int = 800) -> DataFrame:
-    """`(x, y, group)` of the first n complete rows in key order; rows with infinities are then dropped."""
+    """`(x, y, group)` of n complete rows sampled by their key's hash; rows with infinities are then dropped."""
     a, b = features or first_numeric(df, target, 2)
     head = normalised(df).filter(quoted(a).isNotNull() & quoted(b).isNotNull() & quoted(target).isNotNull())
-    head = head.orderBy(*map(quoted, key)).limit(n)
+    head = sample_rows(head, key, n)
     rows = head.select(quoted(a).cast("double").alias("x"), quoted(b).cast("double").alias("y"), quoted(target).cast("string").alias("group"))
     return rows.filter(is_finite("x") & is_finite("y"))
 
 
 def target_sample(df: DataFrame, target: str, key: Sequence[str], feature: str | None = None, n: int = 1200) -> DataFrame:
-    """`(x, y)` of the first n complete rows in key order."""
+    """`(x, y)` of n complete rows sampled by their key's hash."""
     feature = feature or first_numeric(df, target)[0]
-    head = normalised(df).filter(quoted(feature).isNotNull() & quoted(target).isNotNull()).orderBy(*map(quoted, key)).limit(n)
+    head = sample_rows(normalised(df).filter(quoted(feature).isNotNull() & quoted(target).isNotNull()), key, n)
     return head.select(quoted(feature).cast("double").alias("x"), quoted(target).cast("double").alias("y"))
 
 
-def category_levels(df: DataFrame, column: str, k: int) -> list[str]:
-    """First k distinct non-null values in sorted order (k is a small list length)."""
-    levels = df.select(quoted(column).cast("string").alias("v")).filter(F.col("v").isNotNull()).distinct()
-    return [r["v"] for r in levels.orderBy("v").limit(k).collect()]
-
-
 def _bin_column(column: str, cuts: Sequence[float]):
     x = quoted(column).cast("double")
     code = F.lit(0)
@@ -116,22 +111,15 @@ def mutual_information(
     """`(feature, score)`: plug-in mutual information with the target, in nats, best first.
 
     Numeric features (and a regression target) are cut at their exact deciles; text
-    features enter as one indicator per level, the first level left out.  At most 80
-    encoded columns, complete rows only.  One grouped count serves all features.
+    features enter as one indicator per level, each column's first level left out.  Every
+    column and every level is scored, on complete rows; one grouped count serves all features,
+    and nothing afterwards gathers a column's levels in one task.
     """
     df = normalised(df)
-    numeric = numeric_columns(df, exclude=[target])[:MAX_ENCODED]
-    room = MAX_ENCODED - len(numeric)
-    levels: dict[str, list[str]] = {}
-    for c in columns_of(df, "categorical", "boolean", exclude=[target]):
-        if room <= 0:
-            break
-        # the first level is dropped, so one more level than there is room for is enough
-        kept = category_levels(df, c, room + 1)[1:]
-        levels[c] = kept
-        room -= len(kept)
+    numeric = numeric_columns(df, exclude=[target])
+    texts = columns_of(df, "categorical", "boolean", exclude=[target])
     needed = [*numeric, target]
-    rows = df.select(*map(quoted, [*numeric, *levels, target]))
+    rows = df.select(*map(quoted, [*numeric, *texts, target]))
     for c in needed:
         rows = rows.filter(quoted(c).isNotNull())
     grid = [i / bins for i in range(1, bins)]
@@ -144,33 +132,35 @@ def mutual_information(
         return df.sparkSession.createDataFrame([], "feature string, score double")
     y = _bin_column(target, cuts[target]).cast("string") if task == "regression" else quoted(target).cast("string")
     cells = [_bin_column(c, cuts[c]).cast("string").alias(c) for c in numeric]
-    for c, kept in levels.items():
-        text = quoted(c).cast("string")
-        cells.append(F.when(text.isin(*kept) if kept else F.lit(False), text).alias(c))
-    counts = (
+    cells += [quoted(c).cast("string").alias(c) for c in texts]
+    if not cells:
+        return df.sparkSession.createDataFrame([], "feature string, score double")
+    counts = stage(
         rows.select(y.alias("y"), *cells)
-        .unpivot(["y"], [quoted(c) for c in [*numeric, *levels]], "column", "x")
+        .unpivot(["y"], [quoted(c) for c in [*numeric, *texts]], "column", "x")
         .groupBy("column", "x", "y")
-        .agg(F.count("*").alias("nxy"))
+        .agg(F.count("*").alias("nxy")),
+        "information",
     )
-    # from here on: (features x bins x classes) rows
-    per = W.partitionBy("column")
-    cells = counts.select(
-        "column",
-        "x",
-        "nxy",
-        F.sum("nxy").over(per).cast("double").alias("n"),
-        F.sum("nxy").over(W.partitionBy("column", "x")).cast("double").alias("nx"),
-        F.sum("nxy").over(W.partitionBy("column", "y")).cast("double").alias("ny"),
-    ).filter(F.col("n") >= MIN_ROWS)
+    # every feature sees the same rows, so one feature's counts give the target's
+    one = [*numeric, *texts][0]
+    by_class = counts.filter(F.col("column") == one).groupBy("y").agg(F.sum("nxy").cast("double").alias("ny"))
+    n = by_class.agg(F.sum("ny")).first()[0] or 0.0
+    if n < MIN_ROWS:
+        return df.sparkSession.createDataFrame([], "feature string, score double")
+    # a window holds one level's classes, never a whole column
+    level_rows = F.sum("nxy").over(W.partitionBy("column", "x")).cast("double")
+    cells = counts.join(by_class, counts["y"].eqNullSafe(by_class["y"])).select("column", "x", "nxy", F.lit(n).alias("n"), level_rows.alias("nx"), "ny")
     term = lambda joint, nx: F.when(joint > 0, joint / F.col("n") * F.ln(joint * F.col("n") / (nx * F.col("ny")))).otherwise(0.0)
     joint = F.col("nxy").cast("double")
     whole = cells.filter(F.col("column").isin(*numeric) if numeric else F.lit(False)).groupBy("column").agg(F.sum(term(joint, F.col("nx"))).alias("score"))
     rest = F.col("n") - F.col("nx")
     # classes that never meet the level contribute only to the "other" side
     absent = F.try_divide(F.max("n") - F.sum("ny"), F.max("n")) * F.coalesce(F.ln(F.try_divide(F.max("n"), F.max(rest))), F.lit(0.0))
+    named = cells.filter((~F.col("column").isin(*numeric) if numeric else F.lit(True)) & F.col("x").isNotNull())
+    first = named.groupBy("column").agg(F.min("x").alias("x"))
     level = (
-        cells.filter((~F.col("column").isin(*numeric) if numeric else F.lit(True)) & F.col("x").isNotNull())
+        named.join(F.broadcast(first), ["column", "x"], "left_anti")
         .groupBy("column", "x")
         .agg((F.sum(term(joint, F.col("nx")) + term(F.col("ny") - joint, rest)) + absent).alias("score"))
         .select(F.concat_ws("_", "column", "x").alias("feature"), "score")

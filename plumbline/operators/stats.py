@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.expr import quoted, range_label
+from plumbline.functions.expr import finite_or_null, quoted, range_label
 from plumbline.functions.typing import normalised, numeric_columns, type_groups
 from plumbline.operators.quantiles import PERCENTILE_BYTES, column_stats, long_values, percentile_column, quantiles_by_selection
 from plumbline.session import bounded_broadcast, is_small, several_passes
@@ -99,7 +99,7 @@ def _summary(df: DataFrame, columns: Sequence[str], exact: bool, probs: Sequence
     return unfold(df.agg(*exprs), parts).filter(F.col("count") > 0)
 
 
-def moment_profile(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 15) -> DataFrame:
+def moment_profile(df: DataFrame, columns: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
     """`(column, count, skewness, variance)`: bias-corrected skewness (n >= 3), population variance (n >= 2)."""
     df = normalised(df)
     columns = list(columns if columns is not None else numeric_columns(df))[:limit]
@@ -180,9 +180,10 @@ def histogram_table(
     """`(column, bin, low, high, n, label)`: equal-width bins, the last one closed, empty bins kept.
 
     `rows_per_bin` derives the number of bins from the row count.  Bins are clamped to
-    `bounds`.  A constant column is widened by half a unit to each side.
+    `bounds`.  A constant column is widened by half a unit to each side.  Infinite values have no
+    place on the axis: they are left out, like missing ones.
     """
-    df = normalised(df).select(*map(quoted, columns))
+    df = normalised(df).select(*[finite_or_null(quoted(c).cast("double")).alias(c) for c in columns])
     spark = df.sparkSession
     exprs = []
     for i, c in enumerate(columns):
@@ -225,11 +226,19 @@ def histogram_table(
     )
 
 
+def _means(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """The mean of each column's finite values; 0 where there are none."""
+    row = df.agg(*[F.avg(finite_or_null(quoted(c).cast("double"))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    return {c: 0.0 if row[f"m{i}"] is None else row[f"m{i}"] for i, c in enumerate(columns)}
+
+
 def _pair_aggregate(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    # regr_* skip a row when either side is null: pairwise-complete moments without masks
+    # regr_* skip a row when either side is null: pairwise-complete moments without masks.
+    # Columns are shifted by their means first: small steps on a large level keep their digits.
+    shift = _means(df, sorted({c for pair in pairs for c in pair}))
     exprs = []
     for i, (a, b) in enumerate(pairs):
-        x, y = quoted(a).cast("double"), quoted(b).cast("double")
+        x, y = quoted(a).cast("double") - F.lit(shift[a]), quoted(b).cast("double") - F.lit(shift[b])
         exprs += [F.regr_sxy(x, y).alias(f"c{i}"), F.regr_sxx(x, y).alias(f"x{i}"), F.regr_syy(x, y).alias(f"y{i}")]
 
     def r(i: int) -> Column:
@@ -245,8 +254,8 @@ def _pair_aggregate(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFram
 
 def _pair_matrix(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Masked cross-product matrices, one per task, summed by pair: for wide tables."""
-    shift_row = df.agg(*[F.avg(quoted(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    shift = np.array([0.0 if shift_row[f"m{i}"] is None else shift_row[f"m{i}"] for i in range(len(columns))])
+    means = _means(df, columns)
+    shift = np.array([means[c] for c in columns])
     index = {c: i for i, c in enumerate(columns)}
     left = np.array([index[a] for a, _ in pairs])
     right = np.array([index[b] for _, b in pairs])

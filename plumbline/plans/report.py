@@ -17,11 +17,6 @@ from plumbline.functions.expr import quoted
 from plumbline.functions.typing import detect_task, numeric_columns, other_columns
 from plumbline.operators import drift, evaluate, leakage, profile, quality, relations, stats
 
-# List sizes of the reports.
-SUMMARY_COLUMNS = 40
-TYPED_COLUMNS = 120
-HEAT_COLUMNS = 8
-
 
 def long_rows(table: DataFrame, chart_id: str, section: str, order: Sequence[Column | str]) -> DataFrame:
     """Stack a small table.  Charts are bounded lists, so numbering them in one task is safe."""
@@ -72,7 +67,7 @@ def exploration_overview(df: DataFrame, target: str | None = None) -> DataFrame:
 
 def exploration_report(df: DataFrame, target: str | None = None, exact: bool = True) -> DataFrame:
     """Overview, numeric and text summaries, related pairs, leakage, types and drift baseline."""
-    numeric, texts = numeric_columns(df)[:SUMMARY_COLUMNS], other_columns(df)[:SUMMARY_COLUMNS]
+    numeric, texts = numeric_columns(df), other_columns(df)
     section = "exploratory"
     parts = [long_rows(exploration_overview(df, target), "overview", section, [F.lit(1)])]
     if numeric:
@@ -84,7 +79,7 @@ def exploration_report(df: DataFrame, target: str | None = None, exact: bool = T
         parts.append(long_rows(stats.high_correlations(df), "high_correlations", section, [F.abs("correlation").desc(), "feature_a", "feature_b"]))
     if target is not None:
         parts.append(long_rows(leakage.leakage_ranking(df, target), "leakage", section, [F.col("risk_score").desc(), "feature"]))
-    parts.append(long_rows(profile.semantic_types(df, exact, TYPED_COLUMNS), "semantic_types", section, ["position"]))
+    parts.append(long_rows(profile.semantic_types(df, exact), "semantic_types", section, ["position"]))
     if numeric_columns(df, exclude=[target] if target else []):
         parts.append(long_rows(drift.numeric_baseline(df, target, exact), "drift_baseline_numeric", section, ["feature"]))
     if other_columns(df, exclude=[target] if target else []):
@@ -126,12 +121,12 @@ def analytics_report(
     if numeric:
         chart("feature_histograms", profile.feature_histograms(view, target), ["column", "bin"])
     if len(numeric) > 1:
-        chart("correlation_matrix", stats.correlation_matrix(features, numeric[:HEAT_COLUMNS]), ["feature_a", "feature_b"])
+        chart("correlation_matrix", stats.correlation_matrix(features, numeric), ["feature_a", "feature_b"])
         chart("pair_sample", relations.pair_sample(df, target, key, numeric[:2]), ["x", "y", "group"])
     ranked = relations.mutual_information(view, target, task, exact=exact)
     chart("feature_ranking", ranked, [F.col("score").desc(), "feature"])
     if numeric:
-        chart("outliers", quality.outlier_counts(features, numeric, 12, exact=exact), ["feature"])
+        chart("outliers", quality.outlier_counts(features, numeric, exact=exact), ["feature"])
     if task == "classification":
         chart("class_distribution", profile.class_distribution(view, target), ["rank"])
         if numeric:

@@ -190,7 +190,7 @@ def residual_histogram(spark, folder):
 
 @query(
     "residual_sample",
-    f"WITH {REGRESSION_SQL} SELECT y_true AS actual, y_pred AS predicted, round(e, 6) AS residual FROM scored ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber LIMIT 2000",
+    f"WITH {REGRESSION_SQL} SELECT y_true AS actual, y_pred AS predicted, round(e, 6) AS residual FROM scored ORDER BY md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber)) LIMIT 2000",
 )
 def residual_sample(spark, folder):
     return rounds(V.residual_sample(regression_scores(spark, folder), LINE_KEY))

@@ -42,7 +42,7 @@ def _summary_sql(columns, source):
 
 @query("numeric_summary", _summary_sql(LINE_NUMERIC, "lineitem"))
 def numeric_summary(spark, folder):
-    return rounds(S.numeric_summary(read(spark, folder, "lineitem"), limit=40), 4)
+    return rounds(S.numeric_summary(read(spark, folder, "lineitem")), 4)
 
 
 @query("numeric_summary_with_gaps", f"WITH {GAPPY_SQL} " + _summary_sql(LINE_NUMERIC, "gappy"))
@@ -189,7 +189,7 @@ def histogram(spark, folder):
     return rounds(S.histogram_table(gappy_lines(spark, folder), HIST_COLUMNS))
 
 
-@query("feature_histograms", hist_sql(("l_linenumber", "l_quantity", "l_extendedprice"), 15, "lineitem"))
+@query("feature_histograms", hist_sql(("l_linenumber", "l_quantity", "l_extendedprice", "l_discount"), 15, "lineitem"))
 def feature_histograms(spark, folder):
     li = read(spark, folder, "lineitem").drop("l_orderkey", "l_partkey", "l_suppkey")
     return rounds(P.feature_histograms(li, "l_tax"))

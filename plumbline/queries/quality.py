@@ -42,7 +42,7 @@ EVENT_OUTLIERS = (
 
 @query("outliers", EVENT_OUTLIERS)
 def outliers(spark, folder):
-    return Q.outlier_counts(read(spark, folder, "events"), limit=12)
+    return Q.outlier_counts(read(spark, folder, "events"))
 
 
 @query("outliers_found", f"SELECT * FROM ({EVENT_OUTLIERS}) WHERE outliers > 0")

@@ -103,13 +103,10 @@ def mean_target_by_category(spark, folder):
     return rounds(R.mean_target_by_category(read(spark, folder, "orders"), "o_totalprice", "o_orderpriority"), 4)
 
 
-_KEY_SQL = ", ".join(LINE_KEY)
-
-
 @query(
     "pair_sample",
     f"WITH {GAPPY_SQL} SELECT l_quantity AS x, l_discount AS y, l_returnflag AS \"group\" FROM gappy WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL "
-    f"AND l_returnflag IS NOT NULL ORDER BY {_KEY_SQL} LIMIT 800",
+    f"AND l_returnflag IS NOT NULL ORDER BY md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber)) LIMIT 800",
 )
 def pair_sample(spark, folder):
     return R.pair_sample(gappy_lines(spark, folder), "l_returnflag", LINE_KEY, ("l_quantity", "l_discount"))
@@ -117,7 +114,7 @@ def pair_sample(spark, folder):
 
 @query(
     "target_sample",
-    f"WITH {GAPPY_SQL} SELECT l_discount AS x, l_extendedprice AS y FROM gappy WHERE l_discount IS NOT NULL ORDER BY {_KEY_SQL} LIMIT 1200",
+    f"WITH {GAPPY_SQL} SELECT l_discount AS x, l_extendedprice AS y FROM gappy WHERE l_discount IS NOT NULL ORDER BY md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber)) LIMIT 1200",
 )
 def target_sample(spark, folder):
     return R.target_sample(gappy_lines(spark, folder), "l_extendedprice", LINE_KEY, "l_discount")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import stage
+
 # The catalog schemas.
 SCHEMAS = {
     "datasets": (
@@ -47,15 +50,39 @@ def empty_table(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[table])
 
 
+#: Job tables are cut by a hash of the job, not by the job itself: many jobs make no more folders than this.
+BUCKETS = 16
+
+
+def _bucketed(df: DataFrame) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(BUCKETS)).cast("int"))
+
+
 def append(df: DataFrame, root: str, table: str) -> None:
-    conform(df, table).write.mode("append").parquet(os.path.join(root, table))
+    out, path = conform(df, table), os.path.join(root, table)
+    if "job_id" in out.columns:
+        _bucketed(out).write.mode("append").partitionBy("bucket").parquet(path)
+    else:
+        out.write.mode("append").parquet(path)
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[table]).parquet(os.path.join(root, table))
+    bucket = ", bucket int" if "job_id" in empty_table(spark, table).columns else ""
+    return spark.read.schema(SCHEMAS[table] + bucket).parquet(os.path.join(root, table)).drop("bucket")
 
 
 def replace_by_job(df: DataFrame, root: str, table: str = "trained_models") -> None:
-    """Overwrites exactly the job partitions present in `df`; repeating the call changes nothing."""
-    out = conform(df, table)
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(os.path.join(root, table))
+    """The rows of exactly the jobs in `df` give way to it; repeating the call changes nothing.
+
+    Only the buckets of these jobs are rewritten: their other jobs' rows are read, staged and written back with the new.
+    """
+    spark, path = df.sparkSession, os.path.join(root, table)
+    fresh = _bucketed(conform(df, table))
+    try:
+        old = _bucketed(read(spark, root, table))
+    except AnalysisException:  # nothing was written yet
+        old = fresh.limit(0)
+    jobs = fresh.select("job_id", "bucket").distinct()
+    others = old.join(F.broadcast(jobs.select("bucket").distinct()), "bucket", "left_semi").join(jobs.select("job_id"), "job_id", "left_anti")
+    kept = stage(fresh.unionByName(others), "catalog", small=False)
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
