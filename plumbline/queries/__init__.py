@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profile", "quality", "relations", "evaluation", "catalog", "neighbors", "modelling", "reports")
+MODULES = ("profile", "quality", "relations", "evaluation", "catalog", "neighbors", "modelling", "reports", "edges")
 
 
 def load_all() -> None:

@@ -190,7 +190,7 @@ def text_functions(spark, folder):
     "number_functions",
     "SELECT o_orderkey, abs(o_totalprice - 200000) AS gap, floor(o_totalprice / 1000)::BIGINT AS low, ceil(o_totalprice / 1000)::BIGINT AS high, "
     "round(sqrt(o_totalprice), 6) AS root, round(log2(o_totalprice), 6) AS bits, greatest(50000, least(400000, o_totalprice)) AS clamped, "
-    "abs(o_totalprice - round(o_totalprice)) <= 1e-9 AS whole, round(o_totalprice / nullif(o_orderkey, 0), 6) AS ratio, round(0.123456 * 100, 1)::DOUBLE AS pct FROM orders",
+    "abs(o_totalprice - round(o_totalprice)) <= 1e-9 AS whole, round(o_totalprice / nullif(o_orderkey, 0), 6) AS ratio, round((o_orderkey % 8) / 8.0::DOUBLE * 100, 1) AS pct FROM orders",
 )
 def number_functions(spark, folder):
     p = F.col("o_totalprice")
@@ -204,7 +204,7 @@ def number_functions(spark, folder):
         X.clamp(p, 50000.0, 400000.0).alias("clamped"),
         X.integer_like(p).alias("whole"),
         F.round(X.safe_divide(p, "o_orderkey"), 6).alias("ratio"),
-        X.percent(F.lit(0.123456)).alias("pct"),
+        X.percent((F.col("o_orderkey") % 8) / F.lit(8.0)).alias("pct"),
     )
 
 
