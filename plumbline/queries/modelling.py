@@ -164,7 +164,7 @@ def _board(run, df):
 def train_classifiers(spark, folder):
     df = training_documents(spark, folder)
     names = ("Logistic Regression", "Decision Tree", "Random Forest", "KNN")
-    run = train_models(df, "quality", "doc_id", "classification", names, folds=2, params={"Random Forest": {"n_estimators": 20, "max_depth": 5}})
+    run = train_models(df, "quality", "doc_id", "classification", names)
     return _board(run, df)
 
 
@@ -185,8 +185,7 @@ def train_margin_and_boosted_classifiers(spark, folder):
 @query("train_multiclass")
 def train_multiclass(spark, folder):
     df = pricing(spark, folder)
-    params = {"Random Forest": {"n_estimators": 10, "max_depth": 5}, "Decision Tree": {"max_depth": 5}}
-    return _board(train_models(df, "o_orderstatus", "o_orderkey", None, ("Decision Tree", "Random Forest"), folds=0, params=params), df)
+    return _board(train_models(df, "o_orderstatus", "o_orderkey", None, ("Decision Tree", "Random Forest")), df)
 
 
 @query("train_regressors")
@@ -200,14 +199,14 @@ def train_regressors(spark, folder):
 @query("tune_model")
 def tune_model(spark, folder):
     df = pricing(spark, folder)
-    run = train_models(df, "o_totalprice", "o_orderkey", "regression", ("Linear Regression",), folds=2, tune=True, trials=3, budget=60)
+    run = train_models(df, "o_totalprice", "o_orderkey", "regression", ("Linear Regression",), tune=True)
     rows = [(m.name, k, float(v)) for m in run.models for k, v in m.params.items()]
     return spark.createDataFrame(rows, "model_name string, parameter string, value double")
 
 
 def _forest(spark, folder):
     df = training_documents(spark, folder)
-    run = train_models(df, "quality", "doc_id", "classification", ("Random Forest",), folds=0, params={"Random Forest": {"n_estimators": 20, "max_depth": 5}})
+    run = train_models(df, "quality", "doc_id", "classification", ("Random Forest",))
     return df, run
 
 
@@ -231,11 +230,11 @@ def batch_scoring(spark, folder):
 def sampled_shapley(spark, folder):
     df, run = _forest(spark, folder)
     bundle = ModelBundle.of(run, run.models[0], df)
-    return X.sampled_shapley(read(spark, folder, "documents"), df, bundle, "doc_id", "doc_id", permutations=8, max_instances=20)
+    return X.sampled_shapley(read(spark, folder, "documents"), df, bundle, "doc_id", "doc_id")
 
 
 @query("local_surrogate")
 def local_surrogate(spark, folder):
     df, run = _forest(spark, folder)
     bundle = ModelBundle.of(run, run.models[0], df)
-    return X.local_surrogate(read(spark, folder, "documents"), df, bundle, "doc_id", samples=200, max_instances=20)
+    return X.local_surrogate(read(spark, folder, "documents"), df, bundle, "doc_id")
