@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from plumbline.functions.expr import finite_or_null, quoted, range_label
 from plumbline.functions.typing import normalised, numeric_columns, type_groups
 from plumbline.operators.quantiles import PERCENTILE_BYTES, column_stats, long_values, percentile_column, quantiles_by_selection
-from plumbline.session import bounded_broadcast, is_small, several_passes
+from plumbline.session import is_small, several_passes
 
 QUARTILES = (0.25, 0.5, 0.75)
 # beyond this many pairs one fused aggregate no longer compiles well, and matrix products win
@@ -341,7 +341,7 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     columns = list(columns or df.columns)
     hashed = df.select(*map(quoted, columns), F.xxhash64(*map(quoted, columns)).alias("__h"))
     seen = hashed.groupBy("__h").agg(F.count("*").alias("__n"))
-    shared = bounded_broadcast(seen.filter(F.col("__n") > 1).select("__h"), 200_000)
+    shared = seen.filter(F.col("__n") > 1).select("__h")
     # copies are combined per task before the shuffle: a row repeated everywhere stays one row per task
     suspects = hashed.join(shared, "__h", "left_semi").groupBy("__h", *map(quoted, columns)).agg(F.count("*").alias("__n"))
     copies = suspects.agg(F.lit(0).cast("long").alias("rows"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicates"))
