@@ -250,6 +250,7 @@ def train_models(
     if splits:
         splits.release()
     base.unpersist()
+    fitted.unpersist()
     return TrainingRun(task, target, labels, prep, prepare, done, held)
 
 

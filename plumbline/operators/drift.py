@@ -9,6 +9,7 @@ from plumbline.functions.expr import at_least_one, quoted
 from plumbline.functions.typing import normalised, numeric_columns, other_columns
 from plumbline.operators.profile import top_value_rates
 from plumbline.operators.stats import _summary, missing_counts, unfold
+from plumbline.session import settled
 
 # Baseline quantiles, drift levels, stability levels.
 BASELINE_QUANTILES = (0.05, 0.5, 0.95)
@@ -57,18 +58,23 @@ def _moments(df: DataFrame, columns: list[str], tag: str) -> DataFrame:
     return unfold(df.agg(*exprs), parts)
 
 
-def mean_shift(train: DataFrame, current: DataFrame, target: str | None = None, limit: int | None = None) -> DataFrame:
+def saved_moments(train: DataFrame, target: str | None = None) -> DataFrame:
+    """The moments of a table's numeric features, computed once: one row per feature, for `mean_shift(moments=...)`."""
+    return settled(_moments(train, numeric_columns(train, exclude=[target] if target else []), "train"))
+
+
+def mean_shift(train: DataFrame, current: DataFrame, target: str | None = None, limit: int | None = None, moments: DataFrame | None = None) -> DataFrame:
     """`(feature, train_mean, current_mean, z_drift)` of the numeric features both tables have.
 
-    One aggregate per table; the join has one row per feature.  A feature that is empty on
-    either side is skipped; a flat training column divides by 1.
+    One aggregate per table, or for `current` alone if the moments of `train` are given; the join has one row per
+    feature.  A feature that is empty on either side is skipped; a flat training column divides by 1.
     """
     skip = [target] if target else []
     there = set(numeric_columns(current, exclude=skip))
     columns = [c for c in numeric_columns(train, exclude=skip) if c in there][:limit]
     if not columns:
         return train.sparkSession.createDataFrame([], "feature string, train_mean double, current_mean double, z_drift double")
-    both = _moments(train, columns, "train").join(F.broadcast(_moments(current, columns, "current")), "feature")
+    both = (_moments(train, columns, "train") if moments is None else moments).join(F.broadcast(_moments(current, columns, "current")), "feature")
     scale = F.when(F.col("train_std") > FLAT_STD, F.col("train_std")).otherwise(1.0)
     return both.filter((F.col("train_n") > 0) & (F.col("current_n") > 0)).select(
         "feature",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.expr import quoted
 from plumbline.functions.typing import detect_task, numeric_columns, other_columns
 from plumbline.operators import drift, evaluate, leakage, profile, quality, relations, stats
+from plumbline.session import settled
 
 
 def long_rows(table: DataFrame, chart_id: str, section: str, order: Sequence[Column | str]) -> DataFrame:
@@ -110,7 +111,7 @@ def analytics_report(
     if features.columns:
         chart("unique_density", profile.unique_density(view, target), ["feature"])
     if numeric:
-        moments = stats.moment_profile(view, numeric).persist()
+        moments = settled(stats.moment_profile(view, numeric))
         skew = moments.filter(F.col("skewness").isNotNull()).select(F.col("column").alias("feature"), "skewness")
         spread = moments.filter(F.col("variance").isNotNull()).select(F.col("column").alias("feature"), "variance")
         chart("numeric_skewness", skew, [F.abs("skewness").desc(), "feature"])

@@ -12,12 +12,12 @@ def chart_reference(root: str):
 
 
 def save_charts(report: DataFrame, root: str) -> DataFrame:
-    """Writes long chart rows partitioned by `chart_id`; returns one reference per chart.
+    """Writes long chart rows partitioned by `chart_id`; returns one reference per chart, with its number of rows.
 
-    Rows are spread by chart and row number, so a big chart is written by many tasks.
+    The rows are read back with the report's own schema, so the reference tells what was written.
     """
     report.write.mode("overwrite").partitionBy("chart_id").json(root)
-    back = report.sparkSession.read.json(root)
+    back = report.sparkSession.read.schema(report.schema).json(root)
     per = back.groupBy("chart_id").agg(F.count("*").alias("rows"))
     return per.select("chart_id", "rows", chart_reference(root).alias("path"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.ml.score import score
-from plumbline.operators.drift import mean_shift
+from plumbline.operators.drift import mean_shift, saved_moments
 from plumbline.sources.bundles import ModelBundle
 
 
@@ -22,11 +22,13 @@ def watch_drift(
 ) -> StreamingQuery:
     """Compares each micro-batch with `baseline` and hands the per-feature shift to `report`.
 
-    The offsets live in `checkpoint`, so a restarted query repeats at most one batch.
+    The baseline is read once, for its moments.  The offsets live in `checkpoint`, so a restarted
+    query repeats at most one batch.
     """
+    moments = saved_moments(baseline, target)
 
     def compare(batch: DataFrame, number: int) -> None:
-        report(mean_shift(baseline, batch, target), number)
+        report(mean_shift(baseline, batch, target, moments=moments), number)
 
     writer = stream.writeStream.foreachBatch(compare).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
