@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import hash_number, only_columns, staged
+from plumbline.llm.common import HASH_BITS, hash_number, only_columns, staged
 from plumbline.llm.decontaminate import PLAIN
 
 WORDS, SHARES = 1 << 15, 8
@@ -223,14 +223,24 @@ def _page_names(docs: DataFrame, names: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(n for n in names if n in docs.columns)
 
 
+def _first_by_hash(rows: DataFrame, salt: str, most: int, key: str) -> DataFrame:
+    """The `most` rows with the smallest hashes of their key.
+
+    Only about twice as many pass a threshold on the hash, so tasks send few rows to be ordered, however many tasks.
+    """
+    h, n = hash_number(salt, F.col(key)), rows.count()
+    likely = rows if n <= 2 * most else rows.where(h < float(1 << HASH_BITS) * 2.0 * most / n)
+    return likely.orderBy(h, key).limit(most)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool: int = 4000, rounds: int = 4, handed: int = 400, sure: float = 0.9, page_columns: tuple[str, ...] = PAGE_COLUMNS, key: str = "doc_id") -> Model:
     """Learn from the labelled rows of `docs` and a pool without labels; see the module's text for the bounds."""
     spark = docs.sparkSession
     good = ((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) != 1)).cast("int")
     judged = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(key).agg(good.alias("label"))
-    marked = {r[0]: r[1] for r in judged.orderBy(hash_number("labelled", F.col(key)), key).limit(max_labelled).collect()}
-    drawn = docs.select(F.col(f"`{key}`").alias(key)).where(F.col(key).isNotNull()).orderBy(hash_number("pool", F.col(key)), key).limit(max_pool)
-    ids = {r[0] for r in drawn.collect()}
+    marked = {r[0]: r[1] for r in _first_by_hash(judged, "labelled", max_labelled, key).collect()}
+    named = docs.select(F.col(f"`{key}`").alias(key)).where(F.col(key).isNotNull())
+    ids = {r[0] for r in _first_by_hash(named, "pool", max_pool, key).collect()}
     kind = docs.schema[key].dataType
     pool = spark.createDataFrame([(i,) for i in sorted(ids)], T.StructType([T.StructField(key, kind)]))
     ids -= {r[0] for r in labels.select(key).join(F.broadcast(pool), key, "left_semi").distinct().collect()}
