@@ -238,3 +238,31 @@ def local_surrogate(spark, folder):
     df, run = _forest(spark, folder)
     bundle = ModelBundle.of(run, run.models[0], df)
     return X.local_surrogate(read(spark, folder, "documents"), df, bundle, "doc_id")
+
+
+@query(
+    "forest_facts",
+    "SELECT 'rows scored' AS fact, count(*) AS n FROM documents UNION ALL SELECT 'scores with a class and a probability', count(*) FROM documents "
+    "UNION ALL SELECT 'importances that add up to 1', 1 UNION ALL SELECT 'features with an importance', 3 "
+    "UNION ALL SELECT 'contributions', 3 * count(*) FROM documents UNION ALL SELECT 'rows whose contributions add up', count(*) FROM documents",
+)
+def forest_facts(spark, folder):
+    """What must hold for a forest, its scores and its explanations, whatever trees were grown."""
+    df, run = _forest(spark, folder)
+    docs, bundle = read(spark, folder, "documents"), ModelBundle.of(run, run.models[0], df)
+    scored = SC.score(docs, bundle, ["doc_id"]).select("doc_id", "prediction", F.col("probability")["1"].alias("p"))
+    parts = X.sampled_shapley(docs, df, bundle, "doc_id", "doc_id")
+    sums = parts.groupBy("doc_id").agg((F.sum("contribution") + F.first("base_value")).alias("out"))
+    fine = F.col("prediction").isin("0", "1") & F.col("p").between(0.0, 1.0)
+    facts = scored.agg(F.count("*"), F.count_if(fine)).first()
+    added = sums.join(scored, "doc_id").filter(F.abs(F.col("out") - F.col("p")) < 1e-9).count()
+    importance = run.models[0].importance
+    rows = [
+        ("rows scored", facts[0]),
+        ("scores with a class and a probability", facts[1]),
+        ("importances that add up to 1", int(abs(sum(importance.values()) - 1) < 1e-9)),
+        ("features with an importance", len(importance)),
+        ("contributions", parts.count()),
+        ("rows whose contributions add up", added),
+    ]
+    return spark.createDataFrame(rows, "fact string, n long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.plans import report as R
-from plumbline.queries.base import LEAKY_SQL, LINE_KEY, gappy_lines, leaky_lines, query, read
+from plumbline.queries.base import GAPPY_SQL, LEAKY_SQL, LINE_KEY, LINE_NUMERIC, gappy_lines, leaky_lines, query, read
 from plumbline.queries.evaluation import multi_scores, regression_scores
 
 _OVERVIEW_COLUMNS = ("l_quantity", "l_extendedprice", "price_copy", "l_returnflag", "returnflag_copy")
@@ -38,3 +38,22 @@ def analytics_report_classes(spark, folder):
 def analytics_report_regression(spark, folder):
     df = read(spark, folder, "lineitem").drop("l_shipdate")
     return R.analytics_report(df, "l_extendedprice", LINE_KEY, "regression", regression_scores(spark, folder))
+
+
+#: Charts of the exploratory report and how many rows each must have.
+_CHART_SQL = """WITH {gappy}, t AS (SELECT * EXCLUDE (l_shipdate) FROM gappy),
+levels AS (SELECT 'l_returnflag' AS c, coalesce(l_returnflag, '<missing>') AS v FROM t UNION SELECT 'l_linestatus', l_linestatus FROM t)
+SELECT 'overview' AS chart_id, 1::BIGINT AS rows UNION ALL SELECT 'numeric_summary', {numeric}::BIGINT UNION ALL SELECT 'histograms', 20 * {numeric}::BIGINT
+UNION ALL SELECT 'top_values', (SELECT sum(least(n, 20)) FROM (SELECT count(*) AS n FROM levels GROUP BY c))::BIGINT
+UNION ALL SELECT 'semantic_types', 10::BIGINT UNION ALL SELECT 'drift_baseline_numeric', {numeric}::BIGINT
+UNION ALL SELECT 'drift_baseline_categorical', (SELECT least(count(*), 10) FROM levels WHERE c = 'l_linestatus')::BIGINT
+UNION ALL SELECT 'high_correlations', n FROM ({related}) WHERE n > 0"""
+_PAIRS = [(a, b) for i, a in enumerate(LINE_NUMERIC) for b in LINE_NUMERIC[i + 1 :]]
+_RELATED = "SELECT least(30, " + " + ".join(f"(coalesce(abs(corr({a}, {b})), 0) >= 0.75)::BIGINT" for a, b in _PAIRS) + ") AS n FROM t"
+
+
+@query("exploration_report_charts", _CHART_SQL.format(gappy=GAPPY_SQL, numeric=len(LINE_NUMERIC), related=_RELATED))
+def exploration_report_charts(spark, folder):
+    """How many rows each chart of the exploratory report has; the leakage ranking has queries of its own."""
+    report = exploration_report(spark, folder).filter("chart_id <> 'leakage'")
+    return report.groupBy("chart_id").agg(F.count_distinct("row_no").alias("rows"))
