@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,10 +44,12 @@ END_ID = 2
 #: Ids of a block; order-0 counts stay below 2 ** 16 up to here.
 BLOCK = 4096
 #: Blocks that are coded in step.
-LANES = 1024
+LANES = 512
 #: UTF-8 bytes of a segment, about.
 SEGMENT_BYTES = 8_000_000
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: UTF-8 bytes of the texts that are tokenised at a time.
+PORTION = 1_000_000
 SLOTS = 4096
 GAIN = 12
 #: ln(p / (1 - p)) * 256 for p = i / 4096, and back from -2047 to 2047.
@@ -272,6 +275,16 @@ class WordTokens:
         return [b"".join([*map(known.__getitem__, row), end]) for row in rows]
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about PORTION bytes of text each, one text at least: words of more are never held at once."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    parts = np.cumsum(sizes) // PORTION
+    edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def written(docs: DataFrame, tokenizer_path: str, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Tokenise `docs` and write them: the tables (blocks, index) as read back from the shared folder.
 
@@ -287,7 +300,7 @@ def written(docs: DataFrame, tokenizer_path: str, key: str = "doc_id") -> tuple[
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokens(tokenizer_path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _portions(whole)):
             texts, keys = batch.column("text").to_pylist(), batch.column(key).to_pylist()
             segments = [0 if k is None else int(np.searchsorted(bounds, k, side="right")) for k in keys]
             yield pa.RecordBatch.from_arrays(
