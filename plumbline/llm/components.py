@@ -7,8 +7,12 @@ round, so neither the lineage nor the driver grows with them; only one number a
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import forget, staged
 
@@ -49,3 +53,33 @@ def components(links: DataFrame) -> DataFrame:
         now = following
     members = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return members.unionAll(members.select(F.col("root").alias("node"), "root").distinct())
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, printed: Callable[[str | None], int], key: str = "doc_id") -> DataFrame:
+    """The rows of `docs`, of each root only those of one text: the smallest (key, print).
+
+    `found` has (key, print, root) for each row; `printed` gives the print of a text.  Rows of one key and print are one
+    document, of which the one with the smallest text stays.  Rows with a null key always stay.  Only keys that repeat
+    need the print of each row; all other rows stay or go by their key alone.
+    """
+    texts = staged(found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"), "print").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("n")), "texts")
+    first = texts.groupBy("root").agg(F.min(F.struct("_key", "print")).alias("first"))
+    judged = staged(texts.join(first, "root").select("_key", "print", "n", (F.struct("_key", "print") == F.col("first")).alias("stays")), "judged")
+    keys = staged(judged.groupBy("_key").agg((F.sum("n") > 1).alias("again"), F.max("stays").alias("stays")), "keys")
+    on_key = F.col(f"`{key}`") == F.col("_key")
+    kept = docs.join(keys.where("again OR NOT stays").select("_key"), on_key, "left_anti")
+    forget(texts)
+    again = keys.where("again AND stays").select("_key")
+    if not again.limit(1).count():
+        return kept
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = pa.array(map(printed, batch.column("text").to_pylist()), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, "_print"])
+
+    rows = docs.join(again, on_key, "left_semi")
+    rows = rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_print", T.LongType())]))
+    rows = rows.join(judged.where("stays").select("_key", "print"), on_key & (F.col("_print") == F.col("print")), "left_semi")
+    one = rows.groupBy(key, "_print").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("_row"))
+    return kept.unionAll(one.select("_row.*"))

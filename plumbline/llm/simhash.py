@@ -55,11 +55,11 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The SimHash of one text as a signed 64-bit number."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The hashes of the text's shingles; repeats count."""
     found = (text or "").encode().translate(LOWER).split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     if len(found) <= words:
         spans = [(0, len(joined))]
@@ -68,7 +68,12 @@ def fingerprint(text: str | None, words: int) -> int:
         ends = np.cumsum(sizes + 1) - 1
         spans = zip((ends - sizes)[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist())
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """The SimHash of one text as a signed 64-bit number."""
+    hashes = shingle_hashes(text, words)
     set_bits = 2 * bit_counts(hashes) > len(hashes)
     return int(np.packbits(set_bits, bitorder="little").view(np.int64)[0])
 
