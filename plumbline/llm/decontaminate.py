@@ -7,7 +7,7 @@ all matches of `min_words` words or more, and all items shorter than that as a w
 
 Each task builds the automaton from the items' words once.  Its size is bounded: items are dealt into packs of at most
 `pack_words` words, and the documents are scanned pack by pack; a document's hits are then united.  A benchmark that
-fits one pack, the usual case, needs one scan and no shuffle at all.
+fits one pack, the usual case, needs one scan and no shuffle at all.  What is cut or dropped is the same for any packs.
 
 Nulls, ties and the like: a null or empty text has no words and no hits; items without words match nothing; repeated
 items count once by their id; items with a null id mark hits but are not listed; an item longer than a pack is a pack
@@ -16,7 +16,8 @@ by itself; an empty benchmark leaves all documents clean; other columns of the t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from plumbline.llm.common import lower_ascii, only_columns, staged, text_or_empty
+from plumbline.llm.common import forget, lower_ascii, only_columns, staged, text_or_empty
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bytes of words to themselves, A-Z to a-z, all others to a space.  Bytes from 128 on belong to characters beyond ASCII.
@@ -252,8 +253,10 @@ def matches(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, pack_
 
         return run
 
-    for number, pack in enumerate([*packs(items, pack_words, item_key)] or [[]]):
-        rows = (staged(rows, "hits") if number else rows).mapInArrow(scanner(pack), rows.schema)
+    dealt, shape = packs(items, pack_words, item_key), rows.schema
+    rows = rows.mapInArrow(scanner(next(dealt, [])), shape)
+    for pack in dealt:  # one pack at a time is on the driver
+        rows = staged(rows, "hits").mapInArrow(scanner(pack), shape)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return rows.select(key, "n_words", hit.alias("n_hit"), "longest", "spans", "items")
 
@@ -283,26 +286,73 @@ def decontaminated(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS
                         spans = automaton.scan(words_of(text))[0]
                     texts.append(text)
                     sizes.append(len(text or ""))
-                new = {"text": pa.array(texts, pa.string()), "_cut": pa.array(cuts, pa.bool_())}
+                new = {"text": pa.array(texts, pa.string())}
                 if counted:
                     old = batch.column("n_chars")
-                    new["n_chars"] = pc.if_else(new["_cut"], pa.array(sizes, old.type), old)
-                arrays = [new[c] if c in new else batch.column(c) for c in [*columns, "_cut"]]
-                yield pa.RecordBatch.from_arrays(arrays, [*columns, "_cut"]).filter(pa.array(keep, pa.bool_()))
+                    new["n_chars"] = pc.if_else(pa.array(cuts, pa.bool_()), pa.array(sizes, old.type), old)
+                arrays = [new[c] if c in new else batch.column(c) for c in columns]
+                yield pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array(keep, pa.bool_()))
 
         return run
 
-    out_schema = T.StructType([*schema.fields, T.StructField("_cut", T.BooleanType())])
-    dealt = [*packs(items, pack_words, item_key)]
-    rows = docs
-    while dealt:
-        again = False
+    dealt = packs(items, pack_words, item_key)
+    first = next(dealt, None)
+    if first is None:
+        return docs
+    second = next(dealt, None)
+    if second is None:
+        return docs.mapInArrow(cutter(first), schema)
+    return _in_packs(docs, chain([first, second], dealt), lambda: packs(items, pack_words, item_key), min_words, max_share, counted)
+
+
+def _in_packs(docs: DataFrame, dealt: Iterator[list], anew: Callable[[], Iterator[list]], min_words: int, max_share: float, counted: bool) -> DataFrame:
+    """decontaminated() for items of many packs, which `dealt` and for each further round `anew` fetch one at a time.
+
+    Each round unites the spans of all packs on one text and then cuts them at once; the first, on the original texts,
+    decides which rows go.  So the rows are those that one pack would give.  Only texts cut last are scanned again.
+    """
+    columns, schema = docs.columns, docs.schema
+    wide = T.StructType([*schema.fields, T.StructField("_open", T.BooleanType()), T.StructField("_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
+
+    def scanner(pack: list):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = Automaton(pack, min_words)
+            for batch in batches:
+                spans = []
+                for text, again, old in zip(*(batch.column(c).to_pylist() for c in ("text", "_open", "_spans"))):
+                    found = automaton.scan(words_of(text))[0] if again else []
+                    spans.append([{"start": a, "end": b} for a, b in _united([*found, *((s["start"], s["end"]) for s in old)])])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, SPANS)], batch.schema.names)
+
+        return run
+
+    def cutter(judge: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, sizes, cuts, keep = [], [], [], []
+                for text, found in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
+                    spans = [(s["start"], s["end"]) for s in found]
+                    keep.append(not judge or sum(b - a for a, b in spans) <= max_share * len(words_of(text)))
+                    cuts.append(bool(spans))
+                    texts.append(without(text, spans) if spans else text)
+                    sizes.append(len(texts[-1] or ""))
+                cut = pa.array(cuts, pa.bool_())
+                new = {"text": pa.array(texts, pa.string()), "_open": cut, "_spans": pa.array([[]] * len(texts), SPANS)}
+                if counted:
+                    old = batch.column("n_chars")
+                    new["n_chars"] = pc.if_else(cut, pa.array(sizes, old.type), old)
+                arrays = [new[c] if c in new else batch.column(c) for c in wide.names]
+                yield pa.RecordBatch.from_arrays(arrays, wide.names).filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    rows, before, judge = docs.select("*", F.lit(True).alias("_open"), F.array().cast(SPAN_TYPE).alias("_spans")), None, True
+    while True:
         for pack in dealt:
-            rows = rows.mapInArrow(cutter(pack), out_schema)
-            if len(dealt) > 1:
-                rows = staged(rows, "cut")
-                again = again or rows.where("_cut").limit(1).count() > 0
-            rows = rows.drop("_cut")
-        if not again:
-            break
-    return rows
+            rows = staged(rows.mapInArrow(scanner(pack), wide), "hits")
+            if before is not None:
+                forget(before)
+            before = rows
+        if not rows.where(F.size("_spans") > 0).limit(1).count():
+            return rows.select(*columns)
+        rows, dealt, judge = rows.mapInArrow(cutter(judge), wide), anew(), False

@@ -55,3 +55,29 @@ def test_word_places():
     starts, ends = D.word_places(text)
     assert [text[a:b] for a, b in zip(starts, ends)] == re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)
     assert D.words_of(text) == [text[a:b].lower().encode() for a, b in zip(starts, ends)]
+
+
+def test_one_pack_and_many_give_equal_rows(spark):
+    some = lambda letter, n: [f"{letter}{i}" for i in range(n)]
+    a, b = some("a", 12), some("b", 12)
+    items = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(some("x", 5) + some("y", 5)))], "item_id long, text string")
+    texts = [
+        some("c", 8) + a + some("d", 8) + b,  # 24 of 40 words, 12 in each pack
+        some("c", 20) + a + some("d", 20) + b,  # 24 of 64
+        some("c", 40) + some("x", 5) + a + some("y", 5) + some("d", 40),  # what is left forms another match
+        some("e", 9),
+    ]
+    docs = spark.createDataFrame([(i, " ".join(t), len(" ".join(t))) for i, t in enumerate(texts)] + [(None, None, None)], "doc_id long, text string, n_chars long")
+    one, many = (sorted(map(tuple, D.decontaminated(docs, items, pack_words=n).collect()), key=str) for n in (100, 12))
+    assert one == many and [r[0] for r in one] == [1, 2, 3, None]
+    assert one[1][1].split() == some("c", 40) + some("d", 40)
+
+
+def test_packs_are_fetched_one_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "k l m n")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"{x} b c") for i, x in enumerate("adefgh")], "item_id long, text string")
+    fetched, seen, real, build = [], [], D.packs, D.staged
+    monkeypatch.setattr(D, "packs", lambda *a: (fetched.append(1) or p for p in real(*a)))
+    monkeypatch.setattr(D, "staged", lambda *a: (seen.append(len(fetched)), build(*a))[1])
+    assert {r["doc_id"]: r["n_hit"] for r in D.matches(docs, items, 2, 3).collect()} == {1: 3, 2: 0}
+    assert seen == [2, 3, 4, 5, 6]
