@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import forget, only_columns, staged, text_rows
-from plumbline.llm.components import components
+from plumbline.llm.components import components, first_of_each
 
 BITS = 64
 SEED = 42
@@ -120,33 +120,33 @@ def close_links(prints: DataFrame) -> DataFrame:
     return verified.unionAll(stars)
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, key: str = "doc_id") -> DataFrame:
-    """(key, fingerprint, component_id): one row for each row of `docs`.
-
-    component_id is the smallest key that links reach, the row's own included.  Fingerprints are staged; links,
-    components and joins move only numbers.
-    """
+def _grouped(docs: DataFrame, words: int, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, fingerprint) of every row, and (fp, root, component_id) of every fingerprint, both staged."""
     rows = staged(fingerprints(docs, words, key), "fingerprints")
     prints = staged(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(key).alias("least")), "prints")
     roots = staged(components(close_links(prints.select("fp"))), "roots")
     grouped = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = staged(grouped.join(least, "root").select("fp", "component_id"), "named")
+    named = staged(grouped.join(least, "root").select("fp", "root", "component_id"), "named")
     forget(prints, roots)
+    return rows, named
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, key: str = "doc_id") -> DataFrame:
+    """(key, fingerprint, component_id): one row for each row of `docs`.
+
+    component_id is the smallest key that links reach, the row's own included.  Fingerprints are staged; links,
+    components and joins move only numbers.
+    """
+    rows, named = _grouped(docs, words, key)
     return rows.join(named, F.col("fingerprint") == F.col("fp"), "left").select(key, "fingerprint", "component_id")
 
 
 def deduplicated(docs: DataFrame, words: int = 3, key: str = "doc_id") -> DataFrame:
-    """The rows of `docs` without those whose component has a smaller key; of rows with one key, one stays.
+    """The rows of `docs`, of each component only those of its smallest (key, fingerprint), as one document.
 
-    Rows with a null key always stay.  The table of keys to drop is narrow; the optimizer broadcasts it if it is small
-    and else joins by the key, which is the only time that texts move.
+    Rows with a null key always stay; a key that repeats with unlike texts stays with each of them.
     """
-    found = staged(near_duplicates(docs, words, key), "groups")
-    copies = found.where(F.col("component_id") < F.col(key)).select(F.col(key).alias("_copy")).distinct()
-    kept = docs.join(copies, F.col(key) == F.col("_copy"), "left_anti")
-    ids = found.agg(F.count(key), F.count_distinct(key)).first()
-    if ids[0] == ids[1]:
-        return kept
-    named = kept.where(F.col(key).isNotNull())
-    return named.dropDuplicates([key]).unionAll(kept.where(F.col(key).isNull()))
+    rows, named = _grouped(docs, words, key)
+    found = rows.join(named, F.col("fingerprint") == F.col("fp")).select(key, F.col("fp").alias("print"), "root")
+    return first_of_each(docs, found, lambda text: fingerprint(text, words), key)

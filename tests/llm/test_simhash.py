@@ -4,6 +4,7 @@ import re
 import xxhash
 from pyspark.sql import functions as F
 
+from plumbline.llm import near_copies
 from plumbline.llm import simhash as H
 from plumbline.llm.components import components
 
@@ -85,3 +86,12 @@ def test_a_copy_held_by_most_rows(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "one two three four").otherwise(F.concat(F.lit("unlike "), F.sha2(F.col("id").cast("string"), 256))).alias("text"))
     got = {r["doc_id"]: r["component_id"] for r in H.near_duplicates(df).collect()}
     assert all(got[i] == 1 for i in got if i % 3)
+
+
+def test_ids_that_repeat_with_unlike_texts(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "red green blue white black grey"
+    rows = [(1, a), (9, a), (9, b), (12, b), (20, c), (20, "gold " * 9), (20, c), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for module in (H, near_copies):
+        got = sorted(((r["doc_id"], r["text"]) for r in module.deduplicated(docs).collect()), key=str)
+        assert got == sorted([(1, a), (9, b), (20, c), (20, "gold " * 9), (None, a)], key=str)
