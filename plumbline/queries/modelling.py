@@ -172,14 +172,7 @@ def train_classifiers(spark, folder):
 def train_margin_and_boosted_classifiers(spark, folder):
     df = training_documents(spark, folder)
     names = ("Linear SVM", "RBF SVM", "AdaBoost", "Gradient Boosting", "MLP Neural Net")
-    params = {
-        "Linear SVM": {"max_iter": 20},
-        "RBF SVM": {"size": 64, "max_iter": 20},
-        "AdaBoost": {"n_estimators": 12},
-        "Gradient Boosting": {"n_estimators": 8},
-        "MLP Neural Net": {"max_iter": 60},
-    }
-    return _board(train_models(df, "quality", "doc_id", "classification", names, folds=0, params=params), df)
+    return _board(train_models(df, "quality", "doc_id", "classification", names), df)
 
 
 @query("train_multiclass")
@@ -192,8 +185,7 @@ def train_multiclass(spark, folder):
 def train_regressors(spark, folder):
     df = pricing(spark, folder)
     names = ("Linear Regression", "Decision Tree", "Gradient Boosting")
-    params = {"Gradient Boosting": {"n_estimators": 8}, "Decision Tree": {"max_depth": 5}}
-    return _board(train_models(df, "o_totalprice", "o_orderkey", "regression", names, folds=2, params=params), df)
+    return _board(train_models(df, "o_totalprice", "o_orderkey", "regression", names), df)
 
 
 @query("tune_model")

@@ -187,3 +187,16 @@ def test_streams(spark, classes, bundle, tmp_path):
     seen = []
     watch_drift(stream, classes, lambda t, n: seen.append({r["feature"] for r in t.collect()}), str(tmp_path / "chk"), target="target").awaitTermination(120)
     assert seen and seen[0] == {"row_id", "x1", "x2"}
+
+
+def test_training_queries_run_the_defaults(spark, monkeypatch):
+    from plumbline.queries import modelling as Q
+
+    given = []
+    monkeypatch.setattr(Q, "train_models", lambda *a, **settings: given.append((len(a), settings)))
+    monkeypatch.setattr(Q, "_board", lambda *a: None)
+    monkeypatch.setattr(Q, "training_documents", lambda *a: None)
+    monkeypatch.setattr(Q, "pricing", lambda *a: None)
+    for query in (Q.train_classifiers, Q.train_margin_and_boosted_classifiers, Q.train_multiclass, Q.train_regressors):
+        query(spark, "")
+    assert given == [(5, {})] * 4
