@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, cotraining, decontaminate, language, mixing, quality_rules, secret_scan, sharding, simhash, token_files
+from plumbline.llm import chat, cotraining, decontaminate, language, mixing, quality_rules, secret_scan, sharding, simhash, spelling, token_files, vector_codes
 from plumbline.llm.common import only_columns, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return token_files.read_back(*token_files.written(table(spark, folder, "documents"), path), path)
+
+
+@query("op12_active_entry_codes", vector_codes.codes_sql("embeddings"))
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.code_table(table(spark, folder, "embeddings"))
+
+
+@query("op11_composed_spelling_variants", spelling.variants_sql("documents", crc_sql("s"), CRC_SQL))
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
