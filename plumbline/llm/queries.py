@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, cotraining, decontaminate, language, mixing, quality_rules, secret_scan, sharding, simhash, spelling, token_files, vector_codes
+from plumbline.llm import chat, cotraining, decontaminate, language, mixing, personal_data, quality_rules, secret_scan, sharding, simhash, spelling, token_files, vector_codes
 from plumbline.llm.common import only_columns, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,8 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_composed_spelling_variants", spelling.variants_sql("documents", crc_sql("s"), CRC_SQL))
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
+
+
+@query("op13_bootstrapped_personal_data", personal_data.personal_data_sql("documents"))
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.personal_data_table(table(spark, folder, "documents"))
