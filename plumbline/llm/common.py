@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,17 @@ def forget(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def portions(batches: Iterable, rows: int):
+    """The batches in slices of so many rows at most, so that few whole texts are Python objects at a time.
+
+    What a worker's Arrow pool holds back goes to the system at the end, as workers live on for later tasks.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def text_rows(batches: Iterable, *columns: str):
     """Python lists of the columns of each Arrow batch."""
     for batch in batches:

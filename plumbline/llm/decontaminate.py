@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from plumbline.llm.common import forget, lower_ascii, only_columns, staged, text_or_empty
+from plumbline.llm.common import forget, lower_ascii, only_columns, portions, staged, text_or_empty
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bytes of words to themselves, A-Z to a-z, all others to a space.  Bytes from 128 on belong to characters beyond ASCII.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Words of a match, unless the item has fewer.
 MIN_WORDS = 10
+#: Texts that are taken at a time.
+BATCH = 256
 #: Words of the items of one automaton.
 PACK_WORDS = 200_000
 
@@ -239,7 +241,7 @@ def matches(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, pack_
     def scanner(pack: list[tuple[object, list[bytes]]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(pack, min_words)
-            for batch in batches:
+            for batch in portions(batches, BATCH):
                 counts, longest, spans, met = [], [], [], []
                 for text, far, old, names in zip(*(batch.column(c).to_pylist() for c in ("text", "longest", "spans", "items"))):
                     words = words_of(text)
@@ -274,7 +276,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS
     def cutter(pack: list[tuple[object, list[bytes]]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(pack, min_words)
-            for batch in batches:
+            for batch in portions(batches, BATCH):
                 texts, sizes, cuts, keep = [], [], [], []
                 for text in batch.column("text").to_pylist():
                     words = words_of(text)
@@ -317,7 +319,7 @@ def _in_packs(docs: DataFrame, dealt: Iterator[list], anew: Callable[[], Iterato
     def scanner(pack: list):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(pack, min_words)
-            for batch in batches:
+            for batch in portions(batches, BATCH):
                 spans = []
                 for text, again, old in zip(*(batch.column(c).to_pylist() for c in ("text", "_open", "_spans"))):
                     found = automaton.scan(words_of(text))[0] if again else []
@@ -328,7 +330,7 @@ def _in_packs(docs: DataFrame, dealt: Iterator[list], anew: Callable[[], Iterato
 
     def cutter(judge: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in portions(batches, BATCH):
                 texts, sizes, cuts, keep = [], [], [], []
                 for text, found in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
                     spans = [(s["start"], s["end"]) for s in found]

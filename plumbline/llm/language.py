@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import HASH_BITS, hash_number, only_columns, staged
+from plumbline.llm.common import HASH_BITS, hash_number, only_columns, portions, staged
 
 UNKNOWN = "und"
 #: Families by ISO 639-1 code.
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, per_language: int = 500, per_class: int = 600, families
     sample = likely.withColumn("turn", turn).where(F.col("turn") <= per_language)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, BATCH):
             xs = [features(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("turn"), pa.array(xs, pa.binary())], ["lang", "turn", "x"])
 
@@ -228,7 +228,7 @@ def predicted(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     rows = only_columns(docs, *dict.fromkeys([*names, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, BATCH):
             langs, scores = model.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
