@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from math import exp, log
 
 from pyspark import StorageLevel
 from pyspark.ml import Model, Pipeline, PipelineModel
@@ -21,15 +20,14 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.ml.boosting import boosted_stumps
 from plumbline.ml.kernels import RandomFourierFeatures
 from plumbline.operators.neighbors import knn_classify, knn_regress
-from plumbline.session import checkpoint_dir
 
 SEED = 42
 
@@ -120,59 +118,9 @@ def ridge(df: DataFrame, shape: Shape, alpha: float = 1.0) -> PipelineModel:
     return Pipeline(stages=[LinearRegression(regParam=reg, elasticNetParam=0.0, standardization=False)]).fit(df)
 
 
-def adaboost(df: DataFrame, shape: Shape, n_estimators: int = 160, max_depth: int = 1, learning_rate: float = 1.0, checkpoint_every: int = 10) -> PipelineModel:
-    """Multi-class boosting of weighted stumps by exponential reweighting.
-
-    Rows keep their weight in a column; the lineage is cut by a checkpoint every few rounds.
-    """
-    checkpoint_dir(df.sparkSession)
-    k = shape.classes
-    current = df.select("features", "label").withColumn("w", F.lit(1.0)).persist(StorageLevel.MEMORY_AND_DISK)
-    trees, votes = [], []
-    for i in range(n_estimators):
-        tree = DecisionTreeClassifier(
-            maxDepth=max_depth, weightCol="w", seed=SEED, predictionCol=f"stump_{i}", rawPredictionCol=f"stump_raw_{i}", probabilityCol=f"stump_p_{i}"
-        ).fit(current)
-        tree.setRawPredictionCol("").setProbabilityCol("")
-        judged = tree.transform(current)
-        missed = (F.col(f"stump_{i}") != F.col("label")).cast("double")
-        total, wrong, rows = judged.agg(F.sum("w"), F.sum(missed * F.col("w")), F.count("*")).first()
-        error = wrong / total
-        if error >= 1 - 1 / k:
-            break  # no better than chance: nothing more to learn from
-        alpha = learning_rate * (log(max(1 - error, 1e-10) / max(error, 1e-10)) + log(k - 1))
-        trees.append(tree)
-        votes.append(alpha)
-        if error <= 0:
-            break
-        # weights average 1, so they neither vanish nor overflow over many rounds
-        lift = exp(min(alpha, 60.0))
-        mean = (total - wrong + wrong * lift) / rows
-        updated = judged.withColumn("w", F.col("w") * F.when(missed > 0, lift).otherwise(1.0) / mean).drop(f"stump_{i}")
-        if (i + 1) % checkpoint_every == 0:
-            updated = updated.checkpoint(eager=True)
-        updated = updated.persist(StorageLevel.MEMORY_AND_DISK)
-        updated.count()
-        current.unpersist()
-        current = updated
-    current.unpersist()
-    if not trees:
-        raise ValueError("no stump is better than chance")
-    return PipelineModel([*trees, *_vote_stages(votes, k)])
-
-
-def _vote_stages(votes: list[float], classes: int) -> list:
-    whole = sum(votes)
-    share = [
-        " + ".join(f"{a / whole!r}D * cast(stump_{i} = {c} as double)" for i, a in enumerate(votes)) + f" AS vote_{c}" for c in range(classes)
-    ]
-    names = ", ".join(f"vote_{c}" for c in range(classes))
-    pick = f"cast(array_position(array({names}), array_max(array({names}))) - 1 as double) AS prediction"
-    return [
-        SQLTransformer(statement=f"SELECT *, {', '.join(share)} FROM __THIS__"),
-        SQLTransformer(statement=f"SELECT *, {pick} FROM __THIS__"),
-        VectorAssembler(inputCols=[f"vote_{c}" for c in range(classes)], outputCol="probability"),
-    ]
+def adaboost(df: DataFrame, shape: Shape, n_estimators: int = 160, learning_rate: float = 1.0, checkpoint_every: int = 20) -> PipelineModel:
+    """Boosted stumps; see `ml.boosting`."""
+    return boosted_stumps(df, shape.width, shape.classes, n_estimators, learning_rate, checkpoint_every)
 
 
 class NeighborModel(Model):

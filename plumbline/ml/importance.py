@@ -23,6 +23,8 @@ def _slot_weights(stage) -> np.ndarray | None:
 
 def slot_importance(model: Model, width: int) -> np.ndarray | None:
     """Importance per vector position; None for models that have none."""
+    if hasattr(model, "slot_weights"):
+        return model.slot_weights
     stages = model.stages if isinstance(model, PipelineModel) else [model]
     found = [w for w in (_slot_weights(s) for s in stages) if w is not None and len(w) == width]
     if not found:

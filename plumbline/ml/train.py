@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 from pyspark import StorageLevel
@@ -20,7 +21,7 @@ from plumbline.ml.importance import feature_importance
 from plumbline.ml.prepare import Preparation, encode_label, fit_preparation, label_levels
 from plumbline.operators import evaluate as V
 from plumbline.operators.split import assign_folds, train_test_split
-from plumbline.session import stage
+from plumbline.session import PARALLEL, concurrently, stage
 
 # Limits of a run, and the search ranges per model family.
 TRIALS = 12
@@ -138,16 +139,25 @@ class Folds:
             parts.append((ready, held_out, shape, keep))
         return cls(parts)
 
-    def scores(self, fit: Fitter, task: str, params: dict) -> list[float]:
-        out = []
-        for f, (train, test, shape, kept) in enumerate(self.parts):
+    def tasks(self, fit: Fitter, task: str, params: dict) -> list[Callable[[], float | None]]:
+        """One cross-validation as a task for each fold, which returns its score."""
+
+        def one(f: int) -> float | None:
+            train, test, shape, kept = self.parts[f]
             used = train if kept else train.persist(StorageLevel.MEMORY_AND_DISK)
-            scored = score_frame(fit(used, shape, **params), test, task).withColumn("fold", F.lit(f))
-            row = V.fold_scores(scored, task).first()
-            out.append(row["score"] if row else None)
-            if not kept:
-                used.unpersist()
-        return out
+            try:
+                scored = score_frame(fit(used, shape, **params), test, task).withColumn("fold", F.lit(f))
+                row = V.fold_scores(scored, task).first()
+                return row["score"] if row else None
+            finally:
+                if not kept:
+                    used.unpersist()
+
+        return [partial(one, f) for f in range(len(self.parts))]
+
+    def at_a_time(self, parallel: int) -> int:
+        """A large fold is held while it is fitted, so such folds go one by one."""
+        return parallel if all(kept for *_, kept in self.parts) else 1
 
     def release(self) -> None:
         for train, test, _, kept in self.parts:
@@ -170,24 +180,40 @@ def draw(space: dict, rng: np.random.Generator) -> dict:
     return out
 
 
-def search(folds: Folds, fit: Fitter, task: str, space: dict, trials: int = TRIALS, budget: float | None = None, seed: int = 42) -> dict:
+def search(folds: Folds, fit: Fitter, task: str, space: dict, trials: int = TRIALS, budget: float | None = None, seed: int = 42, parallel: int = PARALLEL) -> dict:
     """Seeded random search; each trial is one cross-validation.
 
     With a `budget` in seconds the clock is read between trials, and `n_trials` tells how many there were; without one
     the same seed gives the same search on any machine.
     """
-    rng, begun = np.random.default_rng(seed), time.monotonic()
+    rng, begun, spark = np.random.default_rng(seed), time.monotonic(), folds.parts[0][0].sparkSession
     history = []
-    for _ in range(trials):
-        params = draw(space, rng)
-        scores = [s for s in folds.scores(fit, task, params) if s is not None]
-        history.append((float(np.mean(scores)) if scores else -1e9, params))
+    drawn = [draw(space, rng) for _ in range(trials)]
+    parallel = folds.at_a_time(parallel)
+    together = 1 if budget is not None else trials  # the clock is read between trials
+    for start in range(0, trials, together):
+        block = drawn[start : start + together]
+        done = _all_or_raise(concurrently(spark, [t for params in block for t in folds.tasks(fit, task, params)], parallel))
+        for i, params in enumerate(block):
+            scores = [s for s in done[i * len(folds.parts) : (i + 1) * len(folds.parts)] if s is not None]
+            history.append((float(np.mean(scores)) if scores else -1e9, params))
         if budget is not None and time.monotonic() - begun >= budget:
             break
     value, params = max(history, key=lambda h: h[0])
     return {"best_value": value, "best_params": params, "n_trials": len(history)}
 
 
+def _all_or_raise(done: list[tuple]) -> list:
+    for _, problem in done:
+        if problem is not None:
+            raise problem
+    return [value for value, _ in done]
+
+
+def _short(problem: Exception) -> str:
+    return str(problem).split("\n")[0][:500]
+
+
 def train_models(
     df: DataFrame,
     target: str,
@@ -201,11 +227,13 @@ def train_models(
     tune: bool = False,
     trials: int = TRIALS,
     budget: float | None = None,
+    parallel: int = PARALLEL,
 ) -> TrainingRun:
     """Split, prepare, then fit and measure each model; a failing model is recorded and the run goes on.
 
     `key` is a unique row key, not a feature.  Cross-validation covers all rows, with the
-    preparation refitted on each training part; `folds=0` skips it.
+    preparation refitted on each training part; `folds=0` skips it.  Up to `parallel` fits, folds or trials run at the
+    same time, with the results that they have one after the other.
     """
     if target not in df.columns:
         raise ValueError(f"target column '{target}' is missing")
@@ -229,24 +257,33 @@ def train_models(
     fitted, held = _held(_apply(prepare, train)), _held(_apply(prepare, test))
     shape = shape_of(fitted, len(prep.slots()), len(labels) if labels else 0)
     splits = Folds.build(base, key, target, task, labels, folds, usable) if folds else None
-    done = []
-    for name in names:
+    def fitted_model(result: Trained) -> None:
         started = time.monotonic()
-        result = Trained(name, task)
+        result.model = catalog[result.name](fitted, shape, **result.params)
+        result.seconds = time.monotonic() - started
+        result.metrics = evaluate_model(score_frame(result.model, held, task), task, shape.classes)
+        result.importance = feature_importance(result.model, prep.slots())
+
+    done = [Trained(name, task, params=dict((params or {}).get(name, {}))) for name in names]
+    owners: list[Trained] = []
+    tasks: list[Callable[[], object]] = []
+    for result in done:
         try:
-            result.params = dict((params or {}).get(name, {}))
-            if tune and name in SEARCH and splits:
-                found = search(splits, catalog[name], task, SEARCH[name], trials, budget)
+            if tune and result.name in SEARCH and splits:
+                found = search(splits, catalog[result.name], task, SEARCH[result.name], trials, budget, parallel=parallel)
                 result.params = {**result.params, **found["best_params"]}
-            result.model = catalog[name](fitted, shape, **result.params)
-            result.seconds = time.monotonic() - started
-            result.metrics = evaluate_model(score_frame(result.model, held, task), task, shape.classes)
-            if splits:
-                result.fold_scores = splits.scores(catalog[name], task, result.params)
-            result.importance = feature_importance(result.model, prep.slots())
-        except Exception as problem:  # one model must not end the run
-            result.error = str(problem).split("\n")[0][:500]
-        done.append(result)
+        except Exception as problem:
+            result.error = _short(problem)
+            continue
+        mine = [partial(fitted_model, result), *(splits.tasks(catalog[result.name], task, result.params) if splits else [])]
+        owners += [result] * len(mine)
+        tasks += mine
+    outcomes = concurrently(base.sparkSession, tasks, splits.at_a_time(parallel) if splits else parallel)
+    for result, work, (value, problem) in zip(owners, tasks, outcomes):
+        if problem is not None:  # one model must not end the run
+            result.error = result.error or _short(problem)
+        elif work.func is not fitted_model:
+            result.fold_scores.append(value)
     if splits:
         splits.release()
     base.unpersist()

@@ -175,6 +175,28 @@ def train_margin_and_boosted_classifiers(spark, folder):
     return _board(train_models(df, "quality", "doc_id", "classification", names), df)
 
 
+PRICED = "(SELECT count(*) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))"
+
+
+@query(
+    "boosted_stump_facts",
+    f"SELECT 'rows scored' AS fact, {PRICED} AS n UNION ALL SELECT 'rows with a known class', {PRICED} UNION ALL SELECT 'rows whose votes add up to 1', {PRICED} "
+    "UNION ALL SELECT 'folds', 5 UNION ALL SELECT 'importances that add up to 1', 1 UNION ALL SELECT 'no worse than the largest class', 1",
+)
+def boosted_stump_facts(spark, folder):
+    """What must hold for 160 rounds of boosting on the orders, whatever stumps were chosen."""
+    df = pricing(spark, folder)
+    run = train_models(df, "o_orderstatus", "o_orderkey", "classification", ("AdaBoost",))
+    model, known = run.models[0], [str(x) for x in run.labels]
+    scored = SC.score(df, ModelBundle.of(run, model, df), ["o_orderkey", "o_orderstatus"])
+    total = F.aggregate(F.map_values("probability"), F.lit(0.0), lambda a, b: a + b)
+    row = scored.agg(F.count("*"), F.count_if(F.col("prediction").isin(known)), F.count_if(F.abs(total - 1) < 1e-9), F.count_if(F.col("prediction") == F.col("o_orderstatus"))).first()
+    largest = df.groupBy("o_orderstatus").count().agg(F.max("count")).first()[0]
+    facts = ("rows scored", "rows with a known class", "rows whose votes add up to 1", "folds", "importances that add up to 1", "no worse than the largest class")
+    values = (row[0], row[1], row[2], len(model.fold_scores), int(abs(sum(model.importance.values()) - 1) < 1e-9), int(row[3] >= 0.99 * largest))
+    return spark.createDataFrame(list(zip(facts, values)), "fact string, n long")
+
+
 @query("train_multiclass")
 def train_multiclass(spark, folder):
     df = pricing(spark, folder)

@@ -1,6 +1,8 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from plumbline.ml import explain as X
@@ -112,6 +114,53 @@ def test_boosting_beats_a_stump(spark, classes):
     assert hits(8) > hits(1)
 
 
+def test_boosting_equals_boosting_on_rows(spark):
+    """Histogram rounds against the same rounds on all rows in NumPy; the model survives saving."""
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.integers(0, 12, 300), rng.integers(0, 2, 300), rng.integers(0, 5, 300)]).astype(float)
+    y = (x[:, 0] > 5).astype(int) + ((x[:, 2] > 2) & (rng.random(300) < 0.8))
+    df = spark.createDataFrame([(Vectors.dense(r), float(c)) for r, c in zip(x, y)], ["features", "label"])
+    model = adaboost(df, Shape(300, 3, 3), n_estimators=12, checkpoint_every=5)
+
+    w, votes, chosen = np.ones(300), np.zeros((300, 3)), np.zeros(3)
+    for _ in range(12):
+        best = None
+        for f in range(3):
+            for t in sorted(set(x[:, f]))[:-1]:
+                sides = [np.bincount(y[m], w[m], minlength=3) for m in (x[:, f] <= t, x[:, f] > t)]
+                purity = round(sum((s**2).sum() / s.sum() for s in sides) / w.sum(), 12)
+                if best is None or purity > best[0]:
+                    best = (purity, f, t, sides)
+        _, f, t, sides = best
+        said = np.where(x[:, f] <= t, sides[0].argmax(), sides[1].argmax())
+        error = w[said != y].sum() / w.sum()
+        if error >= 2 / 3:
+            break
+        alpha = np.log((1 - error) / error) + np.log(2)
+        votes[np.arange(300), said] += alpha
+        chosen[f] += 1
+        w = w * np.where(said != y, np.exp(alpha), 1.0)
+        w *= 300 / w.sum()
+    assert model.slot_weights.tolist() == chosen.tolist()
+    path = scratch_path(spark, "stumps")
+    model.save(path)
+    for m in (model, PipelineModel.load(path)):
+        rows = m.transform(df).select("prediction", "probability").collect()
+        assert np.allclose([r["probability"].toArray() for r in rows], votes / votes.sum(axis=1, keepdims=True))
+        assert [r["prediction"] for r in rows] == votes.argmax(axis=1).tolist()
+
+
+def test_fits_at_the_same_time_equal_those_in_sequence(classes):
+    runs = [train_models(classes, "target", "row_id", models=("Logistic Regression", "AdaBoost"), folds=3, params={"AdaBoost": {"n_estimators": 6}}, parallel=p) for p in (1, 4)]
+    one, four = [[(m.name, m.error, m.metrics, m.fold_scores, m.importance) for m in run.models] for run in runs]
+    assert one == four and all(len(m[3]) == 3 for m in one)
+
+
+def test_search_at_the_same_time_equals_the_sequence(classes):
+    runs = [train_models(classes, "target", "row_id", models=("Logistic Regression",), folds=2, tune=True, trials=3, parallel=p) for p in (1, 4)]
+    assert runs[0].models[0].params == runs[1].models[0].params and runs[0].models[0].fold_scores == runs[1].models[0].fold_scores
+
+
 def test_search_draws_are_seeded():
     space = {"a": (1, 9), "b": (0.01, 1.0, "log"), "c": (0.5, 1.0, "linear")}
     one, two = draw(space, np.random.default_rng(3)), draw(space, np.random.default_rng(3))
