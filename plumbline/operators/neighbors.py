@@ -1,11 +1,16 @@
-"""Exact k-nearest-neighbour join without all pairs.
+"""k-nearest-neighbour joins without all pairs, exact and approximate.
 
 Base vectors are put into cells around pivots.  For each query cell a distance bound is
 computed that its k nearest neighbours cannot exceed (from the k closest members of every
 base cell and the triangle inequality); a base vector is sent only to query cells it can
 still matter to.  Cells meet block by block: a block pair holds a bounded number of rows,
-measures distances with one array operation and emits at most k rows per query, so hot
-cells become more blocks rather than bigger ones.
+ranks by matrix products, measures what may be among the nearest exactly, and emits at most
+k rows per query, so hot cells become more blocks rather than bigger ones.
+
+The approximate join sends each query to the cells of its `probes` nearest pivots only.
+
+Pivots and, for each, k reaches are all that the driver and every task hold: MOST_PIVOTS x (dimension + k) numbers
+at most, whatever the rows.  Cell pairs and their bounds are computed by tasks, a query cell at a time, and stay a table.
 """
 
 from __future__ import annotations
@@ -23,110 +28,191 @@ from plumbline.operators.split import sample_rows
 from plumbline.session import stage
 
 BLOCK_ROWS = 4096
+MOST_PIVOTS = 4096
+PROBES = 8
 SLACK = 1e-9
+#: Numbers in one array of a block pair.
+ARRAY = 4_000_000
 
 
 def _pivot_count(rows: int) -> int:
-    return int(max(1, min(16_384, round((rows / 64) ** 0.5))))
+    return int(max(1, min(MOST_PIVOTS, round((rows / 64) ** 0.5))))
+
+
+def _pivots(base: DataFrame, count: int) -> np.ndarray:
+    return np.array([r["v"] for r in sample_rows(base, "id", min(count, MOST_PIVOTS)).select("v").collect()], dtype=float)
+
+
+def _vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
+    return df.select(quoted(id_col).alias("id"), F.transform(quoted(vector), lambda x: x.cast("double")).alias("v"))
 
 
-def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """`(id, v, cell, reach)`: nearest pivot and the distance to it."""
+def _assign(df: DataFrame, pivots: np.ndarray, cells: int = 1) -> DataFrame:
+    """`(id, v, cell, reach)`: the nearest pivots and the distances to them, a row for each of `cells` pivots."""
+    take = min(cells, len(pivots))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         norms = (pivots**2).sum(axis=1)
         for b in batches:
-            if not len(b):
-                continue
-            x = np.array(b["v"].tolist(), dtype=float)
-            cell = (norms - 2 * x @ pivots.T).argmin(axis=1)
-            reach = np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1))
-            yield b.assign(cell=cell.astype("int32"), reach=reach)
+            for i in range(0, len(b), BLOCK_ROWS):
+                part = b.iloc[i : i + BLOCK_ROWS]
+                x = np.array(part["v"].tolist(), dtype=float)
+                near = np.argsort(norms - 2 * x @ pivots.T, axis=1, kind="stable")[:, :take] if take > 1 else (norms - 2 * x @ pivots.T).argmin(axis=1)[:, None]
+                reach = np.sqrt(((x[:, None, :] - pivots[near]) ** 2).sum(axis=2))
+                rows = part.iloc[np.repeat(np.arange(len(part)), take)]
+                yield rows.assign(cell=near.ravel().astype("int32"), reach=reach.ravel())
 
     return df.mapInPandas(nearest, f"id {df.schema['id'].dataType.simpleString()}, v array<double>, cell int, reach double")
 
 
-def knn_join(
-    queries: DataFrame, base: DataFrame, k: int = 7, id_col: str = "id", vector: str = "v", exclude_self: bool = False, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """`(query_id, rank, neighbor_id, distance)`: Euclidean, ties by id.  Exact."""
-    q = queries.select(quoted(id_col).alias("id"), F.transform(quoted(vector), lambda x: x.cast("double")).alias("v"))
-    s = base.select(quoted(id_col).alias("id"), F.transform(quoted(vector), lambda x: x.cast("double")).alias("v"))
-    need = k + 1 if exclude_self else k
-    id_type = s.schema["id"].dataType.simpleString()
-    rows = s.count()
-    out = f"query_id {id_type}, neighbor_id {id_type}, distance double"
-    if rows == 0:
-        return s.sparkSession.createDataFrame([], f"query_id {id_type}, rank int, neighbor_id {id_type}, distance double")
-    # at most 256 pivots reach the driver
-    pivots = np.array([r["v"] for r in sample_rows(s, "id", _pivot_count(rows)).select("v").collect()], dtype=float)
-    # read by several passes: kept in memory when small, written to the shared folder when not
-    sa, qa = stage(_assign(s, pivots), "knn-base"), stage(_assign(q, pivots), "knn-queries")
-    # per base cell the `need` smallest reaches; per query cell the largest: bounded by pivots x k
-    closest = sa.select("cell", "reach").withColumn("r", F.row_number().over(W.partitionBy("cell").orderBy("reach"))).filter(F.col("r") <= need)
-    near = closest.groupBy("cell").agg(F.sort_array(F.collect_list("reach")).alias("near")).collect()
-    s_stat = {r["cell"]: r for r in sa.groupBy("cell").agg(F.max("reach").alias("reach"), F.count("*").alias("n")).collect()}
-    q_stat = {r["cell"]: r for r in qa.groupBy("cell").agg(F.max("reach").alias("reach"), F.count("*").alias("n")).collect()}
-    between = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-    near_cell = np.concatenate([np.full(len(r["near"]), r["cell"]) for r in near]).astype(int)
-    near_reach = np.concatenate([np.asarray(r["near"]) for r in near])
-    limits = []
-    for cell, stat in sorted(q_stat.items()):
-        bound = np.sort(stat["reach"] + between[cell][near_cell] + near_reach)
-        theta = float(bound[min(need, len(bound)) - 1])
-        q_blocks = -(-stat["n"] // block_rows)
-        for other, held in sorted(s_stat.items()):
-            # a member of `other` at distance r from its pivot is at least (pivot gap - own reach - r) away
-            least = float(between[cell][other]) - stat["reach"] - theta - SLACK
-            if least <= held["reach"]:
-                limits.append((int(other), int(cell), least, int(q_blocks), int(-(-held["n"] // block_rows))))
-    routes = F.broadcast(s.sparkSession.createDataFrame(limits, "cell int, q_cell int, min_reach double, q_blocks int, s_blocks int"))
-    spread = lambda blocks: F.pmod(F.xxhash64("id"), blocks).cast("int")
-    sent = (
-        sa.join(routes, "cell")
-        .filter(F.col("reach") >= F.col("min_reach"))
-        .select("id", "v", "q_cell", "cell", spread(F.col("s_blocks")).alias("s_block"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"))
-    )
-    q_routes = F.broadcast(
-        s.sparkSession.createDataFrame([(int(c), int(o), qb, sb) for o, c, _, qb, sb in limits], "q_cell int, cell int, q_blocks int, s_blocks int")
-    )
-    asked = (
-        qa.select("id", "v", F.col("cell").alias("q_cell"))
-        .join(q_routes, "q_cell")
-        .select("id", "v", "q_cell", "cell", spread(F.col("q_blocks")).alias("q_block"), F.explode(F.sequence(F.lit(0), F.col("s_blocks") - 1)).alias("s_block"))
-    )
+def _centred(df: DataFrame, pivots: np.ndarray) -> np.ndarray:
+    """The pivots moved to the means of their cells; the driver gets one number a pivot and dimension."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(pivots), pivots.shape[1] + 1))
+        for b in batches:
+            np.add.at(total, b["cell"].to_numpy(), np.column_stack([np.array(b["v"].tolist()), np.ones(len(b))]))
+        at = np.flatnonzero(np.repeat(total[:, -1] > 0, total.shape[1]))
+        yield pd.DataFrame({"at": at, "value": total.ravel()[at]})
+
+    out = np.zeros(len(pivots) * (pivots.shape[1] + 1))
+    assigned = _assign(df, pivots).select("v", "cell")
+    for at, value in assigned.mapInPandas(sums, "at long, value double").groupBy("at").agg(F.sum("value")).collect():
+        out[at] = value
+    out = out.reshape(len(pivots), -1)
+    return np.where(out[:, -1:] > 0, out[:, :-1] / np.maximum(out[:, -1:], 1), pivots)
+
+
+def _routes(base: DataFrame, queries: DataFrame, pivots: np.ndarray, need: int, block_rows: int) -> DataFrame:
+    """`(cell, q_cell, min_reach, q_blocks, s_blocks)`: base cells that may hold neighbours of a query cell.
+
+    A member of the base cell matters if its reach is `min_reach` or more.
+    """
+    closest = base.select("cell", "reach").withColumn("r", F.row_number().over(W.partitionBy("cell").orderBy("reach"))).filter(F.col("r") <= need)
+    near = closest.groupBy("cell").agg(F.sort_array(F.collect_list("reach")).alias("near"))
+    held = base.groupBy("cell").agg(F.max("reach").alias("reach"), F.count("*").alias("n")).join(near, "cell").orderBy("cell").collect()  # a row a pivot
+    cells, reach = np.array([r["cell"] for r in held]), np.array([r["reach"] for r in held])
+    blocks = np.array([-(-r["n"] // block_rows) for r in held])
+    near_at = np.repeat(np.arange(len(held)), [len(r["near"]) for r in held])
+    near_reach = np.concatenate([r["near"] for r in held])
+
+    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for cell, far, n in b.itertuples(index=False):
+                gaps = np.sqrt(((pivots[cells] - pivots[cell]) ** 2).sum(axis=1))
+                bound = far + gaps[near_at] + near_reach
+                at = min(need, len(bound)) - 1
+                theta = float(np.partition(bound, at)[at])
+                # a member at distance r from its pivot is at least (pivot gap - own reach - r) away
+                least = gaps - far - theta - SLACK
+                open_ = least <= reach
+                yield pd.DataFrame({"cell": cells[open_], "q_cell": cell, "min_reach": least[open_], "q_blocks": -(-n // block_rows), "s_blocks": blocks[open_]})
+
+    asked = queries.groupBy("cell").agg(F.max("reach").alias("reach"), F.count("*").alias("n"))
+    return asked.mapInPandas(bounds, "cell int, q_cell int, min_reach double, q_blocks int, s_blocks int")
+
+
+def _block_best(need: int):
+    """The `need` nearest rows of a right block for each row of a left one; ties by id."""
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
         if not len(left) or not len(right):
-            return empty
+            return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
         right = right.sort_values("id")
         a, b = np.array(left["v"].tolist()), np.array(right["v"].tolist())
-        ids = right["id"].to_numpy()
+        asked, ids = left["id"].to_numpy(), right["id"].to_numpy()
         take = min(need, len(b))
+        norms = (b**2).sum(axis=1)
         parts = []
-        step = max(1, 4_000_000 // (b.shape[0] * b.shape[1]))
+        step = max(1, ARRAY // len(b))
         for i in range(0, len(a), step):
-            d = np.sqrt(((a[i : i + step, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-            pick = np.argsort(d, axis=1, kind="stable")[:, :take]
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "query_id": np.repeat(left["id"].to_numpy()[i : i + step], take),
-                        "neighbor_id": ids[pick.ravel()],
-                        "distance": np.take_along_axis(d, pick, axis=1).ravel(),
-                    }
-                )
-            )
+            x = a[i : i + step]
+            own = (x**2).sum(axis=1)
+            rough = own[:, None] + norms - 2 * x @ b.T
+            # what rounding of the product could have put behind the last one is measured too
+            last = np.partition(rough, take - 1, axis=1)[:, take - 1] + 1e-13 * len(b[0]) * (own + norms.max())
+            row, col = np.nonzero(rough <= last[:, None])
+            d = np.concatenate([np.sqrt(((x[row[j : j + step]] - b[col[j : j + step]]) ** 2).sum(axis=1)) for j in range(0, len(row), step)])
+            order = np.lexsort((col, d, row))
+            row, col, d = row[order], col[order], d[order]
+            first = np.searchsorted(row, row)
+            kept = np.arange(len(row)) - first < take
+            parts.append(pd.DataFrame({"query_id": asked[i : i + step][row[kept]], "neighbor_id": ids[col[kept]], "distance": d[kept]}))
         return pd.concat(parts)
 
-    keys = ["q_cell", "cell", "q_block", "s_block"]
-    candidates = asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(best, out)
+    return best
+
+
+def _spread(blocks: str):
+    return F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+
+
+def _every(blocks: str):
+    return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+
+def _ranked(asked: DataFrame, sent: DataFrame, keys: list[str], need: int, k: int, exclude_self: bool, id_type: str) -> DataFrame:
+    found = asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(_block_best(need), f"query_id {id_type}, neighbor_id {id_type}, distance double")
     if exclude_self:
-        candidates = candidates.filter(F.col("query_id") != F.col("neighbor_id"))
+        found = found.filter(F.col("query_id") != F.col("neighbor_id"))
     order = W.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    ranked = candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "neighbor_id", "distance")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+
+
+def _nothing(base: DataFrame, id_type: str) -> DataFrame:
+    return base.sparkSession.createDataFrame([], f"query_id {id_type}, rank int, neighbor_id {id_type}, distance double")
+
+
+def knn_join(
+    queries: DataFrame, base: DataFrame, k: int = 7, id_col: str = "id", vector: str = "v", exclude_self: bool = False, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """`(query_id, rank, neighbor_id, distance)`: Euclidean, ties by id.  Exact."""
+    q, s = _vectors(queries, id_col, vector), _vectors(base, id_col, vector)
+    need = k + 1 if exclude_self else k
+    id_type, rows = s.schema["id"].dataType.simpleString(), s.count()
+    if rows == 0:
+        return _nothing(s, id_type)
+    pivots = _pivots(s, _pivot_count(rows))
+    # read by several passes: kept in memory when small, written to the shared folder when not
+    sa, qa = stage(_assign(s, pivots), "knn-base"), stage(_assign(q, pivots), "knn-queries")
+    routes = stage(_routes(sa, qa, pivots, need, block_rows), "knn-routes")
+    sent = sa.join(routes, "cell").filter(F.col("reach") >= F.col("min_reach")).select("id", "v", "q_cell", "cell", _spread("s_blocks").alias("s_block"), _every("q_blocks").alias("q_block"))
+    own = qa.select("id", "v", F.col("cell").alias("q_cell"))
+    asked = own.join(routes.drop("min_reach"), "q_cell").select("id", "v", "q_cell", "cell", _spread("q_blocks").alias("q_block"), _every("s_blocks").alias("s_block"))
+    return _ranked(asked, sent, ["q_cell", "cell", "q_block", "s_block"], need, k, exclude_self, id_type)
+
+
+def knn_approximate(
+    queries: DataFrame,
+    base: DataFrame,
+    k: int = 7,
+    id_col: str = "id",
+    vector: str = "v",
+    exclude_self: bool = False,
+    probes: int = PROBES,
+    pivots: int | None = None,
+    rounds: int = 2,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """knn_join() over the base cells of each query's `probes` nearest pivots only; distances and ranks are exact among those.
+
+    Pivots are rows moved to the means of their cells in `rounds` rounds.  Each base row is in one cell, each query in `probes`; with `probes` at the number of pivots the join is exact.  Cells of
+    more than `block_rows` rows meet in blocks.
+    """
+    q, s = _vectors(queries, id_col, vector), _vectors(base, id_col, vector)
+    need = k + 1 if exclude_self else k
+    id_type, rows = s.schema["id"].dataType.simpleString(), s.count()
+    if rows == 0:
+        return _nothing(s, id_type)
+    centres = _pivots(s, pivots or _pivot_count(rows))
+    for _ in range(rounds):
+        centres = _centred(s, centres)
+    sa, qa = stage(_assign(s, centres), "knn-base"), stage(_assign(q, centres, probes), "knn-queries")
+    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    sizes = stage(blocks(sa, "s_blocks").join(blocks(qa, "q_blocks"), "cell"), "knn-cells")
+    sent = sa.join(sizes, "cell").select("id", "v", "cell", _spread("s_blocks").alias("s_block"), _every("q_blocks").alias("q_block"))
+    asked = qa.join(sizes, "cell").select("id", "v", "cell", _spread("q_blocks").alias("q_block"), _every("s_blocks").alias("s_block"))
+    return _ranked(asked, sent, ["cell", "q_block", "s_block"], need, k, exclude_self, id_type)
 
 
 def knn_classify(queries: DataFrame, base: DataFrame, label: str, k: int = 7, id_col: str = "id", vector: str = "v", exclude_self: bool = False) -> DataFrame:

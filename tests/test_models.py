@@ -10,7 +10,7 @@ from plumbline.ml import prepare as P
 from plumbline.ml import score as SC
 from plumbline.ml.estimators import Shape, adaboost, ridge, shape_of
 from plumbline.ml.train import as_models_table, draw, train_models
-from plumbline.operators.neighbors import knn_join
+from plumbline.operators.neighbors import knn_approximate, knn_join
 from plumbline.plans.report import analytics_report, exploration_report
 from plumbline.session import scratch_path
 from plumbline.sources.bundles import ModelBundle
@@ -48,6 +48,21 @@ def test_neighbors_match_brute_force(spark, block_rows):
         assert part.sort_values("rank").neighbor_id.tolist() == order.tolist()
 
 
+@pytest.mark.parametrize("block_rows", [4096, 40])
+def test_approximate_neighbours_of_clustered_vectors(spark, block_rows):
+    rng = np.random.default_rng(8)
+    v = rng.normal(0, 10, (20, 6))[rng.integers(0, 20, 600)] + rng.normal(0, 1, (600, 6))
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, v array<double>")
+    exact = {(r["query_id"], r["neighbor_id"]): r["distance"] for r in knn_join(df, df, 5, exclude_self=True).collect()}
+    few = knn_approximate(df, df, 5, exclude_self=True, pivots=20, probes=3, block_rows=block_rows).collect()
+    met = [(r["query_id"], r["neighbor_id"]) for r in few]
+    assert len(set(met) & set(exact)) >= 0.95 * len(exact) and len(set(met)) == len(met) == 3000
+    assert all(abs(r["distance"] - exact[k]) < 1e-9 for r, k in zip(few, met) if k in exact)
+    every = knn_approximate(df, df, 5, exclude_self=True, pivots=20, probes=20, block_rows=block_rows).collect()
+    assert {(r["query_id"], r["neighbor_id"]) for r in every} == set(exact)
+    assert knn_approximate(df, df.limit(0)).count() == 0
+
+
 def test_preparation_matches_numpy(spark):
     pdf = pd.DataFrame({"x": [1.0, 2.0, None, 4.0, 10.0], "c": ["a", "b", None, "b", "a"], "y": [1.0, 2, 3, 4, 5]})
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "x double, c string, y double")
