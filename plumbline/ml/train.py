@@ -45,6 +45,7 @@ class Trained:
     metrics: dict = field(default_factory=dict)
     fold_scores: list = field(default_factory=list)
     importance: dict = field(default_factory=dict)
+    evaluation: dict = field(default_factory=dict)
     error: str | None = None
 
 
@@ -112,6 +113,34 @@ def evaluate_model(scored: DataFrame, task: str, classes: int) -> dict:
     return metrics
 
 
+#: Classes up to which the whole confusion grid is kept with a model, the error of its stored ROC curve, and rows of its
+#: residual sample.
+GRID_CLASSES, ROC_ERROR, RESIDUAL_ROWS = 200, 1e-3, 2000
+
+
+def evaluation_tables(scored: DataFrame, task: str, classes: int) -> dict:
+    """What is kept of a model's test besides numbers, all of bounded size.
+
+    Classification: the confusion grid by class position, the class report, and for two classes the thinned ROC curve of
+    the second.  Regression: a sample of residuals by the hash of the row key.
+    """
+    if task == "regression":
+        rows = V.residual_sample(scored, ["row_key"], RESIDUAL_ROWS).collect()
+        return {"residual_sample": [tuple(float(x) for x in r) for r in rows]}
+    out: dict = {}
+    if classes <= GRID_CLASSES:
+        cells = {(r["y_true"], r["y_pred"]): r["n"] for r in V.confusion_cells(scored).collect()}
+        out["confusion_matrix"] = [[cells.get((str(i), str(j)), 0) for j in range(classes)] for i in range(classes)]
+        names = ("label", "precision", "recall", "f1", "support")
+        report = V.class_report(scored).select(*names).orderBy("label").collect()
+        out["class_report"] = [(r["label"], *(float(r[c]) for c in names[1:4]), int(r["support"])) for r in report]
+    if classes == 2 and "scores" in scored.columns:
+        one = scored.withColumn("score", F.col("scores")[1])
+        points = V.roc_points(one, "1", ROC_ERROR).orderBy(F.col("threshold").desc_nulls_first()).collect()
+        out["roc"] = ([r["fpr"] for r in points], [r["tpr"] for r in points], [r["threshold"] for r in points])
+    return out
+
+
 @dataclass
 class Folds:
     """Fold parts with their fitted preparation, shared by all models.
@@ -261,7 +290,12 @@ def train_models(
         started = time.monotonic()
         result.model = catalog[result.name](fitted, shape, **result.params)
         result.seconds = time.monotonic() - started
-        result.metrics = evaluate_model(score_frame(result.model, held, task), task, shape.classes)
+        scored = score_frame(result.model, held, task).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            result.metrics = evaluate_model(scored, task, shape.classes)
+            result.evaluation = evaluation_tables(scored, task, shape.classes)
+        finally:
+            scored.unpersist()
         result.importance = feature_importance(result.model, prep.slots())
 
     done = [Trained(name, task, params=dict((params or {}).get(name, {}))) for name in names]
@@ -305,3 +339,18 @@ def as_models_table(run: TrainingRun, df: DataFrame, job_id: str) -> DataFrame:
         "roc_auc double, rmse double, mae double, r2_score double, metrics map<string,double>, cv_scores array<double>, feature_importance map<string,double>"
     )
     return df.sparkSession.createDataFrame(rows, schema)
+
+
+def evaluations_table(run: TrainingRun, df: DataFrame, job_id: str) -> DataFrame:
+    """What was kept of each successful model's test, numbered like `as_models_table`; the charts of `leaderboard` read it."""
+    rows = []
+    for i, m in enumerate(run.models):
+        if m.error is None:
+            e = m.evaluation
+            rows.append((i, job_id, m.name, run.labels, e.get("confusion_matrix"), e.get("class_report"), e.get("roc"), e.get("residual_sample")))
+    schema = (
+        "model_id long, job_id string, model_name string, labels array<string>, confusion_matrix array<array<bigint>>, "
+        "class_report array<struct<label:string,precision:double,recall:double,f1:double,support:bigint>>, "
+        "roc struct<fpr:array<double>,tpr:array<double>,thresholds:array<double>>, residual_sample array<struct<actual:double,predicted:double,residual:double>>"
+    )
+    return df.sparkSession.createDataFrame(rows, schema)

@@ -117,6 +117,23 @@ def roc_curve(scored: DataFrame, positive: str, y_true: str = "y_true", score: s
     )
 
 
+def roc_points(scored: DataFrame, positive: str, error: float = 1e-3, y_true: str = "y_true", score: str = "score", buckets: int | None = None) -> DataFrame:
+    """`(threshold, fpr, tpr)`: the curve with its start (0, 0), thinned for storage.
+
+    The unit square is cut into cells of side `error`; of the points in one cell the first and the last stay.  A rising
+    curve crosses at most 2 / error + 1 cells, and in each the line between them is off by half a cell's area at most: there
+    are at most 4 / error + 3 points, and their area differs from the whole curve's by error + error ^ 2 / 2 at most.  The start
+    has no threshold; without positives or negatives there are no points.
+    """
+    whole = roc_curve(scored, positive, y_true, score, buckets).filter(F.col("fpr").isNotNull() & F.col("tpr").isNotNull())
+    cell = lambda c: F.floor(F.col(c) / error)
+    point = F.struct("threshold", "fpr", "tpr")
+    ends = whole.groupBy(cell("fpr").alias("x"), cell("tpr").alias("y")).agg(F.max(point).alias("first"), F.min(point).alias("last"))
+    kept = ends.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("p")).select("p.*")
+    start = kept.limit(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return start.unionByName(kept)
+
+
 def roc_auc(scored: DataFrame, positive: str, y_true: str = "y_true", score: str = "score", buckets: int | None = None) -> DataFrame:
     """One row `(roc_auc)`: chance that a positive outranks a negative, ties counting half; null with one class."""
     counts = score_counts(scored, positive, y_true, score)

@@ -8,8 +8,8 @@ from plumbline.ml import explain as X
 from plumbline.ml import prepare as P
 from plumbline.ml import score as SC
 from plumbline.ml.estimators import ridge, shape_of
-from plumbline.ml.train import as_models_table, train_models
-from plumbline.operators.leaderboard import leaderboard, metric_values
+from plumbline.ml.train import ROC_ERROR, as_models_table, evaluations_table, train_models
+from plumbline.operators.leaderboard import confusion_chart, leaderboard, metric_values, roc_chart
 from plumbline.queries.base import GAPPY_SQL, LINE_KEY, gappy_lines, query, read, rounds
 from plumbline.session import scratch_path
 from plumbline.sources.bundles import ModelBundle
@@ -197,6 +197,35 @@ def boosted_stump_facts(spark, folder):
     return spark.createDataFrame(list(zip(facts, values)), "fact string, n long")
 
 
+@query(
+    "stored_evaluation_facts",
+    "SELECT 'models' AS fact, 2::BIGINT AS n UNION ALL SELECT 'cells of both grids', 2 * count(DISTINCT quality) * count(DISTINCT quality) FROM labels JOIN documents USING (doc_id) "
+    "UNION ALL SELECT 'grids that hold the test rows', 2 UNION ALL SELECT 'accuracies on the diagonal', 2 UNION ALL SELECT 'curves from (0, 0) to (1, 1)', 2 "
+    "UNION ALL SELECT 'curves with the area of the metric', 2 UNION ALL SELECT 'lines of both reports', 2 * (count(DISTINCT quality) + 2) FROM labels JOIN documents USING (doc_id)",
+)
+def stored_evaluation_facts(spark, folder):
+    """What must hold for the confusion grids and ROC curves kept with two trained models, read through the charts."""
+    df = training_documents(spark, folder)
+    run = train_models(df, "quality", "doc_id", "classification", ("Logistic Regression", "Decision Tree"), folds=0)
+    kept, tested = evaluations_table(run, df, "job").persist(), run.test.count()
+    grid = confusion_chart(kept)
+    sums = {r["model_id"]: r for r in grid.groupBy("model_id").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("row") == F.col("col"), F.col("n"))).alias("hits")).collect()}
+    points = roc_chart(kept).orderBy("model_id", "point").collect()
+    curves = {i: [(p["fpr"], p["tpr"]) for p in points if p["model_id"] == i] for i in sums}
+    area = lambda c: sum((x2 - x1) * (y1 + y2) / 2 for (x1, y1), (x2, y2) in zip(c, c[1:]))
+    metrics = [m.metrics for m in run.models]
+    facts = [
+        ("models", kept.count()),
+        ("cells of both grids", grid.count()),
+        ("grids that hold the test rows", sum(s["n"] == tested for s in sums.values())),
+        ("accuracies on the diagonal", sum(abs(s["hits"] / s["n"] - metrics[i]["accuracy"]) < 1e-9 for i, s in sums.items())),
+        ("curves from (0, 0) to (1, 1)", sum(c[0] == (0.0, 0.0) and c[-1] == (1.0, 1.0) for c in curves.values())),
+        ("curves with the area of the metric", sum(abs(area(c) - metrics[i]["roc_auc"]) < ROC_ERROR for i, c in curves.items())),
+        ("lines of both reports", kept.select(F.explode("class_report")).count()),
+    ]
+    return spark.createDataFrame(facts, "fact string, n long")
+
+
 @query("train_multiclass")
 def train_multiclass(spark, folder):
     df = pricing(spark, folder)

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from conftest import rows
@@ -115,3 +117,21 @@ def test_csv_round_trip_and_charts(spark, tmp_path):
     report = spark.createDataFrame([("c1", "exploratory", 1, "k", "v"), ("c2", "exploratory", 1, "k", "v")], "chart_id string, section string, row_no int, key string, value string")
     refs = artifacts.save_charts(report, str(tmp_path / "charts"))
     assert [r["chart_id"] for r in refs.orderBy("chart_id").collect()] == ["c1", "c2"]
+
+
+@pytest.mark.parametrize("error", [0.3, 0.05, 1e-4])
+def test_thinned_curve_keeps_its_area(spark, error):
+    draw = random.Random(6)
+    rows = [(str(int(draw.random() < x)), x) for x in (round(draw.random(), 3) for _ in range(3000))]
+    df = spark.createDataFrame(rows, "y_true string, score double")
+    points = V.roc_points(df, "1", error).orderBy(F.col("threshold").desc_nulls_first()).collect()
+    curve = [(p["fpr"], p["tpr"]) for p in points]
+    whole = sorted((r["fpr"], r["tpr"]) for r in V.roc_curve(df, "1").collect())
+    area = lambda c: sum((x2 - x1) * (y1 + y2) / 2 for (x1, y1), (x2, y2) in zip(c, c[1:]))
+    assert curve[0] == (0.0, 0.0) and curve[-1] == (1.0, 1.0) and curve == sorted(curve) and set(curve[1:]) <= set(whole)
+    assert abs(area(curve) - V.roc_auc(df, "1").first()[0]) < error * (1 + error / 2) and len(curve) <= 4 / error + 3
+
+
+def test_no_curve_without_both_classes(spark):
+    df = spark.createDataFrame([("1", 0.5), ("1", 0.7)], "y_true string, score double")
+    assert V.roc_points(df, "1").count() == 0
