@@ -228,7 +228,7 @@ known{i} AS (SELECT value, rank, score FROM seeds UNION ALL SELECT value, rank,
 found AS (SELECT rid, rank, unnest(whole) AS m, unnest(gaps[:len(whole)]) AS gap, unnest(range(len(whole))) AS i FROM ({matches})),
 placed AS (SELECT rid, rank, i, {lower("m")} AS value, (sum(length(gap) + length(m)) OVER (PARTITION BY rid, rank ORDER BY i))::BIGINT AS stop, stop - length(m) AS start FROM found),
 told AS (SELECT rid, rank, value, start, stop, substr(x, last + 1, start - last) AS before, substr(x, stop + 1, following - stop) AS after FROM
-    (SELECT *, coalesce(lag(stop) OVER o, 0) AS last, coalesce(lead(start) OVER o, 1 << 40) AS following FROM placed WHERE rank <> 2 OR length({digits}) BETWEEN 16 AND 19 WINDOW o AS (PARTITION BY rid, rank ORDER BY i)) JOIN texts USING (rid)),
+    (SELECT *, coalesce(lag(stop) OVER o, 0) AS last, coalesce(lead(start) OVER o, stop + 48) AS following FROM placed WHERE rank <> 2 OR length({digits}) BETWEEN 16 AND 19 WINDOW o AS (PARTITION BY rid, rank ORDER BY i)) JOIN texts USING (rid)),
 counted AS (SELECT *, {words("right(before, " + str(CONTEXT) + ")")} AS l, {words("left(after, " + str(CONTEXT) + ")")} AS r FROM told WHERE CASE rank WHEN 0 THEN true WHEN 1 THEN regexp_matches(value, '{ADDRESS}')
     WHEN 2 THEN length({digits}) BETWEEN 16 AND 19 AND {luhn_sql} WHEN 3 THEN length({digits}) BETWEEN 8 AND 15 ELSE (contains(value, '@') OR length({digits}) >= {LEAST_DIGITS}) AND NOT regexp_matches(right(before, 1), '{ALNUM}') AND NOT regexp_matches(left(after, 1), '{ALNUM}') END),
 occurrences AS MATERIALIZED (SELECT * FROM counted c WHERE rank < {NONE} OR NOT EXISTS (SELECT 1 FROM counted b WHERE b.rank < {NONE} AND b.rid = c.rid AND b.start < c.stop AND c.start < b.stop)),

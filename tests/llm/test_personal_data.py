@@ -145,3 +145,16 @@ LONG = {
 def test_long_texts(spark):
     rows = P.personal_data_table(spark.createDataFrame(list(enumerate(LONG)), SCHEMA).repartition(8)).collect()
     assert {r["doc_id"]: len([s for s in r["spans"].split(",") if s]) for r in rows} == dict(enumerate(LONG.values()))
+
+
+def test_sql_twin_on_planted_contexts(spark):
+    import duckdb
+    import pyarrow as pa
+
+    given = planted() + list(enumerate(TEXTS, 100))
+    docs = pa.table({"doc_id": pa.array([i for i, _ in given], pa.int64()), "text": pa.array([t for _, t in given], pa.string())})
+    con = duckdb.connect()
+    con.register("docs", docs)
+    table = P.personal_data_table(spark.createDataFrame(given, SCHEMA))
+    expected = con.sql(f"SELECT {', '.join(table.columns)} FROM ({P.personal_data_sql('docs')})").fetchall()
+    assert sorted(map(tuple, table.collect())) == sorted(expected) and sum(r[5] for r in expected) > 5
