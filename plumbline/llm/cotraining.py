@@ -2,9 +2,13 @@
 
 One view reads a text's content: hashed words that occur in it and a few shares (capitals, punctuation, repetition).
 The other reads what is known about the page without its text: source, language and length.  Both start from the
-labelled rows.  In each round each view scores unlabelled rows and hands those it is most sure of, good and bad in the
-proportion of the labels, to the other view's training set.  At the end each view's log odds are calibrated on labelled
-rows that no round saw, a logistic combination of the two is fitted on the same rows, and it scores every document.
+labelled rows.  In each round each view ranks unlabelled rows by its calibrated probability and hands the first of each
+kind, good and bad in the proportion of the labels, to the other view's training set.  A handed label weighs as much as
+the probability exceeds the kind's share among the labels (0 at the share, 1 at certainty), so a view that knows little
+says little; below `floor` nothing is handed, and the rounds end when neither view hands anything.  Each view's log odds are
+calibrated on labelled rows that no round saw, a logistic combination of the two is fitted on the same rows, and the
+round whose combination has the least log loss there (ties: the earlier) gives the model that scores every document.
+`Model.rounds` tells what was handed and that loss, round by round.
 
 The fit's bounds are parameters: at most `max_labelled` labelled and `max_pool` unlabelled rows, the first by a hash of
 their key.  Their features are made on the executors and trained on in one task of that bounded size.  Scoring is one
@@ -18,6 +22,7 @@ is the share of good labels, or one half; ties in sureness go to the smaller key
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -112,20 +117,23 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0)))
 
 
-def telling(data: Rows, y: np.ndarray, size: int, least: int = 5, deviation: float = 3.0) -> np.ndarray:
-    """The features of `least` rows or more whose frequency differs between good and bad rows by `deviation` standard errors."""
-    high, low = max(1, int((y > 0).sum())), max(1, int((y <= 0).sum()))
-    of_good, of_all = data.back((y > 0).astype(float), size), data.back(np.ones(len(y)), size)
+def telling(data: Rows, y: np.ndarray, trust: np.ndarray, size: int, least: int = 5, deviation: float = 3.0) -> np.ndarray:
+    """The features of `least` rows or more whose frequency differs between good and bad rows by `deviation` standard errors.
+
+    A row counts by its trust.
+    """
+    high, low = max(1.0, trust[y > 0].sum()), max(1.0, trust[y <= 0].sum())
+    of_good, of_all = data.back(np.where(y > 0, trust, 0.0), size), data.back(trust, size)
     p = of_all / (high + low)
     error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1.0 / high + 1.0 / low))
     return (of_all >= least) & (np.abs(of_good / high - (of_all - of_good) / low) >= deviation * error)
 
 
-def logistic_fit(rows: list[np.ndarray], y: np.ndarray, size: int, decay: float, steps: int = 150, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def logistic_fit(rows: list[np.ndarray], y: np.ndarray, trust: np.ndarray, size: int, decay: float, steps: int = 150, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Logistic regression over the telling ones of binary features by full-batch Adam; both kinds of rows weigh alike."""
     data = Rows(rows)
-    mask = telling(data, y, size)
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+    mask = telling(data, y, trust, size)
+    weight = trust * np.where(y > 0, 0.5 / max(1.0, trust[y > 0].sum()), 0.5 / max(1.0, trust[y <= 0].sum()))
     w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -169,6 +177,9 @@ class Model:
     page_bias: float = 0.0
     #: Calibration of each view (slope, offset), then the combination (text, page, offset).
     curves: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    #: One entry a round: (good, bad) labels that the text view and the page view handed over before it, the log loss of
+    #: the combination on the held-back labels, and whether this round's fit is the model.
+    rounds: list[dict] = field(default_factory=list)
 
     def scores(self, texts: list[np.ndarray], pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """P(good) by the text view, by the page view, and by both."""
@@ -182,7 +193,12 @@ class Model:
         return _sigmoid(a), _sigmoid(b), _sigmoid(both[0] * a + both[1] * b + both[2])
 
 
-def cotrained(texts: list[np.ndarray], pages: list[np.ndarray], labels: list[int | None], rounds: int, handed: int, sure: float) -> Model:
+def _excess(p: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """How far P(good) is above the share of good labels, and P(bad) above that of bad ones, as parts of the way to certainty."""
+    return (p - share) / (1.0 - share), (share - p) / share
+
+
+def cotrained(texts: list[np.ndarray], pages: list[np.ndarray], labels: list[int | None], rounds: int, handed: int, floor: float) -> Model:
     """Fit both views.  Rows come in key order; labels are 1, 0 or None."""
     known = [i for i, x in enumerate(labels) if x is not None]
     y_all = np.array([labels[i] for i in known], float)
@@ -192,31 +208,49 @@ def cotrained(texts: list[np.ndarray], pages: list[np.ndarray], labels: list[int
     if any(len({labels[i] for i in part}) < 2 for part in (check, first)):
         return Model(share)
     pool = [i for i, x in enumerate(labels) if x is None]
-    sets = [{i: float(labels[i]) for i in first} for _ in range(2)]
-    views, sizes, decays = (texts, pages), (TEXT_SIZE, PAGE_SIZE), (1e-4, 1e-4)
+    sets = [{i: (float(labels[i]), 1.0) for i in first} for _ in range(2)]
+    views, sizes, decay = (texts, pages), (TEXT_SIZE, PAGE_SIZE), 1e-4
     goal = np.array([labels[i] for i in check], float)
 
-    def train(v: int) -> tuple[np.ndarray, float, np.ndarray]:
+    def train(v: int) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
         rows = sorted(sets[v])
-        w, b = logistic_fit([views[v][i] for i in rows], np.array([sets[v][i] for i in rows]), sizes[v], decays[v])
+        y, trust = np.array([sets[v][i] for i in rows]).T
+        w, b = logistic_fit([views[v][i] for i in rows], y, trust, sizes[v], decay)
         margin = Rows([views[v][i] for i in check]).dot(w) + b
-        return w, b, combined_curve(margin[:, None], goal)
-
-    for _ in range(rounds):
-        fits = [train(0), train(1)]
-        for v, (w, b, curve) in enumerate(fits):
-            fresh = [i for i in pool if i not in sets[1 - v]]
-            if not fresh:
-                continue
-            p = _sigmoid(curve[0] * (Rows([views[v][i] for i in fresh]).dot(w) + b) + curve[1])
-            for value, chance, most in ((1.0, p, round(handed * share)), (0.0, 1.0 - p, round(handed * (1.0 - share)))):
-                for j in np.argsort(-chance, kind="stable")[:most]:
-                    if chance[j] >= sure:
-                        sets[1 - v][fresh[j]] = value
-    (wa, ba, ca), (wb, bb, cb) = train(0), train(1)
-    ma = ca[0] * (Rows([texts[i] for i in check]).dot(wa) + ba) + ca[1]
-    mb = cb[0] * (Rows([pages[i] for i in check]).dot(wb) + bb) + cb[1]
-    return Model(share, wa, ba, wb, bb, (ca, cb, combined_curve(np.column_stack([ma, mb]), goal)))
+        curve = combined_curve(margin[:, None], goal)
+        return w, b, curve, curve[0] * margin + curve[1]
+
+    def hand_over(v: int, w: np.ndarray, b: float, curve: np.ndarray) -> tuple[int, int]:
+        fresh = [i for i in pool if i not in sets[1 - v]]
+        if not fresh:
+            return 0, 0
+        p = _sigmoid(curve[0] * (Rows([views[v][i] for i in fresh]).dot(w) + b) + curve[1])
+        given = []
+        for value, excess, most in zip((1.0, 0.0), _excess(p, share), (round(handed * share), round(handed * (1.0 - share)))):
+            best = [j for j in np.argsort(-excess, kind="stable")[:most] if excess[j] >= floor]
+            sets[1 - v].update({fresh[j]: (value, float(excess[j])) for j in best})
+            given.append(len(best))
+        return given[0], given[1]
+
+    model, least, told, given = Model(share), math.inf, [], ((0, 0), (0, 0))
+    for t in range(rounds + 1):
+        (wa, ba, ca, ma), (wb, bb, cb, mb) = fits = train(0), train(1)
+        x = np.column_stack([ma, mb])
+        both = combined_curve(x, goal)
+        p = np.clip(_sigmoid(x @ both[:-1] + both[-1]), 1e-12, 1.0 - 1e-12)
+        loss = float(-np.mean(np.where(goal > 0, np.log(p), np.log(1.0 - p))))
+        told.append({"by_text": given[0], "by_page": given[1], "loss": loss, "chosen": False})
+        if loss < least:
+            least, best = loss, t
+            model = Model(share, wa, ba, wb, bb, (ca, cb, both))
+        if t == rounds:
+            break
+        given = tuple(hand_over(v, *fits[v][:3]) for v in (0, 1))
+        if not any(map(any, given)):
+            break
+    told[best]["chosen"] = True
+    model.rounds = told
+    return model
 
 
 def _page_names(docs: DataFrame, names: tuple[str, ...]) -> tuple[str, ...]:
@@ -233,7 +267,7 @@ def _first_by_hash(rows: DataFrame, salt: str, most: int, key: str) -> DataFrame
     return likely.orderBy(h, key).limit(most)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool: int = 4000, rounds: int = 4, handed: int = 400, sure: float = 0.9, page_columns: tuple[str, ...] = PAGE_COLUMNS, key: str = "doc_id") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool: int = 4000, rounds: int = 4, handed: int = 400, floor: float = 0.05, page_columns: tuple[str, ...] = PAGE_COLUMNS, key: str = "doc_id") -> Model:
     """Learn from the labelled rows of `docs` and a pool without labels; see the module's text for the bounds."""
     spark = docs.sparkSession
     good = ((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) != 1)).cast("int")
@@ -260,18 +294,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, max_pool:
     def train(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(key, kind="stable")
         texts, pages = ([np.frombuffer(x, np.int32) for x in group[c]] for c in ("t", "p"))
-        m = cotrained(texts, pages, [None if pd.isna(x) else int(x) for x in group["label"]], rounds, handed, sure)
+        m = cotrained(texts, pages, [None if pd.isna(x) else int(x) for x in group["label"]], rounds, handed, floor)
         blank = m.curves is None
         curves = b"" if blank else np.concatenate(m.curves).tobytes()
-        return pd.DataFrame({"share": [m.share], "t": [b"" if blank else m.text.tobytes()], "tb": [m.text_bias], "p": [b"" if blank else m.page.tobytes()], "pb": [m.page_bias], "curves": [curves]})
+        return pd.DataFrame({"share": [m.share], "t": [b"" if blank else m.text.tobytes()], "tb": [m.text_bias], "p": [b"" if blank else m.page.tobytes()], "pb": [m.page_bias], "curves": [curves], "rounds": [json.dumps(m.rounds)]})
 
     vectored = staged(rows.mapInArrow(vectors, f"`{key}` {kind.simpleString()}, label int, t binary, p binary"), "quality_sample")
-    found = vectored.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(train, "share double, t binary, tb double, p binary, pb double, curves binary").collect()
+    found = vectored.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(train, "share double, t binary, tb double, p binary, pb double, curves binary, rounds string").collect()
     if not found or not found[0]["curves"]:
         return Model(found[0]["share"] if found else 0.5)
     r = found[0]
     c = np.frombuffer(r["curves"])
-    return Model(r["share"], np.frombuffer(r["t"]), r["tb"], np.frombuffer(r["p"]), r["pb"], (c[:2], c[2:4], c[4:]))
+    return Model(r["share"], np.frombuffer(r["t"]), r["tb"], np.frombuffer(r["p"]), r["pb"], (c[:2], c[2:4], c[4:]), json.loads(r["rounds"]))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.5, page_columns: tuple[str, ...] = PAGE_COLUMNS, key: str = "doc_id") -> DataFrame:
