@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.expr import finite_or_null, quoted, range_label
 from plumbline.functions.typing import normalised, numeric_columns, type_groups
-from plumbline.operators.quantiles import PERCENTILE_BYTES, column_stats, long_values, percentile_column, quantiles_by_selection
+from plumbline.operators.quantiles import PERCENTILE_BYTES, percentile_column, quantiles_in_two_scans
 from plumbline.session import is_small, several_passes
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -74,8 +74,7 @@ def _summary(df: DataFrame, columns: Sequence[str], exact: bool, probs: Sequence
     numbers = df.select(*[v.alias(c) for c, v in x.items()])
     if exact and not is_small(numbers, PERCENTILE_BYTES):
         with several_passes(numbers) as d:
-            row = d.agg(*[e for group in moments for e in group]).first()
-            got = quantiles_by_selection(long_values(d, columns), probs, column_stats(d, columns))
+            _, got, row = quantiles_in_two_scans(d, columns, probs, [e for group in moments for e in group])
         rows = [
             (c, row[f"n{i}"], row[f"m{i}"], row[f"s{i}"], row[f"a{i}"], *got[c], row[f"b{i}"])
             for i, c in enumerate(columns)

@@ -8,6 +8,7 @@ from plumbline.functions import expr as X
 from plumbline.functions import typing as T
 from plumbline.operators import relations as R
 from plumbline.operators import stats as S
+from plumbline.operators.quantiles import group_quantiles, quantiles_in_two_scans
 from plumbline.queries.base import GAPPY_SQL, LABELLED_SQL, LINE_KEY, LINE_NUMERIC, gappy_lines, labelled_documents, per_column, query, read, rounds
 from plumbline.queries.quality import _corr
 
@@ -73,6 +74,31 @@ def quartiles_by_class_selected(spark, folder):
     return rounds(spark.createDataFrame([(g, *q) for g, q in got.items()], "class string, q1 double, median double, q3 double"))
 
 
+@query(
+    "quartiles_of_many_groups",
+    "SELECT o_custkey::VARCHAR AS grp, round(quantile_cont(o_totalprice, 0.25), 6) + 0.0 AS q1, round(quantile_cont(o_totalprice, 0.5), 6) + 0.0 AS median, "
+    "round(quantile_cont(o_totalprice, 0.75), 6) + 0.0 AS q3 FROM orders WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL GROUP BY 1",
+)
+def quartiles_of_many_groups(spark, folder):
+    """One group a customer, by running totals on the executors."""
+    got = group_quantiles(read(spark, folder, "orders"), "o_custkey", "o_totalprice", S.QUARTILES, small=False, buckets=4)
+    return rounds(got.select("grp", *[F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))]))
+
+
+@query(
+    "quantiles_in_two_scans",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", round(quantile_cont({c}::DOUBLE, 0.05), 6) + 0.0 AS low, round(quantile_cont({c}::DOUBLE, 0.5), 6) + 0.0 AS median, "
+        f"round(quantile_cont({c}::DOUBLE, 0.95), 6) + 0.0 AS high FROM lineitem"
+        for c in LINE_NUMERIC
+    ),
+)
+def quantiles_of_brackets(spark, folder):
+    """The sketch-and-bracket form that large tables use, forced."""
+    _, got, _ = quantiles_in_two_scans(T.normalised(read(spark, folder, "lineitem")), LINE_NUMERIC, (0.05, 0.5, 0.95))
+    return rounds(spark.createDataFrame([(c, *q) for c, q in got.items()], "column string, low double, median double, high double"))
+
+
 @query("top_category_rows", "SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents GROUP BY 1 ORDER BY count(*) DESC, source LIMIT 8)")
 def top_category_rows(spark, folder):
     return R.keep_top_categories(read(spark, folder, "documents"), "source", 8).select("doc_id", "source")

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import quantiles as Q
 from plumbline.operators.quantiles import column_quantiles, group_quantiles, quantiles_by_selection, select_ranks
 from plumbline.operators.ranks import row_at, running_totals, top_per_group
 from plumbline.operators.split import assign_folds, sample_rows, train_test_split
@@ -64,6 +65,61 @@ def test_both_quantile_forms_agree(spark, cells):
     assert one["q"][0] == pytest.approx(np.median(_draws()["heavy"]))
 
 
+@pytest.fixture(scope="module")
+def far(spark):
+    """Log-normal values with a few huge ones, hot values, infinities, nulls, and a column of one value."""
+    rng = np.random.default_rng(9)
+    v = np.exp(rng.normal(0, 3, 20000))
+    v[:5] = 1e15
+    edges = np.where(rng.random(20000) < 0.3, 5.0, rng.normal(0, 1, 20000))
+    edges[:40], edges[40:100] = -np.inf, np.inf
+    data = pd.DataFrame({"skewed": v, "edges": edges, "one": 2.5})
+    return data, spark.createDataFrame(data).repartition(5).cache()
+
+
+def test_two_scans_whatever_the_distribution(far, monkeypatch):
+    data, df = far
+    calls = []
+    plain = Q.select_ranks
+
+    def watched(*args, **named):
+        calls.append(named.get("weight"))
+        return plain(*args, **named)
+
+    monkeypatch.setattr(Q, "select_ranks", watched)
+    stats, got, extra = Q.quantiles_in_two_scans(df, list(data), PROBS, [F.count("*").alias("rows")])
+    assert calls == ["n"]  # ranks were read off the bracket table, never searched for in the input again
+    assert extra == {"rows": 20000} and stats["edges"][3:] == (40, 60) and stats["skewed"][:1] == (20000,)
+    for c in data:
+        ordered = np.sort(data[c])
+        for p, q in zip(PROBS, got[c]):
+            low, w = divmod((len(ordered) - 1) * p, 1)
+            a, b = ordered[int(low)], ordered[min(int(low) + 1, len(ordered) - 1)]
+            assert q == a if w == 0 or a == b else q == pytest.approx(a * (1 - w) + b * w, rel=1e-12), (c, p)
+
+
+def test_ranks_that_brackets_miss_are_still_exact(far):
+    data, df = far
+    # a tiny sketch with narrow brackets misses often
+    _, got, _ = Q.quantiles_in_two_scans(df, ["skewed"], PROBS, sketch=8, reach=1e-9)
+    np.testing.assert_allclose(got["skewed"], np.quantile(data["skewed"], PROBS), rtol=1e-12)
+
+
+@pytest.mark.parametrize("buckets", [1, 6])
+def test_quartiles_of_many_groups(spark, buckets):
+    rng = np.random.default_rng(4)
+    data = pd.DataFrame({"k": np.where(rng.random(3000) < 0.34, 7, rng.integers(100, 900, 3000)), "v": rng.integers(0, 50, 3000).astype(float)})
+    data.loc[data["k"] == 101, "v"] = [np.inf] * int((data["k"] == 101).sum())
+    df = spark.createDataFrame(data).unionByName(spark.createDataFrame([(None, 1.0), (5, None)], "k long, v double"))
+    got = {r["grp"]: r["q"] for r in group_quantiles(df, "k", "v", (0.25, 0.5, 0.9), small=False, buckets=buckets).collect()}
+    assert set(got) == {str(k) for k in data["k"].unique()}
+    for k, part in data.groupby("k"):
+        if k == 101:
+            assert got["101"] == [np.inf] * 3
+        else:
+            np.testing.assert_allclose(got[str(k)], np.quantile(part["v"], (0.25, 0.5, 0.9)), rtol=1e-12)
+
+
 def test_all_null_column_has_no_quantiles(spark):
     df = spark.createDataFrame([(None,), (None,)], "x double")
     assert column_quantiles(df, ["x"], (0.5,), small=True) == {"x": None}
