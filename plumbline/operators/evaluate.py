@@ -48,6 +48,19 @@ def confusion_matrix(scored: DataFrame, y_true: str = "y_true", y_pred: str = "y
     )
 
 
+def confusion_rates(scored: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
+    """`(y_true, y_pred, n, support, predicted, of_true, of_pred)` of the pairs that occur, for any number of labels.
+
+    `support` and `predicted` are the totals of the truth and of the prediction; the rates are shares of them.  The size
+    is that of the occurring pairs; `confusion_matrix` gives the grid.  A null label is a label.
+    """
+    cells = confusion_cells(scored, y_true, y_pred)
+    rows = cells.groupBy(F.col("y_true").alias("t")).agg(F.sum("n").alias("support"))
+    columns = cells.groupBy(F.col("y_pred").alias("p")).agg(F.sum("n").alias("predicted"))
+    both = cells.join(rows, F.col("y_true").eqNullSafe(F.col("t"))).join(columns, F.col("y_pred").eqNullSafe(F.col("p")))
+    return both.select("y_true", "y_pred", "n", "support", "predicted", (F.col("n") / F.col("support")).alias("of_true"), (F.col("n") / F.col("predicted")).alias("of_pred"))
+
+
 def _class_counts(cells: DataFrame) -> DataFrame:
     """`(label, support, predicted, hits)` from the confusion cells in one grouping."""
     entry = lambda label, s, p, h: F.struct(label.alias("label"), s.alias("support"), p.alias("predicted"), h.alias("hits"))

@@ -57,6 +57,20 @@ _GRID = (
 )
 
 
+@query(
+    "confusion_of_many_labels",
+    "WITH s AS (SELECT o_custkey::VARCHAR AS y_true, (o_custkey + CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 ELSE 0 END)::VARCHAR AS y_pred FROM orders), "
+    "c AS (SELECT y_true, y_pred, count(*) AS n FROM s GROUP BY ALL), m AS (SELECT *, (sum(n) OVER (PARTITION BY y_true))::BIGINT AS support, "
+    "(sum(n) OVER (PARTITION BY y_pred))::BIGINT AS predicted FROM c) "
+    "SELECT *, round(n / support, 6) + 0.0 AS of_true, round(n / predicted, 6) + 0.0 AS of_pred FROM m",
+)
+def confusion_of_many_labels(spark, folder):
+    """A label a customer: the occurring cells with their marginals, no grid."""
+    shift = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 7).otherwise(0)
+    scored = read(spark, folder, "orders").select(F.col("o_custkey").alias("y_true"), (F.col("o_custkey") + shift).alias("y_pred"))
+    return rounds(V.confusion_rates(scored))
+
+
 @query(
     "confusion_matrix",
     f"WITH {MULTI_SQL}, {_GRID} SELECT y_true, y_pred, n, round(coalesce(n / nullif(sum(n) OVER (PARTITION BY y_true), 0), 0), 6) + 0.0 AS rate FROM m",

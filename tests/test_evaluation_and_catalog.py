@@ -135,3 +135,11 @@ def test_thinned_curve_keeps_its_area(spark, error):
 def test_no_curve_without_both_classes(spark):
     df = spark.createDataFrame([("1", 0.5), ("1", 0.7)], "y_true string, score double")
     assert V.roc_points(df, "1").count() == 0
+
+
+def test_confusion_rates_keep_null_labels(spark):
+    from plumbline.operators.evaluate import confusion_rates
+
+    scored = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", "b"), (None, "b"), (None, None)], "y_true string, y_pred string")
+    got = {(r["y_true"], r["y_pred"]): tuple(r)[2:] for r in confusion_rates(scored).collect()}
+    assert got == {("a", "a"): (1, 3, 1, 1 / 3, 1.0), ("a", "b"): (2, 3, 3, 2 / 3, 2 / 3), (None, "b"): (1, 2, 3, 0.5, 1 / 3), (None, None): (1, 2, 1, 0.5, 1.0)}
