@@ -56,11 +56,12 @@ def leakage_ranking(df: DataFrame, target: str, k: int = 20) -> DataFrame:
     """`(feature, risk_score, reasons)`: summed weights capped at 1, score above 0, best first."""
     if target not in df.columns:
         raise ValueError(f"target column '{target}' is missing")
-    signals = (
-        name_overlap(df, target)
-        .join(F.broadcast(match_rates(df, target)), "feature", "left")
-        .join(F.broadcast(target_correlations(df, target)), "feature", "left")
-    )
+    return rank_signals(name_overlap(df, target), match_rates(df, target), target_correlations(df, target), k)
+
+
+def rank_signals(names: DataFrame, matches: DataFrame, correlations: DataFrame, k: int = 20) -> DataFrame:
+    """The ranking from the three column-sized tables of signals."""
+    signals = names.join(F.broadcast(matches), "feature", "left").join(F.broadcast(correlations), "feature", "left")
     match = F.coalesce(F.col("match_rate") >= MATCH_RATE, F.lit(False))
     strong = F.coalesce(F.abs("correlation") >= CORRELATION, F.lit(False))
     score = (

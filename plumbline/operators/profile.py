@@ -178,11 +178,14 @@ def top_value_rates(df: DataFrame, columns: Sequence[str] | None = None, k: int
 def categorical_concentration(df: DataFrame, target: str | None = None, limit: int | None = None) -> DataFrame:
     """`(feature, top_category_share, distinct_categories, non_null_rows)`."""
     features = other_columns(df, exclude=[target] if target else [])[:limit]
-    freq = value_frequencies(df, features).filter(F.col("value").isNotNull())
-    per = freq.groupBy("column").agg(
+    return concentration(group_of(df.select(*map(quoted, features))).select("column"), value_frequencies(df, features))
+
+
+def concentration(all_columns: DataFrame, freq: DataFrame) -> DataFrame:
+    """The rows of `categorical_concentration` from `(column, value, n)`."""
+    per = freq.filter(F.col("value").isNotNull()).groupBy("column").agg(
         (F.max("n") / F.sum("n")).alias("share"), F.count("*").alias("distinct"), F.sum("n").alias("rows")
     )
-    all_columns = group_of(df.select(*map(quoted, features))).select("column")
     # a column of nulls only keeps a row: share 0, no categories, denominator 1
     return all_columns.join(per, "column", "left").select(
         F.col("column").alias("feature"),

@@ -25,8 +25,13 @@ EMPTY_MODE = "unknown"
 
 def iqr_fences(df: DataFrame, columns: Sequence[str], exact: bool = True) -> dict[str, tuple[float, float]]:
     """Fences per column; columns with fewer than five values or no spread have none."""
+    return fences_of(order_stats(df, columns, (0.25, 0.75), exact))
+
+
+def fences_of(quartiles_of: dict[str, tuple]) -> dict[str, tuple[float, float]]:
+    """Fences from `(values, [q1, q3])` per column."""
     fences = {}
-    for c, (n, quartiles) in order_stats(df, columns, (0.25, 0.75), exact).items():
+    for c, (n, quartiles) in quartiles_of.items():
         if n < MIN_FENCE_ROWS:
             continue
         q1, q3 = quartiles

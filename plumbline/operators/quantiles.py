@@ -54,12 +54,13 @@ def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return cells.filter(F.col("value").isNotNull())
 
 
-def cell_stats(cells: DataFrame) -> dict[str, tuple]:
+def cell_stats(cells: DataFrame, weight: str | None = None) -> dict[str, tuple]:
     """`(finite rows, min, max, rows at -inf, rows at +inf)` of each group of `(grp, value)`."""
     v = F.col("value")
     finite = F.when(F.abs(v) != INF, v)
+    count = lambda test: F.count_if(test) if weight is None else F.sum(F.when(test, F.col(weight)).otherwise(0))
     rows = cells.groupBy("grp").agg(
-        F.count(finite).alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.count_if(v == -INF).alias("low"), F.count_if(v == INF).alias("high")
+        count(F.abs(v) != INF).alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"), count(v == -INF).alias("low"), count(v == INF).alias("high")
     )
     return {r["grp"]: (r["n"], r["lo"], r["hi"], r["low"], r["high"]) for r in rows.collect()}
 
@@ -166,11 +167,15 @@ def quantiles_by_selection(
     stats: dict[str, tuple] | None = None,
     finish_rows: int = FINISH_ROWS,
     width: int = CELLS,
+    weight: str | None = None,
 ) -> dict[str, list[float]]:
-    """Linear-interpolation quantiles of each group of `(grp, value)` by rank selection."""
-    stats = stats or cell_stats(cells)
+    """Linear-interpolation quantiles of each group of `(grp, value)` by rank selection.
+
+    With `weight`, a row stands for as many rows as that column says.
+    """
+    stats = stats or cell_stats(cells, weight)
     plan, ranks = _wanted(stats, probs)
-    return _read_off(plan, select_ranks(cells, ranks, stats, finish_rows, width))
+    return _read_off(plan, select_ranks(cells, ranks, stats, finish_rows, width, weight))
 
 
 def _wanted(stats: dict[str, tuple], probs: Sequence[float]) -> tuple[dict[str, list], dict[str, list[int]]]:
@@ -313,18 +318,20 @@ def column_quantiles(
 
 
 def group_quantiles(
-    df: DataFrame, group: str, value: str, probs: Sequence[float], exact: bool = True, small: bool | None = None, buckets: int | None = None
+    df: DataFrame, group: str, value: str, probs: Sequence[float], exact: bool = True, small: bool | None = None, buckets: int | None = None, weight: str | None = None
 ) -> DataFrame:
     """`(grp, q array<double>)` of `value` inside each group (a class label, a customer), nulls left out.
 
     Any number of groups of any size: nothing is gathered on the driver, and a group is never sorted in one task.
+    With `weight`, a row stands for as many rows as that column says.
     """
-    cells = df.select(quoted(group).cast("string").alias("grp"), quoted(value).cast("double").alias("value"))
+    copies = F.lit(1) if weight is None else quoted(weight)
+    cells = df.select(quoted(group).cast("string").alias("grp"), quoted(value).cast("double").alias("value"), copies.cast("long").alias("copies"))
     cells = cells.filter(F.col("grp").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
     small = is_small(cells, PERCENTILE_BYTES) if small is None else small
-    if not exact or small:
+    if weight is None and (not exact or small):
         return cells.groupBy("grp").agg(percentile_column("value", probs, exact).alias("q"))
-    counts = stage(cells.groupBy("grp", "value").agg(F.count("*").alias("n")), "group_values")
+    counts = stage(cells.groupBy("grp", "value").agg(F.sum("copies").alias("n")), "group_values")
     totals = counts.groupBy("grp").agg(F.sum("n").alias("total"))
     placed = running_totals(counts, "value", ["n"], group=["grp"], buckets=buckets).join(totals, "grp")
     spot = lambda p: (F.col("total") - 1).cast("double") * F.lit(float(p))

@@ -57,6 +57,11 @@ def class_rates_by_category(df: DataFrame, target: str, feature: str | None = No
         .groupBy(quoted(feature).cast("string").alias("category"), quoted(target).cast("string").alias("class"))
         .agg(F.count("*").alias("n"))
     )
+    return rates_of(counts, k)
+
+
+def rates_of(counts: DataFrame, k: int = 8) -> DataFrame:
+    """The rows of `class_rates_by_category` from `(category, class, n)`."""
     totals = counts.groupBy("category").agg(F.sum("n").alias("total")).orderBy(F.col("total").desc(), "category").limit(k)
     return counts.join(F.broadcast(totals), "category").select(
         "category", "class", "total", (F.col("n") / F.col("total")).alias("rate")
@@ -106,14 +111,14 @@ def _bin_column(column: str, cuts: Sequence[float]):
 
 
 def mutual_information(
-    df: DataFrame, target: str, task: str, bins: int = 10, k: int = RANKING, exact: bool = True
+    df: DataFrame, target: str, task: str, bins: int = 10, k: int = RANKING, exact: bool = True, cuts: dict[str, list[float]] | None = None
 ) -> DataFrame:
     """`(feature, score)`: plug-in mutual information with the target, in nats, best first.
 
     Numeric features (and a regression target) are cut at their exact deciles; text
     features enter as one indicator per level, each column's first level left out.  Every
     column and every level is scored, on complete rows; one grouped count serves all features,
-    and nothing afterwards gathers a column's levels in one task.
+    and nothing afterwards gathers a column's levels in one task.  Known `cuts` (deciles of the complete rows) save scans.
     """
     df = normalised(df)
     numeric = numeric_columns(df, exclude=[target])
@@ -126,7 +131,7 @@ def mutual_information(
     binned = [*numeric, *([target] if task == "regression" else [])]
     if task == "regression" and type_groups(df)[target] != "numeric":
         raise ValueError("a regression target must be numeric")
-    cuts = column_quantiles(rows, binned, grid, exact)
+    cuts = column_quantiles(rows, binned, grid, exact) if cuts is None else cuts
     cuts = {c: sorted(set(q)) for c, q in cuts.items() if q}
     if not cuts and binned:
         return df.sparkSession.createDataFrame([], "feature string, score double")
@@ -142,12 +147,17 @@ def mutual_information(
         .agg(F.count("*").alias("nxy")),
         "information",
     )
+    return information(counts, numeric, texts, k)
+
+
+def information(counts: DataFrame, numeric: Sequence[str], texts: Sequence[str], k: int = RANKING) -> DataFrame:
+    """The ranking from joint counts `(column, x, y, nxy)` of the complete rows."""
     # every feature sees the same rows, so one feature's counts give the target's
     one = [*numeric, *texts][0]
     by_class = counts.filter(F.col("column") == one).groupBy("y").agg(F.sum("nxy").cast("double").alias("ny"))
     n = by_class.agg(F.sum("ny")).first()[0] or 0.0
     if n < MIN_ROWS:
-        return df.sparkSession.createDataFrame([], "feature string, score double")
+        return counts.sparkSession.createDataFrame([], "feature string, score double")
     # a window holds one level's classes, never a whole column
     level_rows = F.sum("nxy").over(W.partitionBy("column", "x")).cast("double")
     cells = counts.join(by_class, counts["y"].eqNullSafe(by_class["y"])).select("column", "x", "nxy", F.lit(n).alias("n"), level_rows.alias("nx"), "ny")

@@ -189,19 +189,10 @@ def histogram_table(
         x = quoted(c).cast("double")
         exprs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
     row = df.agg(*exprs).first()
-    fences = []
-    for i, c in enumerate(columns):
-        n, lo, hi = row[f"n{i}"], row[f"a{i}"], row[f"b{i}"]
-        if not n:
-            continue
-        if lo == hi:
-            lo, hi = lo - 0.5, hi + 0.5
-        k = n // rows_per_bin if rows_per_bin else bins
-        fences.append((c, lo, hi, int(min(max(k, bounds[0]), bounds[1]))))
-    schema = "column string, lo double, hi double, k int"
+    fences = histogram_fences([(c, row[f"n{i}"], row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(columns)], bins, rows_per_bin, bounds)
     if not fences:
-        return spark.createDataFrame([], "column string, bin int, low double, high double, n long, label string")
-    limits = spark.createDataFrame(fences, schema)
+        return spark.createDataFrame([], HISTOGRAM)
+    limits = spark.createDataFrame(fences, HISTOGRAM_FENCES)
     placed = []
     for c, lo, hi, k in fences:
         x = quoted(c).cast("double")
@@ -210,7 +201,28 @@ def histogram_table(
         placed.append(F.when(x.isNotNull(), F.least(cell, F.lit(k - 1))).cast("int").alias(c))
     names = [f[0] for f in fences]
     cells = df.select(*placed).unpivot([], [quoted(c) for c in names], "column", "bin").filter(F.col("bin").isNotNull())
-    counts = cells.groupBy("column", "bin").agg(F.count("*").alias("n"))
+    return histogram_rows(limits, cells.groupBy("column", "bin").agg(F.count("*").alias("n")), digits)
+
+
+HISTOGRAM = "column string, bin int, low double, high double, n long, label string"
+HISTOGRAM_FENCES = "column string, lo double, hi double, k int"
+
+
+def histogram_fences(ends: Sequence[tuple], bins: int, rows_per_bin: int | None, bounds: tuple[int, int]) -> list[tuple]:
+    """`(column, low end, high end, bins)` from `(column, values, min, max)`; columns without values have none."""
+    fences = []
+    for c, n, lo, hi in ends:
+        if not n:
+            continue
+        if lo == hi:
+            lo, hi = lo - 0.5, hi + 0.5
+        k = n // rows_per_bin if rows_per_bin else bins
+        fences.append((c, lo, hi, int(min(max(k, bounds[0]), bounds[1]))))
+    return fences
+
+
+def histogram_rows(limits: DataFrame, counts: DataFrame, digits: int = 4) -> DataFrame:
+    """All bins of the fences with their counts `(column, bin, n)`; absent ones are 0."""
     grid = limits.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("bin"))
     step = (F.col("hi") - F.col("lo")) / F.col("k")
     low = F.col("lo") + step * F.col("bin")
@@ -231,10 +243,10 @@ def _means(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {c: 0.0 if row[f"m{i}"] is None else row[f"m{i}"] for i, c in enumerate(columns)}
 
 
-def _pair_aggregate(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def _pair_aggregate(df: DataFrame, pairs: Sequence[tuple[str, str]], means: dict[str, float] | None = None) -> DataFrame:
     # regr_* skip a row when either side is null: pairwise-complete moments without masks.
     # Columns are shifted by their means first: small steps on a large level keep their digits.
-    shift = _means(df, sorted({c for pair in pairs for c in pair}))
+    shift = means or _means(df, sorted({c for pair in pairs for c in pair}))
     exprs = []
     for i, (a, b) in enumerate(pairs):
         x, y = quoted(a).cast("double") - F.lit(shift[a]), quoted(b).cast("double") - F.lit(shift[b])
@@ -251,9 +263,9 @@ def _pair_aggregate(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFram
     return unfold(df.agg(*exprs), parts)
 
 
-def _pair_matrix(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def _pair_matrix(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]], means: dict[str, float] | None = None) -> DataFrame:
     """Masked cross-product matrices, one per task, summed by pair: for wide tables."""
-    means = _means(df, columns)
+    means = means or _means(df, columns)
     shift = np.array([means[c] for c in columns])
     index = {c: i for i, c in enumerate(columns)}
     left = np.array([index[a] for a, _ in pairs])
@@ -286,11 +298,13 @@ def _pair_matrix(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[st
     return sums.join(F.broadcast(names), "pair").select("feature_a", "feature_b", r.alias("correlation"))
 
 
-def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, against: str | None = None) -> DataFrame:
+def correlation_pairs(
+    df: DataFrame, columns: Sequence[str] | None = None, against: str | None = None, means: dict[str, float] | None = None
+) -> DataFrame:
     """Pearson correlation `(feature_a, feature_b, correlation)` of pairwise-complete rows; undefined is 0.
 
     All upper-triangle pairs, or every column against one.  Narrow tables use built-in
-    aggregates, wide ones per-task matrix products.
+    aggregates, wide ones per-task matrix products.  Known `means` of the columns save a scan.
     """
     df = normalised(df)
     columns = list(columns if columns is not None else numeric_columns(df))
@@ -301,28 +315,23 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, again
     if not pairs:
         return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, correlation double")
     if len(pairs) <= FUSED_PAIRS:
-        return _pair_aggregate(df, pairs)
-    return _pair_matrix(df, columns if against is None else [*[a for a, _ in pairs], against], pairs)
+        return _pair_aggregate(df, pairs, means)
+    return _pair_matrix(df, columns if against is None else [*[a for a, _ in pairs], against], pairs, means)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """All ordered pairs, the diagonal included (0 where a column has no spread)."""
     df = normalised(df)
     columns = list(columns if columns is not None else numeric_columns(df))
-    upper = correlation_pairs(df, columns)
+    row = df.agg(*[F.var_pop(quoted(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)]).first()
+    return mirrored(correlation_pairs(df, columns), {c: (row[f"v{i}"] or 0.0) > 0 for i, c in enumerate(columns)})
+
+
+def mirrored(upper: DataFrame, spread: dict[str, bool]) -> DataFrame:
+    """All ordered pairs from the upper triangle, and the diagonal of the columns of `spread`."""
     flipped = upper.select(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "correlation")
-    spread = unfold(
-        df.agg(*[F.var_pop(quoted(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)]),
-        [
-            (
-                F.lit(c).alias("feature_a"),
-                F.lit(c).alias("feature_b"),
-                F.when(F.coalesce(F.col(f"v{i}"), F.lit(0.0)) > 0, 1.0).otherwise(0.0).alias("correlation"),
-            )
-            for i, c in enumerate(columns)
-        ],
-    )
-    return upper.unionByName(flipped).unionByName(spread)
+    diagonal = [(c, c, 1.0 if some else 0.0) for c, some in spread.items()]
+    return upper.unionByName(flipped).unionByName(upper.sparkSession.createDataFrame(diagonal, upper.schema))
 
 
 def high_correlations(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 0.75, k: int = 30) -> DataFrame:
@@ -338,14 +347,20 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     """
     df = normalised(df)
     columns = list(columns or df.columns)
+    seen = df.select(F.xxhash64(*map(quoted, columns)).alias("__h")).groupBy("__h").agg(F.count("*").alias("__n"))
+    suspects = copies_among(df, seen.filter(F.col("__n") > 1).select("__h"), columns)
+    copies = suspects.agg(F.lit(0).cast("long").alias("rows"), F.coalesce(F.sum("copies"), F.lit(0)).alias("duplicates"))
+    rows = df.agg(F.count("*").alias("rows"), F.lit(0).cast("long").alias("duplicates"))
+    return rows.unionByName(copies).agg(F.sum("rows").alias("rows"), F.sum("duplicates").alias("duplicates"))
+
+
+def copies_among(df: DataFrame, shared: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """`copies` beyond the first of each distinct row whose hash is in `shared` (`__h`)."""
+    columns = list(columns or df.columns)
     hashed = df.select(*map(quoted, columns), F.xxhash64(*map(quoted, columns)).alias("__h"))
-    seen = hashed.groupBy("__h").agg(F.count("*").alias("__n"))
-    shared = seen.filter(F.col("__n") > 1).select("__h")
     # copies are combined per task before the shuffle: a row repeated everywhere stays one row per task
     suspects = hashed.join(shared, "__h", "left_semi").groupBy("__h", *map(quoted, columns)).agg(F.count("*").alias("__n"))
-    copies = suspects.agg(F.lit(0).cast("long").alias("rows"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicates"))
-    rows = df.agg(F.count("*").alias("rows"), F.lit(0).cast("long").alias("duplicates"))
-    return rows.unionByName(copies).agg(F.sum("rows").alias("rows"), F.sum("duplicates").alias("duplicates"))
+    return suspects.select((F.col("__n") - 1).alias("copies"))
 
 
 def ranked_values(freq: DataFrame, k: int) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.expr import quoted
 from plumbline.functions.typing import detect_task, numeric_columns, other_columns
-from plumbline.operators import drift, evaluate, leakage, profile, quality, relations, stats
-from plumbline.session import settled
+from plumbline.operators import drift, evaluate, profile, relations, stats
+from plumbline.operators.cells import TableCells
 
 
 def long_rows(table: DataFrame, chart_id: str, section: str, order: Sequence[Column | str]) -> DataFrame:
@@ -36,14 +36,22 @@ def _join(parts: list[DataFrame]) -> DataFrame:
 
 def exploration_overview(df: DataFrame, target: str | None = None) -> DataFrame:
     """One row: size, missing cells, duplicates, columns by kind, and advice codes."""
-    numeric = numeric_columns(df)
+    cells = TableCells(df, target)
+    return _overview(cells, cells.correlations())
+
+
+def _related(pairs: DataFrame, threshold: float = 0.75, k: int = 30) -> DataFrame:
+    return pairs.filter(F.abs("correlation") >= threshold).orderBy(F.abs("correlation").desc(), "feature_a", "feature_b").limit(k)
+
+
+def _overview(cells: TableCells, pairs: DataFrame) -> DataFrame:
     one = F.lit(1).alias("one")
-    missing = stats.missing_counts(df).agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_cells"))
-    joined = stats.duplicate_rows(df).select("rows", F.col("duplicates").alias("duplicate_rows"), one).join(F.broadcast(missing.select("*", one)), "one")
-    related = stats.high_correlations(df, numeric).agg(F.count("*").alias("related"))
+    missing = sum(cells.rows - cells.fact("n", c) for c in cells.columns)
+    joined = cells.duplicate_rows().select("rows", F.col("duplicates").alias("duplicate_rows"), F.lit(missing).cast("long").alias("missing_cells"), one)
+    related = _related(pairs).agg(F.count("*").alias("related"))
     joined = joined.join(F.broadcast(related.select("*", one)), "one")
-    if target is not None:
-        leaks = leakage.leakage_ranking(df, target).agg(F.count("*").alias("leaks"))
+    if cells.target is not None:
+        leaks = cells.leakage_ranking(pairs).agg(F.count("*").alias("leaks"))
         joined = joined.join(F.broadcast(leaks.select("*", one)), "one")
     else:
         joined = joined.withColumn("leaks", F.lit(0))
@@ -57,34 +65,42 @@ def exploration_overview(df: DataFrame, target: str | None = None) -> DataFrame:
     )
     return joined.select(
         "rows",
-        F.lit(len(df.columns)).alias("columns"),
+        F.lit(len(cells.columns)).alias("columns"),
         "missing_cells",
         "duplicate_rows",
-        F.lit(len(numeric)).alias("numeric_columns"),
-        F.lit(len(df.columns) - len(numeric)).alias("other_columns"),
+        F.lit(len(cells.numeric)).alias("numeric_columns"),
+        F.lit(len(cells.columns) - len(cells.numeric)).alias("other_columns"),
         F.when(F.size(advice) == 0, F.array(F.lit("ready"))).otherwise(advice).alias("advice"),
     )
 
 
 def exploration_report(df: DataFrame, target: str | None = None, exact: bool = True) -> DataFrame:
-    """Overview, numeric and text summaries, related pairs, leakage, types and drift baseline."""
-    numeric, texts = numeric_columns(df), other_columns(df)
+    """Overview, numeric and text summaries, related pairs, leakage, types and drift baseline.
+
+    Reads the table three times (facts, cells, correlations), and once more for rows whose hash repeats.
+    """
+    cells = TableCells(df, target, exact=exact)
+    pairs = cells.correlations()
+    numeric, texts = cells.numeric, other_columns(df)
+    probs = sorted({*stats.QUARTILES, *drift.BASELINE_QUANTILES})
+    found = cells.quantiles(numeric, probs)
+    pick = lambda wanted: {c: [q[probs.index(p)] for p in wanted] for c, q in found.items()}
     section = "exploratory"
-    parts = [long_rows(exploration_overview(df, target), "overview", section, [F.lit(1)])]
+    parts = [long_rows(_overview(cells, pairs), "overview", section, [F.lit(1)])]
     if numeric:
-        parts.append(long_rows(stats.numeric_summary(df, numeric, exact), "numeric_summary", section, ["column"]))
-        parts.append(long_rows(stats.histogram_table(df, numeric), "histograms", section, ["column", "bin"]))
+        parts.append(long_rows(cells.summary(numeric, pick(stats.QUARTILES), ("q1", "median", "q3")), "numeric_summary", section, ["column"]))
+        parts.append(long_rows(cells.histogram(numeric), "histograms", section, ["column", "bin"]))
     if texts:
-        parts.append(long_rows(profile.top_values(df, texts), "top_values", section, ["column", "rank"]))
+        parts.append(long_rows(cells.top_values(texts), "top_values", section, ["column", "rank"]))
     if len(numeric) > 1:
-        parts.append(long_rows(stats.high_correlations(df), "high_correlations", section, [F.abs("correlation").desc(), "feature_a", "feature_b"]))
+        parts.append(long_rows(_related(pairs), "high_correlations", section, [F.abs("correlation").desc(), "feature_a", "feature_b"]))
     if target is not None:
-        parts.append(long_rows(leakage.leakage_ranking(df, target), "leakage", section, [F.col("risk_score").desc(), "feature"]))
-    parts.append(long_rows(profile.semantic_types(df, exact), "semantic_types", section, ["position"]))
-    if numeric_columns(df, exclude=[target] if target else []):
-        parts.append(long_rows(drift.numeric_baseline(df, target, exact), "drift_baseline_numeric", section, ["feature"]))
-    if other_columns(df, exclude=[target] if target else []):
-        parts.append(long_rows(drift.categorical_baseline(df, target), "drift_baseline_categorical", section, ["feature", "rank"]))
+        parts.append(long_rows(cells.leakage_ranking(pairs), "leakage", section, [F.col("risk_score").desc(), "feature"]))
+    parts.append(long_rows(cells.semantic_types(), "semantic_types", section, ["position"]))
+    if [c for c in numeric if c != target]:
+        parts.append(long_rows(cells.numeric_baseline(pick(drift.BASELINE_QUANTILES)), "drift_baseline_numeric", section, ["feature"]))
+    if [c for c in texts if c != target]:
+        parts.append(long_rows(cells.categorical_baseline(), "drift_baseline_categorical", section, ["feature", "rank"]))
     return _join(parts)
 
 
@@ -94,52 +110,56 @@ def analytics_report(
     """The exploratory tables of the task, and the evaluation tables when `scored` is given.
 
     `key` orders samples and is not a feature.  `scored` has `(y_true, y_pred)` and the key.
-    A table that the columns do not allow is simply absent.
+    A table that the columns do not allow is simply absent.  All but the samples, the correlations and the information
+    about a target of numbers (one scan each) is read off the two scans of `TableCells`.
     """
     if target not in df.columns:
         raise ValueError(f"target column '{target}' is missing")
     task = task if task in ("classification", "regression") else detect_task(df, target).first()["task_type"]
     view = df.select(*[quoted(c) for c in df.columns if c not in set(key) or c == target])
     numeric, texts = numeric_columns(view, exclude=[target]), other_columns(view, exclude=[target])
+    cells = TableCells(view, target, task == "classification", exact)
     add: list[DataFrame] = []
 
     def chart(name: str, table: DataFrame, order: Sequence[Column | str], section: str = "exploratory") -> None:
         add.append(long_rows(table, name, section, order))
 
-    features = view.drop(target)
     chart("type_composition", profile.type_composition(view), ["type"])
-    if features.columns:
-        chart("unique_density", profile.unique_density(view, target), ["feature"])
+    if numeric or texts:
+        chart("unique_density", cells.unique_density(), ["feature"])
     if numeric:
-        moments = settled(stats.moment_profile(view, numeric))
+        moments = cells.moment_profile(numeric)
         skew = moments.filter(F.col("skewness").isNotNull()).select(F.col("column").alias("feature"), "skewness")
         spread = moments.filter(F.col("variance").isNotNull()).select(F.col("column").alias("feature"), "variance")
         chart("numeric_skewness", skew, [F.abs("skewness").desc(), "feature"])
         chart("numeric_variance", spread, [F.col("variance").desc(), "feature"])
     if texts:
-        chart("categorical_concentration", profile.categorical_concentration(view, target), ["feature"])
-    chart("missing_by_column", profile.missing_ranking(view, 20), [F.col("missing").desc(), "column"])
+        chart("categorical_concentration", cells.categorical_concentration(), ["feature"])
+    missing = cells.missing_counts().select("column", "missing").orderBy(F.col("missing").desc(), "column").limit(20)
+    chart("missing_by_column", missing, [F.col("missing").desc(), "column"])
     if numeric:
-        chart("feature_histograms", profile.feature_histograms(view, target), ["column", "bin"])
+        chart("feature_histograms", cells.histogram(numeric, 15), ["column", "bin"])
     if len(numeric) > 1:
-        chart("correlation_matrix", stats.correlation_matrix(features, numeric), ["feature_a", "feature_b"])
+        matrix = stats.mirrored(cells.correlations(numeric), {c: (cells.fact("var", c) or 0.0) > 0 for c in numeric})
+        chart("correlation_matrix", matrix, ["feature_a", "feature_b"])
         chart("pair_sample", relations.pair_sample(df, target, key, numeric[:2]), ["x", "y", "group"])
-    ranked = relations.mutual_information(view, target, task, exact=exact)
-    chart("feature_ranking", ranked, [F.col("score").desc(), "feature"])
+    chart("feature_ranking", cells.mutual_information(), [F.col("score").desc(), "feature"])
     if numeric:
-        chart("outliers", quality.outlier_counts(features, numeric, exact=exact), ["feature"])
+        chart("outliers", cells.outlier_counts(numeric, cells.quantiles(numeric, (0.25, 0.75))), ["feature"])
     if task == "classification":
-        chart("class_distribution", profile.class_distribution(view, target), ["rank"])
+        chart("class_distribution", cells.class_distribution(), ["rank"])
         if numeric:
-            chart("quartiles_by_class", relations.quartiles_by_class(view, target, exact=exact), ["class"])
+            chart("quartiles_by_class", cells.quartiles_by_class(numeric[0]), ["class"])
         if texts:
-            chart("class_rates", relations.class_rates_by_category(view, target, texts[0]), ["category", "class"])
+            chart("class_rates", cells.class_rates(texts[0]), ["category", "class"])
     else:
-        chart("target_histogram", profile.target_histogram(view, target), ["bin"])
+        counted = target in cells.numeric
+        histogram = cells.histogram([target], rows_per_bin=50, bounds=(8, 25)) if counted else profile.target_histogram(view, target)
+        chart("target_histogram", histogram, ["bin"])
         if numeric:
             chart("target_sample", relations.target_sample(df, target, key, numeric[0]), ["x", "y"])
-        if texts:
-            chart("mean_target", relations.mean_target_by_category(view, target, texts[0]), ["category"])
+        if texts and counted:
+            chart("mean_target", cells.mean_target(texts[0]), ["category"])
     if scored is not None:
         section = "model_evaluation"
         if task == "classification":
