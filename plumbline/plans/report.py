@@ -41,7 +41,8 @@ def exploration_overview(df: DataFrame, target: str | None = None) -> DataFrame:
 
 
 def _related(pairs: DataFrame, threshold: float = 0.75, k: int = 30) -> DataFrame:
-    return pairs.filter(F.abs("correlation") >= threshold).orderBy(F.abs("correlation").desc(), "feature_a", "feature_b").limit(k)
+    # equal up to rounding is equal: names then decide
+    return pairs.filter(F.abs("correlation") >= threshold).orderBy(F.round(F.abs("correlation"), 9).desc(), "feature_a", "feature_b").limit(k)
 
 
 def _overview(cells: TableCells, pairs: DataFrame) -> DataFrame:
@@ -93,7 +94,7 @@ def exploration_report(df: DataFrame, target: str | None = None, exact: bool = T
     if texts:
         parts.append(long_rows(cells.top_values(texts), "top_values", section, ["column", "rank"]))
     if len(numeric) > 1:
-        parts.append(long_rows(_related(pairs), "high_correlations", section, [F.abs("correlation").desc(), "feature_a", "feature_b"]))
+        parts.append(long_rows(_related(pairs), "high_correlations", section, [F.round(F.abs("correlation"), 9).desc(), "feature_a", "feature_b"]))
     if target is not None:
         parts.append(long_rows(cells.leakage_ranking(pairs), "leakage", section, [F.col("risk_score").desc(), "feature"]))
     parts.append(long_rows(cells.semantic_types(), "semantic_types", section, ["position"]))
@@ -143,7 +144,7 @@ def analytics_report(
         matrix = stats.mirrored(cells.correlations(numeric), {c: (cells.fact("var", c) or 0.0) > 0 for c in numeric})
         chart("correlation_matrix", matrix, ["feature_a", "feature_b"])
         chart("pair_sample", relations.pair_sample(df, target, key, numeric[:2]), ["x", "y", "group"])
-    chart("feature_ranking", cells.mutual_information(), [F.col("score").desc(), "feature"])
+    chart("feature_ranking", cells.mutual_information(), [F.round("score", 9).desc(), "feature"])
     if numeric:
         chart("outliers", cells.outlier_counts(numeric, cells.quantiles(numeric, (0.25, 0.75))), ["feature"])
     if task == "classification":
