@@ -141,9 +141,9 @@ def mutual_information(
     if not cells:
         return df.sparkSession.createDataFrame([], "feature string, score double")
     counts = stage(
-        rows.select(y.alias("y"), *cells)
-        .unpivot(["y"], [quoted(c) for c in [*numeric, *texts]], "column", "x")
-        .groupBy("column", "x", "y")
+        rows.select(y.alias("__y"), *cells)
+        .unpivot(["__y"], [quoted(c) for c in [*numeric, *texts]], "column", "x")
+        .groupBy("column", "x", F.col("__y").alias("y"))
         .agg(F.count("*").alias("nxy")),
         "information",
     )
