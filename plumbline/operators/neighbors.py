@@ -3,9 +3,10 @@
 Base vectors are put into cells around pivots.  For each query cell a distance bound is
 computed that its k nearest neighbours cannot exceed (from the k closest members of every
 base cell and the triangle inequality); a base vector is sent only to query cells it can
-still matter to.  Cells meet block by block: a block pair holds a bounded number of rows,
-ranks by matrix products, measures what may be among the nearest exactly, and emits at most
-k rows per query, so hot cells become more blocks rather than bigger ones.
+still matter to.  Close cells share a strip and a hot cell has several; a row travels once to each strip of the other
+side that it matters to, and there are about STRIPS of them, so what is shuffled grows with the rows.  Inside a pair of
+strips, cells meet in blocks of a bounded number of rows, which rank by matrix products and measure exactly what may be
+among the nearest; a pair emits at most k rows per query.  All pairs of close rows are still compared: that is the job.
 
 The approximate join sends each query to the cells of its `probes` nearest pivots only.
 
@@ -33,6 +34,8 @@ PROBES = 8
 SLACK = 1e-9
 #: Numbers in one array of a block pair.
 ARRAY = 4_000_000
+#: Strips of either side of a join, and numbers of vectors in the largest one.
+STRIPS, STRIP_NUMBERS = 8, 8_000_000
 
 
 def _pivot_count(rows: int) -> int:
@@ -83,22 +86,22 @@ def _centred(df: DataFrame, pivots: np.ndarray) -> np.ndarray:
     return np.where(out[:, -1:] > 0, out[:, :-1] / np.maximum(out[:, -1:], 1), pivots)
 
 
-def _routes(base: DataFrame, queries: DataFrame, pivots: np.ndarray, need: int, block_rows: int) -> DataFrame:
-    """`(cell, q_cell, min_reach, q_blocks, s_blocks)`: base cells that may hold neighbours of a query cell.
+def _routes(base: DataFrame, queries: DataFrame, pivots: np.ndarray, need: int) -> DataFrame:
+    """`(cell, q_cell, min_reach, theta)`: base cells that may hold neighbours of a query cell.
 
-    A member of the base cell matters if its reach is `min_reach` or more.
+    A member of the base cell matters if its reach is `min_reach` or more; no query of the cell has its `need` nearest
+    beyond `theta`.
     """
     closest = base.select("cell", "reach").withColumn("r", F.row_number().over(W.partitionBy("cell").orderBy("reach"))).filter(F.col("r") <= need)
     near = closest.groupBy("cell").agg(F.sort_array(F.collect_list("reach")).alias("near"))
-    held = base.groupBy("cell").agg(F.max("reach").alias("reach"), F.count("*").alias("n")).join(near, "cell").orderBy("cell").collect()  # a row a pivot
+    held = base.groupBy("cell").agg(F.max("reach").alias("reach")).join(near, "cell").orderBy("cell").collect()  # a row a pivot
     cells, reach = np.array([r["cell"] for r in held]), np.array([r["reach"] for r in held])
-    blocks = np.array([-(-r["n"] // block_rows) for r in held])
     near_at = np.repeat(np.arange(len(held)), [len(r["near"]) for r in held])
     near_reach = np.concatenate([r["near"] for r in held])
 
     def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for cell, far, n in b.itertuples(index=False):
+            for cell, far in b.itertuples(index=False):
                 gaps = np.sqrt(((pivots[cells] - pivots[cell]) ** 2).sum(axis=1))
                 bound = far + gaps[near_at] + near_reach
                 at = min(need, len(bound)) - 1
@@ -106,53 +109,119 @@ def _routes(base: DataFrame, queries: DataFrame, pivots: np.ndarray, need: int,
                 # a member at distance r from its pivot is at least (pivot gap - own reach - r) away
                 least = gaps - far - theta - SLACK
                 open_ = least <= reach
-                yield pd.DataFrame({"cell": cells[open_], "q_cell": cell, "min_reach": least[open_], "q_blocks": -(-n // block_rows), "s_blocks": blocks[open_]})
+                yield pd.DataFrame({"cell": cells[open_], "q_cell": cell, "min_reach": least[open_], "theta": theta})
 
-    asked = queries.groupBy("cell").agg(F.max("reach").alias("reach"), F.count("*").alias("n"))
-    return asked.mapInPandas(bounds, "cell int, q_cell int, min_reach double, q_blocks int, s_blocks int")
+    asked = queries.groupBy("cell").agg(F.max("reach").alias("reach"))
+    return asked.mapInPandas(bounds, "cell int, q_cell int, min_reach double, theta double")
 
 
-def _block_best(need: int):
-    """The `need` nearest rows of a right block for each row of a left one; ties by id."""
+def _in_line(pivots: np.ndarray) -> np.ndarray:
+    """The pivots' numbers in an order that goes from each to the nearest one left, so that a strip holds close cells."""
+    left, at = np.ones(len(pivots), bool), 0
+    line = []
+    for _ in range(len(pivots)):
+        line.append(at)
+        left[at] = False
+        gaps = ((pivots - pivots[at]) ** 2).sum(axis=1)
+        at = int(np.where(left, gaps, np.inf).argmin())
+    return np.array(line)
+
+
+def _strips(rows: DataFrame, pivots: np.ndarray, block_rows: int) -> DataFrame:
+    """`(at_cell, first, parts)`: the strips of each cell of `rows`.
+
+    Close cells share a strip, a cell of many rows has several.  There are about STRIPS of them, whatever the rows and the
+    blocks, until a strip would hold more than STRIP_NUMBERS numbers.
+    """
+    sizes = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}  # a row a pivot
+    most = max(1, STRIP_NUMBERS // pivots.shape[1])
+    size = max(1, min(most, max(block_rows, -(-sum(sizes.values()) // STRIPS))))
+    out, strip, filled = [], 0, 0
+    for cell in [int(c) for c in _in_line(pivots) if int(c) in sizes]:
+        n = sizes[cell]
+        if filled and filled + n > size:
+            strip, filled = strip + 1, 0
+        parts = -(-n // size)
+        out.append((cell, strip, parts))
+        strip, filled = (strip, filled + n) if parts == 1 else (strip + parts, 0)
+    return F.broadcast(rows.sparkSession.createDataFrame(out, "at_cell int, first int, parts int"))
+
+
+def _own_strip():
+    return F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+
+
+def _every_strip():
+    return F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1))
+
+
+def _strip_best(need: int, pivots: np.ndarray, block_rows: int):
+    """The `need` nearest rows of a right strip for each row of a left one; ties by id.
+
+    The strips meet in blocks of one cell and `block_rows` rows at most, the nearest cells first; rows of the right one that
+    lie beyond the distances found so far are left out by the triangle inequality.
+    """
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
         right = right.sort_values("id")
-        a, b = np.array(left["v"].tolist()), np.array(right["v"].tolist())
-        asked, ids = left["id"].to_numpy(), right["id"].to_numpy()
-        take = min(need, len(b))
-        norms = (b**2).sum(axis=1)
+        ids, b = right["id"].to_numpy(), np.array(right["v"].tolist(), dtype=float)
+        reach, norms = right["reach"].to_numpy(), (b**2).sum(axis=1)
+        at_cell = right["cell"].to_numpy()
+        members = {c: np.flatnonzero(at_cell == c) for c in np.unique(at_cell)}
+        cells = np.array(list(members))
         parts = []
-        step = max(1, ARRAY // len(b))
-        for i in range(0, len(a), step):
-            x = a[i : i + step]
-            own = (x**2).sum(axis=1)
-            rough = own[:, None] + norms - 2 * x @ b.T
-            # what rounding of the product could have put behind the last one is measured too
-            last = np.partition(rough, take - 1, axis=1)[:, take - 1] + 1e-13 * len(b[0]) * (own + norms.max())
-            row, col = np.nonzero(rough <= last[:, None])
-            d = np.concatenate([np.sqrt(((x[row[j : j + step]] - b[col[j : j + step]]) ** 2).sum(axis=1)) for j in range(0, len(row), step)])
-            order = np.lexsort((col, d, row))
-            row, col, d = row[order], col[order], d[order]
-            first = np.searchsorted(row, row)
-            kept = np.arange(len(row)) - first < take
-            parts.append(pd.DataFrame({"query_id": asked[i : i + step][row[kept]], "neighbor_id": ids[col[kept]], "distance": d[kept]}))
+        for cell, asked in left.groupby("cell", sort=False):
+            gaps = np.sqrt(((pivots[cells] - pivots[cell]) ** 2).sum(axis=1))
+            nearest = cells[np.argsort(gaps, kind="stable")]
+            gap_of = dict(zip(cells.tolist(), gaps.tolist()))
+            for i in range(0, len(asked), block_rows):
+                some = asked.iloc[i : i + block_rows]
+                x, far = np.array(some["v"].tolist(), dtype=float), some["reach"].max()
+                own = (x**2).sum(axis=1)
+                found_d = np.full((len(x), need), np.inf)
+                found_at = np.full((len(x), need), len(ids))
+                theta = some["theta"].to_numpy(dtype=float)
+                for c in nearest:
+                    last = np.minimum(theta, found_d[:, -1])
+                    at = members[c]
+                    at = at[reach[at] >= gap_of[int(c)] - far - last.max() - SLACK]
+                    step = min(block_rows, max(1, ARRAY // len(x)))
+                    for j in range(0, len(at), step):
+                        _take_nearer(x, own, b, norms, at[j : j + step], theta, found_d, found_at)
+                row, col = np.nonzero(found_at < len(ids))
+                parts.append(pd.DataFrame({"query_id": some["id"].to_numpy()[row], "neighbor_id": ids[found_at[row, col]], "distance": found_d[row, col]}))
         return pd.concat(parts)
 
     return best
 
 
-def _spread(blocks: str):
-    return F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
-
-
-def _every(blocks: str):
-    return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-
-
-def _ranked(asked: DataFrame, sent: DataFrame, keys: list[str], need: int, k: int, exclude_self: bool, id_type: str) -> DataFrame:
-    found = asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(_block_best(need), f"query_id {id_type}, neighbor_id {id_type}, distance double")
+def _take_nearer(x, own, b, norms, at, theta, found_d, found_at) -> None:
+    """Put rows `at` of b among the nearest found of each row of x, where they are nearer or tie with a smaller number."""
+    need = found_d.shape[1]
+    rough = own[:, None] + norms[at] - 2 * x @ b[at].T
+    limit = np.minimum(theta, found_d[:, -1])
+    bound = np.where(np.isinf(limit), np.inf, (limit + SLACK) ** 2)
+    if np.isinf(bound).any() and len(at) > need:
+        bound = np.minimum(bound, np.partition(rough, need - 1, axis=1)[:, need - 1])
+    # what rounding of the product could have put behind the last one is measured too
+    row, col = np.nonzero(rough <= (bound + 1e-13 * b.shape[1] * (own + norms[at].max()))[:, None])
+    if not len(row):
+        return
+    step = max(1, ARRAY // b.shape[1])
+    d = np.concatenate([np.sqrt(((x[row[j : j + step]] - b[at[col[j : j + step]]]) ** 2).sum(axis=1)) for j in range(0, len(row), step)])
+    rows = np.unique(row)
+    new_row = np.concatenate([np.repeat(rows, need), row])
+    new_d, new_at = np.concatenate([found_d[rows].ravel(), d]), np.concatenate([found_at[rows].ravel(), at[col]])
+    order = np.lexsort((new_at, new_d, new_row))
+    new_row, new_d, new_at = new_row[order], new_d[order], new_at[order]
+    kept = np.arange(len(new_row)) - np.searchsorted(new_row, new_row) < need
+    found_d[rows], found_at[rows] = new_d[kept].reshape(-1, need), new_at[kept].reshape(-1, need)
+
+
+def _ranked(asked: DataFrame, sent: DataFrame, keys: list[str], best, k: int, exclude_self: bool, id_type: str) -> DataFrame:
+    found = asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(best, f"query_id {id_type}, neighbor_id {id_type}, distance double")
     if exclude_self:
         found = found.filter(F.col("query_id") != F.col("neighbor_id"))
     order = W.partitionBy("query_id").orderBy("distance", "neighbor_id")
@@ -175,11 +244,16 @@ def knn_join(
     pivots = _pivots(s, _pivot_count(rows))
     # read by several passes: kept in memory when small, written to the shared folder when not
     sa, qa = stage(_assign(s, pivots), "knn-base"), stage(_assign(q, pivots), "knn-queries")
-    routes = stage(_routes(sa, qa, pivots, need, block_rows), "knn-routes")
-    sent = sa.join(routes, "cell").filter(F.col("reach") >= F.col("min_reach")).select("id", "v", "q_cell", "cell", _spread("s_blocks").alias("s_block"), _every("q_blocks").alias("q_block"))
-    own = qa.select("id", "v", F.col("cell").alias("q_cell"))
-    asked = own.join(routes.drop("min_reach"), "q_cell").select("id", "v", "q_cell", "cell", _spread("q_blocks").alias("q_block"), _every("s_blocks").alias("s_block"))
-    return _ranked(asked, sent, ["q_cell", "cell", "q_block", "s_block"], need, k, exclude_self, id_type)
+    routes = stage(_routes(sa, qa, pivots, need), "knn-routes")
+    q_strips, s_strips = _strips(qa, pivots, block_rows), _strips(sa, pivots, block_rows)
+    to_queries = routes.join(q_strips, F.col("q_cell") == F.col("at_cell")).select("cell", "min_reach", _every_strip().alias("q_strip"))
+    to_queries = to_queries.groupBy(F.col("cell").alias("to_cell"), "q_strip").agg(F.min("min_reach").alias("min_reach"))
+    to_base = routes.join(s_strips, F.col("cell") == F.col("at_cell")).select("q_cell", "theta", _every_strip().alias("s_strip")).distinct()
+    sent = sa.join(s_strips, F.col("cell") == F.col("at_cell")).select("id", "v", "cell", "reach", _own_strip().alias("s_strip"))
+    sent = sent.join(to_queries, F.col("cell") == F.col("to_cell")).filter("reach >= min_reach").select("id", "v", "cell", "reach", "q_strip", "s_strip")
+    asked = qa.join(q_strips, F.col("cell") == F.col("at_cell")).select("id", "v", "cell", "reach", _own_strip().alias("q_strip"))
+    asked = asked.join(to_base, F.col("cell") == F.col("q_cell")).select("id", "v", "cell", "reach", "theta", "q_strip", "s_strip")
+    return _ranked(asked, sent, ["q_strip", "s_strip"], _strip_best(need, pivots, block_rows), k, exclude_self, id_type)
 
 
 def knn_approximate(
@@ -197,7 +271,7 @@ def knn_approximate(
     """knn_join() over the base cells of each query's `probes` nearest pivots only; distances and ranks are exact among those.
 
     Pivots are rows moved to the means of their cells in `rounds` rounds.  Each base row is in one cell, each query in `probes`; with `probes` at the number of pivots the join is exact.  Cells of
-    more than `block_rows` rows meet in blocks.
+    more than `block_rows` rows meet in blocks, those of more numbers than a strip holds in several tasks.
     """
     q, s = _vectors(queries, id_col, vector), _vectors(base, id_col, vector)
     need = k + 1 if exclude_self else k
@@ -208,11 +282,13 @@ def knn_approximate(
     for _ in range(rounds):
         centres = _centred(s, centres)
     sa, qa = stage(_assign(s, centres), "knn-base"), stage(_assign(q, centres, probes), "knn-queries")
-    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
-    sizes = stage(blocks(sa, "s_blocks").join(blocks(qa, "q_blocks"), "cell"), "knn-cells")
-    sent = sa.join(sizes, "cell").select("id", "v", "cell", _spread("s_blocks").alias("s_block"), _every("q_blocks").alias("q_block"))
-    asked = qa.join(sizes, "cell").select("id", "v", "cell", _spread("q_blocks").alias("q_block"), _every("s_blocks").alias("s_block"))
-    return _ranked(asked, sent, ["cell", "q_block", "s_block"], need, k, exclude_self, id_type)
+    strips = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    most = max(block_rows, STRIP_NUMBERS // centres.shape[1])
+    sizes = stage(strips(sa, "s_strips").join(strips(qa, "q_strips"), "cell"), "knn-cells")
+    own, every = (lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    sent = sa.join(sizes, "cell").select("id", "v", "cell", "reach", own("s_strips").alias("s_strip"), every("q_strips").alias("q_strip"))
+    asked = qa.join(sizes, "cell").select("id", "v", "cell", "reach", F.lit(float("inf")).alias("theta"), own("q_strips").alias("q_strip"), every("s_strips").alias("s_strip"))
+    return _ranked(asked, sent, ["cell", "q_strip", "s_strip"], _strip_best(need, centres, block_rows), k, exclude_self, id_type)
 
 
 def knn_classify(queries: DataFrame, base: DataFrame, label: str, k: int = 7, id_col: str = "id", vector: str = "v", exclude_self: bool = False) -> DataFrame:

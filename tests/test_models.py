@@ -10,6 +10,7 @@ from plumbline.ml import prepare as P
 from plumbline.ml import score as SC
 from plumbline.ml.estimators import Shape, adaboost, ridge, shape_of
 from plumbline.ml.train import as_models_table, draw, train_models
+from plumbline.operators import neighbors as N
 from plumbline.operators.neighbors import knn_approximate, knn_join
 from plumbline.plans.report import analytics_report, exploration_report
 from plumbline.session import scratch_path
@@ -48,6 +49,22 @@ def test_neighbors_match_brute_force(spark, block_rows):
         assert part.sort_values("rank").neighbor_id.tolist() == order.tolist()
 
 
+@pytest.mark.parametrize("numbers", [200, 8_000_000])
+def test_small_blocks_send_no_more_rows(spark, numbers, monkeypatch):
+    """Rows travel once to a strip, not to a block; a strip that would be too large becomes several, with the same result."""
+    monkeypatch.setattr(N, "STRIP_NUMBERS", numbers)
+    v = np.random.default_rng(3).normal(0, 1, (400, 4)).round(1)  # with ties
+    df = spark.createDataFrame([(int(i), [float(a) for a in x]) for i, x in enumerate(v)], "id long, v array<double>")
+    cells = N._assign(df, v[:3])
+    strips = sum(r["parts"] for r in N._strips(cells, v[:3], 5).collect())
+    assert strips <= 2 * N.STRIPS if numbers > 200 else strips >= 400 * 4 // 200
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    for join in (lambda: knn_join(df, df, 5, exclude_self=True, block_rows=5), lambda: knn_approximate(df, df, 5, exclude_self=True, pivots=3, probes=3, block_rows=5)):
+        got = {(r["query_id"], r["rank"]): r["neighbor_id"] for r in join().collect()}
+        assert got == {(i, j + 1): int(b) for i in range(400) for j, b in enumerate(np.lexsort((np.arange(400), d[i]))[:5])}
+
+
 @pytest.mark.parametrize("block_rows", [4096, 40])
 def test_approximate_neighbours_of_clustered_vectors(spark, block_rows):
     rng = np.random.default_rng(8)
