@@ -16,6 +16,8 @@ from plumbline.session import bounded_broadcast, estimated_bytes, stage
 #: Buckets of an input whose size is unknown, and the most that the sketch tells apart.
 UNSIZED_BUCKETS, MOST_BUCKETS = 1024, 16_384
 LITERAL_STRATA = 64
+#: Ordered ranges that keys are dealt into at a time.
+MOST_RANGES = 64
 #: A size estimate beyond this is the optimizer's way of saying that it does not know.
 UNLIKELY_BYTES = 1 << 60
 
@@ -38,8 +40,9 @@ def first_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFram
 def row_at(df: DataFrame, key: str, index: int, heap_rows: int = 10_000) -> DataFrame:
     """Row number `index` (from 0) in the order of a unique key of any type, nulls first; out of range raises.
 
-    Near the start a bounded heap finds it.  Further in, the keys are dealt into ordered ranges and written; the counts
-    of the ranges say which one holds the row, and only that one is sorted.
+    Near the start a bounded heap finds it.  Further in, the keys are dealt into at most MOST_RANGES ordered ranges and
+    written; the counts of the ranges say which one holds the row, and that one is dealt again until it has no more than
+    `heap_rows` keys or a single one, or a round parts nothing.  So each round sends a bounded sample of keys and a count a range to the driver.
     """
     if index < 0:
         raise IndexError("row index must not be negative")
@@ -48,18 +51,24 @@ def row_at(df: DataFrame, key: str, index: int, heap_rows: int = 10_000) -> Data
         if row.isEmpty():
             raise IndexError(f"row index {index} is out of range")
         return row
-    n = df.count()
+    keys = df.select(quoted(key).alias("key"))
+    n = keys.count()
     if index >= n:
         raise IndexError(f"row index {index} is out of range (rows: {n})")
-    ranges = max(1, -(-n // heap_rows))
-    dealt = df.select(quoted(key).alias("key")).repartitionByRange(ranges, F.col("key").asc_nulls_first())
-    kept = stage(dealt.select("key", F.spark_partition_id().alias("part")), "ranges", small=False)
-    ahead = 0
-    for part, count in sorted(kept.groupBy("part").count().collect()):
-        if index < ahead + count:
+    at = index
+    while n > heap_rows:
+        dealt = keys.repartitionByRange(min(MOST_RANGES, -(-n // heap_rows)), F.col("key").asc_nulls_first())
+        kept = stage(dealt.select("key", F.spark_partition_id().alias("part")), "ranges", small=False)
+        held = kept.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.count("key").alias("known")).collect()
+        before = n
+        for part, n, low, high, known in sorted(held, key=lambda r: r["part"]):
+            if at < n:
+                break
+            at -= n
+        keys = kept.filter(F.col("part") == part).select("key")
+        if n == before or (low == high and known in (0, n)):  # a key that repeats, or nulls alone
             break
-        ahead += count
-    value = kept.filter(F.col("part") == part).orderBy("key").offset(index - ahead).limit(1)
+    value = keys.orderBy("key").offset(at).limit(1)
     return df.join(F.broadcast(value.select(F.col("key").alias("__at"))), quoted(key).eqNullSafe(F.col("__at"))).drop("__at")
 
 

@@ -192,3 +192,15 @@ def test_top_per_group_limits_before_the_shuffle(keyed):
     top = top_per_group(keyed, ["y"], [F.col("id").desc()], 2)
     assert top.count() == 6
     assert "WindowGroupLimit" in top._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_row_at_deals_few_ranges(keyed, monkeypatch):
+    """However small the heap, a round deals a bounded number of ranges; a key that never splits ends the search."""
+    asked = []
+    dealt = type(keyed).repartitionByRange
+    monkeypatch.setattr(type(keyed), "repartitionByRange", lambda self, n, *c: asked.append(n) or dealt(self, n, *c))
+    assert row_at(keyed, "id", 137, 1).first()["id"] == 137
+    assert 1 < len(asked) <= 4 and max(asked) <= 64
+    same = keyed.selectExpr("CASE WHEN id < 5 THEN NULL WHEN id < 90 THEN 7 ELSE id END AS key")
+    assert row_at(same.distinct(), "key", 1, 1).first()["key"] == 7
+    assert {r["key"] for r in row_at(same, "key", 50, 1).collect()} == {7} and {r["key"] for r in row_at(same, "key", 3, 1).collect()} == {None}
