@@ -11,9 +11,11 @@ could join two components is left out.  A round chooses up to LEADERS members of
 against all members of other components, and components are found anew; most groups of near copies are one component then.
 Pairs of unlike components that are left then (in cells of strangers that share a passage) are searched by an exact prefix
 filter over the sets of those cells: with shingles in order of their rarity, two sets of similarity 0.8 share one of the
-first fifth.  Components of links are groups.
+first fifth.  Of what it lets through, parity bits of both sets give a least number of shingles that only one of them has,
+and pairs with too many are left out.  Components of links are groups.
 
-Fingerprints of 64 bits at a distance find no such pairs: at 0.8 some 10 of 64 bits differ, with a spread of 3.
+SimHash fingerprints of the sets and their multi-index search (`simhash`) give candidates too, which are verified with the
+smallest members' ones.  They alone would not do: at 0.8 some 10 of 64 bits differ, with a spread of 3.
 
 Nulls, ties and the like: null texts and texts without words are copies of each other; rows with a null id always stay
 and link nothing; of a group the rows of the smallest (id, set) stay, and rows that share both are one document; an id that
@@ -33,13 +35,16 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import forget, only_columns, portions, staged
 from plumbline.llm.components import components, first_of_each
-from plumbline.llm.simhash import SEED, shingle_hashes
+from plumbline.llm.simhash import SEED, bit_counts, close_links, shingle_hashes
 
 WORDS = 5
 #: Tables of the index, and hash functions of one table's cells.
 TABLES, ROWS = 32, 5
 #: Members of a cell that are compared with all of it in a round, and rounds before the prefix filter.
 LEADERS, ROUNDS = 2, 1
+#: Parity bits of a set, in columns of 64.
+PARITY = 256
+PARITIES = [f"p{i}" for i in range(PARITY // 64)]
 #: Shingles that are hashed at a time, texts that are taken at a time.
 BATCH = 256
 CHUNK = 1 << 10
@@ -62,6 +67,20 @@ def set_print(hashes: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(hashes.tobytes(), SEED)], np.uint64).view(np.int64)[0])
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of the set as a signed 64-bit number."""
+    return int(np.packbits(2 * bit_counts(hashes) > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """PARITY bits: whether an odd number of the set's shingles falls on each.
+
+    A shingle that only one of two sets has turns one bit, so as many bits differ as there are such shingles, at most.
+    """
+    odd = np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def cells(hashes: np.ndarray) -> np.ndarray:
     """The set's cell in each table; the number names the table too."""
     if not len(hashes):
@@ -74,34 +93,46 @@ def cells(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int = WORDS, key: str = "doc_id") -> DataFrame:
-    """(key, fp, n, cells) of the rows with an id: set, its size, and its cells."""
+    """(key, fp, n, cells, sim) of the rows with an id: set, its size, its cells, and its SimHash."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, BATCH):
-            prints, sizes, found = [], [], []
+            prints, sizes, found, sims = [], [], [], []
             for text in batch.column("text"):
                 hashes = shingle_set(text.as_py(), words)
                 prints.append(set_print(hashes))
                 sizes.append(len(hashes))
                 found.append(cells(hashes))
-            arrays = [pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(key), *arrays], [key, "fp", "n", "cells"])
+                sims.append(set_fingerprint(hashes))
+            arrays = [pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(sims, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *arrays], [key, "fp", "n", "cells", "sim"])
 
     named = only_columns(docs, key, "text").where(F.col(key).isNotNull())
-    return named.mapInArrow(run, f"`{key}` {kind}, fp long, n int, cells array<long>")
+    return named.mapInArrow(run, f"`{key}` {kind}, fp long, n int, cells array<long>, sim long")
 
 
 def _shingles(texts: DataFrame, words: int) -> DataFrame:
-    """(fp, hashes) of rows (text, fp), without the rows whose text has another set."""
+    """(fp, hashes, p0 ..) of rows (text, fp), without the rows whose text has another set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches, BATCH):
             sets = [shingle_set(t, words) for t in part.column("text").to_pylist()]
-            same = [(f, s.view(np.int64)) for f, s in zip(part.column("fp").to_pylist(), sets) if set_print(s) == f]
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in same], pa.int64()), pa.array([s for _, s in same], pa.list_(pa.int64()))], ["fp", "hashes"])
+            same = [(f, s) for f, s in zip(part.column("fp").to_pylist(), sets) if set_print(s) == f]
+            odd = np.array([parities(s) for _, s in same], np.int64).reshape(-1, len(PARITIES))
+            arrays = [pa.array([f for f, _ in same], pa.int64()), pa.array([s.view(np.int64) for _, s in same], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(o, pa.int64()) for o in odd.T]], ["fp", "hashes", *PARITIES])
+
+    return texts.mapInArrow(run, f"fp long, hashes array<long>, {', '.join(f'{p} long' for p in PARITIES)}")
+
 
-    return texts.mapInArrow(run, "fp long, hashes array<long>")
+def by_fingerprints(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets (fp, sim): each with the smallest of its fingerprint, and the smallest ones of close fingerprints."""
+    prints = staged(sets.groupBy("sim").agg(F.min("fp").alias("least")), "fingerprints")
+    same = sets.join(prints, "sim").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    one, two = (prints.select(F.col("sim").alias(end), F.col("least").alias(f"{end}_least")) for end in "ab")
+    close = close_links(prints.select(F.col("sim").alias("fp"))).join(one, "a").join(two, "b")
+    return same.unionAll(close.select(F.least("a_least", "b_least").alias("a"), F.greatest("a_least", "b_least").alias("b")))
 
 
 def _like_sizes(n: Column, m: Column) -> Column:
@@ -146,30 +177,39 @@ def _by_rare_shingles(now: DataFrame, shingles: DataFrame) -> DataFrame:
     With all sets' shingles in one order, the rarest first, two such sets share one of their first n - ceil(0.8 n) + 1.
     The first that they share has enough shingles behind it in both; passages that many sets hold fall away by that.
     """
-    left = staged(now.select("fp", "n", "root").distinct(), "left_sets")
+    left = staged(now.select("fp", "n", "root").distinct().join(shingles.select("fp", *PARITIES), "fp"), "left_sets")
     words = staged(shingles.join(left.select("fp"), "fp").select("fp", F.explode("hashes").alias("h")), "left_shingles")
     often = words.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     own = W.partitionBy("fp")
     # the n - known shingles that no other set has come first, and are in no pair
     shared = words.join(often, "h").select("fp", "h", (F.row_number().over(own.orderBy("f", "h")) - F.count(F.lit(1)).over(own)).alias("behind"))
-    placed = shared.join(left, "fp").select("h", "fp", "n", "root", (F.col("n") + F.col("behind")).alias("at"))
+    placed = shared.join(left, "fp").select("h", "fp", "n", "root", *PARITIES, (F.col("n") + F.col("behind")).alias("at"))
     first = staged(placed.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * 4 / F.lit(5)) + 1), "rare")
-    x, y = (first.select("h", *[F.col(c).alias(c + side) for c in ("fp", "n", "root", "at")]) for side in ("_x", "_y"))
+    x, y = (first.select("h", *[F.col(c).alias(c + side) for c in ("fp", "n", "root", "at", *PARITIES)]) for side in ("_x", "_y"))
     enough = 9 * (1 + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))) >= 4 * (F.col("n_x") + F.col("n_y"))
-    both = x.join(y, "h").where((F.col("fp_x") < F.col("fp_y")) & (F.col("root_x") != F.col("root_y")) & enough)
+    # at 0.8 no more than a ninth of all shingles are in one set alone
+    apart = sum((F.bit_count(F.col(f"{p}_x").bitwiseXOR(F.col(f"{p}_y"))) for p in PARITIES), F.lit(0))
+    close = 9 * apart <= F.col("n_x") + F.col("n_y")
+    both = x.join(y, "h").where((F.col("fp_x") < F.col("fp_y")) & (F.col("root_x") != F.col("root_y")) & enough & close)
     return both.select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b"))
 
 
-def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, key: str = "doc_id", rounds: int | None = None) -> DataFrame:
-    """(a, b): links between distinct sets (key, fp, n, cells), whose components are those of all candidates' links."""
+def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, key: str = "doc_id", rounds: int | None = None, first: DataFrame | None = None) -> DataFrame:
+    """(a, b): links between distinct sets (key, fp, n, cells), whose components are those of all candidates' links.
+
+    `first` are candidates (a, b) besides those that share a cell.
+    """
     members = sets.select("fp", "n", F.explode("cells").alias("cell"))
     least = members.groupBy("cell").agg(F.min(F.struct("fp", "n")).alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = staged(members.join(least, "cell").select("cell", "fp", "n", "least"), "shared")
-    wanted = sets.join(shared.select("fp").distinct(), "fp").select(F.col(key).alias("_id"), "fp")
+    ends = shared.select("fp")
+    if first is not None:
+        ends = ends.unionAll(first.select("a")).unionAll(first.select("b"))
+    wanted = sets.join(ends.distinct(), "fp").select(F.col(key).alias("_id"), "fp")
     texts = only_columns(docs, key, "text").join(wanted, F.col(key) == F.col("_id")).select("text", "fp")
     shingles = staged(_shingles(texts, words).dropDuplicates(["fp"]), "shingles")
     stars = shared.where((F.col("fp") != F.col("least.fp")) & _like_sizes(F.col("n"), F.col("least.n"))).select(F.col("least.fp").alias("a"), F.col("fp").alias("b"))
-    found = staged(verified(stars, shingles), "stars")
+    found = staged(verified(stars if first is None else stars.unionAll(first), shingles), "stars")
     now = _rooted(shared.select("cell", "fp", "n", (F.col("fp") == F.col("least.fp")).alias("led")), found)
     forget(shared)
     for _ in range(ROUNDS if rounds is None else rounds):
@@ -193,9 +233,10 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, key: str = "doc_
 def near_groups(docs: DataFrame, words: int = WORDS, key: str = "doc_id") -> DataFrame:
     """(key, print, root): one row for each row of `docs` with an id; rows of one root are near copies."""
     rows = staged(sketches(docs, words, key), "sketches")
-    sets = staged(rows.groupBy("fp").agg(F.min(F.struct(key, "n", "cells")).alias("s")).select("fp", "s.*"), "sets")
-    roots = staged(components(links(docs, sets, words, key)), "roots")
-    forget(sets)
+    sets = staged(rows.groupBy("fp").agg(F.min(F.struct(key, "n", "cells", "sim")).alias("s")).select("fp", "s.*"), "sets")
+    first = staged(by_fingerprints(sets.select("fp", "sim")), "close_prints")
+    roots = staged(components(links(docs, sets, words, key, first=first)), "roots")
+    forget(sets, first)
     return rows.join(roots, F.col("fp") == F.col("node"), "left").select(key, F.col("fp").alias("print"), F.coalesce("root", "fp").alias("root"))
 
 

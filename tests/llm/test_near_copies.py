@@ -95,3 +95,39 @@ def test_edges(edge, nothing):
     assert kept.columns == edge.columns and ids == [1, 4, 7, 8, 9, None]
     assert N.deduplicated(nothing).count() == 0
     assert N.deduplicated(edge.withColumn("doc_id", F.col("doc_id").cast("string"))).count() == 6
+
+
+def test_fingerprints_give_candidates(spark):
+    """The multi-index search alone finds texts that share no cell, and sets of one fingerprint."""
+    draw = random.Random(2)
+    base = [f"w{draw.randrange(5000)}" for _ in range(3000)]
+    near = [*base[:1500], "changed", *base[1501:]]
+    texts = {0: " ".join(base), 1: " ".join(near), 2: " ".join(reversed(base))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = N.sketches(docs).withColumn("cells", F.array((F.col("doc_id") + 7).cast("long")))
+    prints = {i: N.set_print(N.shingle_set(t)) for i, t in texts.items()}
+    first = N.by_fingerprints(sets.select("fp", "sim"))
+    assert {frozenset(r) for r in first.collect()} == {frozenset((prints[0], prints[1]))}
+    assert N.links(docs, sets).count() == 0
+    assert {frozenset(r) for r in N.links(docs, sets, first=first).collect()} == {frozenset((prints[0], prints[1]))}
+
+
+def test_parity_bits_leave_strangers_out(spark):
+    """Texts that share most, but less than 0.8, are no pairs to verify; close sets are, also beyond the bits' number."""
+    draw = random.Random(9)
+    some = lambda n: [f"w{draw.randrange(90000)}" for _ in range(n)]
+    base, texts = some(80), []
+    for at in range(10, 71, 6):
+        texts.append(" ".join([*base[:at], f"c{at}", *base[at + 1 :]]))
+    strangers = len(texts)
+    for n in (40, 2000):
+        base = some(n)
+        texts += [" ".join(base), " ".join([*base[:-1], "other"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = N.sketches(docs)
+    shingles = N._shingles(docs.join(sets.select("doc_id", "fp"), "doc_id").select("text", "fp"), N.WORDS)
+    pairs = N._by_rare_shingles(sets.select("fp", "n", F.col("fp").alias("root")), shingles).distinct().collect()
+    prints = [N.set_print(N.shingle_set(t)) for t in texts]
+    found, near = {frozenset(r) for r in pairs}, {frozenset(prints[i : i + 2]) for i in (strangers, strangers + 2)}
+    # of 55 pairs at 0.77; shingles that fall on one bit hide a few
+    assert near <= found and len(found - near) < 30
