@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from plumbline.session import is_small, several_passes
 QUARTILES = (0.25, 0.5, 0.75)
 # beyond this many pairs one fused aggregate no longer compiles well, and matrix products win
 FUSED_PAIRS = 15
+# beyond this many columns one aggregate of moments no longer compiles, and sums of arrays by tasks win
+FUSED_MOMENTS = 12
 
 
 def unfold(row: DataFrame, parts: Sequence[Sequence[Column]]) -> DataFrame:
@@ -102,6 +105,8 @@ def moment_profile(df: DataFrame, columns: Sequence[str] | None = None, limit: i
     """`(column, count, skewness, variance)`: bias-corrected skewness (n >= 3), population variance (n >= 2)."""
     df = normalised(df)
     columns = list(columns if columns is not None else numeric_columns(df))[:limit]
+    if len(columns) > FUSED_MOMENTS:
+        return _moments_by_tasks(df, columns)
     exprs = []
     for i, c in enumerate(columns):
         x = quoted(c).cast("double")
@@ -125,6 +130,48 @@ def moment_profile(df: DataFrame, columns: Sequence[str] | None = None, limit: i
     )
 
 
+def _moments_by_tasks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`moment_profile` of a wide table: counts, means and central sums of each Arrow batch, put together by task and then by column."""
+
+    def joined(parts: list[np.ndarray]) -> np.ndarray:
+        """Rows (count, mean, second and third central sum) of the union of parts, about the common mean."""
+        n, mean, m2, m3 = np.stack(parts, axis=1)
+        total = n.sum(axis=0)
+        with np.errstate(invalid="ignore", over="ignore"):
+            middle = np.where(n > 0, n * mean, 0.0).sum(axis=0) / np.maximum(total, 1)
+            d = np.where(n > 0, mean - middle, 0.0)
+            return np.stack([total, middle, (m2 + n * d**2).sum(axis=0), (m3 + 3 * d * m2 + n * d**3).sum(axis=0)])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        so_far = np.zeros((4, len(columns)))
+        for batch in batches:
+            found = np.zeros((4, len(columns)))
+            for i, column in enumerate(batch.columns):
+                x = column.drop_null().to_numpy(zero_copy_only=False)
+                if len(x):
+                    with np.errstate(invalid="ignore", over="ignore"):
+                        mean = x.mean()
+                        d = x - mean
+                        square = d * d
+                        found[:, i] = len(x), mean, square.sum(), (square * d).sum()
+            so_far = joined([so_far, found])
+        arrays = [pa.array(range(len(columns)), pa.int32()), *[pa.array(row, pa.float64()) for row in so_far]]
+        yield pa.RecordBatch.from_arrays(arrays, ["position", "n", "mean", "m2", "m3"])
+
+    tasks = df.select(*[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(sums, "position int, n double, mean double, m2 double, m3 double")
+    none = df.sparkSession.createDataFrame([(i, 0.0, 0.0, 0.0, 0.0) for i in range(len(columns))], tasks.schema)  # also of a table without partitions
+    each = tasks.unionAll(none).groupBy("position").agg(F.collect_list(F.struct("n", "mean", "m2", "m3")).alias("parts"))  # a part a task
+    total = lambda value: F.aggregate(F.filter("parts", lambda p: p["n"] > 0), F.lit(0.0), lambda s, p: s + value(p))
+    counted = each.select("position", "parts", total(lambda p: p["n"]).alias("n"), total(lambda p: p["n"] * p["mean"]).alias("sum"))
+    d, n = (lambda p: p["mean"] - F.col("sum") / F.col("n")), F.col("n")
+    whole = counted.select("position", "n", total(lambda p: p["m2"] + p["n"] * d(p) * d(p)).alias("m2"), total(lambda p: p["m3"] + 3 * d(p) * p["m2"] + p["n"] * d(p) * d(p) * d(p)).alias("m3"))
+    m2 = F.col("m2")
+    plain = F.when(m2 != 0, F.sqrt(n) * F.col("m3") / F.sqrt(m2 * m2 * m2))
+    skew = F.when(n >= 3, F.coalesce(plain * F.sqrt(n * (n - 1)) / (n - 2), F.lit(0.0)))
+    name = F.array(*map(F.lit, columns))[F.col("position")]
+    return whole.select(name.alias("column"), n.cast("long").alias("count"), skew.alias("skewness"), F.when(n >= 2, m2 / n).alias("variance"))
+
+
 def _storage_class(dtype: T.DataType) -> str:
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return "long"

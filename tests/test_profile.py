@@ -132,3 +132,24 @@ def test_summary_is_one_scan_with_pruned_columns(spark, tmp_path):
     spark.range(100).select("id", (F.col("id") * 2.0).alias("x"), F.lit("text").alias("t")).write.parquet(str(tmp_path / "t"))
     plan = S.numeric_summary(spark.read.parquet(str(tmp_path / "t")), ["x"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "ReadSchema: struct<x:double>" in plan
+
+
+def test_moments_of_wide_tables_by_tasks(spark, monkeypatch):
+    """Beyond a few columns tasks sum arrays; both ways agree on gaps, constants, large offsets and infinities."""
+    x = F.col("id").cast("double")
+    wide = spark.range(500).repartition(5).select(
+        x.alias("a"), (x * x).alias("b"), F.when(F.col("id") % 3 == 0, x).alias("gaps"), F.lit(2.0).alias("same"), F.lit(None).cast("double").alias("none"),
+        F.when(F.col("id") < 2, x).alias("two"), (F.sqrt(x) + 1e9).alias("far"), F.when(F.col("id") == 7, float("inf")).otherwise(x).alias("open"), F.when(F.col("id") == 7, float("nan")).otherwise(x).alias("nan"),
+    )
+    asked = []
+    by_tasks = S._moments_by_tasks
+    monkeypatch.setattr(S, "_moments_by_tasks", lambda *a: asked.append(1) or by_tasks(*a))
+    one = {r["column"]: r for r in S.moment_profile(wide).collect()}
+    monkeypatch.setattr(S, "FUSED_MOMENTS", 3)
+    two = {r["column"]: r for r in S.moment_profile(wide).collect()}
+    assert asked == [1] and set(one) == set(two) == set(wide.columns)
+    for c in one:
+        assert one[c]["count"] == two[c]["count"]
+        for k in ("skewness", "variance"):
+            a, b = one[c][k], two[c][k]
+            assert (a is None and b is None) or a == pytest.approx(b, rel=1e-6, abs=1e-9, nan_ok=True), (c, k, a, b)
