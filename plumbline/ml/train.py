@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -146,8 +146,8 @@ class Folds:
     """Fold parts with their fitted preparation, shared by all models.
 
     Each fold's preparation is learned on its own training rows.  Prepared frames of small
-    inputs stay in memory for the whole run; a large fold is held only while one model fits,
-    so at most one is kept at a time.
+    inputs stay in memory for the whole run; a large fold is held once, while all models or trials
+    are fitted on it, so at most one is kept at a time.
     """
 
     parts: list[tuple[DataFrame, DataFrame, Shape, bool]]
@@ -168,25 +168,36 @@ class Folds:
             parts.append((ready, held_out, shape, keep))
         return cls(parts)
 
-    def tasks(self, fit: Fitter, task: str, params: dict) -> list[Callable[[], float | None]]:
-        """One cross-validation as a task for each fold, which returns its score."""
-
-        def one(f: int) -> float | None:
-            train, test, shape, kept = self.parts[f]
-            used = train if kept else train.persist(StorageLevel.MEMORY_AND_DISK)
+    def score(self, f: int, fit: Fitter, task: str, params: dict) -> float | None:
+        """Fit on the rows outside fold `f`, and measure on the fold."""
+        train, test, shape, _ = self.parts[f]
+        scored = score_frame(fit(train, shape, **params), test, task).withColumn("fold", F.lit(f))
+        row = V.fold_scores(scored, task).first()
+        return row["score"] if row else None
+
+    def scores(self, work: Sequence[tuple[Fitter, dict]], task: str, parallel: int, also: Sequence = ()) -> tuple[list[list[tuple]], list[tuple]]:
+        """(score, error) on each fold, a list for each (fit, params), and of the tasks of `also`, which run beside the small folds.
+
+        A large fold is held once for all fits.
+        """
+        spark = self.parts[0][0].sparkSession
+        out: list[list[tuple]] = [[(None, None)] * len(self.parts) for _ in work]
+        large = [f for f, part in enumerate(self.parts) if not part[3]]
+        others: list[tuple] = []
+        for batch in [[f for f in range(len(self.parts)) if f not in large], *[[f] for f in large]]:
+            held = [frame for f in batch if f in large for frame in self.parts[f][:2]]
+            for frame in held:
+                frame.persist(StorageLevel.MEMORY_AND_DISK)
             try:
-                scored = score_frame(fit(used, shape, **params), test, task).withColumn("fold", F.lit(f))
-                row = V.fold_scores(scored, task).first()
-                return row["score"] if row else None
+                spots = [(i, f) for i in range(len(work)) for f in batch]
+                done = concurrently(spark, [*also, *[partial(self.score, f, work[i][0], task, work[i][1]) for i, f in spots]], parallel)
             finally:
-                if not kept:
-                    used.unpersist()
-
-        return [partial(one, f) for f in range(len(self.parts))]
-
-    def at_a_time(self, parallel: int) -> int:
-        """A large fold is held while it is fitted, so such folds go one by one."""
-        return parallel if all(kept for *_, kept in self.parts) else 1
+                for frame in held:
+                    frame.unpersist()
+            others, also = others + done[: len(also)], ()
+            for (i, f), outcome in zip(spots, done[len(done) - len(spots) :]):
+                out[i][f] = outcome
+        return out, others
 
     def release(self) -> None:
         for train, test, _, kept in self.parts:
@@ -215,16 +226,15 @@ def search(folds: Folds, fit: Fitter, task: str, space: dict, trials: int = TRIA
     With a `budget` in seconds the clock is read between trials, and `n_trials` tells how many there were; without one
     the same seed gives the same search on any machine.
     """
-    rng, begun, spark = np.random.default_rng(seed), time.monotonic(), folds.parts[0][0].sparkSession
+    rng, begun = np.random.default_rng(seed), time.monotonic()
     history = []
     drawn = [draw(space, rng) for _ in range(trials)]
-    parallel = folds.at_a_time(parallel)
     together = 1 if budget is not None else trials  # the clock is read between trials
     for start in range(0, trials, together):
         block = drawn[start : start + together]
-        done = _all_or_raise(concurrently(spark, [t for params in block for t in folds.tasks(fit, task, params)], parallel))
-        for i, params in enumerate(block):
-            scores = [s for s in done[i * len(folds.parts) : (i + 1) * len(folds.parts)] if s is not None]
+        done, _ = folds.scores([(fit, params) for params in block], task, parallel)
+        for params, outcomes in zip(block, done):
+            scores = [s for s in _all_or_raise(outcomes) if s is not None]
             history.append((float(np.mean(scores)) if scores else -1e9, params))
         if budget is not None and time.monotonic() - begun >= budget:
             break
@@ -299,8 +309,7 @@ def train_models(
         result.importance = feature_importance(result.model, prep.slots())
 
     done = [Trained(name, task, params=dict((params or {}).get(name, {}))) for name in names]
-    owners: list[Trained] = []
-    tasks: list[Callable[[], object]] = []
+    ready: list[Trained] = []
     for result in done:
         try:
             if tune and result.name in SEARCH and splits:
@@ -309,15 +318,18 @@ def train_models(
         except Exception as problem:
             result.error = _short(problem)
             continue
-        mine = [partial(fitted_model, result), *(splits.tasks(catalog[result.name], task, result.params) if splits else [])]
-        owners += [result] * len(mine)
-        tasks += mine
-    outcomes = concurrently(base.sparkSession, tasks, splits.at_a_time(parallel) if splits else parallel)
-    for result, work, (value, problem) in zip(owners, tasks, outcomes):
-        if problem is not None:  # one model must not end the run
-            result.error = result.error or _short(problem)
-        elif work.func is not fitted_model:
-            result.fold_scores.append(value)
+        ready.append(result)
+    fitting = [partial(fitted_model, result) for result in ready]
+    if splits:
+        crossed, fits = splits.scores([(catalog[result.name], result.params) for result in ready], task, parallel, fitting)
+    else:
+        crossed, fits = [[] for _ in ready], concurrently(base.sparkSession, fitting, parallel)
+    for result, fit, outcomes in zip(ready, fits, crossed):
+        for work, (value, problem) in enumerate([fit, *outcomes]):
+            if problem is not None:  # one model must not end the run
+                result.error = result.error or _short(problem)
+            elif work:
+                result.fold_scores.append(value)
     if splits:
         splits.release()
     base.unpersist()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.ml import explain as X
 from plumbline.ml import prepare as P
 from plumbline.ml import score as SC
+from plumbline.ml import train as T
 from plumbline.ml.estimators import Shape, adaboost, ridge, shape_of
 from plumbline.ml.train import as_models_table, draw, train_models
 from plumbline.operators import neighbors as N
@@ -193,6 +194,23 @@ def test_search_at_the_same_time_equals_the_sequence(classes):
     assert runs[0].models[0].params == runs[1].models[0].params and runs[0].models[0].fold_scores == runs[1].models[0].fold_scores
 
 
+def test_large_folds_are_held_once(spark, monkeypatch):
+    """All models and trials are fitted on a large fold while it is held, with the results of small folds."""
+    frame = regression_frame(spark, 200).cache()
+    names = dict(zip(("key", "target"), (frame.columns[0], "target")))
+    runs, held = [], []
+    for most in (T.KEPT_FOLD_ROWS, 0):
+        monkeypatch.setattr(T, "KEPT_FOLD_ROWS", most)
+        kept = type(frame).persist
+        with monkeypatch.context() as m:
+            m.setattr(type(frame), "persist", lambda self, *a: held.append((most, self.columns)) or kept(self, *a))
+            run = train_models(frame, names["target"], names["key"], "regression", ("Linear Regression",), folds=2, tune=True, trials=6)
+        runs.append([(r.name, r.error, r.params, r.fold_scores) for r in run.models])
+    assert [r[:3] for r in runs[0]] == [r[:3] for r in runs[1]] and [r[3] for r in runs[0]] == [pytest.approx(r[3]) for r in runs[1]]
+    prepared = [c for most, c in held if most == 0 and c == ["row_key", "features", "label"]]
+    assert len(prepared) <= 2 + 2 * 2 * 2  # the run's own parts, then both parts of each fold for the six trials and for the model
+
+
 def test_search_draws_are_seeded():
     space = {"a": (1, 9), "b": (0.01, 1.0, "log"), "c": (0.5, 1.0, "linear")}
     one, two = draw(space, np.random.default_rng(3)), draw(space, np.random.default_rng(3))
