@@ -1,18 +1,21 @@
 """Multi-class boosting of stumps over histograms.
 
 Features are cut into bins once; rows with equal bins and label are one profile with a count, as boosting never tells
-them apart.  A round is one grouped sum of weights over (feature, bin, label), from which the best stump is read, and a
-projection that renews the weights; no tree is grown on rows.  The driver sees features x bins x labels numbers a round,
-whatever the rows.
+them apart.  The profiles are kept as arrays, a block a task.  A round is one job: each task lifts its weights by the
+stumps so far and sums them over (feature, bin, label), and the best stump is read from the total; no tree is grown on
+rows.  The driver sees features x bins x labels numbers a round, whatever the rows.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 from math import exp, log
 
 import numpy as np
-from pyspark import StorageLevel, keyword_only
+from pyspark import RDD, StorageLevel, cloudpickle, keyword_only
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -20,8 +23,12 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.ml.votes import cell_scores
 from plumbline.session import checkpoint_dir
 
+# Executors need not have this package: the functions of the rounds travel with their tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BINS = 32
 #: Quantiles asked for in one aggregate.
 SLOTS_AT_A_TIME = 200
@@ -58,6 +65,47 @@ def profiles(df: DataFrame, cuts: list[list[float]]) -> DataFrame:
     return df.select(binned.alias("bins"), F.col("label").cast("int").alias("label")).groupBy("bins", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def blocks(table: DataFrame) -> RDD:
+    """Each task's rows as arrays, a tuple of them in the order of the columns; `bins` comes first."""
+
+    def pack(rows: Iterator) -> Iterator[tuple]:
+        columns = list(zip(*sorted(map(tuple, rows))))  # sums repeat: the shuffle leaves the order open
+        if columns:
+            yield (np.array(columns[0], dtype="int16").reshape(len(columns[1]), -1), *map(np.array, columns[1:]))
+
+    return table.rdd.mapPartitions(pack)
+
+
+def packed(table: DataFrame) -> RDD:
+    """The blocks of profiles, about `ROWS_PER_TASK` in each."""
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        kept = blocks(table.coalesce(max(1, table.count() // ROWS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
+        if not kept.count():
+            kept.unpersist()
+            raise ValueError("there are no rows to learn from")
+        return kept
+    finally:
+        table.unpersist()
+
+
+def lifted(moves: list[tuple], block: tuple) -> tuple:
+    """A block `(bins, label, n, power)` after the rounds of `moves`; a weight is exp(power)."""
+    bins, label, n, power = block
+    for feature, last, left, right, lift, mean in moves:
+        power = power + lift * (np.where(bins[:, feature] <= last, left, right) != label) - mean
+    return bins, label, n, power
+
+
+def label_sums(moves: list[tuple], deepest: int, classes: int, block: tuple) -> np.ndarray:
+    """Weights by (feature, bin, label)."""
+    bins, label, n, power = lifted(moves, block)
+    weight = n * np.exp(power)
+    cells = deepest * classes
+    sums = [np.bincount(b.astype("int64") * classes + label, weight, cells) for b in bins.T]
+    return np.array(sums).reshape(-1, deepest, classes)
+
+
 def best_stump(sums: np.ndarray, cuts: list[list[float]]) -> tuple[Stump, int, float]:
     """From weights by (feature, bin, label): the stump of least Gini impurity, its last left bin, and its error."""
     total = sums[0].sum(axis=0)
@@ -92,17 +140,20 @@ class StumpVotes(Transformer, DefaultParamsReadable, DefaultParamsWritable):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         slots, cuts, sides, weights, k = (self.getOrDefault(p) for p in (self.slots, self.thresholds, self.sides, self.weights, self.classes))
-        values, whole, n = F.col("_values"), sum(weights), len(slots)
-        votes = []
-        for c in range(k):
-            vote = F.lit(0.0)
-            for f, t, left, right, w in zip(slots, cuts, sides[:n], sides[n:], weights):
-                says = F.lit(left) if left == right else F.when(values[f] <= t, left).otherwise(right)
-                vote = vote + F.when(says == c, w / whole).otherwise(0.0)
-            votes.append(vote)
-        voted = dataset.withColumn("_values", vector_to_array("features")).withColumn("_votes", F.array(*votes))
+        n, whole = len(slots), sum(weights)
+        used = {f: sorted({t for g, t in zip(slots, cuts) if g == f}) for f in sorted(set(slots))}
+        column = {f: i for i, f in enumerate(used)}
+        rules = [(column[f], used[f].index(t), left, right, w / whole) for f, t, left, right, w in zip(slots, cuts, sides[:n], sides[n:], weights)]
+
+        def votes(cells: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(cells), k))
+            for at, last, left, right, w in rules:
+                out[np.arange(len(cells)), np.where(cells[:, at] <= last, left, right)] += w
+            return out
+
+        voted = dataset.withColumn("_votes", cell_scores("features", used, votes))
         pick = (F.array_position("_votes", F.array_max("_votes")) - 1).cast("double")
-        return voted.withColumn("prediction", pick).withColumn("probability", array_to_vector("_votes")).drop("_values", "_votes")
+        return voted.withColumn("prediction", pick).withColumn("probability", array_to_vector("_votes")).drop("_votes")
 
 
 class BoostedStumps(PipelineModel):
@@ -116,16 +167,16 @@ def boosted_stumps(df: DataFrame, width: int, classes: int, rounds: int, learnin
     checkpoint_dir(df.sparkSession)
     cuts = thresholds(df, width, bins)
     deepest = max(map(len, cuts), default=0) + 1
-    first = profiles(df, cuts).persist(StorageLevel.MEMORY_AND_DISK)
-    now = first.coalesce(max(1, first.count() // ROWS_PER_TASK)).withColumn("w", F.lit(1.0)).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = now.agg(F.sum("n")).first()[0]
-    first.unpersist()
-    held, votes, chosen = now, {}, np.zeros(width)
+    kept = packed(profiles(df, cuts))
+    state = kept.map(lambda block: (*block, np.zeros(len(block[1]))))
+    held, moves, votes, chosen, rows = [state.persist(StorageLevel.MEMORY_AND_DISK)], [], {}, np.zeros(width), None
     for i in range(rounds):
-        sums = np.zeros((width, deepest, classes))
-        parts = now.select(F.posexplode("bins").alias("f", "b"), "label", (F.col("n") * F.col("w")).alias("m"))
-        for f, b, label, m in parts.groupBy("f", "b", "label").agg(F.sum("m")).collect():
-            sums[f, b, label] = m
+        sums = held[-1].map(partial(label_sums, list(moves), deepest, classes)).treeReduce(np.add)
+        for old in held[:-1]:
+            old.unpersist()
+        held = held[-1:]
+        total = float(sums[0].sum())
+        rows = total if rows is None else rows
         stump, last, error = best_stump(sums, cuts)
         if error >= 1 - 1 / classes:
             break
@@ -135,14 +186,15 @@ def boosted_stumps(df: DataFrame, width: int, classes: int, rounds: int, learnin
         if error <= 1e-12:
             break
         # weights average 1, so they neither vanish nor overflow over many rounds
-        lift = exp(min(alpha, 60.0))
-        total = float(sums[0].sum())
-        mean = total * (1 - error + error * lift) / rows
-        missed = F.when(F.col("bins")[stump.feature] <= last, F.lit(stump.left)).otherwise(F.lit(stump.right)) != F.col("label")
-        now = now.select("bins", "label", "n", (F.col("w") * F.when(missed, lift).otherwise(1.0) / mean).alias("w"))
+        lift = min(alpha, 60.0)
+        mean = total * (1 - error + error * exp(lift)) / rows
+        moves.append((stump.feature, last, stump.left, stump.right, lift, log(mean)))
         if (i + 1) % checkpoint_every == 0:
-            now = now.checkpoint()
-    held.unpersist()
+            held.append(held[-1].map(partial(lifted, moves)).persist(StorageLevel.MEMORY_AND_DISK))
+            held[-1].checkpoint()
+            moves = []
+    for old in [kept, *held]:
+        old.unpersist()
     if not votes:
         raise ValueError("no stump is better than chance")
     stumps = list(votes)

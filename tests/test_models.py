@@ -299,3 +299,33 @@ def test_training_queries_run_the_defaults(spark, monkeypatch):
     for query in (Q.train_classifiers, Q.train_margin_and_boosted_classifiers, Q.train_multiclass, Q.train_regressors):
         query(spark, "")
     assert given == [(5, {})] * 4
+
+
+def test_a_round_of_boosting_is_one_job(spark):
+    """Twelve more rounds are twelve more jobs, besides the two that keep the weights."""
+    df = spark.createDataFrame([(Vectors.dense([float(i % 7), float(i % 5)]), float((i % 7 > 3) != (i % 35 == 0))) for i in range(300)], ["features", "label"]).cache()
+    track, jobs = spark.sparkContext.statusTracker(), []
+    for k in (4, 16):
+        spark.sparkContext.setJobGroup(f"rounds-{k}", "")
+        adaboost(df, Shape(300, 2, 2), n_estimators=k, checkpoint_every=8)
+        jobs.append(len(track.getJobIdsForGroup(f"rounds-{k}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] <= 12 + 2
+
+
+@pytest.mark.parametrize("many", [1, 12])
+def test_cells_are_scored_once(spark, many):
+    """Scores by cells equal scores by rows, NaN and too many cells to number included."""
+    from plumbline.ml.votes import cell_scores
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 6, (400, 2)).astype(float)
+    x[:9, 1] = np.nan
+    cuts = {1: [1.0, 3.0], 0: [0.5 + i / 1e9 for i in range(many * 4)]}
+    if many > 1:
+        cuts |= {f: [0.0] * 63 for f in range(2, 14)}
+        x = np.column_stack([x, np.ones((400, 12))])
+    df = spark.createDataFrame([(i, Vectors.dense(r)) for i, r in enumerate(x)], ["i", "features"]).repartition(3)
+    rows = df.select("i", cell_scores("features", cuts, lambda cells: cells[:, :2] * 1.0).alias("s")).collect()
+    want = [[float((~(x[r["i"], f] <= np.array(cuts[f]))).sum()) for f in (1, 0)] for r in rows]
+    assert [r["s"] for r in rows] == want
