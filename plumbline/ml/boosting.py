@@ -58,10 +58,12 @@ def thresholds(df: DataFrame, width: int, bins: int = BINS) -> list[list[float]]
     return out
 
 
-def profiles(df: DataFrame, cuts: list[list[float]]) -> DataFrame:
-    """(bins, label, n): how many rows share their bins and label."""
+def profiles(df: DataFrame, cuts: list[list[float]], numbers: bool = False) -> DataFrame:
+    """(bins, label, n): how many rows share their bins and label; of `numbers` (bins, n, y), the rows and the sum of their labels."""
     table = F.array(*[F.array(*map(F.lit, c)).cast("array<double>") for c in cuts])
     binned = F.zip_with(vector_to_array("features"), table, lambda x, c: F.size(F.filter(c, lambda t: x > t)))
+    if numbers:
+        return df.select(binned.alias("bins"), "label").groupBy("bins").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("y"))
     return df.select(binned.alias("bins"), F.col("label").cast("int").alias("label")).groupBy("bins", "label").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -25,6 +25,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.ml.boosted_trees import boosted_trees
 from plumbline.ml.boosting import boosted_stumps
 from plumbline.ml.kernels import RandomFourierFeatures
 from plumbline.operators.neighbors import knn_classify, knn_regress
@@ -94,6 +95,9 @@ def random_forest(df: DataFrame, shape: Shape, n_estimators: int = 100, max_dept
 def gradient_boosting(
     df: DataFrame, shape: Shape, n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 3, subsample: float = 1.0
 ) -> PipelineModel:
+    """Trees on histograms for two classes or numbers; rows drawn anew for each tree, and more classes, are left to Spark's."""
+    if subsample == 1.0 and shape.classes in (0, 2):
+        return boosted_trees(df, shape.width, shape.classes, n_estimators, learning_rate, max_depth)
     options = dict(maxIter=n_estimators, stepSize=learning_rate, maxDepth=max_depth, subsamplingRate=subsample, seed=SEED)
     if not shape.classes:
         return Pipeline(stages=[GBTRegressor(**options)]).fit(df)

@@ -329,3 +329,31 @@ def test_cells_are_scored_once(spark, many):
     rows = df.select("i", cell_scores("features", cuts, lambda cells: cells[:, :2] * 1.0).alias("s")).collect()
     want = [[float((~(x[r["i"], f] <= np.array(cuts[f]))).sum()) for f in (1, 0)] for r in rows]
     assert [r["s"] for r in rows] == want
+
+
+@pytest.mark.parametrize("classes_", [2, 0])
+def test_boosted_trees_equal_those_of_rows(spark, classes_):
+    """Histogram trees against Spark's on rows, where both have the same cuts, in three jobs a tree; the model survives saving."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import GBTRegressor
+
+    from plumbline.ml.estimators import gradient_boosting
+
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.integers(0, 9, 400), rng.integers(0, 2, 400), rng.integers(0, 5, 400)]).astype(float)
+    y = x[:, 0] * 2 - x[:, 2] ** 2 + 3 * x[:, 1] + rng.normal(size=400)
+    y = (y > 4).astype(float) if classes_ else y
+    df = spark.createDataFrame([(i, Vectors.dense(r), float(c)) for i, (r, c) in enumerate(zip(x, y))], ["i", "features", "label"]).cache()
+    spark.sparkContext.setJobGroup(f"trees-{classes_}", "")
+    model = gradient_boosting(df, Shape(400, 3, classes_), n_estimators=12, learning_rate=0.1, max_depth=3)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trees-{classes_}")) <= 12 * 3 + 12
+    kind = GBTClassifier if classes_ else GBTRegressor
+    spark_model = kind(maxIter=12, stepSize=0.1, maxDepth=3, seed=42).fit(df)
+    out = "probability" if classes_ else "prediction"
+    numbers = lambda m: [np.atleast_1d(r[0].toArray() if classes_ else r[0]) for r in m.transform(df).orderBy("i").select(out).collect()]
+    path = scratch_path(spark, "trees")
+    model.save(path)
+    for m in (model, PipelineModel.load(path)):
+        assert np.allclose(numbers(m), numbers(spark_model))
+    assert np.allclose(model.slot_weights / model.slot_weights.sum(), spark_model.featureImportances.toArray(), atol=1e-6)
