@@ -8,6 +8,7 @@ rows.  The driver sees features x bins x labels numbers a round, whatever the ro
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,21 +47,28 @@ class Stump:
     right: int
 
 
-def thresholds(df: DataFrame, width: int, bins: int = BINS) -> list[list[float]]:
-    """The cuts of each feature: quantiles below its largest value."""
-    shares = [i / bins for i in range(bins)]
+def thresholds(df: DataFrame, width: int, bins: int = BINS, rare: bool = False) -> list[list[float]]:
+    """The cuts of each feature: quantiles below its largest value.
+
+    With `rare`, the values of a feature that has few are all cuts, down to those of one row in 32 x `bins`.
+    """
+    finer = 32 if rare else 1
+    # as text: a literal made in Python is a call each
+    shares = ", ".join(f"{i / (bins * finer)!r}D" for i in range(bins * finer))
     values = df.select(vector_to_array("features").alias("v"))
     out: list[list[float]] = []
     for start in range(0, width, SLOTS_AT_A_TIME):
         slots = range(start, min(width, start + SLOTS_AT_A_TIME))
-        row = values.agg(*[x for i in slots for x in (F.percentile_approx(F.col("v")[i], shares), F.max(F.col("v")[i]))]).first()
-        out += [sorted({q for q in row[2 * j] or [] if q < row[2 * j + 1]}) for j in range(len(slots))]
+        row = values.agg(*[x for i in slots for x in (F.expr(f"percentile_approx(v[{i}], array({shares}))"), F.max(F.col("v")[i]))]).first()
+        for j in range(len(slots)):
+            found = [q for q in row[2 * j] or [] if q < row[2 * j + 1]]
+            out.append(sorted(set(found) if len(set(found)) < bins else set(found[::finer])))
     return out
 
 
 def profiles(df: DataFrame, cuts: list[list[float]], numbers: bool = False) -> DataFrame:
     """(bins, label, n): how many rows share their bins and label; of `numbers` (bins, n, y), the rows and the sum of their labels."""
-    table = F.array(*[F.array(*map(F.lit, c)).cast("array<double>") for c in cuts])
+    table = F.from_json(F.lit(json.dumps(cuts)), "array<array<double>>")
     binned = F.zip_with(vector_to_array("features"), table, lambda x, c: F.size(F.filter(c, lambda t: x > t)))
     if numbers:
         return df.select(binned.alias("bins"), "label").groupBy("bins").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("y"))
@@ -78,11 +86,11 @@ def blocks(table: DataFrame) -> RDD:
     return table.rdd.mapPartitions(pack)
 
 
-def packed(table: DataFrame) -> RDD:
-    """The blocks of profiles, about `ROWS_PER_TASK` in each."""
+def packed(table: DataFrame, rows: int = ROWS_PER_TASK) -> RDD:
+    """The blocks of profiles, about `rows` in each."""
     table = table.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        kept = blocks(table.coalesce(max(1, table.count() // ROWS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
+        kept = blocks(table.coalesce(max(1, table.count() // rows))).persist(StorageLevel.MEMORY_AND_DISK)
         if not kept.count():
             kept.unpersist()
             raise ValueError("there are no rows to learn from")

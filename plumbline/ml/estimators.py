@@ -12,21 +12,20 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     OneVsRest,
-    RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.ml.boosted_trees import boosted_trees
 from plumbline.ml.boosting import boosted_stumps
+from plumbline.ml.forests import grown
 from plumbline.ml.kernels import RandomFourierFeatures
 from plumbline.operators.neighbors import knn_classify, knn_regress
 
@@ -83,13 +82,15 @@ def rbf_svm(df: DataFrame, shape: Shape, C: float = 1.0, gamma: float | None = N
 
 
 def decision_tree(df: DataFrame, shape: Shape, max_depth: int = 10, min_leaf: int = 1) -> PipelineModel:
-    kind = DecisionTreeClassifier if shape.classes else DecisionTreeRegressor
-    return Pipeline(stages=[kind(maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=SEED)]).fit(df)
+    """A tree on histograms of profiles; see `ml.forests`."""
+    return grown(df, shape.width, shape.classes, 1, max_depth, min_leaf)
 
 
 def random_forest(df: DataFrame, shape: Shape, n_estimators: int = 100, max_depth: int = 10, min_leaf: int = 1) -> PipelineModel:
-    kind = RandomForestClassifier if shape.classes else RandomForestRegressor
-    return Pipeline(stages=[kind(numTrees=n_estimators, maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=SEED)]).fit(df)
+    """Trees on histograms of profiles for classes; numbers are left to Spark's, as profiles do not tell the sum of drawn rows."""
+    if shape.classes:
+        return grown(df, shape.width, shape.classes, n_estimators, max_depth, min_leaf, bootstrap=True, seed=SEED)
+    return Pipeline(stages=[RandomForestRegressor(numTrees=n_estimators, maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=SEED)]).fit(df)
 
 
 def gradient_boosting(

@@ -155,8 +155,8 @@ class Folds:
     @classmethod
     def build(cls, df: DataFrame, key: str, target: str, task: str, labels, folds: int, features) -> Folds:
         placed = assign_folds(df, key, folds, target if task == "classification" else None)
-        parts = []
-        for f in range(folds):
+
+        def part(f: int) -> tuple[DataFrame, DataFrame, Shape, bool]:
             train, test = placed.filter(F.col("fold") != f), placed.filter(F.col("fold") == f)
             prep = fit_preparation(train.drop("fold", "row_key", "label"), target, features)
             model = prep.model(train)
@@ -165,7 +165,9 @@ class Folds:
             keep = shape.rows <= KEPT_FOLD_ROWS
             if keep:
                 ready, held_out = _held(ready), _held(held_out)
-            parts.append((ready, held_out, shape, keep))
+            return ready, held_out, shape, keep
+
+        parts = _all_or_raise(concurrently(df.sparkSession, [partial(part, f) for f in range(folds)]))
         return cls(parts)
 
     def score(self, f: int, fit: Fitter, task: str, params: dict) -> float | None:
