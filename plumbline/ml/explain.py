@@ -117,19 +117,18 @@ def sampled_shapley(
         *[F.when(F.col("at")[i] < F.col("step"), F.col("subject")[n]).otherwise(F.col("ground")[n]).alias(n) for i, n in enumerate(names)],
     )
     scored = bundle.pipeline.transform(mixed)
-    values = scored.select("__key", "perm", "at", "step", model_output(scored, bundle, positive).alias("out"))
-    # a walk has d + 1 rows
-    before = W.partitionBy("__key", "perm").orderBy("step")
-    change = values.withColumn("delta", F.col("out") - F.lag("out").over(before)).withColumn(
-        "base", F.when(F.col("step") == 0, F.col("out"))
+    # the rows of an instance lie together, so its sums are one row a task before the shuffle: the step at which a feature is
+    # replaced adds its output, and the step before takes its own away
+    out = model_output(scored, bundle, positive)
+    first = F.when(F.col("step") == 0, F.col("__out"))
+    moved = [F.when(F.col("at")[i] == F.col("step") - 1, F.col("__out")).when(F.col("at")[i] == F.col("step"), -F.col("__out")) for i in range(d)]
+    sums = scored.select("__key", "at", "step", out.alias("__out")).groupBy("__key").agg(
+        F.count(first).alias("walks"), F.avg(first).alias("base_value"), *[F.sum(m).alias(f"sum{i}") for i, m in enumerate(moved)]
     )
-    base = change.groupBy("__key").agg(F.avg("base").alias("base_value"))
-    feature = F.array(*[F.lit(n) for n in names])
-    deltas = change.filter(F.col("step") > 0).select(
-        "__key", feature[F.array_position("at", F.col("step") - 1).cast("int") - 1].alias("feature"), "delta"
+    parts = [F.struct(F.lit(n).alias("feature"), (F.col(f"sum{i}") / F.col("walks")).alias("contribution")) for i, n in enumerate(names)]
+    return sums.filter(F.col("__key").isNotNull()).select(F.col("__key").alias(key), "base_value", F.inline(F.array(*parts))).select(
+        quoted(key), "feature", "contribution", "base_value"
     )
-    per = deltas.groupBy("__key", "feature").agg(F.avg("delta").alias("contribution"))
-    return per.join(base, "__key").select(F.col("__key").alias(key), "feature", "contribution", "base_value")
 
 
 #: Cells of the unit interval by which a draw finds its level.
