@@ -17,6 +17,7 @@ from plumbline.functions.expr import quoted
 from plumbline.functions.typing import normalised, numeric_columns
 from plumbline.operators.registry import align_features
 from plumbline.operators.split import sample_rows
+from plumbline.session import bounded_broadcast
 from plumbline.sources.bundles import ModelBundle
 
 TOP_CONTRIBUTIONS = 10
@@ -191,7 +192,8 @@ def local_surrogate(
     ).first() if numbers else {}
     spread = {n: (stats[f"s{i}"] or 1.0) for i, n in enumerate(numbers)}
     centre = {n: (stats[f"m{i}"] or 0.0) for i, n in enumerate(numbers)}
-    pools = {n: _level_bounds(background, n) for n in texts}
+    # levels are few, and drawn rows must not be shuffled by cell
+    pools = {n: bounded_broadcast(_level_bounds(background, n)) for n in texts}
     chosen = instances if max_instances is None else sample_rows(instances, key, max_instances)
     for c, v in (override or {}).items():
         if c in types:

@@ -45,3 +45,15 @@ def test_shapley_of_one_walk_is_its_steps(classes, bundle):
         out = [r[0] for r in scored.select(X.model_output(scored, bundle)).collect()]
         want = {n: out[order[i] + 1] - out[order[i]] for i, n in enumerate(names)}
         assert have == pytest.approx(want, abs=1e-12)
+
+
+def test_surrogate_shuffles_no_drawn_rows(spark, classes, bundle):
+    """Levels travel to the draws; the optimizer's own threshold does not decide it."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = X.local_surrogate(classes, classes, bundle, "row_id", samples=20)
+        assert "SortMergeJoin" not in plan(got)
+        assert got.select("row_id").distinct().count() == 120
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
