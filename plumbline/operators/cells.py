@@ -1,8 +1,8 @@
 """A table read once for many charts: its values as counted cells, and a row of facts a column.
 
-`TableCells` makes two scans.  The first is one aggregate: counts, moments, bounds, date shares and matches with the
+`TableCells` makes two scans.  The first is one aggregate: counts, moments, bounds and matches with the
 target.  The second turns each row into cells and counts them by `(position, value, class, complete)`; copies combine in
-each task before the shuffle.  The counted cells are staged, so distinct values, frequent values, histograms, quantiles,
+each task before the shuffle.  The counted cells are staged, so distinct values, frequent values, date shares, histograms, quantiles,
 outliers, class tables, mutual information and repeated rows are read off them, not off the table.
 
 A value keeps its storage type (`whole`, `real` or `text`).  Position -1 holds the hash of the row, so that only rows
@@ -63,8 +63,6 @@ class TableCells:
             if y is not None and c != self.target:
                 same = v.cast("string") == y
                 sums += [F.count(same).alias(f"pairs{i}"), F.avg(same.cast("int")).alias(f"match{i}")]
-            if self.groups[c] == "categorical":
-                sums.append(F.avg(F.when(v.isNotNull(), lenient_timestamp(v).isNotNull().cast("double"))).alias(f"date{i}"))
             if self.groups[c] == "numeric":
                 x = v.cast("double")
                 finite = finite_or_null(x)
@@ -181,9 +179,19 @@ class TableCells:
         ranked = stats.ranked_values(self.frequencies(columns, profile.MISSING_LABEL), k)
         return ranked.select("column", "rank", "value", "n")
 
+    def date_shares(self) -> dict[str, float]:
+        """Share of each text column's values that parse as a date; each distinct value is parsed once, not each row."""
+        texts = [c for c in self.columns if self.groups[c] == "categorical"]
+        if not texts:
+            return {}
+        dated = F.when(lenient_timestamp("value").isNotNull(), F.col("n")).otherwise(0)
+        found = self.frequencies(texts).filter(F.col("value").isNotNull()).groupBy("column").agg((F.sum(dated) / F.sum("n")).alias("share"))
+        return {r["column"]: r["share"] for r in found.collect()}
+
     def semantic_types(self) -> DataFrame:
+        shares = self.date_shares()
         rows = [
-            (c, i, self.groups[c], 1.0 if self.groups[c] == "datetime" else (self.facts.get(f"date{i}") or 0.0), self.rows)
+            (c, i, self.groups[c], 1.0 if self.groups[c] == "datetime" else shares.get(c, 0.0), self.rows)
             for i, c in enumerate(self.columns)
         ]
         known = self.table(rows, "column string, position int, dtype_group string, share double, rows long")

@@ -100,3 +100,14 @@ def test_a_report_reads_the_table_four_times(spark, table, tmp_path, monkeypatch
     source = [c.name for c in stored.schema.fields]
     relations_left = [line for line in plan.splitlines() if "Relation [" in line and line.split("Relation [")[1].startswith(source[0] + "#")]
     assert len(relations_left) == 1
+
+
+def test_dates_are_parsed_once_a_value(spark):
+    """The scan for facts parses no text; shares are read off the counted values."""
+    days = ["2020-02-29", "x", None, "2021-01-05"]
+    df = spark.createDataFrame([(i, days[i % 4], "a") for i in range(200)], "k long, day string, code string")
+    cells = TableCells(df)
+    assert not [name for name in cells.facts if name.startswith("date")]
+    assert cells.date_shares() == {"day": pytest.approx(2 / 3), "code": 0.0}
+    got = {r["column"]: r["date_share"] for r in cells.semantic_types().collect()}
+    assert got == {"k": 0.0, "day": 0.6667, "code": 0.0}
