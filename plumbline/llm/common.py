@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from plumbline.session import scratch_path
 WHITE = r"[\x20\x09-\x0D]"
 #: Digits and the bits that md5_fraction() takes from a hash.
 HASH_DIGITS, HASH_BITS = 13, 52
+#: Rows that a task writes of a staged table of narrow rows, and tasks that write it at least.
+TASK_ROWS, LEAST_TASKS = 20_000, 8
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -61,9 +64,15 @@ def utf8_bytes(name: str = "text") -> Column:
     return F.coalesce(F.octet_length(F.col(name)), F.lit(0)).cast("long")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared checkpoint folder and read again: it cuts the lineage and outlives executors."""
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """`df` written to the shared checkpoint folder and read again: it cuts the lineage and outlives executors.
+
+    With `rows`, about how many narrow ones there are at most, no more tasks write than they need: each task's file has
+    a commit of its own, and on local folders a process that the executor starts to set its mode.
+    """
     path = scratch_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_TASKS, ceil(rows / TASK_ROWS)))
     df.write.parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept.staged_at = path

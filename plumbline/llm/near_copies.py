@@ -148,12 +148,15 @@ def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     return pairs.distinct().join(one, "a").join(two, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
-def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(cell, fp, n, led, root) of the members of cells with several roots, staged; roots are those of all links so far."""
-    roots = staged(components(links), "star_roots")
-    now = staged(members.join(roots, F.col("fp") == F.col("node"), "left").select("cell", "fp", "n", "led", F.coalesce("root", "fp").alias("root")), "rooted")
+def _rooted(members: DataFrame, links: DataFrame, rows: int) -> DataFrame:
+    """(cell, fp, n, led, root) of the members of cells with several roots, staged; roots are those of all links so far.
+
+    There are so many `rows` of members at most.
+    """
+    roots = staged(components(links), "star_roots", rows)
+    now = staged(members.join(roots, F.col("fp") == F.col("node"), "left").select("cell", "fp", "n", "led", F.coalesce("root", "fp").alias("root")), "rooted", rows)
     mixed = now.groupBy(F.col("cell").alias("c")).agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("c")
-    out = staged(now.join(mixed, F.col("cell") == F.col("c"), "left_semi"), "mixed")
+    out = staged(now.join(mixed, F.col("cell") == F.col("c"), "left_semi"), "mixed", rows)
     forget(roots, now)
     return out
 
@@ -202,6 +205,7 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, key: str = "doc_
     members = sets.select("fp", "n", F.explode("cells").alias("cell"))
     least = members.groupBy("cell").agg(F.min(F.struct("fp", "n")).alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = staged(members.join(least, "cell").select("cell", "fp", "n", "least"), "shared")
+    rows = shared.count()
     ends = shared.select("fp")
     if first is not None:
         ends = ends.unionAll(first.select("a")).unionAll(first.select("b"))
@@ -210,17 +214,17 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, key: str = "doc_
     shingles = staged(_shingles(texts, words).dropDuplicates(["fp"]), "shingles")
     stars = shared.where((F.col("fp") != F.col("least.fp")) & _like_sizes(F.col("n"), F.col("least.n"))).select(F.col("least.fp").alias("a"), F.col("fp").alias("b"))
     found = staged(verified(stars if first is None else stars.unionAll(first), shingles), "stars")
-    now = _rooted(shared.select("cell", "fp", "n", (F.col("fp") == F.col("least.fp")).alias("led")), found)
+    now = _rooted(shared.select("cell", "fp", "n", (F.col("fp") == F.col("least.fp")).alias("led")), found, rows)
     forget(shared)
     for _ in range(ROUNDS if rounds is None else rounds):
-        leaders = staged(_leaders(now), "leaders")
+        leaders = staged(_leaders(now), "leaders", rows)
         if not leaders.limit(1).count():
             forget(leaders)
             break
         pairs = now.join(leaders, "cell").where((F.col("root") != F.col("r")) & _like_sizes(F.col("n"), F.col("m"))).select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
         more = staged(found.unionAll(verified(pairs, shingles)), "stars")
         led = now.join(leaders.select(F.col("cell").alias("c"), "a"), (F.col("cell") == F.col("c")) & (F.col("fp") == F.col("a")), "left")
-        following = _rooted(led.select("cell", "fp", "n", (F.col("led") | F.col("a").isNotNull()).alias("led")), more)
+        following = _rooted(led.select("cell", "fp", "n", (F.col("led") | F.col("a").isNotNull()).alias("led")), more, rows)
         forget(found, now, leaders)
         found, now = more, following
     else:
@@ -233,9 +237,10 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, key: str = "doc_
 def near_groups(docs: DataFrame, words: int = WORDS, key: str = "doc_id") -> DataFrame:
     """(key, print, root): one row for each row of `docs` with an id; rows of one root are near copies."""
     rows = staged(sketches(docs, words, key), "sketches")
-    sets = staged(rows.groupBy("fp").agg(F.min(F.struct(key, "n", "cells", "sim")).alias("s")).select("fp", "s.*"), "sets")
+    n = rows.count()
+    sets = staged(rows.groupBy("fp").agg(F.min(F.struct(key, "n", "cells", "sim")).alias("s")).select("fp", "s.*"), "sets", n)
     first = staged(by_fingerprints(sets.select("fp", "sim")), "close_prints")
-    roots = staged(components(links(docs, sets, words, key, first=first)), "roots")
+    roots = staged(components(links(docs, sets, words, key, first=first)), "roots", n)
     forget(sets, first)
     return rows.join(roots, F.col("fp") == F.col("node"), "left").select(key, F.col("fp").alias("print"), F.coalesce("root", "fp").alias("root"))
 

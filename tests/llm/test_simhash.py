@@ -4,8 +4,10 @@ import re
 import xxhash
 from pyspark.sql import functions as F
 
+from plumbline.llm import components as C
 from plumbline.llm import near_copies
 from plumbline.llm import simhash as H
+from plumbline.llm.common import LEAST_TASKS, staged
 from plumbline.llm.components import components
 
 
@@ -72,6 +74,29 @@ def test_components_of_chains_stars_and_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_small_tables_of_components_are_few_files(spark, monkeypatch):
+    files = {}
+
+    def counted(df, *args):
+        out = staged(df, *args)
+        files[args[0]] = max(files.get(args[0], 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(C, "staged", counted)
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        links = spark.range(3000).selectExpr("id AS a", "id - id % 3 AS b")
+        got = {r["node"]: r["root"] for r in C.components(links).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i - i % 3 for i in range(3000)}
+    assert max(files["least"], files["large"]) <= LEAST_TASKS < 64
+
+
 def test_edges(edge, nothing):
     got = {(r["doc_id"], r["component_id"]) for r in H.near_duplicates(edge).collect()}
     assert {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (9, 9)} <= got
