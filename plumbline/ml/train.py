@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -35,7 +35,7 @@ SEARCH = {
 
 @dataclass
 class Trained:
-    """One fitted model with everything measured about it; `error` is set when it failed."""
+    """One fitted model with everything measured about it; `error` and `problem` are set when any part of that failed."""
 
     name: str
     task: str
@@ -47,6 +47,12 @@ class Trained:
     importance: dict = field(default_factory=dict)
     evaluation: dict = field(default_factory=dict)
     error: str | None = None
+    problem: Exception | None = field(default=None, repr=False)
+
+    def failed(self, problem: Exception) -> None:
+        """Record the first failure."""
+        if self.error is None:
+            self.error, self.problem = _short(problem), problem
 
 
 @dataclass
@@ -64,6 +70,16 @@ class TrainingRun:
         done = [m for m in self.models if m.error is None]
         return max(done, key=lambda m: m.metrics.get(key) if m.metrics.get(key) is not None else -1e9, default=None)
 
+    def whole(self) -> TrainingRun:
+        """The run, if every model was fitted and measured on all folds; raises the first failure otherwise.
+
+        For those who read results off the run: a model that failed has none, or only some.
+        """
+        for m in self.models:
+            if m.error is not None:
+                raise RuntimeError(f"{m.name}: {m.error}") from m.problem
+        return self
+
 
 def _ready(df: DataFrame, key: str, target: str, labels) -> DataFrame:
     return encode_label(df, target, labels).withColumn("row_key", quoted(key))
@@ -167,8 +183,7 @@ class Folds:
                 ready, held_out = _held(ready), _held(held_out)
             return ready, held_out, shape, keep
 
-        parts = _all_or_raise(concurrently(df.sparkSession, [partial(part, f) for f in range(folds)]))
-        return cls(parts)
+        return cls(concurrently(df.sparkSession, [partial(part, f) for f in range(folds)]))
 
     def score(self, f: int, fit: Fitter, task: str, params: dict) -> float | None:
         """Fit on the rows outside fold `f`, and measure on the fold."""
@@ -178,7 +193,7 @@ class Folds:
         return row["score"] if row else None
 
     def scores(self, work: Sequence[tuple[Fitter, dict]], task: str, parallel: int, also: Sequence = ()) -> tuple[list[list[tuple]], list[tuple]]:
-        """(score, error) on each fold, a list for each (fit, params), and of the tasks of `also`, which run beside the small folds.
+        """(score, error) on each fold, a list for each (fit, params), and the results of the tasks of `also`, which run beside the small folds.
 
         A large fold is held once for all fits.
         """
@@ -192,7 +207,7 @@ class Folds:
                 frame.persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 spots = [(i, f) for i in range(len(work)) for f in batch]
-                done = concurrently(spark, [*also, *[partial(self.score, f, work[i][0], task, work[i][1]) for i, f in spots]], parallel)
+                done = concurrently(spark, [*also, *[partial(_outcome, partial(self.score, f, work[i][0], task, work[i][1])) for i, f in spots]], parallel)
             finally:
                 for frame in held:
                     frame.unpersist()
@@ -244,6 +259,14 @@ def search(folds: Folds, fit: Fitter, task: str, space: dict, trials: int = TRIA
     return {"best_value": value, "best_params": params, "n_trials": len(history)}
 
 
+def _outcome(task: Callable[[], object]) -> tuple[object, Exception | None]:
+    """(result, error): for what is recorded by model, so that whoever reads the result has to look at the error."""
+    try:
+        return task(), None
+    except Exception as problem:
+        return None, problem
+
+
 def _all_or_raise(done: list[tuple]) -> list:
     for _, problem in done:
         if problem is not None:
@@ -270,7 +293,7 @@ def train_models(
     budget: float | None = None,
     parallel: int = PARALLEL,
 ) -> TrainingRun:
-    """Split, prepare, then fit and measure each model; a failing model is recorded and the run goes on.
+    """Split, prepare, then fit and measure each model; a failing model is recorded and the run goes on (`whole()` raises it).
 
     `key` is a unique row key, not a feature.  Cross-validation covers all rows, with the
     preparation refitted on each training part; `folds=0` skips it.  Up to `parallel` fits, folds or trials run at the
@@ -318,10 +341,10 @@ def train_models(
                 found = search(splits, catalog[result.name], task, SEARCH[result.name], trials, budget, parallel=parallel)
                 result.params = {**result.params, **found["best_params"]}
         except Exception as problem:
-            result.error = _short(problem)
+            result.failed(problem)
             continue
         ready.append(result)
-    fitting = [partial(fitted_model, result) for result in ready]
+    fitting = [partial(_outcome, partial(fitted_model, result)) for result in ready]
     if splits:
         crossed, fits = splits.scores([(catalog[result.name], result.params) for result in ready], task, parallel, fitting)
     else:
@@ -329,7 +352,7 @@ def train_models(
     for result, fit, outcomes in zip(ready, fits, crossed):
         for work, (value, problem) in enumerate([fit, *outcomes]):
             if problem is not None:  # one model must not end the run
-                result.error = result.error or _short(problem)
+                result.failed(problem)
             elif work:
                 result.fold_scores.append(value)
     if splits:

@@ -130,27 +130,31 @@ def several_passes(df: DataFrame) -> Iterator[DataFrame]:
 PARALLEL = 4
 
 
-def concurrently(spark: SparkSession, tasks: Sequence[Callable[[], object]], parallel: int = PARALLEL) -> list[tuple[object, Exception | None]]:
-    """(result, error) of each task, in order; up to `parallel` run at a time, each in a scheduler pool of its own.
+def concurrently(spark: SparkSession, tasks: Sequence[Callable[[], object]], parallel: int = PARALLEL) -> list[object]:
+    """The result of each task, in order; up to `parallel` run at a time, each in a scheduler pool of its own.
 
+    A task's failure is raised once the tasks under way have ended; those not begun by then are not.
     For tasks of many short jobs, which leave most cores idle one after the other.  Under the FAIR scheduler the pools
     share the cores evenly; under FIFO jobs of several tasks still fill idle cores.
     """
 
-    def run(number: int, task: Callable[[], object]) -> tuple[object, Exception | None]:
+    def run(number: int, task: Callable[[], object]) -> object:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"plumbline-{number % max(1, parallel)}")
-        try:
-            return task(), None
-        except Exception as problem:
-            return None, problem
+        return task()
 
     if parallel <= 1 or len(tasks) <= 1:
         before = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
-        done = [run(0, task) for task in tasks]
-        spark.sparkContext.setLocalProperty("spark.scheduler.pool", before)
-        return done
+        try:
+            return [run(0, task) for task in tasks]
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", before)
     with ThreadPoolExecutor(parallel) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(run), i, task) for i, task in enumerate(tasks)]]
+        begun = [pool.submit(inheritable_thread_target(run), i, task) for i, task in enumerate(tasks)]
+        try:
+            return [f.result() for f in begun]
+        except BaseException:
+            pool.shutdown(wait=False, cancel_futures=True)
+            raise
 
 
 def settled(table: DataFrame) -> DataFrame:

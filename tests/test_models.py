@@ -1,3 +1,5 @@
+from functools import partial
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,12 +11,13 @@ from plumbline.ml import explain as X
 from plumbline.ml import prepare as P
 from plumbline.ml import score as SC
 from plumbline.ml import train as T
-from plumbline.ml.estimators import Shape, adaboost, ridge, shape_of
+from plumbline.ml.estimators import Shape, adaboost, fitters, ridge, shape_of
 from plumbline.ml.train import as_models_table, draw, train_models
 from plumbline.operators import neighbors as N
 from plumbline.operators.neighbors import knn_approximate, knn_join
 from plumbline.plans.report import analytics_report, exploration_report
-from plumbline.session import scratch_path
+from plumbline.queries import modelling as Q
+from plumbline.session import concurrently, scratch_path
 from plumbline.sources.bundles import ModelBundle
 from plumbline.sources.synthetic import classification_frame, passengers, regression_frame
 from plumbline.streaming.serving import score_stream, watch_drift
@@ -127,6 +130,40 @@ def test_a_failing_model_does_not_end_the_run(classes):
     assert got.models[0].error is None and got.models[1].error
 
 
+@pytest.mark.parametrize("failing", ["the first fit", "a fold's fit"])
+def test_a_failed_forest_is_no_importance(spark, failing, monkeypatch):
+    """feature_importance had no rows, or those of a forest whose cross-validation had failed."""
+    calls = []
+
+    def forest(train, shape, **params):
+        calls.append(1)
+        if (len(calls) == 1) == (failing == "the first fit"):
+            raise MemoryError("no room")
+        tree = fitters("classification")["Decision Tree"]
+        return tree(train, shape)
+
+    monkeypatch.setattr(T, "fitters", lambda task: {"Random Forest": forest})
+    monkeypatch.setattr(Q, "train_models", partial(train_models, folds=2, parallel=1))
+    with pytest.raises(RuntimeError, match="Random Forest: no room") as raised:
+        Q.feature_importance(spark, "/root/testdata/sf0.001").collect()
+    assert isinstance(raised.value.__cause__, MemoryError)
+
+
+@pytest.mark.parametrize("parallel", [1, 2])
+def test_a_failure_of_tasks_together_is_raised(spark, parallel):
+    begun = []
+
+    def task(i):
+        begun.append(i)
+        if i == 1:
+            raise ValueError("second")
+        return spark.range(i).count()
+
+    assert concurrently(spark, [partial(task, i) for i in (0, 2, 3)], parallel) == [0, 2, 3]
+    with pytest.raises(ValueError, match="second"):
+        concurrently(spark, [partial(task, i) for i in range(3)], parallel)
+
+
 def test_bad_requests(classes):
     with pytest.raises(ValueError, match="missing"):
         train_models(classes, "absent", "row_id")
