@@ -32,8 +32,12 @@ BLOCK_ROWS = 4096
 MOST_PIVOTS = 4096
 PROBES = 8
 SLACK = 1e-9
-#: Numbers in one array of a block pair.
-ARRAY = 4_000_000
+#: Numbers in one array of differences, and in one table of products.
+ARRAY, PRODUCTS = 4_000_000, 1_000_000
+#: Queries that meet a block at a time.
+QUERY_ROWS = 512
+#: Share of the bounds that rounding may reach before products are taken in double precision.
+ROUNDING = 0.01
 #: Strips of either side of a join, and numbers of vectors in the largest one.
 STRIPS, STRIP_NUMBERS = 8, 8_000_000
 
@@ -47,7 +51,10 @@ def _pivots(base: DataFrame, count: int) -> np.ndarray:
 
 
 def _vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    return df.select(quoted(id_col).alias("id"), F.transform(quoted(vector), lambda x: x.cast("double")).alias("v"))
+    """Single precision stays so, as it travels; it is measured in double precision all the same."""
+    single = df.select(quoted(vector)).schema[0].dataType.simpleString() == "array<float>"
+    v = quoted(vector) if single else F.transform(quoted(vector), lambda x: x.cast("double"))
+    return df.select(quoted(id_col).alias("id"), v.alias("v"))
 
 
 def _assign(df: DataFrame, pivots: np.ndarray, cells: int = 1) -> DataFrame:
@@ -65,7 +72,8 @@ def _assign(df: DataFrame, pivots: np.ndarray, cells: int = 1) -> DataFrame:
                 rows = part.iloc[np.repeat(np.arange(len(part)), take)]
                 yield rows.assign(cell=near.ravel().astype("int32"), reach=reach.ravel())
 
-    return df.mapInPandas(nearest, f"id {df.schema['id'].dataType.simpleString()}, v array<double>, cell int, reach double")
+    id_type, v_type = (df.schema[c].dataType.simpleString() for c in ("id", "v"))
+    return df.mapInPandas(nearest, f"id {id_type}, v {v_type}, cell int, reach double")
 
 
 def _centred(df: DataFrame, pivots: np.ndarray) -> np.ndarray:
@@ -74,7 +82,7 @@ def _centred(df: DataFrame, pivots: np.ndarray) -> np.ndarray:
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(pivots), pivots.shape[1] + 1))
         for b in batches:
-            np.add.at(total, b["cell"].to_numpy(), np.column_stack([np.array(b["v"].tolist()), np.ones(len(b))]))
+            np.add.at(total, b["cell"].to_numpy(), np.column_stack([np.array(b["v"].tolist(), dtype=float), np.ones(len(b))]))
         at = np.flatnonzero(np.repeat(total[:, -1] > 0, total.shape[1]))
         yield pd.DataFrame({"at": at, "value": total.ravel()[at]})
 
@@ -155,6 +163,136 @@ def _every_strip():
     return F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1))
 
 
+class _Strip:
+    """A right strip's rows, close rows of one cell together and the farthest from their pivot first.
+
+    Distances are measured in double precision.  Which pairs to measure is told by products in single precision, with a
+    bound of their rounding; where that is not small beside the distances, by products in double precision.
+    """
+
+    def __init__(self, right: pd.DataFrame):
+        right = right.iloc[np.lexsort((-right["reach"].to_numpy(), right["cell"].to_numpy()))]
+        by_id = np.argsort(right["id"].to_numpy(), kind="stable")
+        self.ids = right["id"].to_numpy()[by_id]
+        self.rank = np.empty(len(by_id), dtype=np.int64)
+        self.rank[by_id] = np.arange(len(by_id))
+        self.v, self.reach = np.array(right["v"].tolist(), dtype=float), right["reach"].to_numpy()
+        cells, first = np.unique(right["cell"].to_numpy(), return_index=True)
+        self.cells, self.first, self.last = cells, first, np.append(first[1:], len(right))
+        self.mid = self.v.mean(axis=0)
+        self.far = np.sqrt((self.v**2).sum(axis=1).max())
+        centred = self.v - self.mid
+        norms = (centred**2).sum(axis=1)
+        self.spread = np.sqrt(norms.max())
+        self.wide = np.column_stack([centred, norms])
+        fits = 1e-12 < self.spread < 1e12
+        self.narrow = self.wide.astype("f4") if fits else None
+
+    def reaching(self, at: int, least: float) -> int:
+        """End of the rows of the cell at `at` whose reach is `least` or more."""
+        first, last = self.first[at], self.last[at]
+        return first + int(np.searchsorted(-self.reach[first:last], -least, side="right"))
+
+
+class _Found:
+    """The `need` nearest found for each row of a left strip; ties by id."""
+
+    def __init__(self, x: np.ndarray, theta: np.ndarray, strip: _Strip, need: int):
+        self.x, self.theta, self.strip, self.need = x, theta, strip, need
+        self.d, self.at = np.full((len(x), need), np.inf), np.full((len(x), need), len(strip.ids))
+        centred = x - strip.mid
+        self.own, self.far = (centred**2).sum(axis=1), np.sqrt((x**2).sum(axis=1))
+        self.wide = np.column_stack([-2 * centred, np.ones(len(x))])
+        self.narrow = None if strip.narrow is None or not np.sqrt(self.own).max() < 1e12 else self.wide.astype("f4")
+        self.table, self.mask = np.empty(0), np.empty(0, bool)
+
+    def limit(self, rows: np.ndarray) -> np.ndarray:
+        return np.minimum(self.theta[rows], self.d[rows, -1])
+
+    def rounding(self, rows: np.ndarray, kind: str) -> float:
+        """What rounding may add to or take from a squared distance."""
+        width, strip = self.x.shape[1] + 8, self.strip
+        least = width * np.finfo("f8").eps * (self.far[rows].max() + strip.far) ** 2
+        return least + width * np.finfo(kind).eps * (np.sqrt(self.own[rows].max()) + strip.spread) ** 2
+
+    def meet(self, rows: np.ndarray, first: int, last: int, step: int) -> None:
+        """Put strip rows `first` to `last` among the nearest of `rows` where they are nearer, or tie with a lower id."""
+        for start in range(first, last, step):
+            self._meet(rows, start, min(last, start + step))
+
+    def _meet(self, rows: np.ndarray, first: int, last: int) -> None:
+        limit = self.limit(rows)
+        kind, slack = "f8", self.rounding(rows, "f8")
+        if self.narrow is not None:
+            single = self.rounding(rows, "f4")
+            if np.sqrt(single / ROUNDING) <= np.median(limit):
+                kind, slack = "f4", single
+        x, b = (self.wide, self.strip.wide) if kind == "f8" else (self.narrow, self.strip.narrow)
+        size = len(rows) * (last - first)
+        if self.table.dtype != kind or len(self.table) < size:
+            self.table = np.empty(size, dtype=kind)
+        # squared distances, less the squared length of the left row
+        rough = np.matmul(x[rows], b[first:last].T, out=self.table[:size].reshape(len(rows), -1))
+        with np.errstate(over="ignore"):
+            bound = np.where(np.isinf(limit), np.inf, (limit + SLACK) ** 2 - self.own[rows] + slack)
+            open_ = np.flatnonzero(np.isinf(self.d[rows, -1]))
+            if len(open_) and last - first > self.need:
+                bound[open_] = np.minimum(bound[open_], self._nearest(rough[open_]) + 2 * slack)
+            bound = np.nextafter(bound.astype(kind), np.array(np.inf, dtype=kind))
+        row, col = np.divmod(self._where(rough, bound), last - first)
+        if len(row):
+            self._put(rows, row, first + col)
+
+    def _where(self, rough: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """flatnonzero(rough <= bound) for few hits, found by words of eight."""
+        words = -(-rough.size // 8)
+        if len(self.mask) < words * 8:
+            self.mask = np.empty(words * 8, bool)
+        mask = self.mask[: words * 8]
+        mask[rough.size :] = False
+        np.less_equal(rough, bound[:, None], out=mask[: rough.size].reshape(rough.shape))
+        held = np.flatnonzero(mask.view(np.uint64))
+        word, byte = np.nonzero(mask.reshape(-1, 8)[held])
+        return held[word] * 8 + byte
+
+    def _nearest(self, rough: np.ndarray) -> np.ndarray:
+        """A number that `need` numbers of each row do not exceed: of the least of several parts, the `need`th."""
+        parts = 8 * self.need
+        if rough.shape[1] >= 4 * parts:
+            whole = rough.shape[1] // parts * parts
+            rough = rough[:, :whole].reshape(len(rough), -1, parts).min(axis=1)
+        return np.partition(rough, self.need - 1, axis=1)[:, self.need - 1]
+
+    def _put(self, rows: np.ndarray, row: np.ndarray, at: np.ndarray) -> None:
+        step, strip, need = max(1, ARRAY // self.x.shape[1]), self.strip, self.need
+        d = [np.sqrt(((self.x[rows[row[j : j + step]]] - strip.v[at[j : j + step]]) ** 2).sum(axis=1)) for j in range(0, len(row), step)]
+        d = np.concatenate(d)
+        better = d <= self.d[rows[row], -1]
+        row, at, d = row[better], at[better], d[better]
+        if not len(row):
+            return
+        changed = np.unique(row)
+        where = rows[changed]
+        new_row = np.concatenate([np.repeat(changed, need), row])
+        new_d, new_at = np.concatenate([self.d[where].ravel(), d]), np.concatenate([self.at[where].ravel(), strip.rank[at]])
+        order = np.lexsort((new_at, new_d, new_row))
+        new_row, new_d, new_at = new_row[order], new_d[order], new_at[order]
+        kept = np.arange(len(new_row)) - np.searchsorted(new_row, new_row) < need
+        self.d[where], self.at[where] = new_d[kept].reshape(-1, need), new_at[kept].reshape(-1, need)
+
+    def pairs(self, ids: np.ndarray) -> pd.DataFrame:
+        row, col = np.nonzero(self.at < len(self.strip.ids))
+        return pd.DataFrame({"query_id": ids[row], "neighbor_id": self.strip.ids[self.at[row, col]], "distance": self.d[row, col]})
+
+
+def _no_pairs() -> pd.DataFrame:
+    return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
+
+
+def _step(rows: int, block_rows: int) -> int:
+    return min(block_rows, max(1, PRODUCTS // rows))
+
+
 def _strip_best(need: int, pivots: np.ndarray, block_rows: int):
     """The `need` nearest rows of a right strip for each row of a left one; ties by id.
 
@@ -164,62 +302,27 @@ def _strip_best(need: int, pivots: np.ndarray, block_rows: int):
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
-        right = right.sort_values("id")
-        ids, b = right["id"].to_numpy(), np.array(right["v"].tolist(), dtype=float)
-        reach, norms = right["reach"].to_numpy(), (b**2).sum(axis=1)
-        at_cell = right["cell"].to_numpy()
-        members = {c: np.flatnonzero(at_cell == c) for c in np.unique(at_cell)}
-        cells = np.array(list(members))
-        parts = []
-        for cell, asked in left.groupby("cell", sort=False):
-            gaps = np.sqrt(((pivots[cells] - pivots[cell]) ** 2).sum(axis=1))
-            nearest = cells[np.argsort(gaps, kind="stable")]
-            gap_of = dict(zip(cells.tolist(), gaps.tolist()))
-            for i in range(0, len(asked), block_rows):
-                some = asked.iloc[i : i + block_rows]
-                x, far = np.array(some["v"].tolist(), dtype=float), some["reach"].max()
-                own = (x**2).sum(axis=1)
-                found_d = np.full((len(x), need), np.inf)
-                found_at = np.full((len(x), need), len(ids))
-                theta = some["theta"].to_numpy(dtype=float)
-                for c in nearest:
-                    last = np.minimum(theta, found_d[:, -1])
-                    at = members[c]
-                    at = at[reach[at] >= gap_of[int(c)] - far - last.max() - SLACK]
-                    step = min(block_rows, max(1, ARRAY // len(x)))
-                    for j in range(0, len(at), step):
-                        _take_nearer(x, own, b, norms, at[j : j + step], theta, found_d, found_at)
-                row, col = np.nonzero(found_at < len(ids))
-                parts.append(pd.DataFrame({"query_id": some["id"].to_numpy()[row], "neighbor_id": ids[found_at[row, col]], "distance": found_d[row, col]}))
-        return pd.concat(parts)
+            return _no_pairs()
+        strip = _Strip(right)
+        left = left.sort_values(["cell", "reach"])
+        cell, reach = left["cell"].to_numpy(), left["reach"].to_numpy()
+        found = _Found(np.array(left["v"].tolist(), dtype=float), left["theta"].to_numpy(dtype=float), strip, need)
+        size = min(block_rows, QUERY_ROWS)
+        for c in np.unique(cell):
+            gaps = np.sqrt(((pivots[strip.cells] - pivots[c]) ** 2).sum(axis=1))
+            nearest = np.argsort(gaps, kind="stable")
+            members = np.flatnonzero(cell == c)
+            for i in range(0, len(members), size):
+                rows = members[i : i + size]
+                far = reach[rows].max()
+                for at in nearest:
+                    least = gaps[at] - far - found.limit(rows).max() - SLACK
+                    found.meet(rows, strip.first[at], strip.reaching(at, least), _step(len(rows), block_rows))
+        return found.pairs(left["id"].to_numpy())
 
     return best
 
 
-def _take_nearer(x, own, b, norms, at, theta, found_d, found_at) -> None:
-    """Put rows `at` of b among the nearest found of each row of x, where they are nearer or tie with a smaller number."""
-    need = found_d.shape[1]
-    rough = own[:, None] + norms[at] - 2 * x @ b[at].T
-    limit = np.minimum(theta, found_d[:, -1])
-    bound = np.where(np.isinf(limit), np.inf, (limit + SLACK) ** 2)
-    if np.isinf(bound).any() and len(at) > need:
-        bound = np.minimum(bound, np.partition(rough, need - 1, axis=1)[:, need - 1])
-    # what rounding of the product could have put behind the last one is measured too
-    row, col = np.nonzero(rough <= (bound + 1e-13 * b.shape[1] * (own + norms[at].max()))[:, None])
-    if not len(row):
-        return
-    step = max(1, ARRAY // b.shape[1])
-    d = np.concatenate([np.sqrt(((x[row[j : j + step]] - b[at[col[j : j + step]]]) ** 2).sum(axis=1)) for j in range(0, len(row), step)])
-    rows = np.unique(row)
-    new_row = np.concatenate([np.repeat(rows, need), row])
-    new_d, new_at = np.concatenate([found_d[rows].ravel(), d]), np.concatenate([found_at[rows].ravel(), at[col]])
-    order = np.lexsort((new_at, new_d, new_row))
-    new_row, new_d, new_at = new_row[order], new_d[order], new_at[order]
-    kept = np.arange(len(new_row)) - np.searchsorted(new_row, new_row) < need
-    found_d[rows], found_at[rows] = new_d[kept].reshape(-1, need), new_at[kept].reshape(-1, need)
-
-
 def _ranked(asked: DataFrame, sent: DataFrame, keys: list[str], best, k: int, exclude_self: bool, id_type: str) -> DataFrame:
     found = asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(best, f"query_id {id_type}, neighbor_id {id_type}, distance double")
     if exclude_self:

@@ -84,6 +84,40 @@ def test_approximate_neighbours_of_clustered_vectors(spark, block_rows):
     assert knn_approximate(df, df.limit(0)).count() == 0
 
 
+def _strip(v, seed=0):
+    """A strip of vectors around three of them, in no order, with ids that are not in their order either."""
+    pivots, ids = v[:3].astype(float), np.random.default_rng(seed).permutation(len(v))
+    reach = np.sqrt(((v[:, None].astype(float) - pivots) ** 2).sum(axis=2))
+    return pivots, pd.DataFrame({"id": ids, "v": list(v), "cell": reach.argmin(axis=1).astype("int32"), "reach": reach.min(axis=1), "theta": 1e300})
+
+
+def test_a_loose_bound_measures_few_pairs(monkeypatch):
+    """A bound that all rows meet had every pair of the first blocks measured and sorted."""
+    pivots, strip = _strip(np.random.default_rng(1).normal(size=(3000, 16)))
+    sorted_rows, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorted_rows.append(len(keys[0])) or lexsort(keys))
+    assert len(N._strip_best(8, pivots, 4096)(strip.assign(theta=100.0), strip)) == 8 * 3000
+    assert sum(sorted_rows) < 3000 * 3000 / 20
+
+
+@pytest.mark.parametrize("kind", ["even", "far off", "close together", "ties", "large", "small", "one outlier", "one row", "a line", "single"])
+def test_strips_match_brute_force(kind):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(900, 8))
+    v = {
+        "far off": v + 1e6, "close together": 1 + 1e-6 * v, "ties": v.round(0), "large": v * 1e20, "small": v * 1e-15,
+        "one outlier": np.concatenate([v, np.full((1, 8), 1e9)]), "one row": v[:1], "a line": v[:, :1], "single": v.astype("f4"),
+    }.get(kind, v)
+    pivots, strip = _strip(np.resize(v, (3, v.shape[1])) if kind == "one row" else v)
+    strip = strip.iloc[: len(v)]
+    x, ids = np.array(strip["v"].tolist(), dtype=float), strip["id"].to_numpy()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = {(ids[i], ids[j]): d[i, j] for i in range(len(x)) for j in np.lexsort((ids, d[i]))[:6]}
+    for block_rows in (4096, 50):
+        got = N._strip_best(6, pivots, block_rows)(strip, strip)
+        assert {(q, n): x for q, n, x in got.itertuples(index=False)} == want
+
+
 def test_preparation_matches_numpy(spark):
     pdf = pd.DataFrame({"x": [1.0, 2.0, None, 4.0, 10.0], "c": ["a", "b", None, "b", "a"], "y": [1.0, 2, 3, 4, 5]})
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "x double, c string, y double")
