@@ -7,6 +7,7 @@ still matter to.  Close cells share a strip and a hot cell has several; a row tr
 side that it matters to, and there are about STRIPS of them, so what is shuffled grows with the rows.  Inside a pair of
 strips, cells meet in blocks of a bounded number of rows, which rank by matrix products and measure exactly what may be
 among the nearest; a pair emits at most k rows per query.  All pairs of close rows are still compared: that is the job.
+A table joined with itself (the same DataFrame as queries and base) has each two strips meet once, for the rows of both.
 
 The approximate join sends each query to the cells of its `probes` nearest pivots only.
 
@@ -16,11 +17,12 @@ at most, whatever the rows.  Cell pairs and their bounds are computed by tasks,
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,11 +37,13 @@ SLACK = 1e-9
 #: Numbers in one array of differences, and in one table of products.
 ARRAY, PRODUCTS = 4_000_000, 1_000_000
 #: Queries that meet a block at a time.
-QUERY_ROWS = 512
+QUERY_ROWS = 1024
 #: Share of the bounds that rounding may reach before products are taken in double precision.
 ROUNDING = 0.01
 #: Strips of either side of a join, and numbers of vectors in the largest one.
 STRIPS, STRIP_NUMBERS = 8, 8_000_000
+#: Rows of a table of cells and strips, or of pairs of strips, up to which it is broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def _pivot_count(rows: int) -> int:
@@ -57,8 +61,11 @@ def _vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return df.select(quoted(id_col).alias("id"), v.alias("v"))
 
 
-def _assign(df: DataFrame, pivots: np.ndarray, cells: int = 1) -> DataFrame:
-    """`(id, v, cell, reach)`: the nearest pivots and the distances to them, a row for each of `cells` pivots."""
+def _assign(df: DataFrame, pivots: np.ndarray, cells: int = 1, listed: bool = False) -> DataFrame:
+    """`(id, v, cell, reach)`: the nearest pivots and the distances to them, a row for each of `cells` pivots.
+
+    `listed`: one row, of the nearest, with the others in `near`.
+    """
     take = min(cells, len(pivots))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,12 +75,15 @@ def _assign(df: DataFrame, pivots: np.ndarray, cells: int = 1) -> DataFrame:
                 part = b.iloc[i : i + BLOCK_ROWS]
                 x = np.array(part["v"].tolist(), dtype=float)
                 near = np.argsort(norms - 2 * x @ pivots.T, axis=1, kind="stable")[:, :take] if take > 1 else (norms - 2 * x @ pivots.T).argmin(axis=1)[:, None]
+                if listed:
+                    yield part.assign(cell=near[:, 0].astype("int32"), reach=np.sqrt(((x - pivots[near[:, 0]]) ** 2).sum(axis=1)), near=list(near.astype("int32")))
+                    continue
                 reach = np.sqrt(((x[:, None, :] - pivots[near]) ** 2).sum(axis=2))
                 rows = part.iloc[np.repeat(np.arange(len(part)), take)]
                 yield rows.assign(cell=near.ravel().astype("int32"), reach=reach.ravel())
 
     id_type, v_type = (df.schema[c].dataType.simpleString() for c in ("id", "v"))
-    return df.mapInPandas(nearest, f"id {id_type}, v {v_type}, cell int, reach double")
+    return df.mapInPandas(nearest, f"id {id_type}, v {v_type}, cell int, reach double" + ", near array<int>" * listed)
 
 
 def _centred(df: DataFrame, pivots: np.ndarray) -> np.ndarray:
@@ -135,8 +145,8 @@ def _in_line(pivots: np.ndarray) -> np.ndarray:
     return np.array(line)
 
 
-def _strips(rows: DataFrame, pivots: np.ndarray, block_rows: int) -> DataFrame:
-    """`(at_cell, first, parts)`: the strips of each cell of `rows`.
+def _laid(rows: DataFrame, pivots: np.ndarray, block_rows: int) -> list[tuple[int, int, int, int]]:
+    """`(cell, first, parts, rows)`: the strips of each cell of `rows`.
 
     Close cells share a strip, a cell of many rows has several.  There are about STRIPS of them, whatever the rows and the
     blocks, until a strip would hold more than STRIP_NUMBERS numbers.
@@ -150,9 +160,18 @@ def _strips(rows: DataFrame, pivots: np.ndarray, block_rows: int) -> DataFrame:
         if filled and filled + n > size:
             strip, filled = strip + 1, 0
         parts = -(-n // size)
-        out.append((cell, strip, parts))
+        out.append((cell, strip, parts, n))
         strip, filled = (strip, filled + n) if parts == 1 else (strip + parts, 0)
-    return F.broadcast(rows.sparkSession.createDataFrame(out, "at_cell int, first int, parts int"))
+    return out
+
+
+def _strip_table(spark: SparkSession, laid: list[tuple[int, int, int, int]]) -> DataFrame:
+    return F.broadcast(spark.createDataFrame([x[:3] for x in laid], "at_cell int, first int, parts int"))
+
+
+def _strips(rows: DataFrame, pivots: np.ndarray, block_rows: int) -> DataFrame:
+    """`(at_cell, first, parts)` of _laid()."""
+    return _strip_table(rows.sparkSession, _laid(rows, pivots, block_rows))
 
 
 def _own_strip():
@@ -163,174 +182,295 @@ def _every_strip():
     return F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1))
 
 
-class _Strip:
-    """A right strip's rows, close rows of one cell together and the farthest from their pivot first.
+class _Rows:
+    """A strip's rows, those of one cell together and the farthest from their pivot first, with the nearest found for each."""
+
+    def __init__(self, rows: pd.DataFrame, need: int):
+        self.rows = rows = rows.iloc[np.lexsort((-rows["reach"].to_numpy(), rows["cell"].to_numpy()))]
+        self.ids, self.reach, self.need = rows["id"].to_numpy(), rows["reach"].to_numpy(), need
+        by_id = np.argsort(self.ids, kind="stable")
+        self.in_order, self.rank = self.ids[by_id], np.empty(len(rows), dtype=np.int64)
+        self.rank[by_id] = np.arange(len(rows))
+        v = np.array(rows["v"].tolist())
+        self.v = v if v.dtype == np.float32 else v.astype(float)
+        self.cells, self.first = np.unique(rows["cell"].to_numpy(), return_index=True)
+        self.last = np.append(self.first[1:], len(rows))
+        self.theta = rows["theta"].to_numpy(dtype=float) if "theta" in rows else np.full(len(rows), np.inf)
+        self.near = np.array(rows["near"].tolist()) if "near" in rows else None
+        self.d, self.at = np.full((len(rows), need), np.inf), np.full((len(rows), need), -1)
+        # rows whose bound may be far beyond their nearest
+        self.loose = rows["loose"].to_numpy(dtype=bool).copy() if "loose" in rows else np.ones(len(rows), bool)
+
+    def centre(self, mid: np.ndarray) -> None:
+        """Rows from here on are told apart around `mid`, where rounding is least."""
+        self.mid, centred = mid, self.v - mid
+        self.own, self.length = np.einsum("ij,ij->i", centred, centred), np.sqrt(np.einsum("ij,ij->i", self.v, self.v, dtype=float))
+        self.narrow = self._wide(centred, self.own).astype("f4") if 1e-24 < self.own.max() < 1e24 else None
+
+    @staticmethod
+    def _wide(centred: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return np.column_stack([centred, own, np.ones(len(own))])
+
+    def factors(self, span: slice, kind: str) -> np.ndarray:
+        return self.narrow[span] if kind == "f4" else self._wide(self.v[span] - self.mid, self.own[span])
+
+    def limit(self, span: slice, cell: int) -> np.ndarray:
+        """The distance beyond which rows of `cell` do not matter; less than 0 where none does."""
+        limit = np.minimum(self.theta[span], self.d[span, -1])
+        return limit if self.near is None else np.where((self.near[span] == cell).any(axis=1), limit, -np.inf)
+
+    def first_looks(self, span: slice, limit: np.ndarray, others: int) -> np.ndarray:
+        """Rows of `span` that meet as many others as they need, with a loose bound: once for each row."""
+        if others < self.need:
+            return np.empty(0, dtype=np.int64)
+        rows = np.flatnonzero(self.loose[span] & (limit >= 0))
+        self.loose[span.start + rows] = False
+        return rows
+
+    def put(self, row: np.ndarray, other: _Rows, at: np.ndarray) -> None:
+        """Put rows `at` of the other strip among the nearest of each of `row`, where they are nearer or tie with a lower id."""
+        step, need = max(1, ARRAY // self.v.shape[1]), self.need
+        spans = [slice(j, j + step) for j in range(0, len(row), step)]
+        d = np.concatenate([np.sqrt(((self.v[row[j]].astype(float) - other.v[at[j]]) ** 2).sum(axis=1)) for j in spans])
+        better = d <= self.d[row, -1]
+        row, at, d = row[better], at[better], d[better]
+        if not len(row):
+            return
+        where = np.unique(row)
+        new_row = np.concatenate([np.repeat(where, need), row])
+        new_d, new_at = np.concatenate([self.d[where].ravel(), d]), np.concatenate([self.at[where].ravel(), other.rank[at]])
+        order = np.lexsort((new_at, new_d, new_row))
+        new_row, new_d, new_at = new_row[order], new_d[order], new_at[order]
+        kept = np.arange(len(new_row)) - np.searchsorted(new_row, new_row) < need
+        self.d[where], self.at[where] = new_d[kept].reshape(-1, need), new_at[kept].reshape(-1, need)
+
+    def pairs(self, other: _Rows) -> pd.DataFrame:
+        row, col = np.nonzero(self.at >= 0)
+        return pd.DataFrame({"query_id": self.ids[row], "neighbor_id": other.in_order[self.at[row, col]], "distance": self.d[row, col]})
+
+
+def _bounded(table: np.ndarray, need: int) -> np.ndarray:
+    """A number that `need` numbers of each column do not exceed: of the least of several parts, the `need`th."""
+    parts = 8 * need
+    if len(table) >= 4 * parts:
+        table = table[: len(table) // parts * parts].reshape(-1, parts, table.shape[1]).min(axis=0)
+    return np.partition(table, need - 1, axis=0)[need - 1]
+
+
+class _Meeting:
+    """Two strips, or one and itself: blocks of rows rank by products, and what may be among the nearest is measured.
 
     Distances are measured in double precision.  Which pairs to measure is told by products in single precision, with a
-    bound of their rounding; where that is not small beside the distances, by products in double precision.
+    bound of their rounding; where that is not small beside the distances, by products in double precision.  `both`: the rows
+    of either strip look for neighbours in the other, and a product serves both.
     """
 
-    def __init__(self, right: pd.DataFrame):
-        right = right.iloc[np.lexsort((-right["reach"].to_numpy(), right["cell"].to_numpy()))]
-        by_id = np.argsort(right["id"].to_numpy(), kind="stable")
-        self.ids = right["id"].to_numpy()[by_id]
-        self.rank = np.empty(len(by_id), dtype=np.int64)
-        self.rank[by_id] = np.arange(len(by_id))
-        self.v, self.reach = np.array(right["v"].tolist(), dtype=float), right["reach"].to_numpy()
-        cells, first = np.unique(right["cell"].to_numpy(), return_index=True)
-        self.cells, self.first, self.last = cells, first, np.append(first[1:], len(right))
-        self.mid = self.v.mean(axis=0)
-        self.far = np.sqrt((self.v**2).sum(axis=1).max())
-        centred = self.v - self.mid
-        norms = (centred**2).sum(axis=1)
-        self.spread = np.sqrt(norms.max())
-        self.wide = np.column_stack([centred, norms])
-        fits = 1e-12 < self.spread < 1e12
-        self.narrow = self.wide.astype("f4") if fits else None
-
-    def reaching(self, at: int, least: float) -> int:
-        """End of the rows of the cell at `at` whose reach is `least` or more."""
-        first, last = self.first[at], self.last[at]
-        return first + int(np.searchsorted(-self.reach[first:last], -least, side="right"))
-
-
-class _Found:
-    """The `need` nearest found for each row of a left strip; ties by id."""
-
-    def __init__(self, x: np.ndarray, theta: np.ndarray, strip: _Strip, need: int):
-        self.x, self.theta, self.strip, self.need = x, theta, strip, need
-        self.d, self.at = np.full((len(x), need), np.inf), np.full((len(x), need), len(strip.ids))
-        centred = x - strip.mid
-        self.own, self.far = (centred**2).sum(axis=1), np.sqrt((x**2).sum(axis=1))
-        self.wide = np.column_stack([-2 * centred, np.ones(len(x))])
-        self.narrow = None if strip.narrow is None or not np.sqrt(self.own).max() < 1e12 else self.wide.astype("f4")
+    def __init__(self, left: _Rows, right: _Rows, both: bool):
+        self.left, self.right, self.both = left, right, both
+        mid = left.v.sum(axis=0, dtype=float) + right.v.sum(axis=0, dtype=float)
+        for rows in {id(left): left, id(right): right}.values():
+            rows.centre(mid / (len(left.ids) + len(right.ids)))
         self.table, self.mask = np.empty(0), np.empty(0, bool)
 
-    def limit(self, rows: np.ndarray) -> np.ndarray:
-        return np.minimum(self.theta[rows], self.d[rows, -1])
-
-    def rounding(self, rows: np.ndarray, kind: str) -> float:
+    def _rounding(self, s: slice, t: slice, kind: str) -> float:
         """What rounding may add to or take from a squared distance."""
-        width, strip = self.x.shape[1] + 8, self.strip
-        least = width * np.finfo("f8").eps * (self.far[rows].max() + strip.far) ** 2
-        return least + width * np.finfo(kind).eps * (np.sqrt(self.own[rows].max()) + strip.spread) ** 2
-
-    def meet(self, rows: np.ndarray, first: int, last: int, step: int) -> None:
-        """Put strip rows `first` to `last` among the nearest of `rows` where they are nearer, or tie with a lower id."""
-        for start in range(first, last, step):
-            self._meet(rows, start, min(last, start + step))
-
-    def _meet(self, rows: np.ndarray, first: int, last: int) -> None:
-        limit = self.limit(rows)
-        kind, slack = "f8", self.rounding(rows, "f8")
-        if self.narrow is not None:
-            single = self.rounding(rows, "f4")
-            if np.sqrt(single / ROUNDING) <= np.median(limit):
+        left, right = self.left, self.right
+        width = left.v.shape[1] + 9
+        least = width * np.finfo("f8").eps * (left.length[s].max() + right.length[t].max()) ** 2
+        return least + width * np.finfo(kind).eps * (np.sqrt(left.own[s].max()) + np.sqrt(right.own[t].max())) ** 2
+
+    def meet(self, s: slice, cell: int, t: slice, other: int, both: bool) -> None:
+        """Rows `s` of the left strip, all of `cell`, and `t` of the right one, all of `other`."""
+        left, right = self.left, self.right
+        limits = [left.limit(s, other), right.limit(t, cell) if both else np.empty(0)]
+        used = [x[x >= 0] for x in limits]
+        if not any(map(len, used)):
+            return
+        kind, slack = "f8", self._rounding(s, t, "f8")
+        if left.narrow is not None and right.narrow is not None:
+            single = self._rounding(s, t, "f4")
+            if np.sqrt(single / ROUNDING) <= min(np.median(x) for x in used if len(x)):
                 kind, slack = "f4", single
-        x, b = (self.wide, self.strip.wide) if kind == "f8" else (self.narrow, self.strip.narrow)
-        size = len(rows) * (last - first)
+        b = right.factors(t, kind)
+        x = left.factors(s, kind)
+        width = x.shape[1] - 2
+        x = np.column_stack([-2 * x[:, :width], x[:, width + 1], x[:, width]])
+        size = len(x) * len(b)
         if self.table.dtype != kind or len(self.table) < size:
             self.table = np.empty(size, dtype=kind)
-        # squared distances, less the squared length of the left row
-        rough = np.matmul(x[rows], b[first:last].T, out=self.table[:size].reshape(len(rows), -1))
+        rough = np.matmul(x, b.T, out=self.table[:size].reshape(len(x), len(b)))
+        if len(used[0]):
+            open_ = left.first_looks(s, limits[0], len(b))
+            first = _bounded(np.ascontiguousarray(rough[open_].T), left.need) if len(open_) else None
+            row, at = self._within(rough, limits[0], open_, first, slack, 0)
+            if len(row):
+                left.put(s.start + row, right, t.start + at)
+        if len(used[1]):
+            open_ = right.first_looks(t, limits[1], len(x))
+            first = _bounded(rough[:, open_], right.need) if len(open_) else None
+            at, row = self._within(rough, limits[1], open_, first, slack, 1)
+            if len(row):
+                right.put(t.start + row, left, s.start + at)
+
+    def _within(self, rough: np.ndarray, limit: np.ndarray, open_: np.ndarray, first: np.ndarray | None, slack: float, axis: int) -> tuple[np.ndarray, ...]:
+        """Positions in `rough` of what may lie within the limits of its rows (axis 0) or columns (axis 1)."""
         with np.errstate(over="ignore"):
-            bound = np.where(np.isinf(limit), np.inf, (limit + SLACK) ** 2 - self.own[rows] + slack)
-            open_ = np.flatnonzero(np.isinf(self.d[rows, -1]))
-            if len(open_) and last - first > self.need:
-                bound[open_] = np.minimum(bound[open_], self._nearest(rough[open_]) + 2 * slack)
-            bound = np.nextafter(bound.astype(kind), np.array(np.inf, dtype=kind))
-        row, col = np.divmod(self._where(rough, bound), last - first)
-        if len(row):
-            self._put(rows, row, first + col)
-
-    def _where(self, rough: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        """flatnonzero(rough <= bound) for few hits, found by words of eight."""
+            bound = np.where(limit < 0, -np.inf, (limit + SLACK) ** 2 + slack)
+            if first is not None:
+                bound[open_] = np.minimum(bound[open_], first + 2 * slack)
+            bound = bound.astype(rough.dtype)
+            bound = np.where(limit < 0, bound, np.nextafter(bound, np.array(np.inf, dtype=rough.dtype)))
         words = -(-rough.size // 8)
         if len(self.mask) < words * 8:
             self.mask = np.empty(words * 8, bool)
         mask = self.mask[: words * 8]
         mask[rough.size :] = False
-        np.less_equal(rough, bound[:, None], out=mask[: rough.size].reshape(rough.shape))
+        np.less_equal(rough, np.expand_dims(bound, 1 - axis), out=mask[: rough.size].reshape(rough.shape))
+        # few are: found by words of eight
         held = np.flatnonzero(mask.view(np.uint64))
         word, byte = np.nonzero(mask.reshape(-1, 8)[held])
-        return held[word] * 8 + byte
-
-    def _nearest(self, rough: np.ndarray) -> np.ndarray:
-        """A number that `need` numbers of each row do not exceed: of the least of several parts, the `need`th."""
-        parts = 8 * self.need
-        if rough.shape[1] >= 4 * parts:
-            whole = rough.shape[1] // parts * parts
-            rough = rough[:, :whole].reshape(len(rough), -1, parts).min(axis=1)
-        return np.partition(rough, self.need - 1, axis=1)[:, self.need - 1]
-
-    def _put(self, rows: np.ndarray, row: np.ndarray, at: np.ndarray) -> None:
-        step, strip, need = max(1, ARRAY // self.x.shape[1]), self.strip, self.need
-        d = [np.sqrt(((self.x[rows[row[j : j + step]]] - strip.v[at[j : j + step]]) ** 2).sum(axis=1)) for j in range(0, len(row), step)]
-        d = np.concatenate(d)
-        better = d <= self.d[rows[row], -1]
-        row, at, d = row[better], at[better], d[better]
-        if not len(row):
-            return
-        changed = np.unique(row)
-        where = rows[changed]
-        new_row = np.concatenate([np.repeat(changed, need), row])
-        new_d, new_at = np.concatenate([self.d[where].ravel(), d]), np.concatenate([self.at[where].ravel(), strip.rank[at]])
-        order = np.lexsort((new_at, new_d, new_row))
-        new_row, new_d, new_at = new_row[order], new_d[order], new_at[order]
-        kept = np.arange(len(new_row)) - np.searchsorted(new_row, new_row) < need
-        self.d[where], self.at[where] = new_d[kept].reshape(-1, need), new_at[kept].reshape(-1, need)
+        return np.divmod(held[word] * 8 + byte, rough.shape[1])
 
-    def pairs(self, ids: np.ndarray) -> pd.DataFrame:
-        row, col = np.nonzero(self.at < len(self.strip.ids))
-        return pd.DataFrame({"query_id": ids[row], "neighbor_id": self.strip.ids[self.at[row, col]], "distance": self.d[row, col]})
+    def blocks(self, pivots: np.ndarray, block_rows: int) -> None:
+        """All blocks of one cell and `block_rows` rows at most on either side, the nearest cells first.
+
+        Rows of the right strip that lie beyond the distances found so far are left out by the triangle inequality.
+        """
+        left, right, size = self.left, self.right, min(block_rows, QUERY_ROWS)
+        step = min(block_rows, max(1, PRODUCTS // size))
+        for i, cell in enumerate(left.cells):
+            gaps = np.sqrt(((pivots[right.cells] - pivots[cell]) ** 2).sum(axis=1))
+            nearest = np.argsort(gaps, kind="stable")
+            for start in range(left.first[i], left.last[i], size):
+                s = slice(start, min(left.last[i], start + size))
+                for j in nearest:
+                    # within one strip each pair of cells meets once; a cell meets itself row by row
+                    if self.both and left is right and j < i:
+                        continue
+                    both = self.both and not (left is right and i == j)
+                    t = slice(right.first[j], right.last[j])
+                    most = left.limit(s, right.cells[j]).max()
+                    if both:
+                        most = max(most, right.limit(t, cell).max())
+                    if most < 0:
+                        continue
+                    least = gaps[j] - left.reach[start] - most - SLACK
+                    end = t.start + int(np.searchsorted(-right.reach[t], -least, side="right"))
+                    for at in range(t.start, end, step):
+                        self.meet(s, cell, slice(at, min(end, at + step)), right.cells[j], both)
 
 
 def _no_pairs() -> pd.DataFrame:
     return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
 
 
-def _step(rows: int, block_rows: int) -> int:
-    return min(block_rows, max(1, PRODUCTS // rows))
-
-
 def _strip_best(need: int, pivots: np.ndarray, block_rows: int):
-    """The `need` nearest rows of a right strip for each row of a left one; ties by id.
-
-    The strips meet in blocks of one cell and `block_rows` rows at most, the nearest cells first; rows of the right one that
-    lie beyond the distances found so far are left out by the triangle inequality.
-    """
+    """The `need` nearest rows of a right strip for each row of a left one; ties by id."""
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return _no_pairs()
-        strip = _Strip(right)
-        left = left.sort_values(["cell", "reach"])
-        cell, reach = left["cell"].to_numpy(), left["reach"].to_numpy()
-        found = _Found(np.array(left["v"].tolist(), dtype=float), left["theta"].to_numpy(dtype=float), strip, need)
-        size = min(block_rows, QUERY_ROWS)
-        for c in np.unique(cell):
-            gaps = np.sqrt(((pivots[strip.cells] - pivots[c]) ** 2).sum(axis=1))
-            nearest = np.argsort(gaps, kind="stable")
-            members = np.flatnonzero(cell == c)
-            for i in range(0, len(members), size):
-                rows = members[i : i + size]
-                far = reach[rows].max()
-                for at in nearest:
-                    least = gaps[at] - far - found.limit(rows).max() - SLACK
-                    found.meet(rows, strip.first[at], strip.reaching(at, least), _step(len(rows), block_rows))
-        return found.pairs(left["id"].to_numpy())
+        asked, sent = _Rows(left, need), _Rows(right, need)
+        _Meeting(asked, sent, False).blocks(pivots, block_rows)
+        return asked.pairs(sent)
+
+    return best
+
+
+def _own_best(need: int, pivots: np.ndarray, block_rows: int):
+    """The rows of a strip, with the `need` nearest of the same strip for each, and the distance that others have to be within."""
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        one = _Rows(rows.drop(columns=["low", "high", "task"]), need)
+        _Meeting(one, one, True).blocks(pivots, block_rows)
+        ids, counts = one.in_order[one.at], (one.at >= 0).sum(axis=1)
+        met = {"met_id": [x[:n] for x, n in zip(ids, counts)], "met_distance": [x[:n] for x, n in zip(one.d, counts)]}
+        return one.rows.assign(theta=np.minimum(one.theta, one.d[:, -1]), loose=one.loose, **met)
 
     return best
 
 
-def _ranked(asked: DataFrame, sent: DataFrame, keys: list[str], best, k: int, exclude_self: bool, id_type: str) -> DataFrame:
-    found = asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(best, f"query_id {id_type}, neighbor_id {id_type}, distance double")
+def _mutual_best(need: int, pivots: np.ndarray, block_rows: int):
+    """The `need` nearest rows of the other strip for each row of either of two; ties by id."""
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        low = (rows["own"] < rows["other"]).to_numpy()
+        if low.all() or not low.any():
+            return _no_pairs()
+        one, two = _Rows(rows[low], need), _Rows(rows[~low], need)
+        _Meeting(one, two, True).blocks(pivots, block_rows)
+        return pd.concat([one.pairs(two), two.pairs(one)])
+
+    return best
+
+
+def _met(asked: DataFrame, sent: DataFrame, keys: list[str], best, id_type: str) -> DataFrame:
+    return asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(best, f"query_id {id_type}, neighbor_id {id_type}, distance double")
+
+
+def _ranked(found: DataFrame, k: int, exclude_self: bool) -> DataFrame:
     if exclude_self:
         found = found.filter(F.col("query_id") != F.col("neighbor_id"))
     order = W.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
 
 
+def _dealt(spark: SparkSession, loads: dict[tuple[int, int], float]) -> DataFrame:
+    """`(low, high, task)`: a number for each pair of strips, such that the shuffle's hash deals the pairs evenly by load."""
+    schema = "low int, high int, task int"
+    if len(loads) > BROADCAST_ROWS:  # so many come out even by themselves
+        return spark.createDataFrame([(*pair, n) for n, pair in enumerate(sorted(loads))], schema)
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbers: dict[int, list[int]] = {}
+    some = spark.range(8 * max(count, len(loads))).select(F.col("id").cast("int").alias("n"))
+    for n, part in some.select("n", F.pmod(F.hash("n"), F.lit(count))).collect():  # eight numbers a pair or partition
+        numbers.setdefault(part, []).append(n)
+    filled = [(0.0, part) for part in sorted(numbers)]
+    out = []
+    for (low, high), load in sorted(loads.items(), key=lambda x: (-x[1], x[0])):
+        had, part = heapq.heappop(filled)
+        out.append((low, high, numbers[part].pop()))
+        if numbers[part]:
+            heapq.heappush(filled, (had + load, part))
+    return F.broadcast(spark.createDataFrame(out, schema))
+
+
+def _mutual(rows: DataFrame, routes: DataFrame, pivots: np.ndarray, need: int, block_rows: int) -> DataFrame:
+    """The join of `rows` with themselves by the routes of their cells: a product of two rows serves either.
+
+    The rows of a strip meet first; what each finds there bounds how far it has to look in the others.  Then a row travels once
+    to each pair of its strip with one that it matters to, be it as query or as base.
+    """
+    spark, id_type = rows.sparkSession, rows.schema["id"].dataType.simpleString()
+    laid = _laid(rows, pivots, block_rows)
+    held: dict[int, float] = {}
+    for _, first, parts, count in laid:
+        for strip in range(first, first + parts):
+            held[strip] = held.get(strip, 0.0) + count / parts
+    strips = _strip_table(spark, laid)
+    thetas = routes.groupBy(F.col("q_cell").alias("of")).agg(F.min("theta").alias("theta"))
+    placed = rows.join(strips, F.col("cell") == F.col("at_cell")).withColumn("own", _own_strip())
+    placed = placed.join(F.broadcast(thetas), F.col("cell") == F.col("of")).select(*rows.columns, "theta", "own")  # a row a pivot
+    types = ", ".join(f"{c} {t}" for c, t in placed.dtypes) + f", loose boolean, met_id array<{id_type}>, met_distance array<double>"
+    placed = placed.join(_dealt(spark, {(x, x): n * n for x, n in held.items()}), F.col("own") == F.col("low"))
+    met = stage(placed.groupBy("task").applyInPandas(_own_best(need, pivots, block_rows), types), "knn-met")
+    found = met.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("met_id", "met_distance")).alias("m"))
+    found = found.select("query_id", F.col("m.met_id").alias("neighbor_id"), F.col("m.met_distance").alias("distance"))
+    if len(held) == 1:
+        return found
+    as_query = routes.join(strips, F.col("cell") == F.col("at_cell")).select(F.col("q_cell").alias("of"), _every_strip().alias("other"), F.lit(float("-inf")).alias("least"))
+    as_base = routes.join(strips, F.col("q_cell") == F.col("at_cell")).select(F.col("cell").alias("of"), _every_strip().alias("other"), F.col("min_reach").alias("least"))
+    to = as_query.union(as_base).groupBy("of", "other").agg(F.min("least").alias("least")).join(strips, F.col("of") == F.col("at_cell"))
+    to = to.select("of", _every_strip().alias("of_own"), "other", "least").filter("of_own <> other")
+    to = to.withColumn("low", F.least("of_own", "other")).withColumn("high", F.greatest("of_own", "other"))
+    to = to.join(_dealt(spark, {(low, high): held[low] * held[high] for low in held for high in held if low < high}), ["low", "high"])
+    if sum(parts for _, _, parts, _ in laid) * len(held) <= BROADCAST_ROWS:
+        to = F.broadcast(to)
+    sent = met.join(to, (F.col("cell") == F.col("of")) & (F.col("own") == F.col("of_own"))).filter(F.col("reach") >= F.col("least"))
+    pairs = sent.select(*rows.columns, "theta", "loose", "own", "other", "task").groupBy("task")
+    return found.union(pairs.applyInPandas(_mutual_best(need, pivots, block_rows), ", ".join(f"{c} {t}" for c, t in found.dtypes)))
+
+
 def _nothing(base: DataFrame, id_type: str) -> DataFrame:
     return base.sparkSession.createDataFrame([], f"query_id {id_type}, rank int, neighbor_id {id_type}, distance double")
 
@@ -346,6 +486,9 @@ def knn_join(
         return _nothing(s, id_type)
     pivots = _pivots(s, _pivot_count(rows))
     # read by several passes: kept in memory when small, written to the shared folder when not
+    if queries is base:
+        sa = stage(_assign(s, pivots), "knn-base")
+        return _ranked(_mutual(sa, stage(_routes(sa, sa, pivots, need), "knn-routes"), pivots, need, block_rows), k, exclude_self)
     sa, qa = stage(_assign(s, pivots), "knn-base"), stage(_assign(q, pivots), "knn-queries")
     routes = stage(_routes(sa, qa, pivots, need), "knn-routes")
     q_strips, s_strips = _strips(qa, pivots, block_rows), _strips(sa, pivots, block_rows)
@@ -356,7 +499,7 @@ def knn_join(
     sent = sent.join(to_queries, F.col("cell") == F.col("to_cell")).filter("reach >= min_reach").select("id", "v", "cell", "reach", "q_strip", "s_strip")
     asked = qa.join(q_strips, F.col("cell") == F.col("at_cell")).select("id", "v", "cell", "reach", _own_strip().alias("q_strip"))
     asked = asked.join(to_base, F.col("cell") == F.col("q_cell")).select("id", "v", "cell", "reach", "theta", "q_strip", "s_strip")
-    return _ranked(asked, sent, ["q_strip", "s_strip"], _strip_best(need, pivots, block_rows), k, exclude_self, id_type)
+    return _ranked(_met(asked, sent, ["q_strip", "s_strip"], _strip_best(need, pivots, block_rows), id_type), k, exclude_self)
 
 
 def knn_approximate(
@@ -384,6 +527,11 @@ def knn_approximate(
     centres = _pivots(s, pivots or _pivot_count(rows))
     for _ in range(rounds):
         centres = _centred(s, centres)
+    if queries is base:
+        sa = stage(_assign(s, centres, probes, listed=True), "knn-base")
+        probed = sa.select(F.explode("near").alias("cell"), F.col("cell").alias("q_cell")).distinct()
+        routes = stage(probed.select("cell", "q_cell", F.lit(float("-inf")).alias("min_reach"), F.lit(float("inf")).alias("theta")), "knn-routes")
+        return _ranked(_mutual(sa, routes, centres, need, block_rows), k, exclude_self)
     sa, qa = stage(_assign(s, centres), "knn-base"), stage(_assign(q, centres, probes), "knn-queries")
     strips = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
     most = max(block_rows, STRIP_NUMBERS // centres.shape[1])
@@ -391,7 +539,7 @@ def knn_approximate(
     own, every = (lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     sent = sa.join(sizes, "cell").select("id", "v", "cell", "reach", own("s_strips").alias("s_strip"), every("q_strips").alias("q_strip"))
     asked = qa.join(sizes, "cell").select("id", "v", "cell", "reach", F.lit(float("inf")).alias("theta"), own("q_strips").alias("q_strip"), every("s_strips").alias("s_strip"))
-    return _ranked(asked, sent, ["cell", "q_strip", "s_strip"], _strip_best(need, centres, block_rows), k, exclude_self, id_type)
+    return _ranked(_met(asked, sent, ["cell", "q_strip", "s_strip"], _strip_best(need, centres, block_rows), id_type), k, exclude_self)
 
 
 def knn_classify(queries: DataFrame, base: DataFrame, label: str, k: int = 7, id_col: str = "id", vector: str = "v", exclude_self: bool = False) -> DataFrame:

@@ -118,6 +118,37 @@ def test_strips_match_brute_force(kind):
         assert {(q, n): x for q, n, x in got.itertuples(index=False)} == want
 
 
+def test_a_product_serves_both_rows(monkeypatch):
+    """Rows that look for each other were multiplied once for either."""
+    v = np.random.default_rng(4).normal(size=(2000, 16))
+    pivots, strip = _strip(v)
+    products, matmul = [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda a, b, **out: products.append(len(a) * b.shape[1]) or matmul(a, b, **out))
+    half = strip["id"].to_numpy() % 2
+    own = N._own_best(8, pivots, 64)
+    met = [own(strip[half == i].assign(own=i, low=i, high=i, task=0)) for i in (0, 1)]
+    pairs = N._mutual_best(8, pivots, 64)(pd.concat([m.assign(other=1 - i) for i, m in enumerate(met)]))
+    assert sum(products) < 2000 * 2000 * 0.7
+    found = {i: list(zip(d, ids)) for m in met for i, ids, d in zip(m["id"], m["met_id"], m["met_distance"])}
+    for q, n, d in pairs.itertuples(index=False):
+        found[q].append((d, n))
+    x = v[np.argsort(strip["id"].to_numpy())]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert all([n for _, n in sorted(found[i])[:8]] == np.lexsort((np.arange(2000), d[i]))[:8].tolist() for i in range(2000))
+
+
+@pytest.mark.parametrize("numbers", [300, 8_000_000])
+def test_a_join_with_itself_equals_that_of_two_tables(spark, numbers, monkeypatch):
+    """Few probes, several strips, cells of several strips; queries with fewer neighbours than asked for."""
+    monkeypatch.setattr(N, "STRIP_NUMBERS", numbers)
+    v = np.concatenate([np.random.default_rng(6).normal(0, 1, (300, 3)).round(1), np.full((4, 3), 50.0)])
+    df = spark.createDataFrame([(f"k{i}", [float(a) for a in x]) for i, x in enumerate(v)], "id string, v array<float>")
+    copy = df.select("*")
+    for join in (knn_join, partial(knn_approximate, pivots=9, probes=2)):
+        one, two = (sorted(join(df, base, 6, exclude_self=True, block_rows=40).collect()) for base in (df, copy))
+        assert one == two and len(one) >= 300 * 6
+
+
 def test_preparation_matches_numpy(spark):
     pdf = pd.DataFrame({"x": [1.0, 2.0, None, 4.0, 10.0], "c": ["a", "b", None, "b", "a"], "y": [1.0, 2, 3, 4, 5]})
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "x double, c string, y double")
